@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, jaccard, packing, rules, tokenfile
+from . import bpe, common, jaccard, langid, packing, pulearn, rules, tokenfile
 
 #: Vocabulary files; they stay where they are installed, on every machine.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -41,12 +41,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulearn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_files": op4_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {
@@ -63,12 +73,12 @@ WITH RECURSIVE t AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
   SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
-), both AS (
+), arcs AS (
   SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), r AS (
   SELECT doc_id, doc_id AS root FROM n
   UNION
-  SELECT y, root FROM r JOIN both ON x = doc_id
+  SELECT y, root FROM r JOIN arcs ON x = doc_id
 )
 SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) USING (doc_id)
 """,
