@@ -37,14 +37,7 @@ from . import common, vocab
 _END = 0xF0000
 
 
-def _byte_letters() -> dict[int, str]:
-    """The published one-to-one map of bytes to printable characters of byte-level vocabularies."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(kept)]
-    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-LETTER_OF = _byte_letters()
+LETTER_OF = vocab.byte_letters()
 BYTE_OF = {c: b for b, c in LETTER_OF.items()}
 
 

@@ -87,11 +87,12 @@ def shard(doc_ids: list[int | None], documents: list[bytes]) -> bytes:
     """The file image of documents, whose ids are given as little-endian 32-bit bytes."""
     lengths = np.array([len(d) // 4 for d in documents], "<u8")
     ids = np.frombuffer(b"".join(documents), "<u4")
-    seen, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(seen), "<u4")
-    rank[order] = np.arange(len(seen))
-    control, data = pack(rank[inverse])
+    counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    seen = np.flatnonzero(counts)
+    order = np.argsort(-counts[seen], kind="stable")
+    rank = np.zeros(len(counts), "<u4")
+    rank[seen[order]] = np.arange(len(seen))
+    control, data = pack(rank[ids])
     head = _HEAD.pack(MAGIC, len(documents), len(ids), len(seen))
     keys = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes()
     return b"".join((head, keys, lengths.tobytes(), seen[order].astype("<u4").tobytes(), control, data))

@@ -56,13 +56,20 @@ def cutting(path: str) -> str:
 class Pieces(dict):
     """Piece to answer, cleared once it holds ``most`` pieces, so that memory stays bounded."""
 
-    most = 400_000
+    most = 800_000
 
     def room(self) -> None:
         if len(self) > self.most:
             self.clear()
 
 
+def byte_letters() -> dict[int, str]:
+    """The published one-to-one map of bytes to printable characters of byte-level vocabularies."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes."""
 
@@ -70,6 +77,8 @@ class PieceEncoder:
         self.tokenizer = load(path)
         self.cut = cutting(path)
         self.known = Pieces()
+        self.letters = byte_letters()
+        self.words = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=False))]
 
     def pieces(self, text: str) -> list[str] | None:
         """The pieces of a text over plain characters; None if the library has to see it whole."""
@@ -82,12 +91,12 @@ class PieceEncoder:
         cut = [self.pieces(t) for t in texts]
         new = set().union(*(p for p in cut if p)).difference(self.known)
         whole = [t for t, p in zip(texts, cut, strict=True) if p is None]
-        for group, keep in ((list(new), True), (whole, False)):
-            answers = [self.raw(e.ids) for e in self.tokenizer.encode_batch(group, add_special_tokens=False)] if group else []
-            if keep:
-                self.known.update(zip(group, answers, strict=True))
-            else:
-                left = iter(answers)
+        tokenize, words, letters = self.tokenizer.model.tokenize, self.words, self.letters
+        for piece in new:
+            # the model sees a piece as the letters that stand for its bytes
+            spelled = piece if piece.isascii() and piece.isalpha() else "".join(map(letters.__getitem__, piece.encode()))
+            self.known[piece] = b"".join([words[t.id] for t in tokenize(spelled)])
+        left = iter([self.raw(e.ids) for e in self.tokenizer.encode_batch(whole, add_special_tokens=False)] if whole else [])
         get = self.known.__getitem__
         return [next(left) if p is None else b"".join(map(get, p)) for p in cut]
 
