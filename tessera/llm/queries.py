@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, jaccard, langid, packing, pulearn, rules, tokenfile
+from . import bpe, common, jaccard, langid, lm, packing, pulearn, rules, tokenfile
 
 #: Vocabulary files; they stay where they are installed, on every machine.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +33,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(spark, store.path("shards"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32 of the id modulo 5 is not 1, the weights on those where it is 2."""
+    rest = common.remainder("doc_id", 5)
+    found = lm.score(table(spark, sf_dir, "documents"), rest != 1, rest == 2)
+    return found.withColumn("held_out", F.coalesce(rest == 1, F.lit(False)))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY, 2048)
 
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_files": op4_token_files,
+    "op5_lm_scores": op5_lm_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
