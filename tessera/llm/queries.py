@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jaccard, langid, lm, packing, pulearn, rules, tokenfile
+from . import bpe, common, jaccard, langid, lm, packing, pulearn, rpforest, rules, tokenfile
 
 #: Vocabulary files; they stay where they are installed, on every machine.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulearn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
