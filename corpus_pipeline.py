@@ -1,23 +1,59 @@
-"""The corpus pipeline: stages in order, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: stages in order, each a function (spark, docs, sf_dir) -> DataFrame.
+
+Each stage works on all that its predecessor kept, and learns from that only.
+All but the last return the columns of ``docs``.  Rows without id stay until the
+last stage; of rows with equal ids the duplicate stage keeps one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import common, packing
+from tessera.llm import common, jaccard, langid, packing, pulearn
 from tessera.llm.queries import WORD_VOCABULARY
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised: without letters, or below the calibrated score, they go."""
+    held_out = F.coalesce(common.remainder("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit(docs, ~held_out)
+    sent = spark.sparkContext.broadcast(model)
+
+    def kept(raws: list[bytes]) -> list[bool]:
+        names, scores = sent.value.predict([r.decode() for r in raws])
+        return [n != langid.UNKNOWN and s >= sent.value.reject_below for n, s in zip(names, scores.tolist())]
+
+    return common.keep_rows(docs, kept)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.3 or more."""
+    held_out = F.coalesce(common.remainder("doc_id", 5) == 0, F.lit(False))
+    model = pulearn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out)
+    return common.keep_rows(docs, lambda raws: (pulearn.scores(model, raws) >= 0.3).tolist())
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    first = jaccard.components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    unique = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return unique.select(docs.columns).unionAll(docs.where("doc_id is null"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 2048 tokens."""
+    """All documents in sequences of at most 2048 tokens."""
     return packing.pack(docs, WORD_VOCABULARY, 2048)
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("quality_classifier", classify_quality),
+    ("ngram_jaccard_join", join_near_duplicates),
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL cannot express tokenizers and trained models; tests hold the stages against brute force.
+#: SQL cannot express trained models and tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

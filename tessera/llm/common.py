@@ -149,3 +149,14 @@ def unpack(parts: Iterable[bytes], *dtypes: str) -> list[np.ndarray]:
 
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+def keep_rows(docs: DataFrame, mask, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, for which mask(raw texts of a batch) is true; nothing is shuffled."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(mask(raw_texts(batch, text_column)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -163,14 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = 6000
     return train(x[positive], x[unlabelled], min(max(prior, 0.01), 0.99))
 
 
+def scores(model: Model, raws: list[bytes]) -> np.ndarray:
+    return model.score(np.array([measure(t) for t in raws]).reshape(-1, MEASURES))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row, from its text alone."""
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([measure(t) for t in common.raw_texts(batch)]).reshape(-1, MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(model, common.raw_texts(batch)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 

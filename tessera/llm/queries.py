@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, jaccard, langid, lm, packing, pulearn, rpforest, rules, tokenfile
+from . import bpe, common, jaccard, langid, licences, lm, packing, pulearn, rpforest, rules, tokenfile
 
 #: Vocabulary files; they stay where they are installed, on every machine.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a tree of files: source/thousands/hundreds/tens of the id; any of them can be its directory's notice."""
+    n = F.col("doc_id")
+    step = lambda k: F.floor(n / k).cast("string")
+    path = F.concat_ws("/", F.col("source"), step(1000), step(100), step(10), F.concat(n.cast("string"), F.lit(".txt")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"), F.lit(True).alias("is_file"))
+    found = licences.inherit(licences.scan(docs))
+    return found.select("doc_id", "licence", F.round("cosine", 6).alias("cosine"), "line", "effective", "from_dir", "up")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
@@ -63,6 +73,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_files": op4_token_files,
     "op5_lm_scores": op5_lm_scores,
