@@ -89,6 +89,61 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random number for each byte, the same for both cases of A to Z, and odd bases' powers: from a fixed seed.
+_RNG = np.random.default_rng(20)
+_LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]
+_BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 to the 64th, at least n of each."""
+    if len(_powers[0]) < n:
+        n = 1 << (n - 1).bit_length()
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of ``words_of(raw)``, in order: polynomials over the words' bytes, all words at once.
+
+    Prefix sums of letter times power give each word's polynomial times the power
+    of its place, which the inverse power takes away.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    space = _SPACE[data]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    if not starts.size:
+        return np.empty(0, np.uint64)
+    power, inverse = _powers_to(len(data))
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts]
+    return h ^ (h >> np.uint64(29))
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if keys.size else keys
+
+
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1])) if keys.size else np.empty(0, bool)
+    places = np.empty(len(keys), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ordered[new], places
+
+
 def words_of(raw: bytes) -> list[bytes]:
     """Words between white space, A to Z lower-cased: bytes.lower and bytes.split know ASCII only, which is the rule."""
     return raw.lower().split()

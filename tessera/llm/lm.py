@@ -36,9 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .jaccard import _WORDS, mix
+from .jaccard import mix
 
 END, START = np.uint64(1), np.uint64(2)  # keys of the end token and of the context before the first word
+_END = np.array([END])
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CONTEXTS = 33  # buckets of log2 of a context's count
 _FINE = 4  # histogram steps for each doubling of a probability
@@ -48,10 +49,8 @@ def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token keys of texts one after another, keys of pairs with the token before, and tokens of each text."""
     parts, lengths = [], []
     for raw in raws:
-        words = common.words_of(raw)
-        parts.append(np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)))
-        parts.append(np.array([END]))
-        lengths.append(len(words) + 1)
+        parts += [common.word_hashes(raw), _END]
+        lengths.append(len(parts[-2]) + 1)
     keys = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     before = np.concatenate([[START], keys[:-1]]) if keys.size else keys
     before[keys_start(lengths)] = START
@@ -70,51 +69,68 @@ def _counts(keys: np.ndarray, every: np.ndarray) -> np.ndarray:
     return np.searchsorted(keys, every, "right") - np.searchsorted(keys, every, "left")
 
 
+def _by_bucket(every: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the keys of each bucket, in order of the keys."""
+    bucket = (every % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if edges[b] < edges[b + 1]:
+            yield b, order[edges[b] : edges[b + 1]]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, lowest first: small numbers leave planes of zeros, which compress well."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(-1)
+
+
+#: Bytes of a key in a request: words are known by all of theirs, pairs by the bucket and six bytes.
+_WORD_BYTES, _PAIR_BYTES = 8, 6
+
+
 def _request(buckets: int):
-    """Per block of documents: its distinct words and pairs with counts in training and in the deleted part."""
+    """Per block of documents: its distinct words and pairs with their counts in training."""
 
     def run(group: pa.Table) -> pa.Table:
         batch = group.combine_chunks().to_batches()[0]
-        train, part = batch.column("train").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(zero_copy_only=False)
+        train = batch.column("train").to_numpy(zero_copy_only=False)
         words, pairs, lengths = tokens(common.raw_texts(batch))
-        in_train, in_part = np.repeat(train, lengths), np.repeat(part, lengths)
+        in_train = np.repeat(train, lengths)
         block, rows = batch.column("block")[0].as_py(), []
-        for first, keys in ((0, words), (buckets, pairs)):
-            every = np.unique(keys)
-            columns = (_counts(keys[in_train], every), _counts(keys[in_part], every))
+        for first, keys, width in ((0, words, _WORD_BYTES), (buckets, pairs, _PAIR_BYTES)):
+            every = common.distinct(keys)
+            count = _counts(keys[in_train], every)
             for b, own in _by_bucket(every, buckets):
-                rows.append((first + b, block, b"".join((every[own].tobytes(), *(c[own].astype("<u4").tobytes() for c in columns)))))
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "block", "part"])
+                rows.append((first + b, block, len(own), every[own].view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes() + _planes(count[own])))
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "block", "n", "part"])
 
     return run
 
 
-def _by_bucket(every: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the keys of each bucket, in order of the keys."""
-    bucket = (every % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
-
+def _answer(buckets: int, blocks: int):
+    """Per bucket: corpus counts for every block, in the order of its request, and totals of the bucket's words.
 
-def _answer(buckets: int):
-    """Per bucket: corpus counts for every block, in the order of its request, and totals of the bucket's words."""
+    Blocks from ``blocks`` on hold the part: they are answered with both counts, the others with those of training.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        parts = group.column("part").to_pylist()
-        sizes = [len(p) // 16 for p in parts]
-        key, train, part = common.unpack(parts, "<u8", "<u4", "<u4")
-        every, at = np.unique(key, return_inverse=True)
-        train, part = np.bincount(at, train), np.bincount(at, part)
-        bucket, answers = group.column("bucket")[0].as_py(), []
+        bucket, parts, sizes = group.column("bucket")[0].as_py(), group.column("part").to_pylist(), group.column("n").to_numpy()
+        of_part = group.column("block").to_numpy() >= blocks
+        width = _WORD_BYTES if bucket < buckets else _PAIR_BYTES
+        key = np.zeros((int(sizes.sum()), 8), np.uint8)
         ends = np.cumsum(sizes)
-        for i, j in zip(ends - sizes, ends):
-            answers.append(train[at[i:j]].astype("<u4").tobytes() + part[at[i:j]].astype("<u4").tobytes())
+        for raw, i, j in zip(parts, ends - sizes, ends):
+            key[i:j, 8 - width :] = np.frombuffer(raw, np.uint8, (j - i) * width).reshape(-1, width)
+        count = np.concatenate([_from_planes(raw, n * width, n) for raw, n in zip(parts, sizes.tolist())])
+        _, at = common.distinct_places(key.view(np.uint64).reshape(-1))
+        train, part = np.bincount(at, count), np.bincount(at, count * np.repeat(of_part, sizes))
+        answers = [_planes(train[at[i:j]]) + (_planes(part[at[i:j]]) if both else b"") for i, j, both in zip(ends - sizes, ends, of_part)]
         n = len(parts)
-        single = bucket < buckets
-        totals = [int(train.sum()), int((train > 0).sum()), int((train - part).sum()), int((train > part).sum())] if single else [0] * 4
+        totals = [int(train.sum()), int((train > 0).sum()), int((train - part).sum()), int((train > part).sum())] if bucket < buckets else [0] * 4
         return pa.table(
             [pa.array([bucket] * n, pa.int32()), group.column("block").combine_chunks(), pa.array(answers, pa.binary())] + [pa.array([t] + [0] * (n - 1), pa.int64()) for t in totals],
             ["bucket", "block", "answer", *_TOTALS],
@@ -126,24 +142,28 @@ def _answer(buckets: int):
 _TOTALS = ["n", "v", "n_left", "v_left"]
 
 
-def _looked_up(group: pa.Table, answers: pa.Table, buckets: int):
-    """A block's texts as tokens, with (count in training, count in the deleted part) of words, contexts and pairs."""
+def _looked_up(group: pa.Table, answers: pa.Table, buckets: int, less_part: bool):
+    """A block's texts as tokens, with the counts of words, contexts and pairs in training, less the part's if asked for."""
     batch = group.combine_chunks().to_batches()[0]
     words, pairs, lengths = tokens(common.raw_texts(batch))
     given = dict(zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist()))
     found = []
     for first, keys in ((0, words), (buckets, pairs)):
-        every, at = np.unique(keys, return_inverse=True)
-        counts = np.zeros((2, len(every)), np.int64)
+        every, at = common.distinct_places(keys)
+        counts = np.zeros(len(every), np.int64)
         for b, own in _by_bucket(every, buckets):
-            counts[:, own] = np.frombuffer(given[first + b], "<u4").reshape(2, -1)
-        found.append(counts[:, at])
+            raw, n = given.pop(first + b), len(own)
+            counts[own] = _from_planes(raw, 0, n)
+            if less_part:
+                counts[own] -= _from_planes(raw, 4 * n, n)
+        found.append(counts[at])
         if not first:
             # every text ends once, and its first word follows the start
-            ends = counts[:, np.searchsorted(every, END)]
-    context = np.concatenate([ends[:, None], found[0][:, :-1]], 1)
-    context[:, keys_start(lengths)] = ends[:, None]
-    return batch, lengths, found[0], context, found[1]
+            ends = counts[np.searchsorted(every, END)]
+    word, pair = found
+    context = np.concatenate([[ends], word[:-1]])
+    context[keys_start(lengths)] = ends
+    return batch, lengths, word, context, pair
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -195,43 +215,43 @@ def score(docs: DataFrame, training: Column, part: Column) -> DataFrame:
     spark = docs.sparkSession
     store = common.Scratch(spark, "lm")
     blocks = common.partitions(spark)
-    buckets = 2 * blocks
+    of_part, buckets = -(-blocks // 4), max(4, blocks // 2)
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), "text",
         F.coalesce(training, F.lit(False)).alias("train"), F.coalesce(training & part, F.lit(False)).alias("part"),
-    ).withColumn("block", F.when(F.col("part"), F.col("block") + blocks).otherwise(F.col("block")))
-    asked = rows.groupBy("block").applyInArrow(_request(buckets), "bucket int, block int, part binary")
+    ).withColumn("block", F.when(F.col("part"), F.col("block") % of_part + blocks).otherwise(F.col("block")))
+    asked = rows.groupBy("block").applyInArrow(_request(buckets), "bucket int, block int, n int, part binary")
     totals = ", ".join(f"{t} long" for t in _TOTALS)
-    answers = store.write(asked.groupBy("bucket").applyInArrow(_answer(buckets), f"bucket int, block int, answer binary, {totals}"), "answers")
+    answers = store.write(asked.groupBy("bucket").applyInArrow(_answer(buckets, blocks), f"bucket int, block int, answer binary, {totals}"), "answers")
     n, v, n_left, v_left = (x or 0 for x in answers.agg(*(F.sum(t) for t in _TOTALS)).first())
 
     def histogram(group: pa.Table, replies: pa.Table) -> pa.Table:
         cells = np.empty((0, 3), np.int64)
         count = np.empty(0, np.int64)
         if group.num_rows:
-            _, _, word, context, pair = _looked_up(group, replies, buckets)
-            left = [x[0] - x[1] for x in (word, context, pair)]
-            p2, p1 = _estimates(*left, n_left)
-            cells, count = np.unique(np.stack([context_bucket(left[1]), _step(p2), _step(p1)], 1), axis=0, return_counts=True)
+            _, _, word, context, pair = _looked_up(group, replies, buckets, True)
+            p2, p1 = _estimates(word, context, pair, n_left)
+            code, count = np.unique((context_bucket(context) << 32) + (_step(p2) + 1 << 16) + _step(p1) + 1, return_counts=True)
+            cells = np.stack([code >> 32, (code >> 16 & 0xFFFF) - 1, (code & 0xFFFF) - 1], 1)
         return pa.table([*(pa.array(cells[:, i]) for i in range(3)), pa.array(count)], ["context", "pair", "word", "n"])
 
     # Documents of the part have blocks of their own, so only these are read here.
-    of_part = rows.where("part").groupBy("block").cogroup(answers.where(F.col("block") >= blocks).select("bucket", "block", "answer").groupBy("block"))
-    found = of_part.applyInArrow(histogram, "context long, pair long, word long, n long").groupBy("context", "pair", "word").agg(F.sum("n").alias("n")).collect()
+    seen = rows.where("part").groupBy("block").cogroup(answers.where(F.col("block") >= blocks).select("bucket", "block", "answer").groupBy("block"))
+    found = seen.applyInArrow(histogram, "context long, pair long, word long, n long").groupBy("context", "pair", "word").agg(F.sum("n").alias("n")).collect()
     weights = learn(np.array([tuple(r) for r in found], np.int64).reshape(-1, 4), v_left)
     spread = np.log10(n + 0.5 * (v + 1))
 
     def run(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], _NAMES)
-        batch, lengths, word, context, pair = _looked_up(group, replies, buckets)
-        p2, p1 = _estimates(word[0], context[0], pair[0], n)
-        w = weights[context_bucket(context[0])]
-        p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1) + w[:, 3] * (word[0] == 0)
+        batch, lengths, word, context, pair = _looked_up(group, replies, buckets, False)
+        p2, p1 = _estimates(word, context, pair, n)
+        w = weights[context_bucket(context)]
+        p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1) + w[:, 3] * (word == 0)
         starts = keys_start(lengths)
         add = lambda x: np.add.reduceat(x, starts)
-        base = add(np.log10(word[0] + 0.5)) - lengths * spread
-        columns = [batch.column("doc_id"), pa.array(lengths), pa.array(add((word[0] > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(add(np.log10(np.maximum(p, 1e-300))))]
+        base = add(np.log10(word + 0.5)) - lengths * spread
+        columns = [batch.column("doc_id"), pa.array(lengths), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(add(np.log10(np.maximum(p, 1e-300))))]
         return pa.table(columns, _NAMES)
 
     return rows.groupBy("block").cogroup(answers.select("bucket", "block", "answer").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
