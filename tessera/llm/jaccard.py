@@ -14,7 +14,9 @@ Distributed, it runs in two steps.
    and in each bucket documents that meet in a list become candidates, unless
    their sizes and places in the order rule the similarity out.
    How common an n-gram is comes from a hashed counter table of fixed size over
-   all documents.  The order need not be exact, only the same for all.
+   all documents.  Tasks count what they see more than once among a few million
+   n-grams, so the many rare ones leave no noise in the table.  The order need
+   not be exact, only the same for all.
 2. *Merge and probe.*  For each query document and all its candidates,
    ``divide_skip`` finds those that reach the threshold, on whole sets.
 
@@ -51,24 +53,11 @@ from . import common
 
 #: Odd multipliers for the places of an n-gram, from a fixed seed.
 _PLACES = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_SKETCH_BITS, _CHUNKS = 22, 64
+_SKETCH_BITS, _CHUNKS, _WINDOW = 22, 64, 1 << 22
 _FILTER_BITS = 26
 _BASE = 1.06  # sizes are sent as logarithms to this base
 
 
-class _Words(dict):
-    """Word to 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A fixed permutation of 64-bit numbers that spreads their bits."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -78,17 +67,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(raw: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams."""
-    words = common.words_of(raw)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    if len(words) < n:
-        return mix((h * _PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
+    h = common.word_hashes(raw)
+    if len(h) < n:
+        return mix((h * _PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h))) if len(h) else h
     size = len(h) - n + 1
     total = h[:size] * _PLACES[0]
     for i in range(1, n):
         total += h[i : i + size] * _PLACES[i]
-    return np.unique(mix(total))
+    return common.distinct(mix(total))
 
 
 def class_key(found: np.ndarray) -> int:
@@ -128,20 +114,28 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.zeros(1 << _SKETCH_BITS, np.uint32)
             held: list[np.ndarray] = []
+
+            def count() -> None:
+                keys = np.sort(np.concatenate(held))
+                twin = keys[1:] == keys[:-1]
+                again = keys[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
+                np.add.at(table, (again >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), 1)
+                held.clear()
+
             for batch in batches:
-                found = [shingles(t, n) for t in common.raw_texts(batch)]
-                held = [np.concatenate([*held, *found])]
-                if held[0].size > 1 << 21:
-                    table += np.bincount((held.pop() >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), minlength=table.size).astype(np.uint32)
+                found = [shingles(t, n) for t in common.raw_texts(batch, "text")]
+                held += found
+                if sum(map(len, held)) > _WINDOW:
+                    count()
                 k = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([class_key(f) for f in found], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], _SIZE_NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([class_key(f) for f in found], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], _SIZE_NAMES)
             if held:
-                table += np.bincount((held.pop() >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), minlength=table.size).astype(np.uint32)
+                count()
             if table.any():
                 parts = [zlib.compress(p.tobytes(), 1) for p in np.split(table, _CHUNKS)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, t) for t in (pa.int64(),) * 3] + [pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], _SIZE_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, t) for t in (pa.int64(),) * 4] + [pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], _SIZE_NAMES)
 
-        return docs.mapInArrow(run, "doc_id long, n_shingles long, key long, chunk int, part binary")
+        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, key long, chunk int, part binary")
 
     def _order(self, sizes: DataFrame) -> np.ndarray:
         """Class of commonness by hashed counter, as bytes: a table of fixed size, whatever the input."""
@@ -157,7 +151,7 @@ class Join:
         for row in rows:
             counts[row["chunk"]] = np.frombuffer(row["part"], np.uint64)
         counts = counts.reshape(-1)
-        # Up to twice the mean is what unrelated n-grams add up to by chance; beyond it, eight steps for each doubling.
+        # Up to twice the mean is what unrelated n-grams may add up to by chance; beyond it, eight steps for each doubling.
         return np.minimum(255, 8 * np.log2(np.maximum(counts / (2 * counts.mean() + 1), 1))).astype(np.uint8)
 
     def _postings(self, docs: DataFrame, order, buckets: int) -> DataFrame:
@@ -275,11 +269,13 @@ class Join:
 
     # --- verification ----------------------------------------------------------
 
-    def _verified(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    def _verified(self, docs: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, on whole sets."""
         spark, n, join = docs.sparkSession, self.n, self
-        bits = pairs.select(F.explode(F.array("a", "b")).alias("key")).select((F.pmod("key", F.lit(1 << _FILTER_BITS)) + 1).alias("p"))
-        # A bitmap of fixed size tells which sets are needed; its false alarms cost time only.
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        chosen = sizes.where("chunk is null").join(keys, "key").groupBy("key").agg(F.min("text_key").alias("text_key"))
+        bits = chosen.select((F.pmod("text_key", F.lit(1 << _FILTER_BITS)) + 1).alias("p"))
+        # A bitmap of fixed size tells which texts' sets are needed, one of each class; its false alarms cost time only.
         rows = bits.groupBy(F.bitmap_bucket_number("p").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
         bitmap = np.zeros(((1 << _FILTER_BITS) // 32768, 4096), np.uint8)
         for row in rows:
@@ -290,11 +286,12 @@ class Join:
             table, sent = wanted.value, set()
             for batch in batches:
                 keys, found = [], []
-                for raw in common.raw_texts(batch):
+                at = np.mod(batch.column(0).to_numpy(), 1 << _FILTER_BITS)
+                needed = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                for raw in common.raw_texts(needed):
                     own = shingles(raw, n)
                     key = class_key(own)
-                    at = key % (1 << _FILTER_BITS)
-                    if table[at >> 3] >> (at & 7) & 1 and key not in sent:
+                    if key not in sent:
                         if len(sent) > 500_000:
                             sent.clear()
                         sent.add(key)
@@ -313,7 +310,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
         common.small_batches(spark, 500)
-        own = docs.mapInArrow(sets, "key long, own binary").dropDuplicates(["key"])
+        own = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(sets, "key long, own binary").dropDuplicates(["key"])
         first = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a")
         both = first.join(own.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
         return both.select("a", "b", "own_a", "own_b").mapInArrow(probe, "a long, b long")
@@ -346,11 +343,11 @@ class Join:
         order = spark.sparkContext.broadcast(self._order(sizes))
         met = store.write(self._meet(self._postings(texts, order, 2 * common.partitions(spark))), "met")
         pairs = met.where("a is not null").select("a", "b").distinct()
-        links = store.write(self._verified(texts, store.write(pairs, "pairs")), "links")
+        links = store.write(self._verified(texts, sizes, store.write(pairs, "pairs")), "links")
         members = met.where("list is not null")
         if not members.isEmpty():
             apart = store.write(self._apart(members, stars(links, "a", "b")), "apart")
-            links = links.unionAll(store.write(self._verified(texts, apart), "more"))
+            links = links.unionAll(store.write(self._verified(texts, sizes, apart), "more"))
         label = stars(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("label"))
         of = sizes.where("chunk is null").select("doc_id", "n_shingles", "key")
         # Documents without words have one key; their rows must not meet.
@@ -361,7 +358,7 @@ class Join:
         return linked.unionAll(of.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-_SIZE_NAMES = ["doc_id", "n_shingles", "key", "chunk", "part"]
+_SIZE_NAMES = ["doc_id", "text_key", "n_shingles", "key", "chunk", "part"]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
