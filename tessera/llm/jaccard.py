@@ -10,22 +10,22 @@ Distributed, it runs in two steps.
 
 1. *Divide.*  N-grams are ordered by how common they are, so that a document's
    first x - num x / den + 1 n-grams are its short lists; a partner shares at least
-   one of them.  Only these go to the exchange, packed per bucket of n-grams,
-   and in each bucket documents that meet in a list become candidates, unless
-   their sizes and places in the order rule the similarity out.
+   one of them.  Only these go to the exchange, packed per bucket of n-grams.  In
+   each bucket, documents that meet in a list are joined, unless their sizes and
+   places in the order rule the similarity out.  A bucket returns a spanning
+   forest, never pairs, and connected candidates form *groups*: every pair that
+   may link lies within one.
    How common an n-gram is comes from a hashed counter table of fixed size over
    all documents.  Tasks count what they see more than once among a few million
    n-grams, so the many rare ones leave no noise in the table.  The order need
    not be exact, only the same for all.
-2. *Merge and probe.*  For each query document and all its candidates,
-   ``divide_skip`` finds those that reach the threshold, on whole sets.
+2. *Merge and probe.*  The sets of a group meet in one task, or, if there are more
+   than ``block``, in tasks for each pair of blocks.  There ``divide_skip`` merges
+   a query's short lists with a heap and probes the long ones, on whole sets.
 
 Copies: documents with the same set form one class from the start, and a task
-sends a class once, so groups of copies cost nothing.  A list with more than
-``hot`` classes isn't expanded into pairs: first each member is compared with the
-list's leader; after the components of those links are known, only members of
-different components are compared, in blocks.  No pair between different
-components is left out, so components are exact.
+sends a class once, so groups of copies cost nothing.  Lists with more than
+``hot`` classes are joined in order of size, without looking at pairs.
 
 Sets hold 64-bit hashes of n-grams, and classes are known by 64-bit hashes.
 
@@ -186,103 +186,61 @@ class Join:
 
         return docs.mapInArrow(run, common.Packer.schema)
 
-    # --- candidates ----------------------------------------------------------
+    # --- candidate groups ------------------------------------------------------
 
     def _meet(self, postings: DataFrame) -> DataFrame:
-        """Per bucket: candidate pairs (a, b), a > b; for hot lists pairs with the leader, and their members (list, blocks, key, size, place)."""
+        """(bucket, a, b): per bucket a spanning forest of the classes that meet in a list and may link."""
         join = self
 
         def run(group: pa.Table) -> pa.Table:
-            bucket = group.column("bucket")[0].as_py()
             h, key, size, place = common.unpack((p.as_py() for p in group.column("part")), "<u4", "<i8", "<u2", "u1")
-            order = np.lexsort((key, h))
+            order = np.lexsort((size, key, h))
             h, key, size, place = h[order], key[order], size[order], place[order]
-            if h.size:
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
-                h, key, size, place = h[new], key[new], size[new], place[new]
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if h.size else np.empty(0, np.int64)
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
+            h, key, size, place = h[new], key[new], size[new], place[new]
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             lengths = np.diff(np.concatenate([starts, [h.size]]))
-            pairs: list[np.ndarray] = []
+            made = [np.empty((0, 2), np.int64)]
             for m in np.unique(lengths[(lengths > 1) & (lengths <= join.hot)]).tolist():
                 rows = starts[lengths == m]
                 i, j = np.triu_indices(m, 1)
                 for part in np.array_split(rows, max(1, len(rows) * len(i) >> 21)):
                     a, b = (part[:, None] + i).reshape(-1), (part[:, None] + j).reshape(-1)
                     ok = join.may_link(size[a], place[a], size[b], place[b])
-                    pairs.append(_pairs(key[a[ok]], key[b[ok]]))
-            hot: list[tuple] = []
+                    made.append(_pairs(key[a[ok]], key[b[ok]]))
             for at, m in zip(starts[lengths > join.hot].tolist(), lengths[lengths > join.hot].tolist()):
-                part = slice(at, at + m)
-                pairs.append(join._leaders(key[part], size[part], place[part]))
-                block = np.arange(m) // join.block
-                blocks = int(block[-1]) + 1
-                name = (bucket << 32) + int(h[at])
-                for i in range(blocks):
-                    for j in range(i, blocks):
-                        rows = np.arange(at, at + m)[(block == i) | (block == j)]
-                        hot.append((name, i * blocks + j, rows, i != j))
-            found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-            k = len(found)
-            members = np.concatenate([r for _, _, r, _ in hot]) if hot else np.empty(0, np.int64)
-            spread = lambda values, t: np.repeat(np.array(values, t), [len(r) for _, _, r, _ in hot]) if hot else np.empty(0, t)
-            gap = lambda t: pa.nulls(k, t)
-            blank = lambda t: pa.nulls(len(members), t)
-            columns = [
-                (pa.array(found[:, 0]), blank(pa.int64())), (pa.array(found[:, 1]), blank(pa.int64())),
-                (gap(pa.int64()), pa.array(spread([x[0] for x in hot], np.int64))), (gap(pa.int32()), pa.array(spread([x[1] for x in hot], np.int32))),
-                (gap(pa.int64()), pa.array(key[members])), (gap(pa.int32()), pa.array(size[members].astype(np.int32))), (gap(pa.int32()), pa.array(place[members].astype(np.int32))),
-            ]
-            return pa.table([pa.chunked_array(c) for c in columns], ["a", "b", "list", "blocks", "key", "size", "place"])
-
-        return postings.groupBy("bucket").applyInArrow(run, "a long, b long, list long, blocks int, key long, size int, place int")
-
-    def _leaders(self, key: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Each member of a hot list with the smallest class that it may link with; classes left over have a leader among themselves."""
-        made, rest = [], np.argsort(key)
-        while rest.size > 1:
-            first, others = rest[0], rest[1:]
-            ok = self.may_link(size[others], place[others], size[first], place[first])
-            made.append(_pairs(key[others[ok]], np.full(int(ok.sum()), key[first])))
-            if not ok.any() and len(made) > 64:
-                break  # pairs beyond leaders are compared later in any case
-            rest = others[~ok]
-        return np.concatenate(made) if made else np.empty((0, 2), np.int64)
-
-    def _apart(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidate pairs of hot lists whose classes are in different components so far."""
-        join = self
+                # in order of size, whatever may link is joined through what lies between
+                own = at + np.argsort(size[at : at + m], kind="stable")
+                ok = join.may_link(size[own[1:]], np.zeros(m - 1), size[own[:-1]], np.zeros(m - 1))
+                made.append(_pairs(key[own[1:]][ok], key[own[:-1]][ok]))
+            return _table(_forest(np.concatenate(made)), bucket=group.column("bucket")[0].as_py())
+
+        return postings.groupBy("bucket").applyInArrow(run, "bucket int, a long, b long")
+
+    @staticmethod
+    def _merged(edges: DataFrame, many: int = 8) -> DataFrame:
+        """Forests of several buckets as one: what they share is sent on once."""
 
         def run(group: pa.Table) -> pa.Table:
-            key, size, place, label = (group.column(c).to_numpy() for c in ("key", "size", "place", "label"))
-            pairs = []
-            if (label != label[0]).any():
-                for i in range(0, len(key), 256):
-                    a, b = np.nonzero((label[i : i + 256, None] != label) & (key[i : i + 256, None] > key))
-                    a += i
-                    ok = join.may_link(size[a], place[a], size[b], place[b])
-                    pairs.append(_pairs(key[a[ok]], key[b[ok]]))
-            found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-            return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            return _table(_forest(np.stack([group.column("a").to_numpy(), group.column("b").to_numpy()], 1))).drop_columns(["bucket"])
 
-        labelled = members.join(labels.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left").select("list", "blocks", "key", "size", "place", F.coalesce("label", "key").alias("label"))
-        return labelled.groupBy("list", "blocks").applyInArrow(run, "a long, b long").distinct()
+        return edges.withColumn("bucket", F.floor(F.col("bucket") / many).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long")
 
-    # --- verification ----------------------------------------------------------
+    # --- search in groups --------------------------------------------------------
 
-    def _verified(self, docs: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, on whole sets."""
-        spark, n, join = docs.sparkSession, self.n, self
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        chosen = sizes.where("chunk is null").join(keys, "key").groupBy("key").agg(F.min("text_key").alias("text_key"))
+    def _sets(self, texts: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
+        """(key, own): sets of member classes, each from one of its texts; a class may come from several tasks."""
+        n = self.n
+        chosen = sizes.where("chunk is null").join(members.select("key"), "key").groupBy("key").agg(F.min("text_key").alias("text_key"))
         bits = chosen.select((F.pmod("text_key", F.lit(1 << _FILTER_BITS)) + 1).alias("p"))
-        # A bitmap of fixed size tells which texts' sets are needed, one of each class; its false alarms cost time only.
+        # A bitmap of fixed size tells which texts are needed; its false alarms cost time only.
         rows = bits.groupBy(F.bitmap_bucket_number("p").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
         bitmap = np.zeros(((1 << _FILTER_BITS) // 32768, 4096), np.uint8)
         for row in rows:
             bitmap[row["i"] - 1] = np.frombuffer(row["bits"], np.uint8)
-        wanted = spark.sparkContext.broadcast(bitmap.reshape(-1))
+        wanted = texts.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, sent = wanted.value, set()
             for batch in batches:
                 keys, found = [], []
@@ -299,36 +257,71 @@ class Join:
                         found.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "own"])
 
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                edges = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]]).tolist() if len(b) else [0]
-                keep: list[int] = []
-                for i, j in zip(edges, edges[1:]):
-                    query = np.frombuffer(batch.column(3)[i].as_py(), np.uint64)
-                    keep += [i + k for k in join.search(query, [np.frombuffer(batch.column(2)[k].as_py(), np.uint64) for k in range(i, j)])]
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-        common.small_batches(spark, 500)
-        own = docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(sets, "key long, own binary").dropDuplicates(["key"])
-        first = pairs.join(own.select(F.col("key").alias("a"), F.col("own").alias("own_a")), "a")
-        both = first.join(own.select(F.col("key").alias("b"), F.col("own").alias("own_b")), "b")
-        return both.select("a", "b", "own_a", "own_b").mapInArrow(probe, "a long, b long")
-
-    def search(self, query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
-        """Candidates (by number) that link with the query; all are sorted sets."""
-        owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-        every = np.concatenate(candidates)
-        at = np.searchsorted(query, every)
-        hit = query[np.minimum(at, len(query) - 1)] == every
-        at, owner = at[hit], owner[hit]
-        order = np.lexsort((owner, at))
-        ends = np.searchsorted(at[order], np.arange(len(query) + 1)).tolist()
-        owner = owner[order].tolist()
-        lists = [owner[i:j] for i, j in zip(ends, ends[1:]) if j > i]
-        needed = [int(self.needed(len(query), len(c))) for c in candidates]
-        overlap = divide_skip(lists, min(needed))
-        return [i for i, n in sorted(overlap.items()) if self.den * n >= self.num * (len(query) + len(candidates[i]) - n)]
+        return texts.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, own binary")
+
+    def _search(self, texts: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
+        """(whole, key, label): the smallest linked class of each member's component in its task; whole: the task held all of the group.
+
+        Groups with more than ``block`` members are searched by pairs of blocks.
+        """
+        counts = members.groupBy("group").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
+        placed = members.join(counts, "group").withColumn("o", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        joined = self._sets(texts, sizes, members).join(placed, "key")
+        pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+            F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("o")) | (F.col("blocks") == 1)), lambda x: F.struct(F.least("o", x).alias("i"), F.greatest("o", x).alias("j")))
+        )
+        dealt = joined.select("group", F.explode(pairs).alias("p"), (F.col("blocks") == 1).alias("whole"), "key", "own").select("group", "p.i", "p.j", "whole", "key", "own")
+        join = self
+
+        def run(group: pa.Table) -> pa.Table:
+            key, first = np.unique(group.column("key").to_numpy(), return_index=True)
+            own = group.column("own")
+            label = join.labels([np.frombuffer(own[i].as_py(), np.uint64) for i in first.tolist()])
+            return pa.table([pa.array([group.column("whole")[0].as_py()] * len(key)), pa.array(key), pa.array(key[label])], ["whole", "key", "label"])
+
+        return dealt.groupBy("group", "i", "j").applyInArrow(run, "whole boolean, key long, label long")
+
+    def labels(self, sets: list[np.ndarray]) -> list[int]:
+        """For each set the first one of its component.
+
+        The set that shares most with the others is the first query.  Sets that
+        belong to its component when their turn comes need no query of their own:
+        two such sets are connected, and any other pair has a query.
+        """
+        n = len(sets)
+        root = list(range(n))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(n), sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        lengths = np.diff(np.concatenate([starts, [len(every)]]))
+        heads = every[starts]
+        shared = np.bincount(owner, np.repeat(lengths, lengths), minlength=n)
+        queries = sorted(range(n), key=lambda k: (-shared[k], k))
+        for k in queries:
+            if k != queries[0] and find(k) == find(queries[0]):
+                continue
+            at = np.searchsorted(heads, sets[k])
+            at = at[lengths[at] > 1]
+            # smaller partners than this can't reach the threshold, so this is the least overlap that any needs
+            least = int(self.needed(len(sets[k]), -(-self.num * len(sets[k]) // self.den)))
+            if len(at) < least:
+                continue
+            lists = [owner[i : i + m].tolist() for i, m in zip(starts[at].tolist(), lengths[at].tolist())]
+            for other, common_grams in divide_skip(lists, least).items():
+                if self.den * common_grams >= self.num * (int(sizes[k]) + int(sizes[other]) - common_grams):
+                    a, b = find(k), find(other)
+                    root[max(a, b)] = min(a, b)
+        return [find(k) for k in range(n)]
 
     # --- the whole join ----------------------------------------------------------
 
@@ -341,14 +334,14 @@ class Join:
         texts = docs.select("text")
         sizes = store.write(self._sizes(docs), "sizes")
         order = spark.sparkContext.broadcast(self._order(sizes))
-        met = store.write(self._meet(self._postings(texts, order, 2 * common.partitions(spark))), "met")
-        pairs = met.where("a is not null").select("a", "b").distinct()
-        links = store.write(self._verified(texts, sizes, store.write(pairs, "pairs")), "links")
-        members = met.where("list is not null")
-        if not members.isEmpty():
-            apart = store.write(self._apart(members, stars(links, "a", "b")), "apart")
-            links = links.unionAll(store.write(self._verified(texts, sizes, apart), "more"))
-        label = stars(links, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("label"))
+        met = self._merged(self._meet(self._postings(texts, order, max(8, common.partitions(spark) // 4))))
+        members = stars(store.write(met, "met"), "a", "b").select(F.col("node").alias("key"), F.col("component").alias("group"))
+        members = store.write(members.unionAll(members.select(F.col("group").alias("key"), "group").distinct()), "members")
+        searched = store.write(self._search(texts, sizes, members), "searched")
+        label = searched.where("whole and key <> label").select("key", "label")
+        parts = searched.where("not whole and key <> label")
+        if not parts.isEmpty():
+            label = label.unionAll(stars(parts, "key", "label").select(F.col("node").alias("key"), F.col("component").alias("label")))
         of = sizes.where("chunk is null").select("doc_id", "n_shingles", "key")
         # Documents without words have one key; their rows must not meet.
         named = of.where("n_shingles > 0").join(label, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label"))
@@ -358,6 +351,31 @@ class Join:
         return linked.unionAll(of.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _forest(edges: np.ndarray) -> np.ndarray:
+    """A spanning forest of edges as stars: each node but the smallest of its component, with that one."""
+    edges = np.unique(edges, axis=0)
+    nodes, at = np.unique(edges, return_inverse=True)
+    root = list(range(len(nodes)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in at.reshape(-1, 2).tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    top = np.array([find(k) for k in range(len(nodes))], np.int64)
+    keep = np.flatnonzero(top != np.arange(len(nodes)))
+    return np.stack([nodes[keep], nodes[top[keep]]], 1)
+
+
+def _table(edges: np.ndarray, bucket: int = 0) -> pa.Table:
+    return pa.table([pa.array([bucket] * len(edges), pa.int32()), pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], ["bucket", "a", "b"])
+
+
 _SIZE_NAMES = ["doc_id", "text_key", "n_shingles", "key", "chunk", "part"]
 
 
