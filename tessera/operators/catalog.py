@@ -131,7 +131,7 @@ def nearest_target(options: DataFrame, n: str, order: str, target: int) -> DataF
 
 def signed_name(value: Column) -> Column:
     """A signed decimal as a part of a file name: ``minus`` or ``plus``, then digits with ``dot``."""
-    return F.concat(F.when(value < 0, "minus").otherwise("plus"), F.regexp_replace(F.format_number(F.abs(value), "0.0000"), r"\.", "dot"))
+    return F.concat(F.when(value < 0, "minus").otherwise("plus"), F.regexp_replace(F.format_string("%.4f", F.abs(value)), r"\.", "dot"))
 
 
 def signed_value(name: Column) -> Column:

@@ -43,7 +43,11 @@ def patch_vectors(pixels: DataFrame, grid: DataFrame, w: int, band_columns: list
     found = patches(pixels, grid, w)
     cells = F.array_sort(F.collect_list(F.struct("dy", "dx", *band_columns)))
     rows = found.groupBy("gx", "gy").agg(cells.alias("c"))
-    return rows.select("gx", "gy", F.size("c").alias("n"), *(F.transform("c", lambda c, b=b: c[b].cast("double")).alias(b) for b in band_columns))
+    return rows.select("gx", "gy", F.size("c").alias("n"), *(F.transform("c", _field(b)).alias(b) for b in band_columns))
+
+
+def _field(name: str):
+    return lambda cell: cell[name].cast("double")
 
 
 def accepted(patch_rows: DataFrame, w: int, thresholds: dict[str, float], filled: float = 0.8) -> DataFrame:
