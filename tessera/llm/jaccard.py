@@ -84,7 +84,7 @@ def class_key(found: np.ndarray) -> int:
 class Join:
     """The join for n-grams of n words and a similarity of num/den."""
 
-    def __init__(self, n: int = 5, num: int = 75, den: int = 100, hot: int = 48, block: int = 4096):
+    def __init__(self, n: int = 5, num: int = 75, den: int = 100, hot: int = 48, block: int = 1024):
         self.n, self.num, self.den, self.hot, self.block = n, num, den, hot, block
 
     # --- sizes and bounds -------------------------------------------------
@@ -298,13 +298,14 @@ class Join:
             return k
 
         sizes = np.array([len(s) for s in sets])
-        owner = np.repeat(np.arange(n), sizes)
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
+        every, owner = every[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(every)]]))
         heads = every[starts]
+        del every
         shared = np.bincount(owner, np.repeat(lengths, lengths), minlength=n)
         queries = sorted(range(n), key=lambda k: (-shared[k], k))
         for k in queries:
