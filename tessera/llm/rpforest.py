@@ -91,7 +91,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    def __init__(self, threshold: float = 0.93, trees: int = 8, leaf: int = 400, spill: float = 0.5, sample: int = 20_000, block: int = 2048, seed: int = 11):
+    def __init__(self, threshold: float = 0.93, trees: int = 5, leaf: int = 256, spill: float = 0.35, sample: int = 20_000, block: int = 2048, seed: int = 11):
         self.threshold, self.trees, self.leaf, self.spill, self.sample, self.block, self.seed = threshold, trees, leaf, spill, sample, block, seed
 
     def width(self, dim: int) -> float:
