@@ -24,8 +24,8 @@ Distributed, it runs in two steps.
    a query's short lists with a heap and probes the long ones, on whole sets.
 
 Copies: documents with the same set form one class from the start, and a task
-sends a class once, so groups of copies cost nothing.  Lists with more than
-``hot`` classes are joined in order of size, without looking at pairs.
+sends a class once, so groups of copies cost nothing.  In lists with more than ``hot``
+classes, pairs of distinct sizes and places are looked at instead of pairs of classes.
 
 Sets hold 64-bit hashes of n-grams, and classes are known by 64-bit hashes.
 
@@ -209,14 +209,32 @@ class Join:
                     ok = join.may_link(size[a], place[a], size[b], place[b])
                     made.append(_pairs(key[a[ok]], key[b[ok]]))
             for at, m in zip(starts[lengths > join.hot].tolist(), lengths[lengths > join.hot].tolist()):
-                # in order of size, whatever may link is joined through what lies between
-                own = at + np.argsort(size[at : at + m], kind="stable")
-                ok = join.may_link(size[own[1:]], np.zeros(m - 1), size[own[:-1]], np.zeros(m - 1))
-                made.append(_pairs(key[own[1:]][ok], key[own[:-1]][ok]))
+                made.append(join._joined(key[at : at + m], size[at : at + m], place[at : at + m]))
             return _table(_forest(np.concatenate(made)), bucket=group.column("bucket")[0].as_py())
 
         return postings.groupBy("bucket").applyInArrow(run, "bucket int, a long, b long")
 
+    def _joined(self, key: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Edges that connect the same classes of a list as all its pairs that may link would.
+
+        Whether two classes may link depends on their sizes and places only, so
+        pairs of distinct (size, place) are looked at, however long the list is.
+        """
+        cells, first, cell = np.unique(size.astype(np.int64) << 8 | place, return_index=True, return_inverse=True)
+        partner = np.full(len(cells), -1)
+        made = []
+        for i in range(0, len(cells), 256):
+            a, b = np.divmod(np.arange(min(256, len(cells) - i) * len(cells)), len(cells))
+            a += i
+            ok = self.may_link(cells[a] >> 8, cells[a] & 255, cells[b] >> 8, cells[b] & 255)
+            a, b = a[ok], b[ok]
+            partner[a] = b
+            made.append(_pairs(key[first[a]], key[first[b]]))
+        some = partner[cell] >= 0
+        made.append(_pairs(key[some], key[first[partner[cell[some]]]]))
+        edges = np.concatenate(made)
+        return edges[edges[:, 0] != edges[:, 1]]
+
     @staticmethod
     def _merged(edges: DataFrame, many: int = 8) -> DataFrame:
         """Forests of several buckets as one: what they share is sent on once."""
