@@ -42,7 +42,7 @@ END, START = np.uint64(1), np.uint64(2)  # keys of the end token and of the cont
 _END = np.array([END])
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CONTEXTS = 33  # buckets of log2 of a context's count
-_FINE = 3  # histogram steps for each doubling of a probability
+_FINE = 2  # histogram steps for each doubling of a probability
 
 
 def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def score(docs: DataFrame, training: Column, part: Column) -> DataFrame:
     spark = docs.sparkSession
     store = common.Scratch(spark, "lm")
     blocks = common.partitions(spark)
-    of_part, buckets = -(-blocks // 12), max(4, blocks // 2)
+    of_part, buckets = -(-blocks // 6), max(4, blocks // 2)
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), "text",
         F.coalesce(training, F.lit(False)).alias("train"), F.coalesce(training & part, F.lit(False)).alias("part"),
