@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalogue_queries, registry, vector_queries  # noqa: F401
+from tessera.plans import catalogue_queries, pipeline_queries, registry, vector_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 NAMES = ["nn_assign", "dist_pspearson", "partial_stats_merge", "tfidf", "kmeans_lloyd", "dbscan", "hac_cut", "sigma_clip", "patch_accept", "object_catalogue", "level_merge", "sky_match", "group_topk", "manifest_join"]
@@ -36,4 +36,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql_or_a_reason():
     without = set(registry.QUERIES) - set(registry.SQL)
-    assert without == {"power_spectrum", "pca_variance", "hac_merges", "gng_fit", "gng_components"}
+    assert without == {"power_spectrum", "pca_variance", "hac_merges", "gng_fit", "gng_components", "image_pipeline"}
