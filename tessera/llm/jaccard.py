@@ -19,6 +19,8 @@ Distributed, it runs in two steps.
    all documents.  Tasks count what they see more than once among a few million
    n-grams, so the many rare ones leave no noise in the table.  The order need
    not be exact, only the same for all.
+   Groups with more than ``block`` members are first taken apart by signatures
+   a sixteenth as large as their sets, which bound overlaps from above.
 2. *Merge and probe.*  The sets of a group meet in one task, or, if there are more
    than ``block``, in tasks for each pair of blocks.  There ``divide_skip`` merges
    a query's short lists with a heap and probes the long ones, on whole sets.
@@ -77,6 +79,12 @@ def shingles(raw: bytes, n: int) -> np.ndarray:
     return common.distinct(mix(total))
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by cells, a fourth as many as there are hashes, rounded up to a power of two; at least 64."""
+    bits = max(6, (max(1, len(found) // 4) - 1).bit_length())
+    return np.bincount((mix(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
 def class_key(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
@@ -246,8 +254,8 @@ class Join:
 
     # --- search in groups --------------------------------------------------------
 
-    def _sets(self, texts: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
-        """(key, own): sets of member classes, each from one of its texts; a class may come from several tasks."""
+    def _sets(self, texts: DataFrame, sizes: DataFrame, members: DataFrame, form=lambda own: own) -> DataFrame:
+        """(key, own): sets of member classes, or what ``form`` makes of them, each from one of its texts; a class may come from several tasks."""
         n = self.n
         chosen = sizes.where("chunk is null").join(members.select("key"), "key").groupBy("key").agg(F.min("text_key").alias("text_key"))
         bits = chosen.select((F.pmod("text_key", F.lit(1 << _FILTER_BITS)) + 1).alias("p"))
@@ -272,23 +280,64 @@ class Join:
                             sent.clear()
                         sent.add(key)
                         keys.append(key)
-                        found.append(own.tobytes())
+                        found.append(form(own).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "own"])
 
         return texts.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, own binary")
 
-    def _search(self, texts: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
-        """(whole, key, label): the smallest linked class of each member's component in its task; whole: the task held all of the group.
-
-        Groups with more than ``block`` members are searched by pairs of blocks.
-        """
+    def _dealt(self, own: DataFrame, members: DataFrame) -> DataFrame:
+        """(group, i, j, whole, key, own): members of a group in one task, or of each pair of its blocks; whole: the task has all of the group."""
         counts = members.groupBy("group").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
         placed = members.join(counts, "group").withColumn("o", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        joined = self._sets(texts, sizes, members).join(placed, "key")
-        pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-            F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("o")) | (F.col("blocks") == 1)), lambda x: F.struct(F.least("o", x).alias("i"), F.greatest("o", x).alias("j")))
-        )
-        dealt = joined.select("group", F.explode(pairs).alias("p"), (F.col("blocks") == 1).alias("whole"), "key", "own").select("group", "p.i", "p.j", "whole", "key", "own")
+        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("o")) | (F.col("blocks") == 1))
+        pairs = F.transform(others, lambda x: F.struct(F.least("o", x).alias("i"), F.greatest("o", x).alias("j")))
+        joined = own.join(placed, "key")
+        return joined.select("group", F.explode(pairs).alias("p"), (F.col("blocks") == 1).alias("whole"), "key", "own").select("group", "p.i", "p.j", "whole", "key", "own")
+
+    def _refined(self, texts: DataFrame, sizes: DataFrame, large: DataFrame) -> DataFrame:
+        """(a, b): forests of the members of large groups whose signatures allow the similarity.
+
+        A signature counts a set's n-grams by cells of their hashes.  The sums of
+        smaller counts bound the overlap from above, so every pair that links
+        stays connected, and groups that chance has strung together fall apart.
+        """
+        join = self
+
+        def run(group: pa.Table) -> pa.Table:
+            key, first = np.unique(group.column("key").to_numpy(), return_index=True)
+            own = group.column("own")
+            return _table(_forest(key[join.allowed([np.frombuffer(own[i].as_py(), np.uint16) for i in first.tolist()])])).drop_columns(["bucket"])
+
+        return self._dealt(self._sets(texts, sizes, large, signature), large).groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
+
+    def allowed(self, signatures: list[np.ndarray]) -> np.ndarray:
+        """Pairs (rows) of signatures whose bound reaches the overlap that their sizes need."""
+        n = np.array([int(s.sum()) for s in signatures], np.int64)
+        cells = np.array([len(s) for s in signatures], np.int64)
+        order = np.lexsort((n, cells))
+        made = [np.empty((0, 2), np.int64)]
+        for width in np.unique(cells).tolist():
+            own = order[cells[order] == width]
+            table = np.stack([signatures[k] for k in own.tolist()])
+            # partners have as many cells, or half of them: sizes differ by less than a factor of two
+            half = order[cells[order] == width // 2]
+            half_table = np.stack([signatures[k] for k in half.tolist()]) if half.size else None
+            for at, k in enumerate(own.tolist()):
+                low = -(-self.num * int(n[k]) // self.den)
+                begin = int(np.searchsorted(n[own], low))
+                parts = [(own[begin:at], table[begin:at], table[at])]
+                if half_table is not None and (begin := int(np.searchsorted(n[half], low))) < half.size:
+                    parts.append((half[begin:], half_table[begin:], table[at].reshape(-1, 2).sum(1)))
+                for other, rows, mine in parts:
+                    if other.size:
+                        bound = np.minimum(rows, mine).sum(1, dtype=np.int64)
+                        fit = other[bound >= self.needed(int(n[k]), n[other])]
+                        made.append(np.stack([np.full(len(fit), k), fit], 1))
+        return np.concatenate(made)
+
+    def _search(self, texts: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
+        """(whole, key, label): the first linked class of each member's component in its task."""
+        dealt = self._dealt(self._sets(texts, sizes, members), members)
         join = self
 
         def run(group: pa.Table) -> pa.Table:
@@ -356,6 +405,12 @@ class Join:
         met = self._merged(self._meet(self._postings(texts, order, max(8, common.partitions(spark) // 4))))
         members = stars(store.write(met, "met"), "a", "b").select(F.col("node").alias("key"), F.col("component").alias("group"))
         members = store.write(members.unionAll(members.select(F.col("group").alias("key"), "group").distinct()), "members")
+        large = members.groupBy("group").count().where(F.col("count") > self.block).select("group")
+        if not large.isEmpty():
+            refined = stars(store.write(self._refined(texts, sizes, members.join(large, "group", "left_semi").select("key", "group")), "refined"), "a", "b")
+            refined = refined.select(F.col("node").alias("key"), F.col("component").alias("group"))
+            refined = refined.unionAll(refined.select(F.col("group").alias("key"), "group").distinct())
+            members = store.write(members.join(large, "group", "left_anti").select("key", "group").unionAll(refined), "fewer")
         searched = store.write(self._search(texts, sizes, members), "searched")
         label = searched.where("whole and key <> label").select("key", "label")
         parts = searched.where("not whole and key <> label")
