@@ -361,8 +361,8 @@ def colour_lookup(spark, sf_dir):
 def catalogue_union(spark, sf_dir):
     from ..sources.tables import combined
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("size"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").alias("size"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("size"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.length("text").cast("long").alias("size"))
     return combined({1: docs, 2: items}, ["id", "size"])
 
 
