@@ -53,6 +53,18 @@ TEMPLATES = {
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.\-][a-z0-9\x80-\xff]+)*")
 
 
+_BREAK = bytes(c if c >= 0x80 or chr(c).islower() or chr(c).isdigit() or c in b".-" else 0x20 for c in range(256))
+_JOINTS = re.compile(rb"[.\-]{2}")
+
+
+def distinct_terms(raw: bytes) -> set[bytes]:
+    """The set of ``terms``, found faster: other characters become spaces, and dots and dashes at the ends of a term go."""
+    low = raw.lower()
+    if _JOINTS.search(low):
+        return set(TERM.findall(low))
+    return {t.strip(b".-") for t in set(low.translate(_BREAK).split())}
+
+
 def terms(raw: bytes) -> list[bytes]:
     """Lower-case terms; dots and dashes between letters or digits belong to them."""
     return TERM.findall(raw.lower())
@@ -79,16 +91,15 @@ class Scanner:
             light = np.sqrt(np.cumsum(self.matrix[order, k] ** 2)) < threshold - 1e-9
             anchors |= set(order[~light].tolist())
         names = sorted(self.vocabulary)
-        self.anchors = re.compile(rb"|".join(re.escape(names[i]) for i in sorted(anchors, key=lambda i: (-len(names[i]), i))))
+        self.anchors = frozenset(names[i] for i in anchors)
 
     def scan(self, raw: bytes) -> tuple[str | None, float, int]:
         """Best licence that reaches the threshold, the largest cosine found, and the line where its stretch starts (-1: none compared)."""
-        low = raw.lower()
         best, name, line = 0.0, None, -1
-        if not self.anchors.search(low):
+        if self.anchors.isdisjoint(distinct_terms(raw)):
             return name, best, line
-        lines = low.split(b"\n")
-        marked = [i for i, x in enumerate(lines) if self.anchors.search(x)]
+        lines = raw.lower().split(b"\n")
+        marked = [i for i, x in enumerate(lines) if not self.anchors.isdisjoint(TERM.findall(x))]
         done = set()
         for i in marked:
             for first in range(max(0, i - self.span + 1), i + 1):
@@ -119,17 +130,12 @@ class Scanner:
 def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
     """In how many documents each term of a bounded vocabulary occurs, and the number of documents; tasks send one row each."""
     names = sorted(vocabulary)
-    some = re.compile(rb"(?<![a-z0-9\x80-\xff.\-])(?:" + rb"|".join(re.escape(t) for t in sorted(names, key=len, reverse=True)) + rb")(?![a-z0-9\x80-\xff])")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, found = 0, Counter()
         for batch in batches:
             for raw in common.raw_texts(batch):
                 n += 1
-                low = raw.lower()
-                # the pattern finds more than whole terms; what it finds is looked at closely
-                if some.search(low):
-                    found.update(vocabulary.intersection(TERM.findall(low)))
+                found.update(vocabulary.intersection(distinct_terms(raw)))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([[found[t] for t in names]], pa.list_(pa.int64()))], ["n", "df"])
 
     counted = docs.select("text").mapInArrow(run, "n long, df array<long>")
