@@ -92,8 +92,8 @@ def class_key(found: np.ndarray) -> int:
 class Join:
     """The join for n-grams of n words and a similarity of num/den."""
 
-    def __init__(self, n: int = 5, num: int = 75, den: int = 100, hot: int = 48, block: int = 1024):
-        self.n, self.num, self.den, self.hot, self.block = n, num, den, hot, block
+    def __init__(self, n: int = 5, num: int = 75, den: int = 100, hot: int = 48, block: int = 1024, most_grams: int = 1_500_000):
+        self.n, self.num, self.den, self.hot, self.block, self.most_grams = n, num, den, hot, block, most_grams
 
     # --- sizes and bounds -------------------------------------------------
 
@@ -285,10 +285,19 @@ class Join:
 
         return texts.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, own binary")
 
+    @staticmethod
+    def _members(found: DataFrame) -> DataFrame:
+        """(key, group) of all nodes of stars, their middles included."""
+        members = found.select(F.col("node").alias("key"), F.col("component").alias("group"))
+        return members.unionAll(members.select(F.col("group").alias("key"), "group").distinct())
+
+    def _blocks(self, members: DataFrame) -> DataFrame:
+        """(group, blocks): so many that a block has at most ``block`` members and about ``most_grams`` n-grams."""
+        return members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / self.block), F.ceil(F.sum("n") / self.most_grams)).cast("int").alias("blocks"))
+
     def _dealt(self, own: DataFrame, members: DataFrame) -> DataFrame:
         """(group, i, j, whole, key, own): members of a group in one task, or of each pair of its blocks; whole: the task has all of the group."""
-        counts = members.groupBy("group").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
-        placed = members.join(counts, "group").withColumn("o", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        placed = members.select("key", "group").join(self._blocks(members), "group").withColumn("o", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("o")) | (F.col("blocks") == 1))
         pairs = F.transform(others, lambda x: F.struct(F.least("o", x).alias("i"), F.greatest("o", x).alias("j")))
         joined = own.join(placed, "key")
@@ -384,7 +393,7 @@ class Join:
             least = int(self.needed(len(sets[k]), -(-self.num * len(sets[k]) // self.den)))
             if len(at) < least:
                 continue
-            lists = [owner[i : i + m].tolist() for i, m in zip(starts[at].tolist(), lengths[at].tolist())]
+            lists = [owner[i : i + m] for i, m in zip(starts[at].tolist(), lengths[at].tolist())]
             for other, common_grams in divide_skip(lists, least).items():
                 if self.den * common_grams >= self.num * (int(sizes[k]) + int(sizes[other]) - common_grams):
                     a, b = find(k), find(other)
@@ -403,14 +412,14 @@ class Join:
         sizes = store.write(self._sizes(docs), "sizes")
         order = spark.sparkContext.broadcast(self._order(sizes))
         met = self._merged(self._meet(self._postings(texts, order, max(8, common.partitions(spark) // 4))))
-        members = stars(store.write(met, "met"), "a", "b").select(F.col("node").alias("key"), F.col("component").alias("group"))
-        members = store.write(members.unionAll(members.select(F.col("group").alias("key"), "group").distinct()), "members")
-        large = members.groupBy("group").count().where(F.col("count") > self.block).select("group")
+        size_of = sizes.where("chunk is null").groupBy("key").agg(F.first("n_shingles").alias("n"))
+        members = self._members(stars(store.write(met, "met"), "a", "b"))
+        members = store.write(members.join(size_of, "key"), "members")
+        large = self._blocks(members).where("blocks > 1").select("group")
         if not large.isEmpty():
-            refined = stars(store.write(self._refined(texts, sizes, members.join(large, "group", "left_semi").select("key", "group")), "refined"), "a", "b")
-            refined = refined.select(F.col("node").alias("key"), F.col("component").alias("group"))
-            refined = refined.unionAll(refined.select(F.col("group").alias("key"), "group").distinct())
-            members = store.write(members.join(large, "group", "left_anti").select("key", "group").unionAll(refined), "fewer")
+            refined = self._refined(texts, sizes, members.join(large, "group", "left_semi").select("key", "group", "n"))
+            refined = self._members(stars(store.write(refined, "refined"), "a", "b")).join(members.select("key", "n"), "key")
+            members = store.write(members.join(large, "group", "left_anti").select("key", "group", "n").unionAll(refined.select("key", "group", "n")), "fewer")
         searched = store.write(self._search(texts, sizes, members), "searched")
         label = searched.where("whole and key <> label").select("key", "label")
         parts = searched.where("not whole and key <> label")
@@ -458,37 +467,32 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([np.maximum(a, b), np.minimum(a, b)], 1)
 
 
-def divide_skip(lists: list[list[int]], threshold: int, weight: float = 0.0085) -> dict[int, int]:
+def divide_skip(lists: list, threshold: int, weight: float = 0.0085) -> dict[int, int]:
     """Numbers that occur in at least ``threshold`` of the sorted lists, with their counts.
 
     The longest lists are set aside.  A heap merges the others; a number that
     occurs there too rarely to reach the threshold even with all long lists is
-    skipped, and so is everything up to the next number that still may.  Long
-    lists are probed by binary search, until the threshold is out of reach.
+    skipped, and so is everything up to the next number that still may.  What is
+    left is looked up in the long lists by binary search.  Lists may be arrays;
+    only short ones become Python lists.
     """
     lists = sorted(lists, key=len, reverse=True)
     threshold = max(1, threshold)
     if len(lists) < threshold:
         return {}
     aside = min(threshold - 1, int(threshold / (weight * np.log2(max(1, len(lists[0]))) + 1)), len(lists) - 1)
-    long, short, least = lists[:aside], lists[aside:], threshold - aside
+    long, least = lists[:aside], threshold - aside
+    short = [own.tolist() if hasattr(own, "tolist") else own for own in lists[aside:]]
     heap = [(own[0], i, 0) for i, own in enumerate(short)]
     heapq.heapify(heap)
-    found: dict[int, int] = {}
+    merged: dict[int, int] = {}
     while heap:
         number = heap[0][0]
         top = []
         while heap and heap[0][0] == number:
             top.append(heapq.heappop(heap))
         if len(top) >= least:
-            count = len(top)
-            for left, own in zip(range(aside, 0, -1), long):
-                if count + left < threshold:
-                    break
-                at = bisect_left(own, number)
-                count += at < len(own) and own[at] == number
-            if count >= threshold:
-                found[number] = count
+            merged[number] = len(top)
             target = number + 1
         else:
             # least - 1 lists may fall behind without harm: all jump to the smallest number of the rest
@@ -502,6 +506,32 @@ def divide_skip(lists: list[list[int]], threshold: int, weight: float = 0.0085)
             at = bisect_left(own, target, at)
             if at < len(own):
                 heapq.heappush(heap, (own[at], i, at))
+    return _probed(merged, long, threshold)
+
+
+def _probed(merged: dict[int, int], long: list, threshold: int) -> dict[int, int]:
+    """Counts with the long lists added, of numbers that reach the threshold."""
+    if len(merged) > 4:
+        numbers, counts = np.array(list(merged)), np.array(list(merged.values()))
+        for left, own in zip(range(len(long), 0, -1), long):
+            live = counts + left >= threshold
+            if not live.all():
+                numbers, counts = numbers[live], counts[live]
+                if not numbers.size:
+                    return {}
+            own = np.asarray(own)
+            at = np.minimum(np.searchsorted(own, numbers), len(own) - 1)
+            counts += own[at] == numbers
+        return {n: c for n, c in zip(numbers.tolist(), counts.tolist()) if c >= threshold}
+    found: dict[int, int] = {}
+    for number, count in merged.items():
+        for left, own in zip(range(len(long), 0, -1), long):
+            if count + left < threshold:
+                break
+            at = bisect_left(own, number)
+            count += bool(at < len(own) and own[at] == number)
+        if count >= threshold:
+            found[number] = count
     return found
 
 
