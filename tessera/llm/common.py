@@ -114,18 +114,23 @@ def word_hashes(raw: bytes) -> np.ndarray:
     Prefix sums of letter times power give each word's polynomial times the power
     of its place, which the inverse power takes away.
     """
+    return words_and_lengths(raw)[0]
+
+
+def words_and_lengths(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` and the words' lengths in bytes."""
     data = np.frombuffer(raw, np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
     if not starts.size:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), starts
     power, inverse = _powers_to(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverse[starts]
-    return h ^ (h >> np.uint64(29))
+    return h ^ (h >> np.uint64(29)), ends - starts
 
 
 def distinct(keys: np.ndarray) -> np.ndarray:

@@ -17,8 +17,10 @@ Distributed, it runs in two steps.
    may link lies within one.
    How common an n-gram is comes from a hashed counter table of fixed size over
    all documents.  Tasks count what they see more than once among a few million
-   n-grams, so the many rare ones leave no noise in the table.  The order need
-   not be exact, only the same for all.
+   n-grams, so the many rare ones leave no noise in the table.  Among equals,
+   longer n-grams come first, since those of short, frequent words are what
+   unrelated texts share by chance.  The order need not be exact, only the same
+   for all.
    Groups with more than ``block`` members are first taken apart by signatures
    a sixteenth as large as their sets, which bound overlaps from above.
 2. *Merge and probe.*  The sets of a group meet in one task, or, if there are more
@@ -29,7 +31,7 @@ Copies: documents with the same set form one class from the start, and a task
 sends a class once, so groups of copies cost nothing.  In lists with more than ``hot``
 classes, pairs of distinct sizes and places are looked at instead of pairs of classes.
 
-Sets hold 64-bit hashes of n-grams, and classes are known by 64-bit hashes.
+Sets hold 59-bit hashes of n-grams with their lengths, and classes are known by 64-bit hashes.
 
 Null text or no words: size 0, no links, a component of its own.  Fewer words
 than n: the whole sequence is the one n-gram.  Rows with equal ids share their
@@ -55,6 +57,7 @@ from . import common
 
 #: Odd multipliers for the places of an n-gram, from a fixed seed.
 _PLACES = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_LENGTH = np.uint64(31)
 _SKETCH_BITS, _CHUNKS, _WINDOW = 22, 64, 1 << 22
 _FILTER_BITS = 26
 _BASE = 1.06  # sizes are sent as logarithms to this base
@@ -68,15 +71,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(raw: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams."""
-    h = common.word_hashes(raw)
+    """Sorted distinct hashes of a text's word n-grams; the lowest five bits tell an n-gram's length."""
+    h, lengths = common.words_and_lengths(raw)
     if len(h) < n:
-        return mix((h * _PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h))) if len(h) else h
-    size = len(h) - n + 1
-    total = h[:size] * _PLACES[0]
-    for i in range(1, n):
-        total += h[i : i + size] * _PLACES[i]
-    return common.distinct(mix(total))
+        if not len(h):
+            return h
+        found, size = (h * _PLACES[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)), lengths.sum(keepdims=True)
+    else:
+        m = len(h) - n + 1
+        found, size = h[:m] * _PLACES[0], lengths[:m].copy()
+        for i in range(1, n):
+            found += h[i : i + m] * _PLACES[i]
+            size += lengths[i : i + m]
+    return common.distinct(mix(found) & ~_LENGTH | np.minimum(31, size >> 1).astype(np.uint64))
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -178,7 +185,7 @@ class Join:
                     if len(sent) > 500_000:
                         sent.clear()
                     sent.add(key)
-                    rank = table[(found >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | mix(found) >> np.uint64(8)
+                    rank = table[(found >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | (_LENGTH - (found & _LENGTH)) << np.uint64(51) | mix(found) >> np.uint64(13)
                     p = short(size)
                     if p < size:
                         first = np.argpartition(rank, p - 1)[:p]
