@@ -16,6 +16,12 @@ number is smallest, which both vectors know, so leaves return a count for each
 vector and a spanning forest of their links, and never pairs.  A leaf with more
 than ``block`` classes is compared block by block in different tasks.
 
+A split inside a tight cluster would part many links at once, in every tree.  So
+links among some vectors of a node are looked at.  The cut that parts the fewest is
+taken; where ``dense`` of the pairs are links, or a twentieth of that and each cut
+parts more than 2 % of them, the node stays whole, as one large leaf whose work is
+in proportion to its links.
+
 Vectors that are null, zero, or hold null or non-finite components, and those
 with a null label, link with nothing: a component of their own.  Rows with
 a null id are counted as copies; their component is their class's.  Repeated
@@ -35,6 +41,13 @@ from ..operators.graph import stars
 from . import common
 
 
+#: Vectors of a node whose links are looked at, and the cuts that are tried, the median first.
+PROBE, QUANTILES = 512, (0.5, 0.4, 0.6, 0.3, 0.7)
+
+#: The share of links that a cut may part where they are many.
+PARTED = 0.02
+
+
 class Tree:
     """Nodes in arrays: a direction and a threshold each, children, or a leaf number."""
 
@@ -43,27 +56,44 @@ class Tree:
         self.cuts: list[float] = []
         self.sides: list[tuple[int, int]] = []
 
-    def grow(self, x: np.ndarray, most: float, spill: float, rng: np.random.Generator, first_leaf: int) -> int:
-        """Fits splits to unit vectors until at most ``most`` are in a leaf; returns the next leaf number."""
-        self.next = first_leaf
+    def grow(self, x: np.ndarray, most: float, spill: float, rng: np.random.Generator, first_leaf: int, threshold: float = 1.0, dense: float = 1.0) -> int:
+        """Fits splits to unit vectors until at most ``most`` are in a leaf, or its links forbid a split; returns the next leaf number."""
+        self.next, self.threshold, self.dense = first_leaf, threshold, dense
         self.root = self._node(x, most, spill, rng)
         return self.next
 
+    def _split(self, x: np.ndarray, spill: float, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
+        """A direction and a cut that part the fewest links among some of the vectors; nothing for a tight cluster."""
+        some = x if len(x) <= PROBE else x[rng.choice(len(x), PROBE, replace=False)]
+        a, b = np.nonzero(np.triu(some @ some.T >= self.threshold, 1))
+        density = len(a) / (len(some) * (len(some) - 1) / 2)
+        if density >= self.dense:
+            return None
+        best, least = None, np.inf
+        for _ in range(6):
+            direction = rng.normal(size=x.shape[1])
+            direction /= np.linalg.norm(direction)
+            p, q = x @ direction, some @ direction
+            low, high = np.minimum(q[a], q[b]), np.maximum(q[a], q[b])
+            for cut in np.quantile(p, QUANTILES).tolist():
+                if max((p <= cut + spill).sum(), (p > cut - spill).sum()) < 0.8 * len(x):
+                    parted = ((low <= cut - spill) & (high > cut + spill)).sum()
+                    if parted < least:
+                        best, least = (direction, cut), parted
+                if least == 0:
+                    return best
+        return None if density >= self.dense / 20 and least > PARTED * len(a) else best
+
     def _node(self, x: np.ndarray, most: float, spill: float, rng: np.random.Generator) -> int:
-        if len(x) > max(most, 8):
-            for _ in range(3):
-                direction = rng.normal(size=x.shape[1])
-                direction /= np.linalg.norm(direction)
-                p = x @ direction
-                cut = float(np.median(p))
-                left, right = p <= cut + spill, p > cut - spill
-                if max(left.sum(), right.sum()) < 0.8 * len(x):
-                    node = len(self.cuts)
-                    self.directions.append(direction)
-                    self.cuts.append(cut)
-                    self.sides.append((0, 0))
-                    self.sides[node] = (self._node(x[left], most, spill, rng), self._node(x[right], most, spill, rng))
-                    return node
+        if len(x) > max(most, 8) and (found := self._split(x, spill, rng)):
+            direction, cut = found
+            p = x @ direction
+            node = len(self.cuts)
+            self.directions.append(direction)
+            self.cuts.append(cut)
+            self.sides.append((0, 0))
+            self.sides[node] = (self._node(x[p <= cut + spill], most, spill, rng), self._node(x[p > cut - spill], most, spill, rng))
+            return node
         self.next += 1
         return -self.next  # leaf numbers are negative places, less one
 
@@ -91,8 +121,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    def __init__(self, threshold: float = 0.93, trees: int = 5, leaf: int = 256, spill: float = 0.35, sample: int = 20_000, block: int = 2048, seed: int = 11):
-        self.threshold, self.trees, self.leaf, self.spill, self.sample, self.block, self.seed = threshold, trees, leaf, spill, sample, block, seed
+    def __init__(self, threshold: float = 0.93, trees: int = 5, leaf: int = 256, spill: float = 0.35, sample: int = 20_000, block: int = 2048, seed: int = 11, dense: float = 0.2):
+        self.threshold, self.trees, self.leaf, self.spill, self.sample, self.block, self.seed, self.dense = threshold, trees, leaf, spill, sample, block, seed, dense
 
     def width(self, dim: int) -> float:
         """Half the band around a split: ``spill`` standard deviations of the projected distance of a pair at the threshold."""
@@ -112,7 +142,7 @@ class Forest:
             found[space] = []
             for _ in range(self.trees):
                 tree = Tree()
-                leaf = tree.grow(x, self.leaf * len(x) / counts[space], self.width(space[1]), rng, leaf)
+                leaf = tree.grow(x, self.leaf * len(x) / counts[space], self.width(space[1]), rng, leaf, self.threshold, self.dense)
                 found[space].append(tree)
         return found
 
@@ -157,10 +187,13 @@ class Forest:
             own, rep, copies = (group.column(c).to_numpy() for c in ("own", "rep", "copies"))
             x = unit(np.frombuffer(b"".join(group.column("raw").to_pylist()), "<f8").reshape(len(rep), -1))
             lists = [np.frombuffer(v, "<i4") for v in group.column("leaves").to_pylist()]
-            earlier = np.full((len(rep), max(map(len, lists))), -1, np.int32)
-            for k, v in enumerate(lists):
-                v = v[v < leaf]
-                earlier[k, : len(v)] = v
+            # Earlier leaves of each row, as bits.
+            at, before = np.repeat(np.arange(len(rep)), list(map(len, lists))), np.concatenate(lists)
+            at, before = at[before < leaf], before[before < leaf]
+            places, place = np.unique(before, return_inverse=True)
+            earlier = np.zeros((len(rep), len(places) // 64 + 1), np.uint64)
+            np.bitwise_or.at(earlier, (at, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+            label = np.arange(len(rep))
             links, root = np.zeros(len(rep), np.int64), list(range(len(rep)))
 
             def find(k: int) -> int:
@@ -178,17 +211,18 @@ class Forest:
                 for part in range(0, len(a), 65536):
                     pa_, pb = a[part : part + 65536], b[part : part + 65536]
                     first = (x[pa_] * x[pb]).sum(1) >= threshold
-                    for c in range(earlier.shape[1]):
-                        mine = earlier[pa_, c]
-                        first &= ~((mine >= 0) & (earlier[pb] == mine[:, None]).any(1))
+                    first &= ~(earlier[pa_] & earlier[pb]).any(1)
                     pa_, pb = pa_[first], pb[first]
                     np.add.at(links, pa_, copies[pb])
                     np.add.at(links, pb, copies[pa_])
-                    for u, v in zip(pa_.tolist(), pb.tolist()):
+                    apart = label[pa_] != label[pb]
+                    for u, v in zip(pa_[apart].tolist(), pb[apart].tolist()):
                         u, v = find(u), find(v)
                         if u != v:
                             root[v] = u
                             edges.append((u, v))
+                    if apart.any():
+                        label = np.array([find(k) for k in range(len(rep))])
             some = np.flatnonzero(links)
             u, v = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
             return pa.table([pa.array(np.concatenate([rep[some], rep[u]])), pa.concat_arrays([pa.array(links[some]), pa.nulls(len(u), pa.int64())]), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[v])])], ["rep", "links", "other"])

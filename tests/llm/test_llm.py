@@ -377,3 +377,17 @@ def test_forest_equals_brute_force(spark):
     assert found[506]["component_id"] == 505 and not found[506]["kept"]
     assert all(found[380 + i]["component_id"] <= i for i in range(40))
     assert rpforest.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_embedding_dedup_keeps_links_of_a_large_tight_group(spark):
+    rng = np.random.default_rng(5)
+    centre, around = rpforest.unit(rng.normal(size=(1, 64))), rng.normal(size=(1000, 64))
+    around = rpforest.unit(around - (around @ centre.T) * centre)
+    x = np.concatenate([np.sqrt(0.94) * centre + np.sqrt(0.06) * around, rpforest.unit(rng.normal(size=(2000, 64)))])
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in rpforest.near_duplicates(frame).collect()}
+    links = np.array([found[i] for i in range(len(x))])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.995 * near.sum()
+    assert (links >= 0.9 * near.sum(1)).all()
