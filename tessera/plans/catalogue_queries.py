@@ -24,6 +24,12 @@ def _pixels(spark, sf_dir) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % WIDTH).cast("int").alias("x"), F.floor(F.col("o_orderkey") / WIDTH).cast("int").alias("y"), F.col("o_totalprice").alias("flux"), F.col("o_orderpriority").alias("label"))
 
 
+def height(pixels: DataFrame) -> int:
+    """Rows of a raster, from its pixels; 0 if there are none."""
+    top = pixels.agg(F.max("y")).first()[0]
+    return 0 if top is None else top + 1
+
+
 # --- manifests -----------------------------------------------------------------------
 
 FIRST = "f AS (SELECT * FROM (SELECT c_nationkey AS area_id, c_mktsegment AS band, c_custkey AS file_id, c_name AS file_name, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE r = 1)"
@@ -141,8 +147,8 @@ GRID = "g AS (SELECT CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy FROM r
 PATCHES = f"{PIXELS}, {GRID}, pt AS (SELECT gx, gy, x - gx AS dx, y - gy AS dy, flux FROM g JOIN px ON x >= gx - 3 AND x < gx + 3 AND y >= gy - 3 AND y < gy + 3)"
 
 
-def _grid(spark) -> DataFrame:
-    return grid.scan_grid(spark, 4, 96, 4, 146, 8)
+def _grid(spark, top: int = 96) -> DataFrame:
+    return grid.scan_grid(spark, 4, top, 4, 146, 8)
 
 
 @query(f"WITH {PATCHES} SELECT gx, gy, count(*) AS n, round(sum(flux), 2) AS total, count(*) FILTER (flux > 200000) AS bright FROM pt GROUP BY ALL")
@@ -172,7 +178,8 @@ def azimuthal_profile(spark, sf_dir):
 
 @query()
 def power_spectrum(spark, sf_dir):
-    rows = grid.patch_vectors(_pixels(spark, sf_dir), _grid(spark), 3, ["flux"])
+    pixels = _pixels(spark, sf_dir)
+    rows = grid.patch_vectors(pixels, _grid(spark, height(pixels) + 3), 3, ["flux"])
     return features.patch_features(rows, ["flux"], 6).select("gx", "gy", F.transform("v", lambda x: F.round(F.ln(x + 1), 5)).alias("v"))
 
 
