@@ -174,8 +174,7 @@ def agglomerate(x: np.ndarray, distance: str = "euclidean", bands: int = 4, link
     names, size, centre = list(range(n)), np.ones(n), np.array(x, float)
     d = np.full((n, n), np.inf)
     for i in range(n):
-        d[i, i + 1 :] = _distances(distance, centre[i], centre[i + 1 :], bands)
-    d = np.minimum(d, d.T)
+        d[i, i + 1 :] = d[i + 1 :, i] = _distances(distance, centre[i], centre[i + 1 :], bands)
     best = d.argmin(1) if n else np.empty(0, int)
     live, merges = np.ones(n, bool), []
     for step in range(n - 1):

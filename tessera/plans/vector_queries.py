@@ -319,7 +319,7 @@ def threshold_pick(spark, sf_dir):
 
 @query()
 def hac_merges(spark, sf_dir):
-    nodes = _points(spark, sf_dir).where("vec_id < 120").select(F.col("vec_id").alias("node"), "v")
+    nodes = _points(spark, sf_dir).select(F.col("vec_id").alias("node"), "v")
     return cluster.hac(nodes, "v", distance="pspearson").select("id", "left", "right", F.round("distance", 6).alias("distance"), "size")
 
 

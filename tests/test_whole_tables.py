@@ -1,11 +1,16 @@
 """Queries without SQL reach every row, on rasters and tables beyond any fixed corner."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
+
+from tessera.plans import catalogue_queries, vector_queries
 
-from tessera.plans import catalogue_queries
+DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -20,3 +25,11 @@ def tall(tmp_path_factory):
 def test_power_spectrum_scans_the_whole_raster(spark, tall):
     found = {(r["gx"], r["gy"]) for r in catalogue_queries.power_spectrum(spark, tall).select("gx", "gy").collect()}
     assert found == {(x, y) for x in range(4, 146, 8) for y in range(4, 128, 8)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
+def test_hac_merges_joins_every_vector(spark):
+    ids = {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select(F.col("vec_id").cast("long")).collect()}
+    merges = vector_queries.hac_merges(spark, DIR).collect()
+    assert len(merges) == len(ids) - 1 and max(m["size"] for m in merges) == len(ids)
+    assert {k for m in merges for k in (m["left"], m["right"]) if k >= 0} == ids
