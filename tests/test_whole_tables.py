@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.plans import catalogue_queries, vector_queries
+from tessera.plans import catalogue_queries, pipeline_queries, vector_queries
 
 DIR = "/root/testdata/sf0.001"
 
@@ -27,6 +27,12 @@ def test_power_spectrum_scans_the_whole_raster(spark, tall):
     assert found == {(x, y) for x in range(4, 146, 8) for y in range(4, 128, 8)}
 
 
+def test_image_pipeline_sees_rows_beyond_the_first(spark, tall):
+    # an object's number is its first patch: y * 1,000,000 + x
+    found = [r["object"] // 1_000_000 for r in pipeline_queries.image_pipeline(spark, tall).select("object").collect()]
+    assert min(found) < 80 < max(found)
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
 def test_hac_merges_joins_every_vector(spark):
     ids = {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select(F.col("vec_id").cast("long")).collect()}
