@@ -10,6 +10,14 @@ Whole texts are read, but few lines are compared.  By the Cauchy-Schwarz
 inequality, a stretch that shares no term of a template but its lightest ones,
 whose weights make up less than the threshold of the template's length, can't
 reach the threshold.  The other terms are *anchors*; stretches without one are skipped.
+In a line with an anchor, windows of as many terms as a template has are compared with it too,
+so a notice between other words counts.
+
+Licence bodies and standard headers (``licence_texts``) are compared with the whole
+text and with every window of as many terms, weighed by themselves.  A text that
+shares too little of a body's length for the threshold is skipped, by the same
+inequality.  A body that reaches the threshold goes before short notices: the
+largest cosine wins, then the longer body.
 
 A licence file gives its licence to its directory.  A document without an own
 licence takes that of the nearest ancestor directory that has one: distinct
@@ -26,6 +34,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +59,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved.",
 }
+#: Bodies and standard headers of licences: file names are a licence, and perhaps a kind.
+BODIES = {p.name.removesuffix(".txt"): p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.\-][a-z0-9\x80-\xff]+)*")
 
 
@@ -92,11 +103,17 @@ class Scanner:
             anchors |= set(order[~light].tolist())
         names = sorted(self.vocabulary)
         self.anchors = frozenset(names[i] for i in anchors)
+        of = np.array([sum(c.values()) for c in split])
+        self.lengths = {n: np.flatnonzero(of == n) for n in sorted(set(of.tolist()))}
+        self.bodies = Bodies(BODIES, threshold) if BODIES else None
 
     def scan(self, raw: bytes) -> tuple[str | None, float, int]:
         """Best licence that reaches the threshold, the largest cosine found, and the line where its stretch starts (-1: none compared)."""
         best, name, line = 0.0, None, -1
-        if self.anchors.isdisjoint(distinct_terms(raw)):
+        distinct = distinct_terms(raw)
+        if self.bodies and (found := self.bodies.scan(raw, distinct)):
+            return found
+        if self.anchors.isdisjoint(distinct):
             return name, best, line
         lines = raw.lower().split(b"\n")
         marked = [i for i, x in enumerate(lines) if not self.anchors.isdisjoint(TERM.findall(x))]
@@ -110,9 +127,26 @@ class Scanner:
                     cosine, k = self._best(TERM.findall(b"\n".join(lines[first : first + n])))
                     if cosine > best + 1e-12:
                         best, line, name = cosine, first, self.names[k]
+            for cosine, k in self._windows(TERM.findall(lines[i])):
+                if cosine > best + 1e-12:
+                    best, line, name = cosine, i, self.names[k]
         return name if best >= self.threshold else None, best, line
 
-    def _best(self, found: list[bytes]) -> tuple[float, int]:
+    def _windows(self, found: list[bytes]) -> Iterator[tuple[float, int]]:
+        """(cosine, template) of the windows inside a line that may reach the threshold."""
+        if len(found) <= min(self.lengths):
+            return
+        at = np.array([self.vocabulary.get(t, -1) for t in found])
+        # A window's squared length is at least the sum of its terms' squares.
+        square = np.concatenate([[0.0], np.cumsum(np.where(at < 0, self.idf_unknown, self.idf[at]) ** 2)])
+        dot = np.concatenate([np.zeros((1, self.matrix.shape[1])), np.cumsum(np.where(at[:, None] < 0, 0.0, self.matrix[at] * self.idf[at][:, None]), 0)])
+        for n, own in self.lengths.items():
+            if n < len(found):
+                likely = (dot[n:, own] - dot[:-n, own]).max(1) >= (self.threshold - 1e-9) * np.sqrt(square[n:] - square[:-n])
+                for i in np.flatnonzero(likely).tolist():
+                    yield self._best(found[i : i + n], own)
+
+    def _best(self, found: list[bytes], own: np.ndarray | None = None) -> tuple[float, int]:
         known, square = np.zeros(len(self.idf)), 0.0
         for t, c in Counter(found).items():
             i = self.vocabulary.get(t)
@@ -124,7 +158,67 @@ class Scanner:
         if not square:
             return 0.0, 0
         cosines = known @ self.matrix / np.sqrt(square)
-        return float(cosines.max()), int(cosines.argmax())
+        k = int(cosines.argmax()) if own is None else int(own[cosines[own].argmax()])
+        return float(cosines[k]), k
+
+
+class Bodies:
+    """Compares whole texts and their windows with long templates; a term weighs less the more templates hold it."""
+
+    def __init__(self, bodies: dict[str, str], threshold: float):
+        split = {k: Counter(terms(t.encode())) for k, t in bodies.items()}
+        df = Counter(t for c in split.values() for t in c)
+        self.threshold, self.unknown = threshold, float(np.log(1 + len(split)) + 1)
+        self.idf = {t: float(np.log((1 + len(split)) / (1 + n)) + 1) for t, n in df.items()}
+        self.vocabulary = frozenset(df)
+        self.templates = []  # name, terms, unit weights
+        for k, c in sorted(split.items(), key=lambda i: (-sum(i[1].values()), i[0])):
+            norm = sum((n * self.idf[t]) ** 2 for t, n in c.items()) ** 0.5
+            self.templates.append((k.removesuffix(".header"), sum(c.values()), {t: n * self.idf[t] / norm for t, n in c.items()}))
+        self.place = {t: i for i, t in enumerate(sorted(df))}
+        self.squares = np.zeros((len(df), len(self.templates)))
+        for k, (_, _, weights) in enumerate(self.templates):
+            for t, w in weights.items():
+                self.squares[self.place[t], k] = w * w
+        # No text with fewer distinct terms of a template can share enough of its length.
+        self.fewest = min(int((np.cumsum(np.sort(column)[::-1]) < threshold**2 - 1e-9).sum()) + 1 for column in self.squares.T)
+
+    def scan(self, raw: bytes, distinct: set[bytes]) -> tuple[str, float, int] | None:
+        """Licence, cosine and line of the best body that reaches the threshold."""
+        shared = self.vocabulary & distinct
+        if len(shared) < self.fewest:
+            return None
+        likely = np.flatnonzero(self.squares[[self.place[t] for t in shared]].sum(0) >= self.threshold**2 - 1e-9)
+        if not likely.size:
+            return None
+        low = raw.lower()
+        places = [(m.group(), m.start()) for m in TERM.finditer(low)]
+        found, best = [t for t, _ in places], None
+        for k in likely.tolist():
+            name, n, weights = self.templates[k]
+            for length in {min(n, len(found)), len(found)}:
+                cosine, at = self._slide(found, weights, length)
+                if cosine >= self.threshold and (best is None or cosine > best[1] + 1e-12):
+                    best = name, min(cosine, 1.0), low.count(b"\n", 0, places[at][1])
+        return best
+
+    def _slide(self, found: list[bytes], weights: dict[bytes, float], length: int) -> tuple[float, int]:
+        """The largest cosine of a window of so many terms, and where it starts."""
+        counts, dot, square, best, at = Counter(), 0.0, 0.0, 0.0, 0
+        for i, t in enumerate(found):
+            idf = self.idf.get(t, self.unknown)
+            square += idf * idf * (2 * counts[t] + 1)
+            dot += idf * weights.get(t, 0.0)
+            counts[t] += 1
+            if i >= length:
+                t = found[i - length]
+                idf = self.idf.get(t, self.unknown)
+                counts[t] -= 1
+                square -= idf * idf * (2 * counts[t] + 1)
+                dot -= idf * weights.get(t, 0.0)
+            if i >= length - 1 and square > 0 and dot > best * square**0.5 + 1e-12:
+                best, at = dot / square**0.5, i - length + 1
+        return best, at
 
 
 def document_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:

@@ -140,6 +140,17 @@ def test_licence_scan_skips_nothing_that_reaches_the_threshold(spark):
         assert found[i]["licence"] == (name if best >= 0.8 else None), (i, best, name)
 
 
+def test_licence_bodies_headers_and_notices_inside_a_line(spark):
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}" for i in range(60))
+    cases = [("copyright (c) 2020 Jane Doe\nAll rights reserved.\n\n" + text, name.removesuffix(".header")) for name, text in licences.BODIES.items()]
+    cases += [("\n".join("# " + x for x in text.split("\n")) + "\n" + code, name.removesuffix(".header")) for name, text in licences.BODIES.items()]
+    cases += [(f"Copyright 2020 Jane Doe. {text} See the file for more.", name) for name, text in licences.TEMPLATES.items()]
+    frame = spark.createDataFrame([(i, f"d{i}/LICENSE", True, t) for i, (t, _) in enumerate(cases)] + [(9000, "x/a", True, prose(random.Random(1), 4000)), (9001, "x/b", True, code)], "doc_id long, path string, is_file boolean, text string")
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(frame).collect()}
+    wrong = [(i, found[i], name) for i, (_, name) in enumerate(cases) if found[i] != name]
+    assert not wrong and found[9000] is None and found[9001] is None
+
+
 def test_nearest_ancestor_wins(spark):
     rows = [(1, "r/LICENSE", True, "MIT", 1.0, 0), (2, "r/a/LICENSE", True, "GPL-3.0", 0.9, 0), (3, "r/a/b/c.txt", False, None, 0.0, -1), (4, "r/z.txt", False, None, 0.0, -1), (5, "q/z", False, None, 0.0, -1), (6, None, False, None, 0.0, -1), (7, "r/a/b/d", False, "Apache-2.0", 1.0, 2), (8, "r/a/COPYING", True, "MPL-2.0", 0.95, 0)]
     frame = spark.createDataFrame(rows, "doc_id long, path string, is_file boolean, licence string, cosine double, line int")
