@@ -24,7 +24,8 @@ in proportion to its links.
 
 Vectors that are null, zero, or hold null or non-finite components, and those
 with a null label, link with nothing: a component of their own.  Rows with
-a null id are counted as copies; their component is their class's.  Repeated
+a null id are counted as copies and linked; their component is their class's, the
+smallest id in it, and null if it has none.  Repeated
 rows are copies.  An empty table gives an empty result; extra columns are dropped.
 """
 
@@ -243,12 +244,15 @@ class Forest:
             "vec_id", "label", "vector", "usable", F.when(F.col("usable"), F.xxhash64("label", "vector")).alias("k1"), F.when(F.col("usable"), F.xxhash64(F.lit(7), "vector", "label")).alias("k2")
         )
         good = keyed.where("usable")
-        classes = good.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"), F.first("vector").alias("vector"), F.first("label").alias("label"))
-        classes = store.write(classes.where("rep is not null").withColumn("dim", F.size("vector")), "classes")
+        classes = good.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.first("label").alias("label"))
+        # A class goes by a hash of its own, as its ids may all be null.
+        classes = store.write(classes.withColumn("rep", F.xxhash64("k1", "k2")).withColumn("dim", F.size("vector")), "classes")
         compared = store.write(self._compare(self._route(classes, self.fit(classes))), "compared")
         links = compared.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
         label = stars(compared.where("other is not null"), "rep", "other").select(F.col("node").alias("rep"), F.col("component").alias("root"))
-        of_class = classes.select("k1", "k2", "copies", "rep").join(links, "rep", "left").join(label, "rep", "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+        of_class = classes.select("k1", "k2", "copies", "rep", "least").join(links, "rep", "left").join(label, "rep", "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"), "least")
+        named = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
+        of_class = of_class.join(named, "root").select("k1", "k2", "n_links", "component_id")
         linked = good.select("vec_id", "k1", "k2").join(of_class, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         alone = keyed.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -402,3 +402,12 @@ def test_embedding_dedup_keeps_links_of_a_large_tight_group(spark):
     links = np.array([found[i] for i in range(len(x))])
     assert (links <= near.sum(1)).all() and links.sum() >= 0.995 * near.sum()
     assert (links >= 0.9 * near.sum(1)).all()
+
+
+def test_embedding_dedup_links_classes_without_ids(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(2, 16))
+    rows = [(9, a.tolist(), 0), (None, (a * 1.01 + 0.001).tolist(), 0), (None, (a * 1.01 + 0.001).tolist(), 0), (4, (a + 0.002).tolist(), 0), (5, b.tolist(), 0), (None, (-b).tolist(), 0)]
+    found = rpforest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found), key=str)
+    assert got == sorted([(9, 3, 4, False), (4, 3, 4, True), (None, 3, 4, False), (None, 3, 4, False), (5, 0, 5, True), (None, 0, None, False)], key=str)
