@@ -6,27 +6,33 @@ den) common n-grams.  DivideSkip divides a document's inverted lists into short
 and long ones, merges the short ones with a heap, and looks candidates up in the
 long ones by binary search.
 
-Distributed, it runs in two steps.
-
-1. *Divide.*  N-grams are ordered by how common they are, so that a document's
-   first x - num x / den + 1 n-grams are its short lists; a partner shares at least
-   one of them.  Only these go to the exchange, packed per bucket of n-grams.  In
+Distributed, it runs in three steps.
+
+1. *Set aside.*  A document that links shares at least num/den of its n-grams with
+   one other document, so more than the rest of them can't be its own alone.  Tasks
+   gather documents to blocks, and ask the bucket of each distinct n-gram of a
+   block whether any other block or document has it.  An n-gram is asked for once
+   by a block, in four bytes and the bucket's number; the answer is a bit, in the
+   order of the request.  Most documents end here.
+2. *Divide.*  The sets of the others go through the same exchange, which now
+   answers how many documents have an n-gram.  In order of that number, a
+   document's first x - num x / den + 1 n-grams are its short lists; a partner
+   shares at least one of them.  N-grams of one document alone come first
+   and need not be sent.  The rest goes packed to buckets of n-grams.  In
    each bucket, documents that meet in a list are joined, unless their sizes and
    places in the order rule the similarity out.  A bucket returns a spanning
    forest, never pairs, and connected candidates form *groups*: every pair that
    may link lies within one.
-   How common an n-gram is comes from a hashed counter table of fixed size over
-   all documents.  Tasks count what they see more than once among a few million
-   n-grams, so the many rare ones leave no noise in the table.  Among equals,
-   longer n-grams come first, since those of short, frequent words are what
-   unrelated texts share by chance.  The order need not be exact, only the same
-   for all.
    Groups with more than ``block`` members are first taken apart by signatures
    a sixteenth as large as their sets, which bound overlaps from above.
-2. *Merge and probe.*  The sets of a group meet in one task, or, if there are more
+3. *Merge and probe.*  The sets of a group meet in one task, or, if there are more
    than ``block``, in tasks for each pair of blocks.  There ``divide_skip`` merges
    a query's short lists with a heap and probes the long ones, on whole sets.
 
+Nothing here is as large as the number of documents but rows of tables; the one
+broadcast is a bitmap of 8 MB.  Equal answers for n-grams whose short keys
+collide make a list longer, and lose nothing.
+
 Copies: documents with the same set form one class from the start, and a task
 sends a class once, so groups of copies cost nothing.  In lists with more than ``hot``
 classes, pairs of distinct sizes and places are looked at instead of pairs of classes.
@@ -42,13 +48,16 @@ the text are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import pickle
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +67,8 @@ from . import common
 #: Odd multipliers for the places of an n-gram, from a fixed seed.
 _PLACES = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _LENGTH = np.uint64(31)
-_SKETCH_BITS, _CHUNKS, _WINDOW = 22, 64, 1 << 22
 _FILTER_BITS = 26
+_BLOCK_GRAMS, _BLOCK_DOCS = 1 << 20, 50_000  # a block of documents that asks together
 _BASE = 1.06  # sizes are sent as logarithms to this base
 
 
@@ -120,86 +129,126 @@ class Join:
         left_a, left_b = high_a * (1 - place_a / 255), high_b * (1 - place_b / 255)
         return np.minimum(left_a, left_b) >= t * (low_a + low_b) - 1e-6
 
-    # --- passes over the texts ---------------------------------------------
+    # --- how common n-grams are -------------------------------------------------
 
-    def _sizes(self, docs: DataFrame) -> DataFrame:
-        """Per document its size and class, and per task the chunks of its counter table."""
-        n = self.n
+    def _asked(self, rows: DataFrame, read, buckets: int, whole: bool) -> DataFrame:
+        """Requests (kind 0, target: bucket) and what a block needs to read the answers (kind 1, target: its task)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(1 << _SKETCH_BITS, np.uint32)
-            held: list[np.ndarray] = []
+            task = TaskContext.get().partitionId()
+            for number, (held, sets) in enumerate(_gathered(read(batches))):
+                keys, sizes = np.fromiter(sets, np.int64, len(sets)), np.fromiter(map(len, sets.values()), np.int64, len(sets))
+                block = class_key(np.array([task, number, *keys.tolist()], np.int64))
+                own = Arranged.of(np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys)), sizes), buckets)
+                edges = np.searchsorted(own.bucket, np.arange(buckets + 1))
+                alone = np.add.reduceat(np.append(own.times == 1, 0), np.minimum(edges[:-1], len(own.every)))
+                alone[edges[:-1] == edges[1:]] = 0
+                some = np.flatnonzero(np.diff(edges))
+                short, times = (own.every >> np.uint64(32)).astype("<u4"), np.minimum(own.times, 65535).astype("<u2")
+                parts = [short[edges[b] : edges[b + 1]].tobytes() + times[edges[b] + alone[b] : edges[b + 1]].tobytes() for b in some.tolist()]
+                for i in range(0, len(some), 64):
+                    now = some[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([0] * len(now), pa.int32()), pa.array(now.astype(np.int32)), pa.array([block] * len(now), pa.int64()), pa.array(alone[now].astype(np.int32)), pa.array(parts[i : i + 64], pa.binary())], _ASKED_NAMES)
+                if whole:
+                    note = keys, list(sets.values())
+                else:
+                    of = {k: i for i, k in enumerate(sets)}
+                    steps = np.diff(own.first[own.times == 1].astype("<u2"), prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2)
+                    note = held, [of[row[3]] for row in held], sizes, alone, zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([task], pa.int32()), pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([pickle.dumps(note, 5)], pa.binary())], _ASKED_NAMES)
+
+        return rows.mapInArrow(run, "kind int, target int, block long, alone int, part binary")
 
-            def count() -> None:
-                keys = np.sort(np.concatenate(held))
-                twin = keys[1:] == keys[:-1]
-                again = keys[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]
-                np.add.at(table, (again >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), 1)
-                held.clear()
+    @staticmethod
+    def _answered(asked: DataFrame, whole: bool) -> DataFrame:
+        """(block, bucket, part): answers in the order of the requests; the blocks' own notes pass, as bucket -1."""
 
+        def run(group: pa.Table) -> pa.Table:
+            if group.column("kind")[0].as_py():
+                return pa.table([group.column("block"), pa.array([-1] * group.num_rows, pa.int32()), group.column("part")], _ANSWER_NAMES)
+            parts, alone = group.column("part").to_pylist(), group.column("alone").to_numpy()
+            sizes = (np.fromiter(map(len, parts), np.int64, len(parts)) + 2 * alone) // 6
+            ends = np.cumsum(sizes)
+            key, times = np.empty(int(sizes.sum()), "<u4"), np.ones(int(sizes.sum()), np.int64)
+            for raw, n, a, end in zip(parts, sizes.tolist(), alone.tolist(), ends.tolist()):
+                key[end - n : end] = np.frombuffer(raw, "<u4", n)
+                times[end - n + a : end] = np.frombuffer(raw, "<u2", n - a, 4 * n)
+            order = np.argsort(key)
+            key = key[order]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            total = np.add.reduceat(times[order], starts)
+            # 0: one document; else eight steps for each doubling
+            level = np.where(total > 1, np.minimum(255, 8 * np.log2(np.maximum(total, 1)) - 7), 0).astype(np.uint8)
+            given = np.empty(len(key), np.uint8)
+            given[order] = np.repeat(level, np.diff(np.append(starts, len(key))))
+            spans = zip((ends - sizes).tolist(), ends.tolist(), alone.tolist())
+            answers = [given[i:j].tobytes() if whole else np.packbits(given[i : i + a] > 0).tobytes() for i, j, a in spans]
+            return pa.table([group.column("block"), group.column("target"), pa.array(answers, pa.binary())], _ANSWER_NAMES)
+
+        return asked.groupBy("kind", "target").applyInArrow(run, "block long, bucket int, part binary")
+
+    def _sizes(self, docs: DataFrame, buckets: int) -> DataFrame:
+        """(doc_id, text_key, n_shingles, key, open): per document its size and class, and whether it may link."""
+        n, join = self.n, self
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
-                found = [shingles(t, n) for t in common.raw_texts(batch, "text")]
-                held += found
-                if sum(map(len, held)) > _WINDOW:
-                    count()
-                k = batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(f) for f in found], pa.int64()), pa.array([class_key(f) for f in found], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], _SIZE_NAMES)
-            if held:
-                count()
-            if table.any():
-                parts = [zlib.compress(p.tobytes(), 1) for p in np.split(table, _CHUNKS)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, t) for t in (pa.int64(),) * 4] + [pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], _SIZE_NAMES)
-
-        return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, key long, chunk int, part binary")
-
-    def _order(self, sizes: DataFrame) -> np.ndarray:
-        """Class of commonness by hashed counter, as bytes: a table of fixed size, whatever the input."""
-
-        def add(group: pa.Table) -> pa.Table:
-            total = np.zeros((1 << _SKETCH_BITS) // _CHUNKS, np.uint64)
-            for part in group.column("part").to_pylist():
-                total += np.frombuffer(zlib.decompress(part), np.uint32)
-            return pa.table([pa.array([group.column("chunk")[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "part"])
-
-        rows = sizes.where("chunk is not null").select("chunk", "part").groupBy("chunk").applyInArrow(add, "chunk int, part binary").collect()
-        counts = np.zeros((_CHUNKS, (1 << _SKETCH_BITS) // _CHUNKS))
-        for row in rows:
-            counts[row["chunk"]] = np.frombuffer(row["part"], np.uint64)
-        counts = counts.reshape(-1)
-        # Up to twice the mean is what unrelated n-grams may add up to by chance; beyond it, eight steps for each doubling.
-        return np.minimum(255, 8 * np.log2(np.maximum(counts / (2 * counts.mean() + 1), 1))).astype(np.uint8)
-
-    def _postings(self, docs: DataFrame, order, buckets: int) -> DataFrame:
-        """Packed (hash, class, size, place) of every document's short lists, by bucket of the hash."""
-        n, short = self.n, self.short_lists
+                for doc_id, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                    found = shingles(text.as_py() or b"", n)
+                    yield doc_id, text_key, class_key(found), found
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, packer, sent = order.value, common.Packer(buckets), set()
+        def run(group: pa.Table) -> pa.Table:
+            note, given = _note_and_answers(group)
+            if note is None:
+                return _SIZE_SCHEMA.empty_table()
+            held, of, sizes, alone, steps = note
+            steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(steps), np.uint8).reshape(2, -1).T).view("<u2").reshape(-1)
+            owner, lonely, at = np.cumsum(steps, dtype=np.uint16), np.zeros(len(sizes), np.int64), 0
+            for bucket, count in enumerate(alone.tolist()):
+                # an answer that isn't there, as after the loss of a task of an input without order, sets nothing aside
+                if count and bucket in given:
+                    shared = np.unpackbits(np.frombuffer(given[bucket], np.uint8), count=count).astype(bool)
+                    lonely += np.bincount(owner[at : at + count][~shared], minlength=len(sizes))
+                at += count
+            stays = (sizes > 0) & (lonely < [join.short_lists(int(x)) for x in sizes])
+            return pa.table([*(pa.array([row[i] for row in held], pa.int64()) for i in range(4)), pa.array(stays[of])], _SIZE_SCHEMA.names)
+
+        asked = self._asked(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), read, buckets, False)
+        return self._answered(asked, False).groupBy("block").applyInArrow(run, "doc_id long, text_key long, n_shingles long, key long, open boolean")
+
+    def _postings(self, sets: DataFrame, buckets: int) -> DataFrame:
+        """Packed (hash, class, size, place) of every class's short lists that others have too, by bucket of the hash."""
+        short = self.short_lists
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             for batch in batches:
-                for raw in common.raw_texts(batch):
-                    found = shingles(raw, n)
-                    size = len(found)
-                    key = class_key(found)
-                    if not size or key in sent:
-                        continue
-                    if len(sent) > 500_000:
-                        sent.clear()
-                    sent.add(key)
-                    rank = table[(found >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | (_LENGTH - (found & _LENGTH)) << np.uint64(51) | mix(found) >> np.uint64(13)
+                for key, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    yield None, None, key, np.frombuffer(own.as_py(), np.uint64)
+
+        def run(group: pa.Table) -> pa.Table:
+            note, given = _note_and_answers(group)
+            packer = common.Packer(buckets, 1 << 62)
+            if note is not None:
+                keys, found = note
+                sizes = np.array([len(f) for f in found])
+                own = Arranged.of(np.concatenate(found), np.repeat(np.arange(len(keys)), sizes), buckets)
+                edges = np.searchsorted(own.bucket, np.arange(buckets + 1))
+                level = np.concatenate([np.frombuffer(given[b], np.uint8) for b in np.flatnonzero(np.diff(edges)).tolist()])
+                for key, grams, common_to in zip(keys.tolist(), found, np.split(own.back(level), np.cumsum(sizes)[:-1])):
+                    size, lonely = len(grams), int((common_to == 0).sum())
                     p = short(size)
-                    if p < size:
-                        first = np.argpartition(rank, p - 1)[:p]
-                        first = first[np.argsort(rank[first])]
-                    else:
-                        first = np.argsort(rank)
-                    h = mix(found[first] + np.uint64(1))
-                    place = (255 * np.arange(p) // size).astype(np.uint8)
-                    packer.add((h % np.uint64(buckets)).astype(np.int32), (h >> np.uint64(32)).astype(np.uint32), np.full(p, key, np.int64), np.full(p, np.log(size) // np.log(_BASE), np.uint16), place)
-                if packer.full:
-                    yield from packer.flush()
-            yield from packer.flush()
-
-        return docs.mapInArrow(run, common.Packer.schema)
+                    if lonely >= p:
+                        continue
+                    rank = common_to.astype(np.uint64) << np.uint64(56) | mix(grams) >> np.uint64(8)
+                    first = (np.argpartition(rank, p - 1) if p < size else np.arange(size))[:p]
+                    first = first[np.argsort(rank[first])][lonely:]
+                    h = mix(grams[first] + np.uint64(1))
+                    place = (255 * np.arange(lonely, p) // size).astype(np.uint8)
+                    m = p - lonely
+                    packer.add((h % np.uint64(buckets)).astype(np.int32), (h >> np.uint64(32)).astype(np.uint32), np.full(m, key, np.int64), np.full(m, np.log(size) // np.log(_BASE), np.uint16), place)
+            return pa.Table.from_batches(list(packer.flush()), pa.schema([("bucket", pa.int32()), ("part", pa.binary())]))
+
+        return self._answered(self._asked(sets.select("key", "own"), read, buckets, True), True).groupBy("block").applyInArrow(run, common.Packer.schema)
 
     # --- candidate groups ------------------------------------------------------
 
@@ -261,10 +310,10 @@ class Join:
 
     # --- search in groups --------------------------------------------------------
 
-    def _sets(self, texts: DataFrame, sizes: DataFrame, members: DataFrame, form=lambda own: own) -> DataFrame:
-        """(key, own): sets of member classes, or what ``form`` makes of them, each from one of its texts; a class may come from several tasks."""
+    def _sets(self, texts: DataFrame, open_classes: DataFrame) -> DataFrame:
+        """(key, own): the sets of classes that may link, each from one of its texts."""
         n = self.n
-        chosen = sizes.where("chunk is null").join(members.select("key"), "key").groupBy("key").agg(F.min("text_key").alias("text_key"))
+        chosen = open_classes.groupBy("key").agg(F.min("text_key").alias("text_key"))
         bits = chosen.select((F.pmod("text_key", F.lit(1 << _FILTER_BITS)) + 1).alias("p"))
         # A bitmap of fixed size tells which texts are needed; its false alarms cost time only.
         rows = bits.groupBy(F.bitmap_bucket_number("p").alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
@@ -276,21 +325,35 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, sent = wanted.value, set()
             for batch in batches:
-                keys, found = [], []
                 at = np.mod(batch.column(0).to_numpy(), 1 << _FILTER_BITS)
-                needed = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-                for raw in common.raw_texts(needed):
-                    own = shingles(raw, n)
+                needed = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                keys, found, held, column = [], [], 0, batch.column(1).cast(pa.binary())
+                for i in needed.tolist():
+                    own = shingles(column[i].as_py() or b"", n)
                     key = class_key(own)
-                    if key not in sent:
+                    if len(own) and key not in sent:
                         if len(sent) > 500_000:
                             sent.clear()
                         sent.add(key)
                         keys.append(key)
-                        found.append(form(own).tobytes())
+                        found.append(own.tobytes())
+                        held += len(own)
+                    if held > _BLOCK_GRAMS:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "own"])
+                        keys, found, held = [], [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "own"])
 
-        return texts.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, own binary")
+        # Copies in other tasks are the same class.
+        return texts.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "key long, own binary").dropDuplicates(["key"])
+
+    @staticmethod
+    def _signatures(sets: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [signature(np.frombuffer(own.as_py(), np.uint64)).tobytes() for own in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "own"])
+
+        return sets.select("key", "own").mapInArrow(run, "key long, own binary")
 
     @staticmethod
     def _members(found: DataFrame) -> DataFrame:
@@ -310,7 +373,7 @@ class Join:
         joined = own.join(placed, "key")
         return joined.select("group", F.explode(pairs).alias("p"), (F.col("blocks") == 1).alias("whole"), "key", "own").select("group", "p.i", "p.j", "whole", "key", "own")
 
-    def _refined(self, texts: DataFrame, sizes: DataFrame, large: DataFrame) -> DataFrame:
+    def _refined(self, sets: DataFrame, large: DataFrame) -> DataFrame:
         """(a, b): forests of the members of large groups whose signatures allow the similarity.
 
         A signature counts a set's n-grams by cells of their hashes.  The sums of
@@ -324,7 +387,7 @@ class Join:
             own = group.column("own")
             return _table(_forest(key[join.allowed([np.frombuffer(own[i].as_py(), np.uint16) for i in first.tolist()])])).drop_columns(["bucket"])
 
-        return self._dealt(self._sets(texts, sizes, large, signature), large).groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
+        return self._dealt(self._signatures(sets.join(large, "key", "left_semi")), large).groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
 
     def allowed(self, signatures: list[np.ndarray]) -> np.ndarray:
         """Pairs (rows) of signatures whose bound reaches the overlap that their sizes need."""
@@ -351,9 +414,9 @@ class Join:
                         made.append(np.stack([np.full(len(fit), k), fit], 1))
         return np.concatenate(made)
 
-    def _search(self, texts: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
+    def _search(self, sets: DataFrame, members: DataFrame) -> DataFrame:
         """(whole, key, label): the first linked class of each member's component in its task."""
-        dealt = self._dealt(self._sets(texts, sizes, members), members)
+        dealt = self._dealt(sets, members)
         join = self
 
         def run(group: pa.Table) -> pa.Table:
@@ -415,24 +478,24 @@ class Join:
         common.small_batches(spark)
         store = common.Scratch(spark, "jaccard")
         docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-        texts = docs.select("text")
-        sizes = store.write(self._sizes(docs), "sizes")
-        order = spark.sparkContext.broadcast(self._order(sizes))
-        met = self._merged(self._meet(self._postings(texts, order, max(8, common.partitions(spark) // 4))))
-        size_of = sizes.where("chunk is null").groupBy("key").agg(F.first("n_shingles").alias("n"))
+        buckets = max(8, common.partitions(spark))
+        sizes = store.write(self._sizes(docs, buckets), "sizes")
+        open_classes = sizes.where("open").select("key", "text_key", F.col("n_shingles").alias("n"))
+        sets = store.write(self._sets(docs.select("text"), open_classes), "sets")
+        met = self._merged(self._meet(self._postings(sets, buckets)))
         members = self._members(stars(store.write(met, "met"), "a", "b"))
-        members = store.write(members.join(size_of, "key"), "members")
+        members = store.write(members.join(open_classes.groupBy("key").agg(F.first("n").alias("n")), "key"), "members")
         large = self._blocks(members).where("blocks > 1").select("group")
         if not large.isEmpty():
-            refined = self._refined(texts, sizes, members.join(large, "group", "left_semi").select("key", "group", "n"))
+            refined = self._refined(sets, members.join(large, "group", "left_semi").select("key", "group", "n"))
             refined = self._members(stars(store.write(refined, "refined"), "a", "b")).join(members.select("key", "n"), "key")
             members = store.write(members.join(large, "group", "left_anti").select("key", "group", "n").unionAll(refined.select("key", "group", "n")), "fewer")
-        searched = store.write(self._search(texts, sizes, members), "searched")
+        searched = store.write(self._search(sets, members), "searched")
         label = searched.where("whole and key <> label").select("key", "label")
         parts = searched.where("not whole and key <> label")
         if not parts.isEmpty():
             label = label.unionAll(stars(parts, "key", "label").select(F.col("node").alias("key"), F.col("component").alias("label")))
-        of = sizes.where("chunk is null").select("doc_id", "n_shingles", "key")
+        of = sizes.select("doc_id", "n_shingles", "key")
         # Documents without words have one key; their rows must not meet.
         named = of.where("n_shingles > 0").join(label, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label"))
         named = store.write(named, "named")
@@ -466,7 +529,64 @@ def _table(edges: np.ndarray, bucket: int = 0) -> pa.Table:
     return pa.table([pa.array([bucket] * len(edges), pa.int32()), pa.array(edges[:, 0], pa.int64()), pa.array(edges[:, 1], pa.int64())], ["bucket", "a", "b"])
 
 
-_SIZE_NAMES = ["doc_id", "text_key", "n_shingles", "key", "chunk", "part"]
+_ASKED_NAMES = ["kind", "target", "block", "alone", "part"]
+_ANSWER_NAMES = ["block", "bucket", "part"]
+_SIZE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("open", pa.bool_())])
+
+
+class Arranged(NamedTuple):
+    """The distinct n-grams of a block in the order of its requests: by bucket, those of one class first and by class."""
+
+    every: np.ndarray
+    times: np.ndarray  # classes of the block that have it
+    first: np.ndarray  # one of them
+    bucket: np.ndarray
+    place: np.ndarray  # of each of these among the sorted ones
+    order: np.ndarray  # that sorts the block's n-grams
+
+    @classmethod
+    def of(cls, grams: np.ndarray, owner: np.ndarray, buckets: int) -> Arranged:
+        order = np.argsort(grams)
+        every = grams[order]
+        starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if every.size else np.empty(0, np.int64)
+        times = np.diff(np.append(starts, len(every)))
+        every, first = every[starts], owner[order[starts]]
+        # the high half of a hash is what is sent, the rest tells the bucket
+        bucket = (every >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(buckets) >> np.uint64(24)
+        place = np.argsort(bucket << np.uint64(32) | (times > 1).astype(np.uint64) << np.uint64(31) | first.astype(np.uint64))
+        return cls(every[place], times[place], first[place], bucket[place], place, order)
+
+    def back(self, given: np.ndarray) -> np.ndarray:
+        """What was given for each distinct n-gram, for all n-grams of the block."""
+        times, of_sorted = np.empty_like(self.times), np.empty_like(given)
+        times[self.place], of_sorted[self.place] = self.times, given
+        out = np.empty(len(self.order), given.dtype)
+        out[self.order] = np.repeat(of_sorted, times)
+        return out
+
+
+def _gathered(docs: Iterable[tuple]) -> Iterator[tuple[list, dict[int, np.ndarray]]]:
+    """Blocks: rows (doc_id, text_key, size, class), and the sets of their classes."""
+    held: list[tuple] = []
+    sets: dict[int, np.ndarray] = {}
+    size = 0
+    for doc_id, text_key, key, found in docs:
+        held.append((doc_id, text_key, len(found), key))
+        if key not in sets:
+            sets[key] = found
+            size += len(found)
+        if size >= _BLOCK_GRAMS or len(held) >= _BLOCK_DOCS:
+            yield held, sets
+            held, sets, size = [], {}, 0
+    if held:
+        yield held, sets
+
+
+def _note_and_answers(group: pa.Table) -> tuple:
+    """What a block noted for itself (None: nothing), and its answers by bucket."""
+    given = dict(zip(group.column("bucket").to_pylist(), group.column("part").to_pylist()))
+    note = given.pop(-1, None)
+    return (pickle.loads(note) if note is not None else None), given
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
