@@ -11,31 +11,27 @@ handles few, large rows and numpy does the sorting inside the bucket.
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import ensure_checkpoint_dir
+
 #: White space of all word rules here: space and the control characters 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a folder below /tmp/checkpoints only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder below /tmp/checkpoints, and on a cluster an error."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 class Scratch:
@@ -51,7 +47,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df, and returns the table that has been written."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str | None = None) -> None:
@@ -69,9 +66,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts travel to Python in batches of at most so many rows, which bounds a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Batches of at most so many rows for what runs inside, which spares executors the room of larger ones; then as before."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows: Spark bounds a batch by bytes, but Python objects of its texts take more room than it does."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def text_bytes(rows: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts, by which blocks and buckets are sized."""
+    return rows.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
 def remainder(column: str, n: int) -> Column:
@@ -117,8 +133,23 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return words_and_lengths(raw)[0]
 
 
-def words_and_lengths(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """``word_hashes`` and the words' lengths in bytes."""
+def words_and_lengths(raw: bytes, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` and the words' lengths in bytes; long texts are hashed in stretches of about ``most`` bytes."""
+    if len(raw) <= most:
+        return _words_and_lengths(raw)
+    found, at = [], 0
+    while at < len(raw):
+        cut = _BREAK.search(raw, at + most)
+        end = cut.start() if cut else len(raw)
+        found.append(_words_and_lengths(memoryview(raw)[at:end]))
+        at = end
+    return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+
+
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _words_and_lengths(raw: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(raw, np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
@@ -213,10 +244,9 @@ def crc(data: bytes) -> int:
 
 def keep_rows(docs: DataFrame, mask, text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, for which mask(raw texts of a batch) is true; nothing is shuffled."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(mask(raw_texts(batch, text_column)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -69,6 +69,7 @@ _PLACES = np.random.default_rng(5).integers(1 << 62, 1 << 63, 64, dtype=np.uint6
 _LENGTH = np.uint64(31)
 _FILTER_BITS = 26
 _BLOCK_GRAMS, _BLOCK_DOCS = 1 << 20, 50_000  # a block of documents that asks together
+_BUCKET_BYTES = 16 << 20  # of text for each bucket of n-grams
 _BASE = 1.06  # sizes are sent as logarithms to this base
 
 
@@ -478,7 +479,7 @@ class Join:
         common.small_batches(spark)
         store = common.Scratch(spark, "jaccard")
         docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-        buckets = max(8, common.partitions(spark))
+        buckets = max(8, -(-common.text_bytes(docs) // _BUCKET_BYTES))
         sizes = store.write(self._sizes(docs, buckets), "sizes")
         open_classes = sizes.where("open").select("key", "text_key", F.col("n_shingles").alias("n"))
         sets = store.write(self._sets(docs.select("text"), open_classes), "sets")

@@ -10,15 +10,18 @@ It is a distribution over the V known words and the unknown one.  The weights
 are learned by expectation-maximisation on a part of the training documents, with
 that part's counts deleted from the estimates.
 
-Counts are of the whole training corpus and stay distributed.  Documents are
-dealt to blocks; a block sends each distinct word and pair once, with its counts,
-to the bucket of the key's hash; the bucket adds up the corpus counts and answers
-every block in the order of its request, so answers carry no keys.  A word in
-every document is thus at most one entry for each block.  Both directions are
-packed rows.  The driver sees totals and one histogram of fixed size, on which
-the weights are learned.
-
-Words and pairs are known by 64-bit hashes.
+Counts are of the whole training corpus and stay distributed.  Tasks gather
+documents to blocks of at most about a million tokens, which are written once: the
+words' hashes, and the tokens as places among them.  A block asks for each of
+its distinct words and pairs once, with its own counts, at the bucket of the
+key's hash.  The bucket adds up the corpus counts and answers every block in the
+order of its request, so answers carry no keys.  A word in every document is thus
+at most one entry for each block, and repeated rows fill as many blocks as
+others.  Blocks and buckets are as many as the texts' bytes ask for, so a worker's
+memory doesn't grow with the input.  The driver sees totals and one histogram of
+fixed size, on which the weights are learned.
+
+Words are known by 64-bit hashes, pairs by 40 bits of theirs and their bucket.
 
 Null and empty texts are one end token.  Rows without id are scored, not learned
 from, and not held out.  Rows with equal ids are scored each.  Without training
@@ -28,10 +31,14 @@ table gives an empty result.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +49,11 @@ END, START = np.uint64(1), np.uint64(2)  # keys of the end token and of the cont
 _END = np.array([END])
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 CONTEXTS = 33  # buckets of log2 of a context's count
-_FINE = 2  # histogram steps for each doubling of a probability
-
+_FINE = 4  # histogram steps for each doubling of a probability
+BLOCK_TOKENS, BUCKET_BYTES = 1 << 20, 12 << 20
 
-def tokens(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token keys of texts one after another, keys of pairs with the token before, and tokens of each text."""
-    parts, lengths = [], []
-    for raw in raws:
-        parts += [common.word_hashes(raw), _END]
-        lengths.append(len(parts[-2]) + 1)
-    keys = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    before = np.concatenate([[START], keys[:-1]]) if keys.size else keys
-    before[keys_start(lengths)] = START
-    return keys, mix(before * _LEFT + keys * _RIGHT), np.array(lengths, np.int64)
+#: Bytes of a key in a request: words are known by all of theirs, pairs by the bucket and five bytes.
+_WORD_BYTES, _PAIR_BYTES = 8, 5
 
 
 def keys_start(lengths) -> np.ndarray:
@@ -63,107 +62,161 @@ def keys_start(lengths) -> np.ndarray:
     return ends - lengths
 
 
-def _counts(keys: np.ndarray, every: np.ndarray) -> np.ndarray:
-    """How often each of ``every`` (sorted, distinct) occurs among the keys."""
-    keys = np.sort(keys)
-    return np.searchsorted(keys, every, "right") - np.searchsorted(keys, every, "left")
-
-
-def _by_bucket(every: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the keys of each bucket, in order of the keys."""
-    bucket = (every % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
-
-
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers as planes of their bytes, lowest first: small numbers leave planes of zeros, which compress well."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers as planes of their bytes, lowest first, as many as the largest needs, after their number: leading zeros cost nothing."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _from_planes(raw: bytes, at: int, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").reshape(-1)
+def _from_planes(raw: bytes, n: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """n numbers from planes that begin at a place, and the place behind them."""
+    width, out = raw[at], np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
+    return out.view("<u8").reshape(-1).astype(np.int64), at + 1 + n * width
 
 
-#: Bytes of a key in a request: words are known by all of theirs, pairs by the bucket and six bytes.
-_WORD_BYTES, _PAIR_BYTES = 8, 6
+class Tokens(NamedTuple):
+    """Tokens of a block's texts one after another: distinct words, and distinct pairs with the token before."""
 
+    lengths: np.ndarray  # tokens of each text
+    words: np.ndarray  # hashes
+    word: np.ndarray  # place of each token's word
+    before: np.ndarray  # place of the word before; beyond the last one: a text's start
+    pairs: np.ndarray  # hashes
+    pair: np.ndarray  # place of each token's pair
 
-def _request(buckets: int):
-    """Per block of documents: its distinct words and pairs with their counts in training."""
-
-    def run(group: pa.Table) -> pa.Table:
-        batch = group.combine_chunks().to_batches()[0]
-        train = batch.column("train").to_numpy(zero_copy_only=False)
-        words, pairs, lengths = tokens(common.raw_texts(batch))
-        in_train = np.repeat(train, lengths)
-        block, rows = batch.column("block")[0].as_py(), []
-        for first, keys, width in ((0, words, _WORD_BYTES), (buckets, pairs, _PAIR_BYTES)):
-            every = common.distinct(keys)
-            count = _counts(keys[in_train], every)
-            for b, own in _by_bucket(every, buckets):
-                rows.append((first + b, block, len(own), every[own].view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes() + _planes(count[own])))
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "block", "n", "part"])
-
-    return run
+    @classmethod
+    def of(cls, lengths: np.ndarray, words: np.ndarray, word: np.ndarray) -> Tokens:
+        before = np.concatenate([[0], word[:-1]]) if word.size else word
+        before[keys_start(lengths)] = len(words)
+        codes, pair = common.distinct_places(before * len(words) + word)
+        of_before, of_word = np.divmod(codes, max(1, len(words)))
+        pairs = mix(np.append(words, START)[of_before] * _LEFT + words[of_word] * _RIGHT)
+        return cls(lengths, words, word, before, pairs, pair)
 
 
-def _answer(buckets: int, blocks: int):
-    """Per bucket: corpus counts for every block, in the order of its request, and totals of the bucket's words.
-
-    Blocks from ``blocks`` on hold the part: they are answered with both counts, the others with those of training.
+def _by_bucket(every: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the keys of each bucket, in order of the keys."""
+    bucket = (every % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, order[edges[b] : edges[b + 1]]
+
+
+def _blocks(rows: DataFrame, block_tokens: int) -> DataFrame:
+    """(block, part, body): texts as tokens; documents of the part have blocks of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        size = {False: 0, True: 0}
+
+        def out(of_part: bool) -> pa.RecordBatch:
+            nonlocal number
+            ids, train, keys = zip(*held[of_part])
+            held[of_part], size[of_part], number = [], 0, number + 1
+            lengths = np.array([len(k) for k in keys], np.int64)
+            words, word = common.distinct_places(np.concatenate(keys))
+            # places by frequency: their higher bytes are mostly zero
+            order = np.argsort(-np.bincount(word), kind="stable")
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            body = pickle.dumps((ids, np.array(train, bool), lengths, words[order], zlib.compress(_planes(rank[word]), 1)), 5)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), pa.array([of_part]), pa.array([body], pa.binary())], ["block", "part", "body"])
+
+        for batch in common.sliced(batches):
+            for doc_id, text, train, of_part in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                held[of_part].append((doc_id, train, np.append(common.word_hashes(text.as_py() or b""), END)))
+                size[of_part] += len(held[of_part][-1][2])
+                if size[of_part] >= block_tokens:
+                    yield out(of_part)
+        for of_part in (False, True):
+            if held[of_part]:
+                yield out(of_part)
+
+    return rows.mapInArrow(run, "block long, part boolean, body binary")
+
+
+def _read(body: bytes) -> tuple[tuple, np.ndarray, Tokens]:
+    """Ids of a block's texts, whether they are learned from, and their tokens."""
+    ids, train, lengths, words, places = pickle.loads(body)
+    return ids, train, Tokens.of(lengths, words, _from_planes(zlib.decompress(places), int(lengths.sum()))[0])
+
+
+def _asked(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Requests: each block's distinct words and pairs by bucket, with their counts in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, of_part, body in zip(*(batch.column(i) for i in range(3))):
+                _, train, tokens = _read(body.as_py())
+                in_train = np.repeat(train, tokens.lengths)
+                for first, every, at, width in ((0, tokens.words, tokens.word, _WORD_BYTES), (buckets, tokens.pairs, tokens.pair, _PAIR_BYTES)):
+                    count = np.bincount(at[in_train], minlength=len(every))
+                    for b, own in _by_bucket(every, buckets):
+                        part = every[own].view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes() + _planes(count[own])
+                        yield pa.RecordBatch.from_arrays([pa.array([first + b], pa.int32()), pa.array([block.as_py()], pa.int64()), pa.array([of_part.as_py()]), pa.array([len(own)], pa.int32()), pa.array([part], pa.binary())], ["bucket", "block", "part", "n", "body"])
+
+    return blocks.mapInArrow(run, "bucket int, block long, part boolean, n int, body binary")
+
+
+def _answered(asked: DataFrame, buckets: int) -> DataFrame:
+    """Corpus counts for every block, in the order of its request, and totals of the bucket's words.
+
+    Blocks of the part are answered with both counts, the others with those of training.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        bucket, parts, sizes = group.column("bucket")[0].as_py(), group.column("part").to_pylist(), group.column("n").to_numpy()
-        of_part = group.column("block").to_numpy() >= blocks
+        m, bodies, of_part = group.num_rows, group.column("body").to_pylist(), group.column("part").to_numpy()
+        bucket, sizes = group.column("bucket")[0].as_py(), group.column("n").to_numpy().astype(np.int64)
         width = _WORD_BYTES if bucket < buckets else _PAIR_BYTES
-        key = np.zeros((int(sizes.sum()), 8), np.uint8)
+        raw_key = np.zeros((int(sizes.sum()), 8), np.uint8)
+        count = np.empty(len(raw_key), np.int64)
         ends = np.cumsum(sizes)
-        for raw, i, j in zip(parts, ends - sizes, ends):
-            key[i:j, 8 - width :] = np.frombuffer(raw, np.uint8, (j - i) * width).reshape(-1, width)
-        count = np.concatenate([_from_planes(raw, n * width, n) for raw, n in zip(parts, sizes.tolist())])
-        _, at = common.distinct_places(key.view(np.uint64).reshape(-1))
-        train, part = np.bincount(at, count), np.bincount(at, count * np.repeat(of_part, sizes))
-        answers = [_planes(train[at[i:j]]) + (_planes(part[at[i:j]]) if both else b"") for i, j, both in zip(ends - sizes, ends, of_part)]
-        n = len(parts)
+        for raw, i, j in zip(bodies, (ends - sizes).tolist(), ends.tolist()):
+            raw_key[i:j, 8 - width :] = np.frombuffer(raw, np.uint8, (j - i) * width).reshape(-1, width)
+            count[i:j] = _from_planes(raw, j - i, (j - i) * width)[0]
+        del bodies
+        order = np.argsort(raw_key.view(np.uint64).reshape(-1))
+        key = raw_key.view(np.uint64).reshape(-1)[order]
+        del raw_key
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(np.append(starts, len(key)))
+        train = np.add.reduceat(count[order], starts)
+        part = np.add.reduceat((count * np.repeat(of_part, sizes))[order], starts)
         totals = [int(train.sum()), int((train > 0).sum()), int((train - part).sum()), int((train > part).sum())] if bucket < buckets else [0] * 4
+        given = np.empty((2, len(key)), np.int64)
+        given[0, order], given[1, order] = np.repeat(train, times), np.repeat(part, times)
+        answers = [_planes(given[0, i:j]) + (_planes(given[1, i:j]) if both else b"") for i, j, both in zip((ends - sizes).tolist(), ends.tolist(), of_part)]
         return pa.table(
-            [pa.array([bucket] * n, pa.int32()), group.column("block").combine_chunks(), pa.array(answers, pa.binary())] + [pa.array([t] + [0] * (n - 1), pa.int64()) for t in totals],
-            ["bucket", "block", "answer", *_TOTALS],
+            [group.column("block"), pa.array([bucket] * m, pa.int32()), group.column("part"), pa.array(answers, pa.binary())] + [pa.array([t] + [0] * (m - 1), pa.int64()) for t in totals], [*_ANSWER, *_TOTALS]
         )
 
-    return run
+    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, part boolean, body binary, " + ", ".join(f"{t} long" for t in _TOTALS))
 
 
+_ANSWER = ["block", "bucket", "part", "body"]
 _TOTALS = ["n", "v", "n_left", "v_left"]
 
 
-def _looked_up(group: pa.Table, answers: pa.Table, buckets: int, less_part: bool):
-    """A block's texts as tokens, with the counts of words, contexts and pairs in training, less the part's if asked for."""
-    batch = group.combine_chunks().to_batches()[0]
-    words, pairs, lengths = tokens(common.raw_texts(batch))
-    given = dict(zip(answers.column("bucket").to_pylist(), answers.column("answer").to_pylist()))
+def _looked_up(block: pa.Table, answers: pa.Table, buckets: int, less_part: bool):
+    """Ids and lengths of a block's texts, and for each token the counts of its word, context and pair in training, less the part's if asked for."""
+    given = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist()))
+    ids, _, tokens = _read(block.column("body")[0].as_py())
     found = []
-    for first, keys in ((0, words), (buckets, pairs)):
-        every, at = common.distinct_places(keys)
+    for first, every in ((0, tokens.words), (buckets, tokens.pairs)):
         counts = np.zeros(len(every), np.int64)
         for b, own in _by_bucket(every, buckets):
             raw, n = given.pop(first + b), len(own)
-            counts[own] = _from_planes(raw, 0, n)
+            counts[own], behind = _from_planes(raw, n)
             if less_part:
-                counts[own] -= _from_planes(raw, 4 * n, n)
-        found.append(counts[at])
-        if not first:
-            # every text ends once, and its first word follows the start
-            ends = counts[np.searchsorted(every, END)]
-    word, pair = found
-    context = np.concatenate([[ends], word[:-1]])
-    context[keys_start(lengths)] = ends
-    return batch, lengths, word, context, pair
+                counts[own] -= _from_planes(raw, n, behind)[0]
+        found.append(counts)
+    # every text ends once, and its first word follows the start
+    of_word, of_pair = found
+    ends = of_word[np.flatnonzero(tokens.words == END)]
+    return ids, tokens.lengths, of_word[tokens.word], np.append(of_word, ends)[tokens.before], of_pair[tokens.pair]
 
 
 def context_bucket(count: np.ndarray) -> np.ndarray:
@@ -210,51 +263,40 @@ def learn(cells: np.ndarray, v: int, rounds: int = 60, prior: float = 20.0) -> n
     return out / out.sum(1, keepdims=True)
 
 
-def score(docs: DataFrame, training: Column, part: Column) -> DataFrame:
+def score(docs: DataFrame, training: Column, part: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row; ``part`` selects training rows that the weights are learned on."""
     spark = docs.sparkSession
     store = common.Scratch(spark, "lm")
-    blocks = common.partitions(spark)
-    of_part, buckets = -(-blocks // 6), max(4, blocks // 2)
-    rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long"), "text",
-        F.coalesce(training, F.lit(False)).alias("train"), F.coalesce(training & part, F.lit(False)).alias("part"),
-    ).withColumn("block", F.when(F.col("part"), F.col("block") % of_part + blocks).otherwise(F.col("block")))
-    asked = rows.groupBy("block").applyInArrow(_request(buckets), "bucket int, block int, n int, part binary")
-    totals = ", ".join(f"{t} long" for t in _TOTALS)
-    answers = store.write(asked.groupBy("bucket").applyInArrow(_answer(buckets, blocks), f"bucket int, block int, answer binary, {totals}"), "answers")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(training, F.lit(False)).alias("train"), F.coalesce(training & part, F.lit(False)).alias("part"))
+    buckets = max(4, -(-common.text_bytes(rows) // BUCKET_BYTES))
+    blocks = store.write(_blocks(rows, block_tokens), "blocks")
+    answers = store.write(_answered(_asked(blocks, buckets), buckets), "answers")
     n, v, n_left, v_left = (x or 0 for x in answers.agg(*(F.sum(t) for t in _TOTALS)).first())
 
-    def histogram(group: pa.Table, replies: pa.Table) -> pa.Table:
-        cells = np.empty((0, 3), np.int64)
-        count = np.empty(0, np.int64)
-        if group.num_rows:
-            _, _, word, context, pair = _looked_up(group, replies, buckets, True)
-            p2, p1 = _estimates(word, context, pair, n_left)
-            code, count = np.unique((context_bucket(context) << 32) + (_step(p2) + 1 << 16) + _step(p1) + 1, return_counts=True)
-            cells = np.stack([code >> 32, (code >> 16 & 0xFFFF) - 1, (code & 0xFFFF) - 1], 1)
-        return pa.table([*(pa.array(cells[:, i]) for i in range(3)), pa.array(count)], ["context", "pair", "word", "n"])
-
-    # Documents of the part have blocks of their own, so only these are read here.
-    seen = rows.where("part").groupBy("block").cogroup(answers.where(F.col("block") >= blocks).select("bucket", "block", "answer").groupBy("block"))
+    def histogram(block: pa.Table, given: pa.Table) -> pa.Table:
+        _, _, word, context, pair = _looked_up(block, given, buckets, True)
+        p2, p1 = _estimates(word, context, pair, n_left)
+        code, count = np.unique((context_bucket(context) << 32) + (_step(p2) + 1 << 16) + _step(p1) + 1, return_counts=True)
+        return pa.table([pa.array(code >> 32), pa.array((code >> 16 & 0xFFFF) - 1), pa.array((code & 0xFFFF) - 1), pa.array(count)], ["context", "pair", "word", "n"])
+
+    # Only blocks of the part are read here.
+    seen = blocks.where("part").groupBy("block").cogroup(answers.where("part").select(*_ANSWER).groupBy("block"))
     found = seen.applyInArrow(histogram, "context long, pair long, word long, n long").groupBy("context", "pair", "word").agg(F.sum("n").alias("n")).collect()
     weights = learn(np.array([tuple(r) for r in found], np.int64).reshape(-1, 4), v_left)
     spread = np.log10(n + 0.5 * (v + 1))
 
-    def run(group: pa.Table, replies: pa.Table) -> pa.Table:
-        if not group.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], _NAMES)
-        batch, lengths, word, context, pair = _looked_up(group, replies, buckets, False)
+    def run(block: pa.Table, given: pa.Table) -> pa.Table:
+        ids, lengths, word, context, pair = _looked_up(block, given, buckets, False)
         p2, p1 = _estimates(word, context, pair, n)
         w = weights[context_bucket(context)]
         p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1) + w[:, 3] * (word == 0)
         starts = keys_start(lengths)
         add = lambda x: np.add.reduceat(x, starts)
         base = add(np.log10(word + 0.5)) - lengths * spread
-        columns = [batch.column("doc_id"), pa.array(lengths), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(add(np.log10(np.maximum(p, 1e-300))))]
+        columns = [pa.array(ids, pa.int64()), pa.array(lengths), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(add(np.log10(np.maximum(p, 1e-300))))]
         return pa.table(columns, _NAMES)
 
-    return rows.groupBy("block").cogroup(answers.select("bucket", "block", "answer").groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(answers.select(*_ANSWER).groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _NAMES = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

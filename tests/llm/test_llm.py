@@ -250,6 +250,80 @@ def test_scores(spark, docs):
     assert lm.score(empty(spark), rest != 1, rest == 2).count() == 0
 
 
+def brute_mixture(rows):
+    """Scores by the module's formula on plain dictionaries; weights by expectation-maximisation on exact estimates."""
+    END, START = "END", "START"
+    cut = [(i, (t or "").encode().lower().split() + [END]) for i, t in rows]
+    kind = [None if i is None else zlib.crc32(str(i).encode()) % 5 for i, _ in cut]
+
+    def counted(chosen):
+        words, pairs = collections.Counter(), collections.Counter()
+        for (_, w), k in zip(cut, kind):
+            if chosen(k):
+                words.update(w)
+                pairs.update(zip([START, *w], w))
+        words[START] = words[END]
+        return words, pairs, sum(words.values()) - words[START], len(words) - (words[START] >= 0) - (0 if words[END] else 1)
+
+    def estimates(w, counts):
+        words, pairs, n, v = counts
+        for u, x in zip([START, *w], w):
+            c = words[u]
+            yield min(lm.CONTEXTS - 1, c.bit_length()), (pairs[u, x] / c if c else 0.0, words[x] / max(n, 1), 1 / (v + 1), float(words[x] == 0))
+
+    left = counted(lambda k: k is not None and k not in (1, 2))
+    seen = [e for (_, w), k in zip(cut, kind) if k == 2 for e in estimates(w, left)]
+
+    def em(p, start, lean):
+        weights = start
+        for _ in range(60):
+            share = weights * p
+            share /= share.sum(1, keepdims=True)
+            weights = share.sum(0) + lean * start
+            weights = weights / weights.sum()
+        return weights
+
+    pooled = em(np.array([p for _, p in seen]), np.full(4, 0.25), 0.0)
+    weights = {c: em(np.array([p for b, p in seen if b == c]), pooled, 20.0) for c in {b for b, _ in seen}}
+    every = counted(lambda k: k is not None and k != 1)
+    out = []
+    for i, w in cut:
+        total = 0.0
+        for b, p in estimates(w, every):
+            mine = weights.get(b, pooled).copy()
+            if not b:
+                mine[0] = 0
+                mine /= mine.sum()
+            total += np.log10(max(1e-300, mine @ np.array(p)))
+        out.append((i, len(w), total))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_tokens", [1 << 20, 40])
+def test_mixture_equals_plain_recomputation(spark, docs, block_tokens):
+    rest = common.remainder("doc_id", 5)
+    found = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in lm.score(docs, rest != 1, rest == 2, block_tokens).collect()), key=str)
+    want = brute_mixture(pairs_of(docs))
+    assert [f[:2] for f in found] == [w[:2] for w in want]
+    # weights are learned on estimates rounded to quarters of a doubling
+    assert sum(f[2] for f in found) == pytest.approx(sum(w[2] for w in want), rel=2e-3)
+    assert all(f[2] == pytest.approx(w[2], rel=0.03, abs=0.05) for f, w in zip(found, want))
+
+
+def test_counts_beyond_32_bits():
+    values = np.array([0, 1, 255, 5_000_000_000, 1 << 50])
+    back, behind = lm._from_planes(lm._planes(values) + b"rest", 5)
+    assert back.tolist() == values.tolist() and behind == 1 + 5 * 7
+
+
+def test_words_of_a_very_long_text():
+    rng = random.Random(9)
+    raw = " ".join("w" * rng.randrange(1, 9) + str(rng.randrange(999)) for _ in range(30_000)).encode() + b"\n" + b"x" * 50_000 + b" end"
+    for most in (1, 100, 1 << 20):
+        h, n = common.words_and_lengths(raw, most)
+        assert n.tolist() == [len(w) for w in raw.split()] and (h == common.words_and_lengths(raw, 1 << 30)[0]).all()
+
+
 def test_weights_are_distributions_and_follow_the_data():
     cells = np.array([[5, 3, 30, 900], [5, -1, 30, 60], [5, -1, -1, 40], [0, -1, 30, 90], [0, -1, -1, 10]])
     w = lm.learn(cells, 1000)
