@@ -8,7 +8,10 @@ and ``lookahead`` computes the longest stretch of symbols that any chain of a
 merge list covers.  A token that starts more than that many symbols before the
 end of what has been read can no longer change: ``Transducer`` emits it and
 forgets its symbols.  It holds at most the lookahead plus two blocks, however
-long the piece is.
+long the piece is.  Merges never cross the pieces of the pre-tokenizer, so a text
+goes through in stretches of about 64 thousand characters that end between
+words; ids leave in blocks, and the decoder takes each block as it comes.  A file
+of another kind of pre-tokenizer is cut as a whole.
 
 Decoding.  ``Detokenizer`` maps ids to bytes and bytes to text with an
 incremental UTF-8 state machine, which keeps at most three bytes between ids;
@@ -25,8 +28,10 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +41,8 @@ from . import common, vocab
 #: Symbols that end a word stand as one character each: this is added to the code of the character before the suffix.
 _END = 0xF0000
 
+_GAP = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
 
 LETTER_OF = vocab.byte_letters()
 BYTE_OF = {c: b for b, c in LETTER_OF.items()}
@@ -218,18 +225,45 @@ class Codec:
         letters = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return [bytes(BYTE_OF[c] for c in p).decode("utf-8", "surrogateescape") for p in letters]
 
-    def encode(self, text: str) -> list[int]:
+    def stream(self, text: str, block: int = 8192) -> Iterator[list[int]]:
+        """Ids of a text in blocks, as soon as they are stable."""
         out: list[int] = []
-        for part in self._parts(text):
-            out += [self.special[part]] if part in self.special else [i for p in self.pieces(part) for i in self._known(p)]
-        return out
+        for stretch in self._stretches(text):
+            for part in self._parts(stretch):
+                for piece in [None] if part in self.special else self.pieces(part):
+                    if piece is None:
+                        out.append(self.special[part])
+                    elif len(piece) < block:
+                        out += self._known(piece)
+                    else:
+                        machine = Transducer(self.merges)
+                        for symbols in self.symbols(piece):
+                            out += machine.feed(symbols)
+                            if len(out) >= block:
+                                yield out
+                                out = []
+                        out += machine.close()
+                    if len(out) >= block:
+                        yield out
+                        out = []
+        if out:
+            yield out
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.stream(text)))
+
+    def _stretches(self, text: str, most: int = 1 << 16) -> Iterator[str]:
+        """The text in stretches that no piece and no special token crosses: cut before a single space between ASCII letters."""
+        at = 0
+        while self.cut != "other" and len(text) - at > most and (found := _GAP.search(text, at + most)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:] if at else text
 
     def _parts(self, text: str) -> list[str]:
         """The text cut at special tokens, which stay themselves."""
         parts = [text]
         if "<|" in text:
-            import re
-
             parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
         return [p for p in parts if p]
 
@@ -243,9 +277,9 @@ class Codec:
         return ids
 
     def decode(self, ids: Iterable[int], block: int = 8192) -> Iterator[str]:
-        ids = list(ids)
-        for i in range(0, len(ids), block):
-            yield self.detokenizer.feed(ids[i : i + block])
+        ids = iter(ids)
+        while some := list(islice(ids, block)):
+            yield self.detokenizer.feed(some)
         yield self.detokenizer.close()
 
 
@@ -257,12 +291,11 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids array<int>): every row's whole text, encoded."""
-    common.small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
-        for batch in batches:
+        for batch in common.sliced(batches):
             ids = pa.array([use.encode(t) for t in common.texts(batch, "_text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_column, "ids"])
 
@@ -275,7 +308,7 @@ def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
-        for batch in batches:
+        for batch in common.sliced(batches):
             made = ["".join(use.decode(ids or [])) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], [id_column, "text"])
 
@@ -284,20 +317,21 @@ def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids_column:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes every text and decodes its ids again, in one pass and without a shuffle."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(path)
-        for batch in batches:
+        for batch in common.sliced(batches):
             n, spelled, decoded = [], [], []
-            for text in common.texts(batch):
-                ids = use.encode(text)
-                n.append(len(ids))
-                spelled.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                sha = hashlib.sha256()
-                for part in use.decode(ids):
-                    sha.update(part.encode())
-                decoded.append(sha.hexdigest())
+            for text in batch.column(1):
+                count, digits, characters = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in use.stream(text.as_py() or ""):
+                    digits.update((" " * bool(count) + " ".join(map(str, ids))).encode())
+                    characters.update(use.detokenizer.feed(ids).encode())
+                    count += len(ids)
+                characters.update(use.detokenizer.close().encode())
+                n.append(count)
+                spelled.append(digits.hexdigest())
+                decoded.append(characters.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spelled), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
