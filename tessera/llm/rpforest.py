@@ -6,8 +6,8 @@ neighbours are seldom parted; and trees differ, so that few pairs are parted in
 all of them.  Vectors are compared within leaves only, by cosine in double
 precision, and links become components.
 
-The splits are fitted on a bounded sample (``sample`` vectors in all, chosen by
-a hash of the id); every vector is indexed.  Only vectors with equal labels and
+The splits are fitted on a bounded sample (``sample`` classes or a 32nd of them, but
+no more than ``MOST_SAMPLED``, chosen by a hash); every vector is indexed.  Only vectors with equal labels and
 equal length are compared: each such *space* has trees of its own.
 
 Equal vectors with equal labels form one class with a multiplicity, so copies
@@ -45,10 +45,19 @@ from . import common
 #: Vectors of a node whose links are looked at, and the cuts that are tried, the median first.
 PROBE, QUANTILES = 512, (0.5, 0.4, 0.6, 0.3, 0.7)
 
+#: Vectors that splits are fitted on, at most: what the driver holds.
+MOST_SAMPLED = 200_000
+
 #: The share of links that a cut may part where they are many.
 PARTED = 0.02
 
 
+def _comparable(table: DataFrame, column: str):
+    """A label as text, such that equal labels are equal texts; zero has one sign."""
+    value = F.col(column)
+    return (value + F.lit(0).cast(dict(table.dtypes)[column]) if dict(table.dtypes)[column] in ("float", "double") else value).cast("string")
+
+
 class Tree:
     """Nodes in arrays: a direction and a threshold each, children, or a leaf number."""
 
@@ -132,8 +141,10 @@ class Forest:
     def fit(self, classes: DataFrame) -> dict[tuple[int, int], list[Tree]]:
         """Trees of each space (label, length), from about ``sample`` classes, and never more than twice as many."""
         counts = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().collect()}
-        share = min(1.0, self.sample / max(1, sum(counts.values())))
-        drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < share * 1_000_003).select("label", "dim", "rep", "vector").limit(2 * self.sample)
+        # leaves keep their size up to 32 * MOST_SAMPLED classes, and grow beyond
+        wanted = min(max(self.sample, sum(counts.values()) // 32), MOST_SAMPLED)
+        share = min(1.0, wanted / max(1, sum(counts.values())))
+        drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) < share * 1_000_003).select("label", "dim", "rep", "vector").limit(2 * wanted)
         sampled: dict[tuple[int, int], list] = {}
         for r in sorted(drawn.collect(), key=lambda r: (r["label"], r["dim"], r["rep"])):
             sampled.setdefault((r["label"], r["dim"]), []).append(r["vector"])
@@ -147,14 +158,14 @@ class Forest:
                 found[space].append(tree)
         return found
 
-    def _route(self, classes: DataFrame, forest) -> DataFrame:
-        """(leaf, rep, copies, raw, leaves): a row for each leaf of each class; ``leaves`` are all its leaves."""
+    def _route(self, classes: DataFrame, forest, kind: str) -> DataFrame:
+        """(leaf, rep, copies, raw, leaves): a row for each leaf of each class; ``leaves`` are all its leaves, ``kind`` the numbers of ``raw``."""
         spark = classes.sparkSession
         trees, width = spark.sparkContext.broadcast(forest), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                label, dim, rep, copies = (batch.column(i).to_numpy() for i in range(4))
+            for batch in common.sliced(batches, 2000):
+                label, dim, rep, copies = np.array(batch.column(0).to_pylist(), object), *(batch.column(i).to_numpy() for i in (1, 2, 3))
                 for space in sorted(set(zip(label.tolist(), dim.tolist()))):
                     own = np.flatnonzero((label == space[0]) & (dim == space[1]))
                     x = np.ascontiguousarray(batch.column(4).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), "<f8")
@@ -165,7 +176,7 @@ class Forest:
                     row, leaf = row[order], leaf[order]
                     edges = np.searchsorted(row, np.arange(len(own) + 1))
                     lists = [leaf[i:j].astype("<i4").tobytes() for i, j in zip(edges, edges[1:])]
-                    raw = [v.tobytes() for v in x]
+                    raw = [v.tobytes() for v in x.astype(kind)]
                     at = row.tolist()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(leaf.astype(np.int32)), pa.array(rep[own][row]), pa.array(copies[own][row]), pa.array([raw[i] for i in at], pa.binary()), pa.array([lists[i] for i in at], pa.binary())],
@@ -174,7 +185,7 @@ class Forest:
 
         return classes.select("label", "dim", "rep", "copies", "vector").mapInArrow(run, "leaf int, rep long, copies long, raw binary, leaves binary")
 
-    def _compare(self, routed: DataFrame) -> DataFrame:
+    def _compare(self, routed: DataFrame, kind: str) -> DataFrame:
         """(rep, links, other): vectors that a class links with, by leaf, and a spanning forest of the links."""
         block, threshold = self.block, self.threshold
         # Leaves are split by their size; a hash deals their classes to blocks.
@@ -186,7 +197,7 @@ class Forest:
         def run(group: pa.Table) -> pa.Table:
             leaf, i, j = (group.column(c)[0].as_py() for c in ("leaf", "i", "j"))
             own, rep, copies = (group.column(c).to_numpy() for c in ("own", "rep", "copies"))
-            x = unit(np.frombuffer(b"".join(group.column("raw").to_pylist()), "<f8").reshape(len(rep), -1))
+            x = unit(np.frombuffer(b"".join(group.column("raw").to_pylist()), kind).astype(float).reshape(len(rep), -1))
             lists = [np.frombuffer(v, "<i4") for v in group.column("leaves").to_pylist()]
             # Earlier leaves of each row, as bits.
             at, before = np.repeat(np.arange(len(rep)), list(map(len, lists))), np.concatenate(lists)
@@ -233,10 +244,10 @@ class Forest:
     def components(self, table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
         """(vec_id, n_links, component_id, kept) for every row."""
         spark = table.sparkSession
-        common.small_batches(spark, 2000)
         store = common.Scratch(spark, "forest")
+        kind = "<f4" if dict(table.dtypes)[vector_column] == "array<float>" else "<f8"  # single numbers travel as such, and are compared as doubles
         vector = F.transform(F.col(vector_column).cast("array<double>"), lambda v: v + F.lit(0.0))  # one zero, not two
-        rows = table.select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("vector"), F.col(label_column).cast("long").alias("label"))
+        rows = table.select(F.col(id_column).cast("long").alias("vec_id"), vector.alias("vector"), _comparable(table, label_column).alias("label"))
         finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
         usable = F.col("label").isNotNull() & F.coalesce(finite & F.exists("vector", lambda v: v != 0), F.lit(False))
         # Two hashes of label and vector, 128 bits, name a class.
@@ -247,7 +258,7 @@ class Forest:
         classes = good.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"), F.first("label").alias("label"))
         # A class goes by a hash of its own, as its ids may all be null.
         classes = store.write(classes.withColumn("rep", F.xxhash64("k1", "k2")).withColumn("dim", F.size("vector")), "classes")
-        compared = store.write(self._compare(self._route(classes, self.fit(classes))), "compared")
+        compared = store.write(self._compare(self._route(classes, self.fit(classes), kind), kind), "compared")
         links = compared.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
         label = stars(compared.where("other is not null"), "rep", "other").select(F.col("node").alias("rep"), F.col("component").alias("root"))
         of_class = classes.select("k1", "k2", "copies", "rep", "least").join(links, "rep", "left").join(label, "rep", "left").select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"), "least")
