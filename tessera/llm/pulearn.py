@@ -8,15 +8,19 @@ non-negative unbiased risk
 
 with the logistic loss; where the second part would fall below zero, the step
 climbs back, which keeps the negatives' risk from being over-fitted.  The class
-prior is estimated as the share of positives among the labelled training rows.
-g is a network with one hidden layer over measurements of the whole text, trained
-in numpy on about ``sample`` positives and as many unlabelled documents, chosen
-by a hash of the id; only their measurements reach the driver.
+prior is estimated from positives and unlabelled documents alone: a network
+learns to tell half of the ones from half of the others, and among the highest
+scores of the other halves the ratio of the two sets' shares, least with its
+confidence bound, is the prior (best bin estimation).  Labels of 0 are not used.
+g is a network with one hidden layer over measurements of the whole text and the
+shares of its words by hashed bucket, trained in numpy on about ``sample``
+positives and as many unlabelled documents, chosen by a hash of id and text; only
+their measurements reach the driver.
 
 Null and empty texts have measurements too (all zero) and get a score.  Rows
-without id are scored, not learned from.  A document with several labels counts
-as positive if none of them is 0.  Without any positive the score is the prior,
-or 0.5 where no row is labelled.  Repeated rows get equal scores; an empty table
+without id are scored, not learned from; repeated rows are learned from once.  A
+document with several labels counts as positive if none of them is 0.  Without
+any positive nothing is learned and every score is 0.5.  Repeated rows get equal scores; an empty table
 gives an empty result; only the text enters a score.
 """
 
@@ -43,7 +47,8 @@ _CLASSES[[*b"#*$%&<>@=+/\\_^~{}[]"]] = 6
 _CLASSES[[*b"|"]] = 7
 _CLASSES[[*b" \t\n\r\x0b\x0c"]] = 8
 _CLASSES[128:] = 9
-MEASURES = 20
+HASHED = 64  # buckets of words
+MEASURES = 20 + HASHED
 
 
 def measure(raw: bytes) -> np.ndarray:
@@ -63,13 +68,16 @@ def measure(raw: bytes) -> np.ndarray:
     pairs = len(set(zip(words, words[1:]))) if n > 1 else 1
     codes = np.bincount(data, minlength=256)
     p = codes[codes > 0] / len(data)
-    out[:] = (
+    out[:20] = (
         np.log1p(n), sizes.mean(), sizes.std(), np.log1p(sizes.max()),
         share[2] / max(1, letters), share[3] / len(data), share[4] / n, share[5] / n, share[6] / n, share[7] / n,
         letters / len(data), len(counts) / n, np.log(len(counts)) / np.log(n + 1), max(counts.values()) / n,
         stutters / n, 1 - pairs / max(1, n - 1), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(n / max(1, len(lines))),
         -(p * np.log(p)).sum(), np.count_nonzero(sizes == 1) / n,
     )
+    hashes = common.word_hashes(raw)
+    if len(hashes):
+        out[20:] = np.sqrt(np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=HASHED) / len(hashes))
     return out
 
 
@@ -101,50 +109,88 @@ def _gradient(layers: list[np.ndarray], x: np.ndarray, by_output: np.ndarray) ->
     return [x.T @ back, back.sum(0), hidden.T @ by_output, by_output.sum(keepdims=True)]
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 2000, rate: float = 0.01, back: float = 0.1, seed: int = 3) -> Model:
-    """Minimises the non-negative risk by Adam on mini-batches; ``back`` scales the steps that climb back."""
-    scale = unlabelled.std(0)
-    model = Model(prior, unlabelled.mean(0), np.where(scale > 1e-9, scale, 1.0), [])
-    pos, unl = model.scaled(positive), model.scaled(unlabelled)
-    rng = np.random.default_rng(seed)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def _descended(gradient, hidden: int, steps: int, rate: float, rng: np.random.Generator) -> list[np.ndarray]:
+    """Layers after steps of Adam with a falling rate along ``gradient(layers)``."""
     layers = [rng.normal(0, MEASURES**-0.5, (MEASURES, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     first, second = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers]
-    sigmoid = lambda z: 1 / (1 + np.exp(-z))
     for step in range(1, steps + 1):
-        p, u = pos[rng.integers(0, len(pos), 512)], unl[rng.integers(0, len(unl), 1024)]
-        gp, gu = _forward(layers, p)[1], _forward(layers, u)[1]
-        # logistic loss: log(1 + exp(-g)) for label 1 and log(1 + exp(g)) for label 0
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        to_p = prior * -sigmoid(-gp) / len(p)
-        of_negative = (-prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u))
-        if negative >= 0:
-            grads = [a + b for a, b in zip(_gradient(layers, p, to_p + of_negative[0]), _gradient(layers, u, of_negative[1]))]
-        else:
-            grads = [-back * (a + b) for a, b in zip(_gradient(layers, p, of_negative[0]), _gradient(layers, u, of_negative[1]))]
         now = rate * (1 - step / (steps + 1))
-        for w, g, a, b in zip(layers, grads, first, second):
+        for w, g, a, b in zip(layers, gradient(layers), first, second):
             g = g + 1e-4 * w
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
             w -= now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    model.layers = layers
+    return layers
+
+
+def risk(layers: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray], list[np.ndarray]]:
+    """The positives' risk and the negatives' unbiased risk with the logistic loss, and the gradients of each."""
+    gp, gu = _forward(layers, p)[1], _forward(layers, u)[1]
+    # log(1 + exp(-g)) for label 1 and log(1 + exp(g)) for label 0
+    of_positive = prior * np.logaddexp(0, -gp).mean()
+    of_negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    up = _gradient(layers, p, prior * -_sigmoid(-gp) / len(p))
+    down = [a + b for a, b in zip(_gradient(layers, p, -prior * _sigmoid(gp) / len(p)), _gradient(layers, u, _sigmoid(gu) / len(u)))]
+    return of_positive, of_negative, up, down
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 2000, rate: float = 0.01, back: float = 0.1, seed: int = 3) -> Model:
+    """Minimises the non-negative risk by Adam on mini-batches; ``back`` scales the steps that climb back."""
+    scale = unlabelled.std(0)
+    model = Model(prior, unlabelled.mean(0), np.where(scale > 1e-9, scale, 1.0), [])
+    pos, unl = model.scaled(positive), model.scaled(unlabelled)
+    rng = np.random.default_rng(seed)
+
+    def gradient(layers: list[np.ndarray]) -> list[np.ndarray]:
+        _, of_negative, up, down = risk(layers, pos[rng.integers(0, len(pos), 512)], unl[rng.integers(0, len(unl), 1024)], prior)
+        return [a + b for a, b in zip(up, down)] if of_negative >= 0 else [-back * b for b in down]
+
+    model.layers = _descended(gradient, hidden, steps, rate, rng)
     return model
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, halves: tuple[np.ndarray, np.ndarray], steps: int = 500, delta: float = 0.1, gamma: float = 0.01, seed: int = 5) -> float:
+    """The share of positives among unlabelled rows, by best bin estimation; halves: which rows of each set are learned from.
+
+    A document in both sets has to be in the same half of each.
+    """
+    (p, q), (u, v) = ((x[h], x[~h]) for x, h in zip((positive, unlabelled), halves))
+    if min(map(len, (p, q, u, v))) == 0:
+        return 0.5
+    scale = u.std(0)
+    model = Model(0.5, u.mean(0), np.where(scale > 1e-9, scale, 1.0), [])
+    p, q, u, v = map(model.scaled, (p, q, u, v))
+    rng = np.random.default_rng(seed)
+
+    def gradient(layers: list[np.ndarray]) -> list[np.ndarray]:
+        a, b = p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 512)]
+        return [x + y for x, y in zip(_gradient(layers, a, -_sigmoid(-_forward(layers, a)[1]) / len(a)), _gradient(layers, b, _sigmoid(_forward(layers, b)[1]) / len(b)))]
+
+    layers = _descended(gradient, 12, steps, 0.01, rng)
+    of_p, of_u = np.sort(_forward(layers, q)[1]), np.sort(_forward(layers, v)[1])
+    share_p = 1 - np.arange(len(of_p)) / len(of_p)
+    share_u = 1 - np.searchsorted(of_u, of_p, "left") / len(of_u)
+    doubt = np.sqrt(np.log(4 / delta) / (2 * len(of_u))) + np.sqrt(np.log(4 / delta) / (2 * len(of_p)))
+    best = int(np.argmin(share_u / share_p + (1 + gamma) * doubt / share_p))
+    return float(share_u[best] / share_p[best])
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = 6000) -> Model:
     """Learns from rows that ``training`` selects; about ``sample`` positives and unlabelled rows, whatever the input's size."""
-    common.small_batches(docs.sparkSession)
     usable = docs.where(training & F.col("doc_id").isNotNull())
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = usable.select("doc_id").join(known, "doc_id", "left")
-    count = ids.agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.coalesce(F.sum(F.when(F.col("quality") > 0, 1)), F.lit(0)).alias("positive")).first()
-    prior = count["positive"] / count["labelled"] if count["labelled"] else 0.5
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    count = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("quality") > 0, 1)), F.lit(0)).alias("positive")).first()
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
     # One draw serves both sets: it is as large as the rarer of them needs.
     share = min(1.0, sample / max(1, min(count["n"], count["positive"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             rows = [measure(t).tolist() for t in common.raw_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "mark", "x"])
 
@@ -152,14 +198,16 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = 6000
     drawn = usable.select("doc_id", mark.alias("mark"), "text").where(F.col("mark") < share * 1_000_003)
     chosen = drawn.select("doc_id").join(known, "doc_id", "left").select("doc_id", "quality").distinct()
     wanted = drawn.join(chosen.where((F.col("quality") > 0)).select("doc_id", F.lit(True).alias("positive")), "doc_id", "left")
-    wanted = wanted.where(F.col("positive") | (F.col("mark") < of_unlabelled * 1_000_003))
+    wanted = wanted.where(F.col("positive") | (F.col("mark") < of_unlabelled * 1_000_003)).dropDuplicates(["doc_id", "mark"])
     found = wanted.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, x array<double>")
-    rows = found.join(chosen, "doc_id", "left").select("doc_id", "mark", F.coalesce(F.col("quality") > 0, F.lit(False)).alias("positive"), "x").orderBy("doc_id", "x").collect()
+    rows = found.join(chosen, "doc_id", "left").select("doc_id", "mark", F.coalesce(F.col("quality") > 0, F.lit(False)).alias("positive"), "x").orderBy("doc_id", "mark").collect()
     x = np.array([r["x"] for r in rows]).reshape(-1, MEASURES)
     positive = np.array([r["positive"] for r in rows], bool)
     unlabelled = np.array([r["mark"] < of_unlabelled * 1_000_003 for r in rows], bool)
     if not positive.any() or not unlabelled.any():
-        return Model(prior, np.zeros(MEASURES), np.ones(MEASURES), [])
+        return Model(0.5, np.zeros(MEASURES), np.ones(MEASURES), [])
+    half = np.array([r["mark"] % 2 == 0 for r in rows], bool)
+    prior = estimated_prior(x[positive], x[unlabelled], (half[positive], half[unlabelled]))
     return train(x[positive], x[unlabelled], min(max(prior, 0.01), 0.99))
 
 
@@ -169,10 +217,9 @@ def scores(model: Model, raws: list[bytes]) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row, from its text alone."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(model, common.raw_texts(batch)))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
