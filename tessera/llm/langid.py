@@ -4,7 +4,7 @@ A text is the average of the embeddings of its words' features: each word and
 its character 3- and 4-grams with word ends, hashed into a table of fixed size.
 Embeddings and softmax are trained together by stochastic gradient descent in
 numpy, on fragments of a bounded sample of labelled documents: about
-``per_label`` documents of each label, chosen by a hash of their id.  A fifth of
+``per_label`` documents of each label, chosen by a hash of id and text.  A fifth of
 them is kept back to fit the softmax temperature, so that scores are calibrated,
 and the least score below which a prediction counts as rejected.
 
@@ -160,28 +160,30 @@ def calibrate(model: Model, examples: list[tuple[str, str]], lost: float = 0.001
     return model
 
 
-def fit(docs: DataFrame, training, per_label: int = 1500) -> Model:
-    """Learns from rows that ``training`` (a column) selects: about ``per_label`` documents of each label, by a hash of the id.
+def fit(docs: DataFrame, training, per_label: int = 1500, most_labels: int = 500) -> Model:
+    """Learns from rows that ``training`` (a column) selects: about ``per_label`` documents of each label, by a hash of id and text.
 
-    What reaches the driver is three fragments of each, so its size depends on ``per_label`` and the number of labels only.
+    Beyond ``most_labels`` labels only the most frequent ones are learned.  What
+    reaches the driver is three fragments of each document, so its size depends on
+    these two numbers only.
     """
-    common.small_batches(docs.sparkSession)
     usable = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for label, n in counts.items():
-        share = F.when(F.col("lang") == label, F.lit(min(1.0, per_label / n))).otherwise(share)
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()}
+    if not counts:
+        return Model([], np.zeros((1, 0), np.float32), np.zeros(0))
+    share = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, min(1.0, per_label / n))))[F.col("lang")]
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             rows = []
             for key, mark, text, label in zip(*(c.to_pylist() for c in batch.columns)):
                 words = WORD.findall(text)
                 rows += [(key, i, mark, f, label) for i, f in enumerate(fragments(words, key & 0xFFFFFFFF) if words else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "i", "mark", "text", "lang"])
 
-    chosen = usable.where(mark < share * 1_000_003).select(F.col("doc_id").cast("long"), mark.alias("mark"), "text", "lang")
+    # Repeated rows are learned from once.
+    chosen = usable.where(mark < share * 1_000_003).select(F.col("doc_id").cast("long"), mark.alias("mark"), "text", "lang").dropDuplicates(["doc_id", "mark", "lang"])
     found = sorted(map(tuple, chosen.mapInArrow(run, "doc_id long, i int, mark long, text string, lang string").collect()))
     if not found:
         return Model([], np.zeros((1, 0), np.float32), np.zeros(0))
@@ -191,11 +193,10 @@ def fit(docs: DataFrame, training, per_label: int = 1500) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row."""
-    common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the table of weights has a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             names, scores = sent.value.predict(common.texts(batch))
             rejected = [n == UNKNOWN or s < sent.value.reject_below for n, s in zip(names, scores.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
