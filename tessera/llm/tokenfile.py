@@ -18,7 +18,7 @@ which any file system that Spark knows can hold, and which a retried task cannot
 leave half written.  ``save_files`` lays the same images down as plain files.
 
 Null text: the end id only.  Null document ids come first.  Rows with equal ids
-keep all their tokens and stand in order of their texts.  An empty table gives
+keep all their tokens and stand in order of a hash of their texts.  An empty table gives
 no shards.  Columns besides doc_id and text are not read.
 """
 
@@ -125,7 +125,6 @@ def encoder(path: str) -> vocab.PieceEncoder:
 def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_tokens: int = 1 << 20) -> None:
     """Writes shards of all documents to a folder: (part, within, n_tokens, image); within: ids before it in its part."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +136,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_tokens
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([within], pa.int64()), pa.array([size], pa.int64()), pa.array([shard(keys, held)], pa.binary())], ["part", "within", "n_tokens", "image"])
 
-        for batch in batches:
+        for batch in common.sliced(batches):
             for key, raw in zip(batch.column(0).to_pylist(), use.encode(common.texts(batch)), strict=True):
                 keys.append(key)
                 held.append(raw + end)
@@ -148,8 +147,11 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard_tokens
         if held:
             yield out()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "part int, within long, n_tokens long, image binary").write.mode("overwrite").parquet(folder)
+    # Rows with equal ids, or none, are dealt out by their texts, and repeated rows by the task that reads them.
+    marks = [F.xxhash64("text").alias("mark"), F.spark_partition_id().alias("task")]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", *marks).repartitionByRange(common.partitions(spark), "doc_id", "mark", "task").sortWithinPartitions("doc_id", "mark", "text")
+    with common.small_batches(spark):
+        ordered.select("doc_id", "text").mapInArrow(run, "part int, within long, n_tokens long, image binary").write.mode("overwrite").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,7 +171,6 @@ def digest(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scan(spark: SparkSession, folder: str, column: str, make) -> DataFrame:
     shards = spark.read.schema("part int, within long, n_tokens long, image binary").parquet(folder)
-    common.small_batches(spark, 4)  # images are a few megabytes each
     # One number for each part, of which there are as many as shuffle partitions.
     sizes = dict(shards.groupBy("part").agg(F.sum("n_tokens")).collect())
     before, total = {}, 0
@@ -178,7 +179,7 @@ def _scan(spark: SparkSession, folder: str, column: str, make) -> DataFrame:
     name = column.split()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             for i in range(batch.num_rows):
                 keys, lengths, ids = read_shard(batch.column(2)[i].as_py())
                 edges = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
@@ -199,7 +200,7 @@ def save_files(spark: SparkSession, folder: str, target: str) -> int:
 
         store, root = fs.FileSystem.from_uri(target)
         store.create_dir(root, recursive=True)
-        for batch in batches:
+        for batch in common.sliced(batches):
             for i in range(batch.num_rows):
                 name = f"{root}/part-{batch.column(0)[i].as_py():06d}-{batch.column(1)[i].as_py():015d}.tvb"
                 attempt = f"{name}.{TaskContext.get().taskAttemptId()}"
