@@ -193,7 +193,7 @@ class Join:
         n, join = self.n, self
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for batch in batches:
+            for batch in common.sliced(batches):
                 for doc_id, text_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                     found = shingles(text.as_py() or b"", n)
                     yield doc_id, text_key, class_key(found), found
@@ -222,7 +222,7 @@ class Join:
         short = self.short_lists
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for batch in batches:
+            for batch in common.sliced(batches):
                 for key, own in zip(batch.column(0).to_pylist(), batch.column(1)):
                     yield None, None, key, np.frombuffer(own.as_py(), np.uint64)
 
@@ -325,7 +325,7 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, sent = wanted.value, set()
-            for batch in batches:
+            for batch in common.sliced(batches):
                 at = np.mod(batch.column(0).to_numpy(), 1 << _FILTER_BITS)
                 needed = np.flatnonzero(table[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 keys, found, held, column = [], [], 0, batch.column(1).cast(pa.binary())
@@ -350,7 +350,7 @@ class Join:
     @staticmethod
     def _signatures(sets: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in common.sliced(batches):
                 made = [signature(np.frombuffer(own.as_py(), np.uint64)).tobytes() for own in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "own"])
 
@@ -473,10 +473,9 @@ class Join:
 
     # --- the whole join ----------------------------------------------------------
 
-    def components(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-        """(doc_id, n_shingles, component_id) for every row."""
+    def groups(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        """(doc_id, text_key, n_shingles, label) for every row: rows with equal labels are connected; rows without words have none."""
         spark = docs.sparkSession
-        common.small_batches(spark)
         store = common.Scratch(spark, "jaccard")
         docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
         buckets = max(8, -(-common.text_bytes(docs) // _BUCKET_BYTES))
@@ -496,13 +495,34 @@ class Join:
         parts = searched.where("not whole and key <> label")
         if not parts.isEmpty():
             label = label.unionAll(stars(parts, "key", "label").select(F.col("node").alias("key"), F.col("component").alias("label")))
-        of = sizes.select("doc_id", "n_shingles", "key")
+        of = sizes.where("n_shingles > 0").join(label, "key", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "key").alias("label"))
         # Documents without words have one key; their rows must not meet.
-        named = of.where("n_shingles > 0").join(label, "key", "left").select("doc_id", "n_shingles", F.coalesce("label", "key").alias("label"))
-        named = store.write(named, "named")
-        least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        linked = named.join(least, "label").select("doc_id", "n_shingles", "component_id")
-        return linked.unionAll(of.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        alone = sizes.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("label"))
+        named = store.write(of.unionAll(alone), "named")
+        for name in ("sizes", "sets", "met", "members", "refined", "fewer", "searched"):
+            store.drop(name)
+        return named
+
+    def components(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        """(doc_id, n_shingles, component_id) for every row."""
+        named = self.groups(docs, id_column, text_column)
+        least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        linked = named.where("label is not null").join(least, "label").select("doc_id", "n_shingles", "component_id")
+        return linked.unionAll(named.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+    def unique(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+        """One row of each component with all its columns: that with the smallest id (null last), and among equal ids the smallest hash of the text.
+
+        Rows without words are linked with nothing and stay, each.  Of rows equal
+        in id and text one stays; which one isn't defined.
+        """
+        hashes = [F.xxhash64(text_column).alias("_text_key"), F.xxhash64(F.xxhash64(text_column), F.col(id_column).cast("long")).alias("_row_key")]
+        found = self.groups(docs, id_column, text_column).where("label is not null")
+        first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
+        first = first.select(F.col("m.text_key").alias("_text_key"), F.xxhash64("m.text_key", "m.doc_id").alias("_row_key"))
+        worded = F.coalesce(F.col(text_column).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        kept = docs.where(worded).select("*", *hashes).join(first, ["_text_key", "_row_key"], "left_semi").dropDuplicates(["_text_key", "_row_key"])
+        return kept.select(docs.columns).unionAll(docs.where(~worded))
 
 
 def _forest(edges: np.ndarray) -> np.ndarray:
@@ -666,3 +686,8 @@ def _probed(merged: dict[int, int], long: list, threshold: int) -> dict[int, int
 def components(docs: DataFrame) -> DataFrame:
     """Five-word n-grams, similarity 0.75: (doc_id, n_shingles, component_id)."""
     return Join().components(docs)
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """Five-word n-grams, similarity 0.75: one row of each group of near-duplicates."""
+    return Join().unique(docs)

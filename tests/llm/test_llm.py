@@ -35,7 +35,10 @@ def texts(seed=0, n=60):
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, "en", "s", None) for i, t in enumerate(texts())]
-    return spark.createDataFrame(rows + [(None, "no id here", None, None, None), (3, rows[3][1], "en", "s", 1)], DOCS)
+    found = spark.createDataFrame(rows + [(None, "no id here", None, None, None), (3, rows[3][1], "en", "s", 1)], DOCS)
+    # columns with the names that operators use inside
+    names = "key block train part label rank mark positive bucket kind target n group a b size ids text_key open task".split()
+    return found.select("*", *(F.lit("clash").alias(n) for n in names))
 
 
 def empty(spark):
@@ -193,6 +196,16 @@ def test_transducer_in_any_blocks_and_with_bounded_memory():
         assert out + machine.close() == whole
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_stream_of_long_texts_equals_the_library(name):
+    use, library, rng = bpe.Codec(P.path(name)), vocab.load(P.path(name)), random.Random(4)
+    for text in (prose(rng, 40_000), "ab" * 60_000 + " c", prose(rng, 20_000) + " 漢字 <|endoftext|> " + prose(rng, 20_000) + "\n\n  x" + "7" * 3000):
+        blocks = list(use.stream(text, 512))
+        assert len(blocks) > 3 and max(map(len, blocks)) < 9000
+        assert [i for b in blocks for i in b] == library.encode(text, add_special_tokens=False).ids
+        assert "".join(use.decode(i for b in blocks for i in b)) == library.decode([i for b in blocks for i in b], skip_special_tokens=False)
+
+
 def test_improper_merge_lists_are_refused():
     with pytest.raises(ValueError):
         bpe.Merges([("ab", "c"), ("a", "b")], {})
@@ -382,7 +395,7 @@ def test_packing(spark, docs):
 
 def test_rules_equal_brute_force(spark, docs):
     again = "a b c d e f g h i a b c d e f g h i j " * 3
-    frame = docs.unionByName(spark.createDataFrame([(900, again, None, None, None), (901, "x\n" * 30 + "y | # $", None, None, None), (902, "w " * 40, None, None, None)], DOCS))
+    frame = docs.unionByName(spark.createDataFrame([(900, again, None, None, None), (901, "x\n" * 30 + "y | # $", None, None, None), (902, "w " * 40, None, None, None)], DOCS), True)
     found = sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rules.verdicts(frame).collect()), key=str)
     want = []
     for i, t in pairs_of(frame):
@@ -441,9 +454,42 @@ def test_quality_of_held_out_texts(spark):
     assert {r["score"] for r in pulearn.classify(frame, labels.limit(0)).collect()} == {0.5}
 
 
+def test_risk_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    layers = [rng.normal(size=(pulearn.MEASURES, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+    p, u = rng.normal(size=(7, pulearn.MEASURES)) / 4, rng.normal(size=(9, pulearn.MEASURES)) / 4
+    _, _, up, down = pulearn.risk(layers, p, u, 0.3)
+    for k, w in enumerate(layers):
+        for at in rng.integers(0, w.size, 5):
+            moved = [[x.copy() for x in layers] for _ in range(2)]
+            for sign, other in zip((1, -1), moved):
+                other[k].reshape(-1)[at] += sign * 1e-6
+            for i, grads in enumerate((up, down)):
+                slope = (pulearn.risk(moved[0], p, u, 0.3)[i] - pulearn.risk(moved[1], p, u, 0.3)[i]) / 2e-6
+                assert grads[k].reshape(-1)[at] == pytest.approx(slope, abs=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.6, 0.9])
+def test_prior_from_positives_and_unlabelled_rows(prior):
+    rng = np.random.default_rng(3)
+    make = lambda n, at: rng.normal(at, 1, (n, pulearn.MEASURES))
+    positive = make(3000, 0.3)
+    unlabelled = np.concatenate([make(int(4000 * prior), 0.3), make(4000 - int(4000 * prior), -0.3)])
+    halves = rng.random(3000) < 0.5, rng.random(4000) < 0.5
+    assert pulearn.estimated_prior(positive, unlabelled, halves) == pytest.approx(prior, abs=0.05)
+
+
 # --- op9 ------------------------------------------------------------------------------
 
 
+def test_embedding_dedup_compares_labels_as_they_are(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "a"), (3, [1.0, 2.0], "b"), (4, [2.0, 4.0], "b")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in rpforest.near_duplicates(frame).collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3)]
+    frame = frame.withColumn("label", F.when(F.col("vec_id") == 1, 1.2).when(F.col("vec_id") == 2, 1.9).when(F.col("vec_id") == 3, -0.0).otherwise(0.0))
+    assert sorted((r["vec_id"], r["n_links"]) for r in rpforest.near_duplicates(frame).collect()) == [(1, 0), (2, 0), (3, 1), (4, 1)]
+
+
 def test_forest_equals_brute_force(spark):
     rng = np.random.default_rng(11)
     base = rng.normal(size=(300, 16))
