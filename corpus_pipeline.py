@@ -1,8 +1,9 @@
 """The corpus pipeline: stages in order, each a function (spark, docs, sf_dir) -> DataFrame.
 
 Each stage works on all that its predecessor kept, and learns from that only.
-All but the last return the columns of ``docs``.  Rows without id stay until the
-last stage; of rows with equal ids the duplicate stage keeps one.
+All but the last return the columns of ``docs``.  Rows without id are rows as
+others, and take the last place where a group chooses its row.  Rows are told
+apart by id and text, so different texts with one id are different documents.
 """
 
 from __future__ import annotations
@@ -36,9 +37,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    first = jaccard.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    unique = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return unique.select(docs.columns).unionAll(docs.where("doc_id is null"))
+    return jaccard.unique(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

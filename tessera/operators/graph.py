@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; sets a folder below /tmp/checkpoints only where it is unset."""
+    """Uses ``spark.checkpoint.dir``; where it is unset, a local master gets a folder below /tmp/checkpoints, and any other an error."""
     if spark.sparkContext.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             os.makedirs("/tmp/checkpoints", exist_ok=True)
             path = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(path)

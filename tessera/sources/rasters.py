@@ -87,8 +87,8 @@ def read_pixels(spark: SparkSession, path: str, kind: str = "fits", rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                image = decode(raw)
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):  # one file at a time
+                image = decode(raw.as_py())
                 for at in range(0, len(image), rows):
                     part = image[at : at + rows]
                     y, x = np.indices(part.shape)
@@ -103,8 +103,8 @@ def read_vectors(spark: SparkSession, path: str, kind: str = "npy", rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                matrix = decode(raw)
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                matrix = decode(raw.as_py())
                 for at in range(0, len(matrix), rows):
                     part = matrix[at : at + rows].astype(float)
                     made = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32()), pa.array(part.reshape(-1)))
@@ -114,7 +114,6 @@ def read_vectors(spark: SparkSession, path: str, kind: str = "npy", rows: int =
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # one file at a time
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
