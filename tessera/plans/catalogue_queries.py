@@ -45,9 +45,9 @@ def manifest_join(spark, sf_dir):
     return catalog.attach_files(areas, _files(spark, sf_dir)).select("area_id", "field", "band", "file_id", "file_name")
 
 
-@query("SELECT c_nationkey AS area_id, count(DISTINCT c_mktsegment) AS n_bands FROM customer WHERE c_custkey < 120 GROUP BY 1 HAVING count(DISTINCT c_mktsegment) >= 4")
+@query("SELECT c_nationkey AS area_id, count(DISTINCT c_mktsegment) AS n_bands FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) >= 4")
 def complete_areas(spark, sf_dir):
-    return catalog.complete_areas(_files(spark, sf_dir).where("file_id < 120"), 4)
+    return catalog.complete_areas(_files(spark, sf_dir), 4)
 
 
 @query("SELECT n_nationkey AS area_id, n_name AS field FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 12)")
@@ -134,52 +134,55 @@ def background_stats(spark, sf_dir):
     return grid.background_stats(_pixels(spark, sf_dir), "flux").select(*(F.round(c, 3).alias(c) for c in ("mean", "std", "rms")))
 
 
-@query(f"""WITH {PIXELS}, h AS (SELECT k, greatest(CAST(0.2 * 150 AS INTEGER), 20) * (1 + 0.1 * k) / 2 AS hx, greatest(CAST(floor(0.2 * 80) AS INTEGER), 20) * (1 + 0.1 * k) / 2 AS hy FROM range(10) t(k)),
-b AS (SELECT k, greatest(0, CAST(trunc(75 - hx) AS INTEGER)) AS l, least(150, CAST(trunc(75 + hx) AS INTEGER)) AS r, greatest(0, CAST(trunc(40 - hy) AS INTEGER)) AS bo, least(80, CAST(trunc(40 + hy) AS INTEGER)) AS t FROM h UNION ALL SELECT 10, 0, 150, 0, 80),
+@query(f"""WITH {PIXELS}, z AS (SELECT max(y) + 1 AS z FROM px), h AS (SELECT k, z, greatest(CAST(0.2 * 150 AS INTEGER), 20) * (1 + 0.1 * k) / 2 AS hx, greatest(CAST(floor(0.2 * z) AS INTEGER), 20) * (1 + 0.1 * k) / 2 AS hy FROM range(10) t(k), z),
+b AS (SELECT k, greatest(0, CAST(trunc(75 - hx) AS INTEGER)) AS l, least(150, CAST(trunc(75 + hx) AS INTEGER)) AS r, greatest(0, CAST(trunc(z / 2.0 - hy) AS INTEGER)) AS bo, least(z, CAST(trunc(z / 2.0 + hy) AS INTEGER)) AS t FROM h UNION ALL SELECT 10, 0, 150, 0, z FROM z),
 s AS (SELECT k, l, r, bo, t, avg(CASE WHEN flux > 330000 THEN 1.0 ELSE 0.0 END) AS filled FROM b LEFT JOIN px ON x >= l AND x < r AND y >= bo AND y < t GROUP BY ALL)
 SELECT CAST(k AS INTEGER) AS k, l AS "left", r AS "right", bo AS bottom, t AS top, round(filled, 6) AS filled FROM s WHERE filled > 0.34 OR k = 10 ORDER BY k LIMIT 1""")
 def background_region(spark, sf_dir):
     lit = _pixels(spark, sf_dir).withColumn("flux", F.when(F.col("flux") > 330000, 1.0).otherwise(0.0))
-    return grid.background_region(lit, "flux", WIDTH, 80, 20, 0.34).withColumn("filled", F.round("filled", 6))
+    return grid.background_region(lit, "flux", WIDTH, height(lit), 20, 0.34).withColumn("filled", F.round("filled", 6))
 
 
-GRID = "g AS (SELECT CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy FROM range(4, 146, 8) a(gx) CROSS JOIN range(4, 96, 8) b(gy))"
+GRID = "g AS (SELECT CAST(gx AS INTEGER) AS gx, CAST(gy AS INTEGER) AS gy FROM range(4, 146, 8) a(gx) CROSS JOIN (SELECT unnest(range(4, max(y) + 1, 8)) AS gy FROM px))"
 PATCHES = f"{PIXELS}, {GRID}, pt AS (SELECT gx, gy, x - gx AS dx, y - gy AS dy, flux FROM g JOIN px ON x >= gx - 3 AND x < gx + 3 AND y >= gy - 3 AND y < gy + 3)"
 
 
-def _grid(spark, top: int = 96) -> DataFrame:
-    return grid.scan_grid(spark, 4, top, 4, 146, 8)
+def _grid(pixels: DataFrame) -> DataFrame:
+    return grid.scan_grid(pixels.sparkSession, 4, height(pixels), 4, 146, 8)
 
 
 @query(f"WITH {PATCHES} SELECT gx, gy, count(*) AS n, round(sum(flux), 2) AS total, count(*) FILTER (flux > 200000) AS bright FROM pt GROUP BY ALL")
 def scan_patches(spark, sf_dir):
-    p = grid.patches(_pixels(spark, sf_dir), _grid(spark), 3)
+    pixels = _pixels(spark, sf_dir)
+    p = grid.patches(pixels, _grid(pixels), 3)
     return p.groupBy("gx", "gy").agg(F.count("*").alias("n"), F.round(F.sum("flux"), 2).alias("total"), F.sum(F.when(F.col("flux") > 200000, 1).otherwise(0)).alias("bright"))
 
 
 @query(f"WITH {PATCHES} SELECT gx, gy FROM pt GROUP BY ALL HAVING max(CASE WHEN dx = 0 AND dy = 0 THEN flux END) > 250000 AND count(*) FILTER (flux >= 60000) >= 0.8 * 36")
 def patch_accept(spark, sf_dir):
     dark = _pixels(spark, sf_dir).withColumn("flux", grid.pixel_threshold(F.col("flux"), 60000))
-    rows = grid.patch_vectors(dark, _grid(spark), 3, ["flux"])
+    rows = grid.patch_vectors(dark, _grid(dark), 3, ["flux"])
     return grid.accepted(rows.where("n = 36"), 3, {"flux": 250000.0}).select("gx", "gy")
 
 
 @query(f"WITH {PATCHES} SELECT gx, gy, round(sum(CASE WHEN flux < 200000 THEN 0 ELSE flux END), 2) AS kept FROM pt GROUP BY ALL HAVING count(*) = 36")
 def patch_threshold(spark, sf_dir):
-    rows = grid.patch_vectors(_pixels(spark, sf_dir), _grid(spark), 3, ["flux"]).where("n = 36")
+    pixels = _pixels(spark, sf_dir)
+    rows = grid.patch_vectors(pixels, _grid(pixels), 3, ["flux"]).where("n = 36")
     return rows.select("gx", "gy", F.round(V.total(grid.patch_threshold("flux", 200000)), 2).alias("kept"))
 
 
 @query(f"WITH {PATCHES} SELECT gx, gy, CAST(floor(sqrt((dx + 0.5) * (dx + 0.5) + (dy + 0.5) * (dy + 0.5))) AS INTEGER) AS ring, count(*) AS n, round(avg(flux), 6) AS mean FROM pt GROUP BY ALL")
 def azimuthal_profile(spark, sf_dir):
-    p = grid.patches(_pixels(spark, sf_dir), _grid(spark), 3)
+    pixels = _pixels(spark, sf_dir)
+    p = grid.patches(pixels, _grid(pixels), 3)
     return features.azimuthal_profile(p, "flux").withColumn("mean", F.round("mean", 6))
 
 
 @query()
 def power_spectrum(spark, sf_dir):
     pixels = _pixels(spark, sf_dir)
-    rows = grid.patch_vectors(pixels, _grid(spark, height(pixels) + 3), 3, ["flux"])
+    rows = grid.patch_vectors(pixels, _grid(pixels), 3, ["flux"])
     return features.patch_features(rows, ["flux"], 6).select("gx", "gy", F.transform("v", lambda x: F.round(F.ln(x + 1), 5)).alias("v"))
 
 
@@ -192,7 +195,7 @@ def good_tiles(spark, sf_dir):
 CROSS = "CROSS JOIN (SELECT unnest([0, 1, -1, 0, 0]) AS i, unnest([0, 0, 0, 1, -1]) AS j)"
 
 
-@query(f"""WITH RECURSIVE {PIXELS}, m AS (SELECT x, y FROM px WHERE flux > 120000 AND y < 60),
+@query(f"""WITH RECURSIVE {PIXELS}, m AS (SELECT x, y FROM px WHERE flux > 120000),
 er AS (SELECT x + i AS x, y + j AS y FROM m {CROSS} GROUP BY ALL HAVING count(*) = 5),
 di AS (SELECT DISTINCT x + i AS x, y + j AS y FROM er {CROSS}),
 n AS (SELECT y * 1000 + x AS id, x, y FROM di), e AS (SELECT a.id AS s, b.id AS t FROM n a JOIN n b ON abs(a.x - b.x) + abs(a.y - b.y) = 1),
@@ -200,7 +203,7 @@ r AS (SELECT id, id AS root FROM n UNION SELECT t, root FROM r JOIN e ON s = id)
 c AS (SELECT id, min(root) AS region FROM r GROUP BY id)
 SELECT CAST(region AS BIGINT) AS region, count(*) AS n FROM c GROUP BY region HAVING count(*) >= 5""")
 def good_region(spark, sf_dir):
-    mask = _pixels(spark, sf_dir).where("flux > 120000 and y < 60").select("x", "y")
+    mask = _pixels(spark, sf_dir).where("flux > 120000").select("x", "y")
     opened = grid.morphology(grid.morphology(mask, True), False)
     nodes = opened.select((F.col("y") * 1000 + F.col("x")).cast("long").alias("node"), "x", "y")
     right = nodes.select(F.col("node").alias("src"), F.explode(F.array(F.struct((F.col("x") + 1).alias("x"), "y"), F.struct("x", (F.col("y") + 1).alias("y")))).alias("p")).select("src", "p.x", "p.y")
@@ -210,13 +213,13 @@ def good_region(spark, sf_dir):
 
 # --- objects -----------------------------------------------------------------------------
 
-MASKED = f"{PIXELS}, m AS (SELECT * FROM px WHERE flux > 400000 AND y < 100)"
+MASKED = f"{PIXELS}, m AS (SELECT * FROM px WHERE flux > 400000)"
 EDGES = "e AS (SELECT a.idx AS s, b.idx AS t FROM m a JOIN m b ON a.idx <> b.idx AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1)"
 COMPONENTS = f"{MASKED}, {EDGES}, r AS (SELECT idx, idx AS root FROM m UNION SELECT t, root FROM r JOIN e ON s = idx), o AS (SELECT idx, min(root) AS object FROM r GROUP BY idx), k AS (SELECT m.*, object FROM m JOIN o USING (idx))"
 
 
 def _masked(spark, sf_dir, flux: float = 400000) -> DataFrame:
-    return _pixels(spark, sf_dir).where((F.col("flux") > flux) & (F.col("y") < 100))
+    return _pixels(spark, sf_dir).where(F.col("flux") > flux)
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -254,14 +257,14 @@ def node_degrees(spark, sf_dir):
 
 def _level_sql() -> str:
     def level(tag: str, flux: int) -> str:
-        return f"m{tag} AS (SELECT * FROM px WHERE flux > {flux} AND y < 40), e{tag} AS (SELECT a.idx AS s, b.idx AS t FROM m{tag} a JOIN m{tag} b ON a.idx <> b.idx AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), r{tag} AS (SELECT idx, idx AS root FROM m{tag} UNION SELECT t, root FROM r{tag} JOIN e{tag} ON s = idx), o{tag} AS (SELECT idx, min(root) AS object FROM r{tag} GROUP BY idx), k{tag} AS (SELECT idx, object FROM o{tag} WHERE object IN (SELECT object FROM o{tag} GROUP BY object HAVING count(*) > 1))"
+        return f"m{tag} AS (SELECT * FROM px WHERE flux > {flux}), e{tag} AS (SELECT a.idx AS s, b.idx AS t FROM m{tag} a JOIN m{tag} b ON a.idx <> b.idx AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), r{tag} AS (SELECT idx, idx AS root FROM m{tag} UNION SELECT t, root FROM r{tag} JOIN e{tag} ON s = idx), o{tag} AS (SELECT idx, min(root) AS object FROM r{tag} GROUP BY idx), k{tag} AS (SELECT idx, object FROM o{tag} WHERE object IN (SELECT object FROM o{tag} GROUP BY object HAVING count(*) > 1))"
 
     return f"WITH RECURSIVE {PIXELS}, {level('h', 430000)}, {level('l', 390000)} SELECT idx, object, CAST(0 AS INTEGER) AS level FROM kh UNION ALL SELECT idx, object, 1 FROM kl WHERE object NOT IN (SELECT object FROM kl WHERE idx IN (SELECT idx FROM kh))"
 
 
 @query(_level_sql())
 def level_merge(spark, sf_dir):
-    levels = [m.join(objects.objects(m, 1), "idx").checkpoint() for m in (_masked(spark, sf_dir, f).where("y < 40") for f in (430000, 390000))]
+    levels = [m.join(objects.objects(m, 1), "idx").checkpoint() for m in (_masked(spark, sf_dir, f) for f in (430000, 390000))]
     return objects.merge_levels(levels)
 
 
@@ -305,9 +308,50 @@ def cutout_eligible(spark, sf_dir):
     return table(spark, sf_dir, "customer").withColumn("b", F.col("c_acctbal")).where((F.col("c_acctbal") >= 0) & objects.eligible("c_custkey", "c_nationkey", "c_nationkey", "b", "c_custkey")).select("c_custkey")
 
 
+@query(f"WITH RECURSIVE {CATALOGUE}, c AS (SELECT object_id, cx - side // 2 - 2 AS l, cx + side // 2 + 2 AS r, cy - side // 2 - 2 AS t, cy + side // 2 + 2 AS b FROM q WHERE n >= 2 AND 2 * (side // 2) >= 3) SELECT object_id, count(*) AS n, round(sum(flux), 2) AS total FROM c JOIN px ON x >= c.l AND x < c.r AND y >= c.t AND y < c.b GROUP BY object_id")
+def cutout_pixels(spark, sf_dir):
+    cut = objects.cut_pixels(_pixels(spark, sf_dir), objects.catalogue(_labelled(spark, sf_dir), 1, 2), 2, 3, 16)
+    return cut.groupBy("object_id").agg(F.count("*").alias("n"), F.round(F.sum("flux"), 2).alias("total"))
+
+
+@query(f"WITH {MASKED}, s AS (SELECT label, count(*) AS n FROM m GROUP BY label), u AS (SELECT x + i AS x, y + j AS y, n, label FROM m JOIN s USING (label) CROSS JOIN range(-1, 1) a(i) CROSS JOIN range(-1, 1) b(j)) SELECT px.x, px.y, first(u.label ORDER BY n DESC, u.label) AS label FROM px JOIN u ON u.x = px.x AND u.y = px.y GROUP BY px.x, px.y")
+def segmentation(spark, sf_dir):
+    return objects.painted(_pixels(spark, sf_dir), _masked(spark, sf_dir), 1)
+
+
 # --- catalogues ----------------------------------------------------------------------------
 
 
+FIELDS = [(0, 189.2, 62.2, 75.0, 40.0, 0.01), (1, 34.4, -5.2, 70.0, 30.0, 0.02), (2, 359.99, -27.8, 10.0, 10.0, 0.015)]
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {', '.join(map(str, FIELDS))}) t(field, ra0, dec0, x0, y0, s)), o AS (SELECT CAST(p_partkey % 4 AS INTEGER) AS field, p_partkey AS object_id, CAST(p_partkey % 150 AS INTEGER) AS x, p_size AS y FROM part),
+g AS (SELECT o.*, dec0, ra0, radians((x0 - x) * s) AS xi, radians((y - y0) * s) AS eta FROM o LEFT JOIN f USING (field)),
+w AS (SELECT *, ra0 + degrees(atan2(xi, cos(radians(dec0)) - eta * sin(radians(dec0)))) AS ra, degrees(atan2(sin(radians(dec0)) + eta * cos(radians(dec0)), sqrt(pow(xi, 2) + pow(cos(radians(dec0)) - eta * sin(radians(dec0)), 2)))) AS dec FROM g)
+SELECT field, object_id, CAST(coalesce(s_nationkey, -1) AS INTEGER) AS label, round(CASE WHEN ra < 0 THEN ra + 360 WHEN ra >= 360 THEN ra - 360 ELSE ra END, 6) AS ra, round(dec, 6) AS dec FROM w LEFT JOIN supplier ON s_suppkey = object_id""")
+def field_catalogue(spark, sf_dir):
+    found = table(spark, sf_dir, "part").select((F.col("p_partkey") % 4).cast("int").alias("field"), F.col("p_partkey").alias("object_id"), (F.col("p_partkey") % 150).cast("int").alias("centre_x"), F.col("p_size").alias("centre_y"), F.lit(1).alias("n_patches"), F.lit(1).alias("width"), F.lit(1).alias("height"))
+    labels = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).cast("int").alias("field"), F.col("s_suppkey").alias("object_id"), F.col("s_nationkey").alias("label"))
+    fields = spark.createDataFrame(FIELDS, "field int, ra0 double, dec0 double, x0 double, y0 double, scale double")
+    return catalog.field_catalogue(found, labels, fields).select("field", "object_id", F.col("label").cast("int").alias("label"), F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL")
+def label_matrix(spark, sf_dir):
+    return catalog.label_matrix(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS found FROM customer")
+def in_sorted(spark, sf_dir):
+    return catalog.in_sorted(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, o_orderkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 5")
+def topk_by_cut(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_orderkey", "o_totalprice")
+    return catalog.top_by_cut(rows, "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderkey", 5).drop("o_totalprice")
+
+
 @query("SELECT event_id, CAST(sum(CASE WHEN user_id < prev THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ordinal FROM (SELECT *, lag(user_id) OVER (ORDER BY ts, event_id) AS prev FROM events)")
 def image_ordinal(spark, sf_dir):
     return catalog.ordinals(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("event_id", "ordinal")

@@ -57,14 +57,14 @@ def node_to_cluster(spark, sf_dir):
     return assign.mapped(assign.nearest(points, _centres(points)), mapping).select("vec_id", "label")
 
 
-PAIRS = """e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings WHERE vec_id < 24),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.i, a.x, b.x AS y FROM e a JOIN e b ON a.i = b.i AND a.vec_id < b.vec_id)"""
+PAIRS = """e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.i, a.x, b.x AS y FROM e a JOIN e b ON a.i = b.i AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"""
 
 
 def _pairs(spark, sf_dir, distance, prepare=lambda v: v) -> DataFrame:
-    few = _points(spark, sf_dir).where("vec_id < 24").select("vec_id", prepare(F.col("v")).alias("v"))
-    other = few.select(F.col("vec_id").alias("b"), F.col("v").alias("w"))
-    return few.join(other, F.col("vec_id") < F.col("b")).select(F.col("vec_id").alias("a"), "b", F.round(distance(F.col("v"), F.col("w")), 6).alias("dist"))
+    """Queries are the vectors whose id is divisible by 100; they meet all others."""
+    every = _points(spark, sf_dir).select("vec_id", prepare(F.col("v")).alias("v"))
+    return assign.distances(every, every.where("vec_id % 100 = 0"), distance).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(sqrt(sum((x - y) * (x - y))), 6) AS dist FROM p GROUP BY a, b")
@@ -247,11 +247,11 @@ def rank_sample(spark, sf_dir):
 
 # --- clusterings of customers in the plane ------------------------------------------
 
-PLANE = "p AS (SELECT c_custkey AS id, c_acctbal / 1000 AS x, CAST(c_nationkey AS DOUBLE) / 2 AS y FROM customer WHERE c_custkey <= 400)"
+PLANE = "p AS (SELECT c_custkey AS id, c_acctbal / 1000 AS x, CAST(c_nationkey AS DOUBLE) / 2 AS y FROM customer)"
 
 
 def _plane(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey <= 400").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double") / 2).alias("v"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double") / 2).alias("v"))
 
 
 def _lloyd(k: int, rounds: int) -> str:
@@ -276,6 +276,21 @@ def silhouette(spark, sf_dir):
     return weight.silhouettes(points, "id", "v", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query(f"""WITH {PLANE}, l AS (SELECT *, id % 4 AS label FROM p),
+d AS (SELECT a.id, a.label, b.label AS other, avg((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM l a JOIN l b ON a.id <> b.id GROUP BY ALL),
+s AS (SELECT id, label, min(d) FILTER (other = label) AS a, min(d) FILTER (other <> label) AS b FROM d GROUP BY ALL)
+SELECT id, label, round(coalesce((b - a) / greatest(a, b), 0), 6) AS silhouette FROM s""")
+def silhouette_squared(spark, sf_dir):
+    points = _plane(spark, sf_dir).withColumn("label", F.col("id") % 4)
+    return weight.silhouettes(points, "id", "v", "label", "squared_euclid").withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("SELECT c_custkey AS id, round(pow(greatest(2 - c_acctbal / 1000, c_acctbal / 1000 - 5, 0), 2) + pow(greatest(3 - c_nationkey / 2.0, c_nationkey / 2.0 - 7, 0), 2), 6) AS dist FROM customer")
+def box_distance(spark, sf_dir):
+    box = [F.array(F.lit(a), F.lit(b)) for a, b in ((2.0, 3.0), (5.0, 7.0))]
+    return _plane(spark, sf_dir).select("id", F.round(V.rectangle_distance("v", *box), 6).alias("dist"))
+
+
 @query(f"""WITH RECURSIVE {PLANE}, e AS (SELECT a.id AS s, b.id AS t FROM p a JOIN p b ON a.id <> b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.45),
 c AS (SELECT s AS id FROM e GROUP BY s HAVING count(*) + 1 >= 5), ce AS (SELECT s, t FROM e WHERE s IN (FROM c) AND t IN (FROM c)),
 r AS (SELECT id, id AS root FROM c UNION SELECT t, root FROM r JOIN ce ON s = id),
@@ -286,28 +301,38 @@ def dbscan(spark, sf_dir):
     return cluster.dbscan(_plane(spark, sf_dir), "id", "v", 0.45, 5)
 
 
-TREE = [(-1, 0, 1, 0.1), (-2, 2, 3, 0.2), (-3, -1, -2, 0.4), (-4, -3, 4, 0.9)]
-TREE_SQL = "m AS (SELECT * FROM (VALUES " + ", ".join(map(str, TREE)) + ") t(id, l, r, d))"
-CUT = f"""{TREE_SQL}, th AS (SELECT unnest([0.05, 0.15, 0.3, 0.5, 1.0]) AS threshold),
-f AS (SELECT threshold, -4 AS node, CASE WHEN 0.9 < threshold THEN -4 END AS root FROM th
+# Customers as the leaves 0 to n - 1 of a tree: merge k joins what a heap has below place k, at the distance 1 / k.
+TREE_SQL = """m AS (SELECT -c_custkey AS id, CASE WHEN 2 * c_custkey < n THEN -2 * c_custkey ELSE 2 * c_custkey - n END AS l,
+CASE WHEN 2 * c_custkey + 1 < n THEN -2 * c_custkey - 1 ELSE 2 * c_custkey + 1 - n END AS r, CAST(1 AS DOUBLE) / c_custkey AS d FROM customer, (SELECT count(*) AS n FROM customer) WHERE c_custkey > 0 AND c_custkey < n)"""
+LEVELS = [0.0005, 0.01, 0.3, 0.5, 2.0]
+CUT = f"""{TREE_SQL}, th AS (SELECT unnest({LEVELS}) AS threshold),
+f AS (SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(-1 AS BIGINT) AS node, CASE WHEN 1.0 < threshold THEN CAST(-1 AS BIGINT) END AS root FROM th
  UNION ALL
  SELECT f.threshold, c.node, coalesce(f.root, CASE WHEN c.node >= 0 OR k.d < f.threshold THEN c.node END)
  FROM f JOIN m ON m.id = f.node CROSS JOIN LATERAL (SELECT unnest([m.l, m.r]) AS node) c LEFT JOIN m k ON k.id = c.node)"""
 
 
-def _tree(spark) -> DataFrame:
-    return spark.createDataFrame(TREE, "id long, left long, right long, distance double")
+def _tree(spark, sf_dir) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    n = F.lit(customers.count())
+    child = lambda c: F.when(c < n, -c).otherwise(c - n)
+    return customers.where((F.col("k") > 0) & (F.col("k") < n)).select((-F.col("k")).alias("id"), child(2 * F.col("k")).alias("left"), child(2 * F.col("k") + 1).alias("right"), (1 / F.col("k")).alias("distance"))
 
 
 @query(f"WITH RECURSIVE {CUT} SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(node AS BIGINT) AS node, CAST(root AS BIGINT) AS root FROM f WHERE node >= 0")
 def hac_cut(spark, sf_dir):
-    thresholds = spark.createDataFrame([(t,) for t in (0.05, 0.15, 0.3, 0.5, 1.0)], "threshold double")
-    return cluster.roots(_tree(spark), thresholds)
+    return cluster.roots(_tree(spark, sf_dir), spark.createDataFrame([(t,) for t in LEVELS], "threshold double"))
+
+
+@query(f"""WITH RECURSIVE {TREE_SQL}, u AS (SELECT id, l AS node, d FROM m UNION ALL SELECT id, r, d FROM m UNION ALL SELECT u.id, c.node, u.d + m.d FROM u JOIN m ON m.id = u.node CROSS JOIN LATERAL (SELECT unnest([m.l, m.r]) AS node) c)
+SELECT id, count(*) AS height, round(max(d), 6) AS depth FROM u WHERE node >= 0 GROUP BY id""")
+def tree_shape(spark, sf_dir):
+    return cluster.tree_shape(_tree(spark, sf_dir)).withColumn("depth", F.round("depth", 6))
 
 
-@query(f"WITH RECURSIVE {CUT.replace('[0.05, 0.15, 0.3, 0.5, 1.0]', 'list_transform(range(10), lambda k: 1.0 - k * 0.1)').replace('CASE WHEN 0.9 < threshold', 'CASE WHEN 0.9 < threshold')}, n AS (SELECT threshold, root, count(*) AS c FROM f WHERE node >= 0 GROUP BY ALL) SELECT round(CAST(threshold AS DOUBLE), 4) AS threshold, count(*) AS n_clusters, max(c) AS largest, round(avg(c), 6) AS mean_size FROM n GROUP BY threshold")
+@query(f"WITH RECURSIVE {CUT.replace(str(LEVELS), 'list_transform(range(10), lambda k: CAST(1 AS DOUBLE) - k * CAST(0.1 AS DOUBLE))')}, n AS (SELECT threshold, root, count(*) AS c FROM f WHERE node >= 0 GROUP BY ALL) SELECT round(CAST(threshold AS DOUBLE), 4) AS threshold, count(*) AS n_clusters, max(c) AS largest, round(avg(c), 6) AS mean_size FROM n GROUP BY threshold")
 def hac_sweep(spark, sf_dir):
-    swept = cluster.sweep(_tree(spark), spark, 1.0, 0.1, 0.05)
+    swept = cluster.sweep(_tree(spark, sf_dir), spark, 1.0, 0.1, 0.05)
     return swept.select(F.round("threshold", 4).alias("threshold"), "n_clusters", "largest", F.round("mean_size", 6).alias("mean_size"))
 
 

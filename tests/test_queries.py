@@ -9,7 +9,7 @@ import pytest
 from tessera.plans import catalogue_queries, pipeline_queries, registry, vector_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["nn_assign", "dist_pspearson", "partial_stats_merge", "tfidf", "kmeans_lloyd", "dbscan", "hac_cut", "sigma_clip", "patch_accept", "object_catalogue", "level_merge", "sky_match", "group_topk", "manifest_join"]
+NAMES = ["nn_assign", "dist_pspearson", "partial_stats_merge", "tfidf", "kmeans_lloyd", "dbscan", "hac_cut", "sigma_clip", "patch_accept", "object_catalogue", "level_merge", "sky_match", "group_topk", "manifest_join", "tree_shape", "hac_sweep", "silhouette_squared", "box_distance", "dist_fractional", "background_region", "scan_patches", "good_region", "rank_sample", "image_ordinal", "image_ordinal_early", "cutout_pixels", "segmentation", "field_catalogue", "label_matrix", "in_sorted", "topk_by_cut"]
 
 
 @pytest.fixture(scope="module")
