@@ -8,7 +8,7 @@ and so loses every arg-min.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +81,14 @@ def fractional_euclid(a, b) -> Column:
     return total(F.zip_with(_col(a), _col(b), lambda x, y: F.coalesce(_over((x - y) * (x - y), 0.25 * (x + y) * (x + y)), F.lit(0.0))))
 
 
+def rectangle_distance(v, low, high) -> Column:
+    """Squared Euclidean distance of a point from an upright box; zero inside."""
+    under = F.zip_with(_col(v), _col(low), lambda x, b: F.greatest(b - x, F.lit(0.0)))
+    over = F.zip_with(_col(v), _col(high), lambda x, b: F.greatest(x - b, F.lit(0.0)))
+    away = F.zip_with(under, over, lambda x, y: x + y)
+    return dot(away, away)
+
+
 def centre_distance(x0, y0, x1, y1) -> Column:
     """Distance of two integer points, truncated."""
     return F.hypot(_col(x0) - _col(x1), _col(y0) - _col(y1)).cast("int")
@@ -178,7 +186,59 @@ def partial_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def merge_stats(states: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Merges states: (by..., n, mean, std); the deviation between states is added to the deviations within."""
-    sums = states.groupBy(*(by or [])).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("m2").alias("w"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
-    between = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    return sums.select(*(by or []), "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(F.col("w") + between, F.lit(0.0)) / (F.col("n") - 1)).alias("std"))
+    """Merges states: (by..., n, mean, std).
+
+    Deviations of the states' means from the overall mean are added to those
+    within, so large means cancel nothing.  Null keys are keys.
+    """
+    by = by or []
+    states = states.select(*by, "n", "mean", "m2")
+    overall = states.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_m")).select(*(F.col(c).alias(f"_{c}") for c in by), "_m")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)) if by else None
+    met = states.join(overall, same) if by else states.crossJoin(F.broadcast(overall))  # without keys it is one row
+    away = F.col("mean") - F.col("_m")
+    sums = met.groupBy(*by).agg(F.sum("n").alias("n"), F.first("_m").alias("_m"), F.sum(F.col("n") * away).alias("s"), F.sum(F.col("m2") + F.col("n") * away * away).alias("q"))
+    # what rounding left of the mean is taken away again
+    left = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    return sums.select(*by, "n", (F.col("_m") + F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest(left, F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0))).alias("std"))
+
+
+# --- random numbers -------------------------------------------------------------------
+
+
+def draw(kind: str, seed: int, **p) -> Column:
+    """Random numbers of a distribution, made of uniform and normal ones with seeds of their own.
+
+    Kinds and options: uniform (low, high), normal (mean, std), exponential and laplace and cauchy and
+    lognormal (mean, scale), weibull (shape, scale), chi2 and student (degrees), gamma and inverse_gamma
+    (shape, a multiple of a half, and scale), beta (a, b, multiples of a half).
+    """
+    mean, scale = p.get("mean", 0.0), p.get("scale", 1.0)
+    unit = 1 - F.rand(seed)  # never zero
+    centred_unit = F.rand(seed) - 0.5
+
+    def chi2(degrees: float, salt: int) -> Column:
+        if degrees != int(degrees) or degrees < 1:
+            raise ValueError("a whole number of degrees of freedom is asked for")
+        return reduce(lambda a, b: a + b, (F.pow(F.randn(seed + salt + 7919 * i), 2) for i in range(int(degrees))))
+
+    def gamma(shape: float, salt: int) -> Column:
+        return chi2(2 * shape, salt) / 2
+
+    kinds: dict[str, Callable[[], Column]] = {
+        "uniform": lambda: p.get("low", 0.0) + (p.get("high", 1.0) - p.get("low", 0.0)) * F.rand(seed),
+        "normal": lambda: mean + p.get("std", 1.0) * F.randn(seed),
+        "exponential": lambda: -F.ln(unit) * p.get("mean", 1.0),
+        "laplace": lambda: mean - scale * F.signum(centred_unit) * F.ln(F.greatest(1 - 2 * F.abs(centred_unit), F.lit(1e-300))),
+        "cauchy": lambda: mean + scale * F.tan(centred_unit * 3.141592653589793),
+        "lognormal": lambda: F.exp(mean + scale * F.randn(seed)),
+        "weibull": lambda: scale * F.pow(-F.ln(unit), 1 / p["shape"]),
+        "chi2": lambda: chi2(p["degrees"], 1),
+        "student": lambda: F.randn(seed) / F.sqrt(chi2(p["degrees"], 1) / p["degrees"]),
+        "gamma": lambda: gamma(p["shape"], 1) * scale,
+        "inverse_gamma": lambda: 1 / (gamma(p["shape"], 1) * (1 / scale)),
+        "beta": lambda: (lambda x, y: x / (x + y))(gamma(p["a"], 1), gamma(p["b"], 104729)),
+    }
+    if kind not in kinds:
+        raise ValueError(f"unknown distribution {kind!r}; there are {sorted(kinds)}")
+    return kinds[kind]()

@@ -5,12 +5,13 @@ point finds its neighbours in an expression over that array: no shuffle, whateve
 the number of points.  More centres are cut into blocks of that size; each point
 meets each block once, and the blocks' answers are merged by an aggregate that
 combines before its shuffle.  ``matrix`` computes Euclidean and cosine distances
-in numpy, for many centres.
+in numpy; ``nearest`` takes it where it can.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,41 +49,105 @@ def neighbours(points: DataFrame, centres: DataFrame, distance: Metric | str = "
     return answers.select(point_id, F.posexplode("best").alias("rank", "b")).where("b is not null").select(point_id, (F.col("rank") + 1).alias("rank"), "b.cid", "b.dist")
 
 
-def matrix_neighbours(points: DataFrame, centres: DataFrame, distance: str = "squared_euclid", k: int = 1, point_id: str = "vec_id", v: str = "v", most_values: int = MOST_VALUES) -> DataFrame:
-    """The same by matrix products in Arrow batches, for Euclidean and cosine distances and centres within ``most_values`` numbers."""
-    if distance not in ("squared_euclid", "euclidean", "cosine"):
+MATRIX = ("squared_euclid", "euclidean", "cosine")
+
+
+def matrix_neighbours(points: DataFrame, centres: DataFrame, distance: str = "squared_euclid", k: int = 1, within: float | None = None, point_id: str = "vec_id", v: str = "v", most_values: int = MOST_VALUES) -> DataFrame:
+    """The same by matrix products in Arrow batches, for Euclidean and cosine distances and centres within ``most_values`` numbers.
+
+    Vectors and centres that are null, hold a null, or differ in length from the
+    most frequent centre have no distance, and no row if all theirs are like that.
+    """
+    if distance not in MATRIX:
         raise ValueError(f"no matrix form of {distance}")
     if centres.agg(F.coalesce(F.sum(F.size("centre")), F.lit(0))).first()[0] > most_values:
-        return neighbours(points, centres, distance, k, None, point_id, v, most_values)
-    rows = sorted(((r["cid"], r["centre"]) for r in centres.collect()), key=lambda r: r[0])
-    ids, at = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
-    kind = dict(points.dtypes)[point_id]
+        return neighbours(points, centres, distance, k, within, point_id, v, most_values)
+    usable = centres.where(F.col("cid").isNotNull() & F.col("centre").isNotNull() & F.forall("centre", lambda x: x.isNotNull()))
+    rows = sorted(((r["cid"], r["centre"]) for r in usable.select("cid", "centre").collect()), key=lambda r: r[0])
+    kinds = dict(points.dtypes)[point_id], dict(centres.dtypes)["cid"]
+    lengths = [len(r[1]) for r in rows]
+    dim = max(set(lengths), key=lambda n: (lengths.count(n), n)) if rows else 0
+    ids, at = pa.array([r[0] for r in rows if len(r[1]) == dim]), np.array([r[1] for r in rows if len(r[1]) == dim], float)
+    share = max(1, (1 << 21) // max(1, len(at)))  # rows whose distances are held at once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(at):
+            return
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if distance == "cosine":
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (at / np.linalg.norm(at, axis=1, keepdims=True)).T
-            else:
-                d = np.stack([((x - c) ** 2).sum(1) for c in at], 1) if len(at) else np.empty((len(x), 0))
-                d = np.sqrt(d) if distance == "euclidean" else d
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            n = order.shape[1]
-            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), n)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(x))), pa.array(ids[order].reshape(-1)), pa.array(np.take_along_axis(d, order, 1).reshape(-1))], [point_id, "rank", "cid", "dist"])
+            for begin in range(0, batch.num_rows, share):
+                part = batch.slice(begin, share)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+                if distance == "cosine":
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (at / np.linalg.norm(at, axis=1, keepdims=True)).T
+                else:
+                    d = np.stack([((x - c) ** 2).sum(1) for c in at], 1)
+                    d = np.sqrt(d) if distance == "euclidean" else d
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                n = order.shape[1]
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(x)), n)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(x))), ids.take(pa.array(order.reshape(-1))), pa.array(np.take_along_axis(d, order, 1).reshape(-1))], [point_id, "rank", "cid", "dist"])
 
-    return points.select(point_id, v).mapInArrow(run, f"{point_id} {kind}, rank int, cid long, dist double").where("not isnan(dist)")
+    whole = points.select(point_id, v).where((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull()))
+    found = whole.mapInArrow(run, f"`{point_id}` {kinds[0]}, rank int, cid {kinds[1]}, dist double").where("not isnan(dist)")
+    return found.where(F.col("dist") < within) if within is not None else found
 
 
-STRATEGIES = {"expression": neighbours, "matrix": matrix_neighbours}
+def _chosen(points: DataFrame, centres: DataFrame, distance: Metric | str, k: int, point_id: str, v: str) -> DataFrame:
+    """The matrix form where a metric has one, else the expression."""
+    form = matrix_neighbours if isinstance(distance, str) and distance in MATRIX else neighbours
+    return form(points, centres, distance, k, point_id=point_id, v=v)
 
 
-def nearest(points: DataFrame, centres: DataFrame, distance: str = "squared_euclid", point_id: str = "vec_id", v: str = "v", strategy: str = "expression") -> DataFrame:
+STRATEGIES = {"best": _chosen, "expression": neighbours, "matrix": matrix_neighbours}
+
+
+def nearest(points: DataFrame, centres: DataFrame, distance: Metric | str = "squared_euclid", point_id: str = "vec_id", v: str = "v", strategy: str = "best") -> DataFrame:
     """(point_id, cid, dist) of each point's nearest centre."""
     return STRATEGIES[strategy](points, centres, distance, 1, point_id=point_id, v=v).drop("rank")
 
 
+def moved_centres(points: DataFrame, centres: DataFrame, v: str, dim: int) -> DataFrame:
+    """(cid, n, centre): the mean of the points nearest to each centre; tasks send sums, so no vector is shuffled."""
+    rows = sorted((r["cid"], r["centre"]) for r in centres.select("cid", "centre").collect())
+    at = np.array([r[1] for r in rows], float).reshape(-1, dim)
+    share = max(1, (1 << 21) // max(1, len(at)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros(len(at), np.int64), np.zeros(at.shape)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, share):
+                part = batch.slice(begin, share)
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                best = np.stack([((x - c) ** 2).sum(1) for c in at], 1).argmin(1)
+                n += np.bincount(best, minlength=len(at))
+                np.add.at(sums, best, x)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some.tolist()], pa.int64()), pa.array(n[some]), pa.array(sums[some].tolist(), pa.list_(pa.float64()))], ["cid", "n", "sums"])
+
+    whole = points.select(v).where((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull()))
+    parts = whole.mapInArrow(run, "cid long, n long, sums array<double>")
+    return parts.groupBy("cid").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("sums", F.lit(i))) / F.sum("n") for i in range(dim))).alias("centre"))
+
+
+def distances(points: DataFrame, queries: DataFrame, distance: Metric | str, point_id: str = "vec_id", v: str = "v", most_values: int = MOST_VALUES) -> DataFrame:
+    """(a, b, dist) of every query (point_id, v) and every other point; queries travel in blocks of a bounded size."""
+    if isinstance(distance, str):
+        distance = metric(distance)
+    size = queries.agg(F.coalesce(F.sum(F.size(v)), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // most_values))
+    packed = queries.groupBy(F.pmod(F.xxhash64(point_id), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(F.col(point_id).alias("a"), F.col(v).alias("q"))).alias("queries")).select("queries")
+    met = points.select(F.col(point_id).alias("b"), F.col(v).alias("x")).crossJoin(F.broadcast(packed) if blocks == 1 else packed)
+    return met.select("b", "x", F.explode("queries").alias("q")).where("q.a <> b").select("q.a", "b", distance(F.col("q.q"), F.col("x")).alias("dist"))
+
+
+def merged_best(partials: list[DataFrame], k: int = 2, point_id: str = "vec_id") -> DataFrame:
+    """(point_id, rank, cid, dist): the k best of several answers of ``neighbours`` over different centres."""
+    every = reduce(DataFrame.unionByName, (p.select(point_id, "cid", "dist") for p in partials))
+    best = every.groupBy(point_id).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "cid"))), 1, k).alias("best"))
+    return best.select(point_id, F.posexplode("best").alias("rank", "b")).select(point_id, (F.col("rank") + 1).alias("rank"), "b.cid", "b.dist")
+
+
 def mapped(assigned: DataFrame, mapping: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
     """Replaces the centre by its label in a mapping (node, label), as from a quantiser's node to its cluster; a missing one stays null."""
     return assigned.join(mapping.select(F.col(node).alias("cid"), F.col(label).alias("label")), "cid", "left")
@@ -119,7 +184,7 @@ def principal_axes(points: DataFrame, v: str, dim: int, centre: bool = False) ->
 
 def project(points: DataFrame, v: str, axes: np.ndarray, n: int, point_id: str = "vec_id") -> DataFrame:
     """(point_id, scores) on the first n axes."""
-    return points.select(point_id, F.array(*(dot(F.col(v), F.array(*map(float, axes[:, i]))) for i in range(n))).alias("scores"))
+    return points.select(point_id, F.array(*(dot(F.col(v), F.array(*(F.lit(float(x)) for x in axes[:, i]))) for i in range(n))).alias("scores"))
 
 
 def similarity_search(points: DataFrame, target, distance: str = "euclidean", point_id: str = "vec_id", v: str = "v") -> DataFrame:

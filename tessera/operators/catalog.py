@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import ensure_checkpoint_dir
+
 
 def attach_files(areas: DataFrame, files: DataFrame, area: str = "area_id", band: str = "band", order: str = "file_id") -> DataFrame:
     """One row for each area and band with its first file; areas without files stay, and unknown areas of files are created."""
@@ -23,18 +25,65 @@ def not_in(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key), key, "left_anti")
 
 
+def ranked(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Adds the place of each row in the whole order, from 0; ties have any order.
+
+    Rows are dealt to ranges and numbered there, and what lies before a range is
+    added: no task sees more than its range.
+    """
+    dealt, sizes = _ranges(rows, order)
+    before, total = [], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    bases = rows.sparkSession.createDataFrame(before, "_part int, _base long")  # a row for each partition
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_within", within).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_within")).drop("_part", "_base", "_within")
+
+
+def _ranges(rows: DataFrame, order: list[str]) -> tuple[DataFrame, dict[int, int]]:
+    """Rows with the number of their range in the order, written down, and the ranges' sizes."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    return dealt, {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+
+
 def ordinals(rows: DataFrame, key: str, order: list[str], partition: list[str] | None = None, late: bool = True) -> DataFrame:
     """Adds ``ordinal``: counts how often ``key`` falls in the given order.
 
     With ``late`` False the row before a fall already belongs to the next image,
     as older files have it; otherwise the counter moves with the first row after it.
     """
-    by = Window.partitionBy(*(partition or [])).orderBy(*order)
+    if not partition:
+        return _ordinals(rows, key, order, late)
+    by = Window.partitionBy(*partition).orderBy(*order)
     fall = F.col(key) < F.lag(key).over(by) if late else F.col(key) > F.lead(key).over(by)
     marked = rows.withColumn("_fall", F.coalesce(fall, F.lit(False)).cast("int"))
     return marked.withColumn("ordinal", F.sum("_fall").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_fall")
 
 
+def _ordinals(rows: DataFrame, key: str, order: list[str], late: bool) -> DataFrame:
+    """``ordinals`` of one long order: counted within ranges, of which the driver adds up the falls, a row for each."""
+    dealt, _ = _ranges(rows, order)
+    by = Window.partitionBy("_part").orderBy(*order)
+    fall = F.col(key) < F.lag(key).over(by) if late else F.col(key) > F.lead(key).over(by)
+    marked = dealt.withColumn("_fall", F.coalesce(fall, F.lit(False)).cast("int")).withColumn("_at", F.row_number().over(by))
+    first = F.struct(F.col("_at"), F.col(key).alias("k"))
+    ends = marked.groupBy("_part").agg(F.sum("_fall").alias("falls"), F.count("*").alias("n"), F.min(first).alias("first"), F.max(first).alias("last")).orderBy("_part").collect()
+    bases, total = [], 0
+    for i, r in enumerate(ends):
+        if late:
+            total += bool(i and None not in (r["first"]["k"], ends[i - 1]["last"]["k"]) and r["first"]["k"] < ends[i - 1]["last"]["k"])
+        at_end = int(not late and i + 1 < len(ends) and None not in (r["last"]["k"], ends[i + 1]["first"]["k"]) and r["last"]["k"] > ends[i + 1]["first"]["k"])
+        bases.append((r["_part"], total, r["n"], at_end))
+        total += r["falls"] + at_end
+    known = rows.sparkSession.createDataFrame(bases, "_part int, _base long, _n long, _end int")
+    counted = marked.withColumn("_sum", F.sum("_fall").over(by.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(known), "_part")
+    ordinal = F.col("_base") + F.col("_sum") + F.when(F.col("_at") == F.col("_n"), F.col("_end")).otherwise(0)
+    return counted.select(*rows.columns, ordinal.cast("long").alias("ordinal"))
+
+
 def unique_match(left: DataFrame, right: DataFrame, keys: list[str], value: str, default: int = -1) -> DataFrame:
     """The value of the one row of ``right`` that matches; the default where none or several do."""
     single = right.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(value).alias(value)).where("_n = 1").drop("_n")
@@ -84,6 +133,77 @@ def tangent_plane(x: Column, y: Column, ra0: float, dec0: float, x0: float, y0:
     return ra, F.degrees(F.atan2(F.sin(d) + eta * F.cos(d), F.hypot(xi, under)))
 
 
+def tangent_pixels(ra: Column, dec: Column, ra0: float, dec0: float, x0: float, y0: float, scale: float) -> tuple[Column, Column]:
+    """Pixels of places in degrees: the way back of ``tangent_plane``."""
+    a, d, d0 = F.radians(ra - ra0), F.radians(dec), F.radians(F.lit(dec0))
+    under = F.sin(d) * F.sin(d0) + F.cos(d) * F.cos(d0) * F.cos(a)
+    xi, eta = F.cos(d) * F.sin(a) / under, (F.sin(d) * F.cos(d0) - F.cos(d) * F.sin(d0) * F.cos(a)) / under
+    return F.lit(x0) - F.degrees(xi) / scale, F.lit(y0) + F.degrees(eta) / scale
+
+
+#: Columns of a catalogue of objects in the sky, in order.
+FIELD_COLUMNS = ["field", "object_id", "label", "centre_x", "centre_y", "ra", "dec", "n_patches", "width", "height"]
+
+
+def field_catalogue(objects: DataFrame, labels: DataFrame, fields: DataFrame, default: int = -1) -> DataFrame:
+    """FIELD_COLUMNS and (ra_text, dec_text) of objects of several fields.
+
+    objects: (field, object_id, centre_x, centre_y, n_patches, width, height);
+    labels: (field, object_id, label); fields: (field, ra0, dec0, x0, y0, scale), the
+    image's reference place and pixel, counted from 1, and degrees for each pixel.
+    An object without label gets the default, one of an unknown field no place.
+    """
+    known = labels.groupBy("field", "object_id").agg(F.min("label").alias("label"))
+    met = objects.join(known, ["field", "object_id"], "left").join(fields, "field", "left").withColumn("label", F.coalesce("label", F.lit(default)))
+    ra, dec = _plane_places()
+    placed = met.withColumn("ra", ra).withColumn("dec", dec)
+    ra_text, dec_text = sexagesimal(F.col("ra"), F.col("dec"))
+    return placed.select(*FIELD_COLUMNS, F.when(F.col("ra").isNotNull(), ra_text).alias("ra_text"), F.when(F.col("dec").isNotNull(), dec_text).alias("dec_text"))
+
+
+def _plane_places() -> tuple[Column, Column]:
+    """Tangent-plane places of rows that carry their own reference."""
+    xi, eta = F.radians((F.col("x0") - F.col("centre_x")) * F.col("scale")), F.radians((F.col("centre_y") - F.col("y0")) * F.col("scale"))
+    d = F.radians("dec0")
+    under = F.cos(d) - eta * F.sin(d)
+    return F.pmod(F.col("ra0") + F.degrees(F.atan2(xi, under)), F.lit(360.0)), F.degrees(F.atan2(F.sin(d) + eta * F.cos(d), F.hypot(xi, under)))
+
+
+def final_catalogue(catalogue: DataFrame, wide: list[DataFrame], keys: tuple[str, ...] = ("field", "object_id")) -> DataFrame:
+    """Texts of a catalogue's columns, numbers with six digits for places, joined with wide tables (keys..., values) such as labels and scores of every cut."""
+    out = catalogue
+    for more in wide:
+        out = out.join(more.dropDuplicates(list(keys)), list(keys), "left")
+    six = lambda c: F.format_string("%.6f", F.col(c)).alias(c)
+    return out.select(*(six(c) if c in ("ra", "dec") else F.format_string("%.3f", F.col(c)).alias(c) if dict(out.dtypes)[c] in ("double", "float") else F.col(c) for c in out.columns))
+
+
+def label_matrix(rows: DataFrame, left: str, right: str, wanted: list[int] | None = None) -> DataFrame:
+    """(left, right, n): how often labels occur together; only wanted labels on both sides if given."""
+    if wanted is not None:
+        rows = rows.where(F.col(left).isin(wanted) & F.col(right).isin(wanted))
+    return rows.groupBy(left, right).agg(F.count("*").alias("n"))
+
+
+def in_sorted(values: DataFrame, queries: DataFrame, value: str, query: str) -> DataFrame:
+    """(query, found): whether each query is among the values; a join stands for the search of a sorted list."""
+    hit = values.select(F.col(value).alias(query), F.lit(True).alias("found")).distinct()
+    return queries.select(query).join(hit, query, "left").select(query, F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def sample_files(names: DataFrame, name: str = "name", wanted: list[str] | None = None) -> DataFrame:
+    """(name, class, region, kind) of files named class-region_(kind).csv, of wanted classes if given."""
+    pattern = r"^([^-/]+)-([^_/]+)_\(([^)]*)\)\.csv$"
+    found = names.select(name, *(F.regexp_extract(name, pattern, i).alias(c) for i, c in ((1, "class"), (2, "region"), (3, "kind")))).where("class <> ''")
+    return found.where(F.col("class").isin(wanted)) if wanted is not None else found
+
+
+def top_by_cut(rows: DataFrame, cut: str, group: str, score: str, tie: str, k: int) -> DataFrame:
+    """The k best of each group in each cut of a tree or number of clusters, with their ``rank``."""
+    rank = F.row_number().over(Window.partitionBy(cut, group).orderBy(F.desc(score), tie))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def sexagesimal(ra: Column, dec: Column) -> tuple[Column, Column]:
     """h:m:s and signed d:m:s texts, rounded to hundredths and tenths of a second."""
     t = F.round(ra * 24000).cast("long")  # hundredths of a second of time
@@ -112,8 +232,7 @@ def rank_sample(rows: DataFrame, order: list[str], n: int = 25) -> DataFrame:
     """n rows at even ranks from the first to the middle one of an ordering."""
     total = rows.count()
     wanted = sorted({(i * (total // 2)) // (n - 1) for i in range(n)}) if total else []
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
-    return ranked.where(F.col("rank").isin(wanted))
+    return ranked(rows, order).where(F.col("rank").isin(wanted))
 
 
 def cross_tiles(spark: SparkSession, fields: DataFrame, rows: int, columns: int, bands: list[str], pattern: str) -> DataFrame:

@@ -6,15 +6,18 @@ a sample or a node table, whose size is checked.  All else is distributed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.vectors import metric, squared_euclid
-from .assign import centroids, nearest
+from .assign import centroids, moved_centres, nearest
 from .graph import components
 
 # --- growing neural gas ----------------------------------------------------------
@@ -97,6 +100,15 @@ class GasState:
         self._tie(other, new)
         del self.edges[worst][other], self.edges[other][worst]
 
+    def restore(self, nodes: list[tuple[int, list[float], float, int]], edges: list[tuple[int, int, int]], step: int) -> None:
+        """Takes up the state of a stored model."""
+        self.alive[:], self.step = False, step
+        self.edges = [{} for _ in self.pos]
+        for i, at, error, seen in nodes:
+            self.pos[i], self.alive[i], self.error[i], self.seen[i] = at, True, error, seen
+        for a, b, age in edges:
+            self.edges[a][b] = self.edges[b][a] = age
+
     def nodes(self) -> list[tuple[int, list[float], float, int]]:
         return [(int(i), self.pos[i].tolist(), float(self.error[i]), int(self.seen[i])) for i in np.flatnonzero(self.alive)]
 
@@ -104,13 +116,17 @@ class GasState:
         return [(i, j, age) for i in np.flatnonzero(self.alive).tolist() for j, age in sorted(self.edges[i].items()) if i < j]
 
 
-def fit_gas(samples: DataFrame, v: str, order: str, gas: Gas | None = None, n_samples: int = 100_000, seed: int = 0) -> DataFrame:
-    """(kind, a, b, age, pos, error, last): nodes and edges of a gas fitted to at most ``n_samples`` rows.
+def fit_gas(samples: DataFrame, v: str, order: str, gas: Gas | None = None, n_samples: int = 100_000, seed: int = 0, iterations: int | None = None, slices: int = 1, start: DataFrame | None = None) -> DataFrame:
+    """(kind, a, b, age, pos, error, last): nodes and edges of a gas fitted to at most ``n_samples`` rows, and a row of kind meta whose ``last`` counts the steps.
 
     Rows are drawn and ordered by a hash of ``order`` and the seed, in Spark; the
     kernel sees them in that order.  ``samples`` x dimension numbers reach one task.
+    ``iterations`` draws so many of them with replacement, in ``slices`` that each
+    replay the same draw, instead of taking each row once.  ``start`` is a model
+    of an earlier call, from which the fit goes on.
     """
     gas = gas or Gas()
+    before = [tuple(r) for r in start.select("kind", "a", "b", "age", "pos", "error", "last").collect()] if start is not None else []  # as many rows as a gas has nodes and edges
     rows = samples.count()
     mark = F.xxhash64(F.col(order), F.lit(seed))
     drawn = samples.where(F.pmod(mark, F.lit(1_000_003)) < min(1.0, n_samples / max(1, rows)) * 1_000_003).select(mark.alias("m"), F.col(v).alias("v"), F.lit(0).alias("g"))
@@ -120,14 +136,19 @@ def fit_gas(samples: DataFrame, v: str, order: str, gas: Gas | None = None, n_sa
         x = np.array(group.column("v").to_pylist(), float)[at]
         if len(x) < 2:
             return pa.table([pa.array([], f.type) for f in _GAS], schema=_GAS)
-        state = GasState(gas, x)
-        for row in x[2:]:
+        state, rest = GasState(gas, x), x[2:]
+        if before:
+            state.restore([(r[1], *r[4:]) for r in before if r[0] == "node"], [r[1:4] for r in before if r[0] == "edge"], max(r[6] for r in before if r[0] != "edge"))
+            rest = x
+        if iterations is not None:
+            rest = x[np.tile(np.random.default_rng(seed).integers(0, len(x), max(1, iterations // slices)), slices)]
+        for row in rest:
             state.learn(row)
         nodes, links = state.nodes(), state.links()
         gap = lambda n: [None] * n
         return pa.table([
-            ["node"] * len(nodes) + ["edge"] * len(links), [n[0] for n in nodes] + [e[0] for e in links], gap(len(nodes)) + [e[1] for e in links], gap(len(nodes)) + [e[2] for e in links],
-            [n[1] for n in nodes] + gap(len(links)), [n[2] for n in nodes] + gap(len(links)), [n[3] for n in nodes] + gap(len(links)),
+            ["node"] * len(nodes) + ["edge"] * len(links) + ["meta"], [n[0] for n in nodes] + [e[0] for e in links] + [None], gap(len(nodes)) + [e[1] for e in links] + [None], gap(len(nodes)) + [e[2] for e in links] + [None],
+            [n[1] for n in nodes] + gap(len(links)) + [None], [n[2] for n in nodes] + gap(len(links)) + [None], [n[3] for n in nodes] + gap(len(links)) + [state.step],
         ], schema=_GAS)
 
     return drawn.groupBy("g").applyInArrow(run, "kind string, a int, b int, age int, pos array<double>, error double, last long")
@@ -211,6 +232,8 @@ def hac(nodes: DataFrame, v: str, node: str = "node", distance: str = "euclidean
     n = nodes.count()
     if n > most:
         raise ValueError(f"{n} nodes; agglomeration keeps their distances in one task and takes {most}: quantise first")
+    if linkage not in ("centroid", "average", "complete"):
+        raise ValueError(f"unknown linkage {linkage!r}")
 
     def run(group: pa.Table) -> pa.Table:
         at = np.argsort(group.column("node").to_numpy(), kind="stable")
@@ -222,28 +245,75 @@ def hac(nodes: DataFrame, v: str, node: str = "node", distance: str = "euclidean
     return nodes.select(F.col(node).cast("long").alias("node"), F.col(v).alias("v"), F.lit(0).alias("g")).groupBy("g").applyInArrow(run, "id long, left long, right long, distance double, size int, centroid array<double>")
 
 
+MOST_MERGES = 200_000
+
+
+def _packed(merges: DataFrame) -> DataFrame:
+    """A tree as one row; ``hac`` bounds its leaves, and more than MOST_MERGES merges are an error."""
+    n = merges.count()
+    if n > MOST_MERGES:
+        raise ValueError(f"{n} merges; a tree is cut in one task and may have {MOST_MERGES}")
+    return merges.agg(F.collect_list(F.struct(*(F.col(c).cast(k).alias(c) for c, k in (("id", "long"), ("left", "long"), ("right", "long"), ("distance", "double"))))).alias("tree"))
+
+
+def _downward(tree: list[dict]) -> list[tuple[int, int, int, float]]:
+    """Merges from the top down: each after the one that holds it."""
+    by_id = {m["id"]: m for m in tree}
+    todo = sorted(by_id.keys() - {k for m in tree for k in (m["left"], m["right"])})
+    out = []
+    while todo:
+        m = by_id[todo.pop()]
+        out.append((m["id"], m["left"], m["right"], m["distance"]))
+        todo += [k for k in (m["left"], m["right"]) if k in by_id]
+    return out
+
+
 def roots(merges: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(threshold, node, root) for each leaf: the topmost cluster above it whose own distance is under the threshold, else itself.
 
-    One pass down from the top for all thresholds at once: a frontier of
-    clusters, each with the root that holds it, steps to its children.
+    The tree, whose size is checked, travels as one row; each threshold is one
+    pass over it from the top down, and thresholds are dealt to tasks.
     """
-    spark = merges.sparkSession
-    flat = merges.select("id", "left", "right", "distance").cache()
-    children = flat.select(F.col("left").alias("node")).union(flat.select("right"))
-    top = flat.join(children, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("node"))
-    frontier = top.crossJoin(F.broadcast(thresholds)).select("threshold", "node", F.lit(None).cast("long").alias("root"))
-    done = spark.createDataFrame([], "threshold double, node long, root long")
-    for _ in range(flat.count() + 1):
-        held = frontier.join(flat, F.col("node") == F.col("id"), "left")
-        held = held.withColumn("root", F.coalesce("root", F.when(F.col("id").isNull() | (F.col("distance") < F.col("threshold")), F.col("node")))).checkpoint()
-        done = done.unionByName(held.where("id is null").select("threshold", "node", "root"))
-        below = held.where("id is not null")
-        frontier = below.select("threshold", F.explode(F.array("left", "right")).alias("node"), "root")
-        if below.isEmpty():
-            break
-    flat.unpersist()
-    return done
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                threshold, order = batch.column(0)[i].as_py(), _downward(batch.column(1)[i].as_py())
+                held: dict[int, int] = {}
+                inner, leaves, of = {m[0] for m in order}, [], []
+                for node, left, right, distance in order:
+                    root = held.get(node)
+                    if root is None and distance < threshold:
+                        root = node
+                    for child in (left, right):
+                        if child in inner:
+                            if root is not None:
+                                held[child] = root
+                        else:
+                            leaves.append(child)
+                            of.append(child if root is None else root)
+                yield pa.RecordBatch.from_arrays([pa.array([threshold] * len(leaves), pa.float64()), pa.array(leaves, pa.int64()), pa.array(of, pa.int64())], ["threshold", "node", "root"])
+
+    met = thresholds.select(F.col("threshold").cast("double")).crossJoin(F.broadcast(_packed(merges)))
+    return met.mapInArrow(run, "threshold double, node long, root long")
+
+
+def tree_shape(merges: DataFrame) -> DataFrame:
+    """(id, height, depth) of each merge: the number of its leaves, and the largest sum of distances from it down to a leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                height: dict[int, int] = {}
+                depth: dict[int, float] = {}
+                order = _downward(batch.column(0)[i].as_py() or [])
+                for node, left, right, distance in reversed(order):
+                    height[node] = height.get(left, 1) + height.get(right, 1)
+                    depth[node] = max(depth.get(left, 0.0), depth.get(right, 0.0)) + distance
+                ids = [m[0] for m in order]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([height[k] for k in ids], pa.int64()), pa.array([depth[k] for k in ids], pa.float64())], ["id", "height", "depth"])
+
+    return _packed(merges).mapInArrow(run, "id long, height long, depth double")
 
 
 def sweep(merges: DataFrame, spark: SparkSession, start: float = 1.0, step: float = 0.005, end: float = 0.01) -> DataFrame:
@@ -254,38 +324,57 @@ def sweep(merges: DataFrame, spark: SparkSession, start: float = 1.0, step: floa
     return cut.groupBy("threshold", "root").count().groupBy("threshold").agg(F.count("*").alias("n_clusters"), F.max("count").alias("largest"), F.avg("count").alias("mean_size"))
 
 
-def labels_of(cut: DataFrame) -> DataFrame:
-    """Adds ``label``: clusters of each threshold numbered by their smallest leaf."""
-    from pyspark.sql.window import Window
+#: How the clusters of a cut are numbered: by their smallest leaf, by their root (the latest merge first), or by the smallest component of their leaves.
+LABEL_RULES = ("first_leaf", "root", "component")
+
 
+def labels_of(cut: DataFrame, rule: str = "first_leaf", components_of: DataFrame | None = None) -> DataFrame:
+    """Adds ``label`` by a rule of LABEL_RULES; ``component`` takes the component (node, component) of each cluster's smallest leaf, and so may repeat."""
+    if rule not in LABEL_RULES:
+        raise ValueError(f"unknown rule {rule!r}; there are {LABEL_RULES}")
     first = cut.groupBy("threshold", "root").agg(F.min("node").alias("first"))
-    numbered = first.withColumn("label", F.row_number().over(Window.partitionBy("threshold").orderBy("first")) - 1)
-    return cut.join(numbered.drop("first"), ["threshold", "root"])
+    if rule == "component":
+        of = components_of.select(F.col("node").alias("first"), F.col("component").alias("label"))
+        return cut.join(first.join(of, "first", "left").drop("first"), ["threshold", "root"])
+    by = Window.partitionBy("threshold").orderBy("first" if rule == "first_leaf" else "root")
+    return cut.join(first.withColumn("label", F.row_number().over(by) - 1).drop("first"), ["threshold", "root"])
 
 
 # --- other clusterings -------------------------------------------------------------
 
 
 def kmeans(points: DataFrame, k: int, rounds: int, point_id: str, v: str, dim: int) -> DataFrame:
-    """(point_id, cid, dist) after Lloyd rounds from the k points with the smallest ids; an empty centre stays where it is."""
+    """(point_id, cid, dist) after Lloyd rounds from the k points with the smallest ids; an empty centre stays where it is.
+
+    A round is one scan in which tasks add up the points nearest to each centre.
+    """
     at = points.orderBy(point_id).limit(k).select(point_id, v).collect()
     centres = {i: list(r[1]) for i, r in enumerate(at)}
     spark = points.sparkSession
     frame = lambda: spark.createDataFrame([(i, [float(x) for x in c]) for i, c in centres.items()], "cid long, centre array<double>")
-    for _ in range(rounds):
-        assigned = nearest(points, frame(), "squared_euclid", point_id, v).join(points.select(point_id, v), point_id)
-        moved = centroids(assigned, "cid", v, dim).collect()  # k rows
-        centres |= {r["cid"]: r["centre"] for r in moved}
+    for _ in range(rounds if centres else 0):
+        centres |= {r["cid"]: r["centre"] for r in moved_centres(points, frame(), v, dim).collect()}  # k rows
     return nearest(points, frame(), "squared_euclid", point_id, v)
 
 
-def within(points: DataFrame, point_id: str, v: str, eps: float, distance: str = "euclidean", block: int = 2000) -> DataFrame:
-    """(src, dst): ordered pairs of different points at a distance up to eps, point by block."""
+def within(points: DataFrame, point_id: str, v: str, eps: float, distance: str = "euclidean", axes: int = 3) -> DataFrame:
+    """(src, dst): ordered pairs of different points at a Euclidean distance up to eps.
+
+    Such points are at most eps apart on every axis, so cells of that width on the
+    first ``axes`` of them give candidates by an equi-join, each pair once.
+    """
+    if distance not in ("euclidean", "squared_euclid"):
+        raise ValueError("cells need a Euclidean distance")
     d = metric(distance)
-    blocks = -(-max(1, points.count()) // block)
-    packed = points.groupBy(F.pmod(F.xxhash64(point_id), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col(point_id).alias("id"), F.col(v).alias("v"))).alias("others"))
-    near = F.filter("others", lambda o: (o["id"] != F.col(point_id)) & (d(F.col(v), o["v"]) <= eps))
-    return points.select(point_id, v).crossJoin(packed).select(F.col(point_id).alias("src"), F.explode(near).alias("o")).select("src", F.col("o.id").alias("dst"))
+    axis = lambda i: F.coalesce(F.floor(F.get(v, F.lit(i)) / F.lit(eps if distance == "euclidean" else eps**0.5)), F.lit(0)).cast("long")
+    base = points.select(F.col(point_id).alias("k"), F.col(v).alias("w"), *(axis(i).alias(f"c{i}") for i in range(axes)))
+    halves = [s for s in product((-1, 0, 1), repeat=axes) if s >= (0,) * axes]  # its own cell, and one of each two opposite ones
+    steps = F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"s{i}") for i, x in enumerate(s)), F.lit(not any(s)).alias("own")) for s in halves)))
+    left = base.select(F.col("k").alias("a"), F.col("w").alias("u"), *(f"c{i}" for i in range(axes)), steps.alias("s"))
+    left = left.select("a", "u", F.col("s.own").alias("own"), *((F.col(f"c{i}") + F.col(f"s.s{i}")).alias(f"c{i}") for i in range(axes)))
+    met = left.join(base, [f"c{i}" for i in range(axes)]).where((~F.col("own") | (F.col("a") < F.col("k"))) & (d(F.col("u"), F.col("w")) <= eps))
+    once = met.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("k").alias("dst")), F.struct(F.col("k").alias("src"), F.col("a").alias("dst")))).alias("p"))
+    return once.select("p.src", "p.dst")
 
 
 def dbscan(points: DataFrame, point_id: str, v: str, eps: float, least: int, distance: str = "euclidean") -> DataFrame:
@@ -305,4 +394,4 @@ def nearest_centroid(train: DataFrame, points: DataFrame, label: str, v: str, di
     return nearest(points, centroids(train, label, v, dim), distance, point_id, v)
 
 
-__all__ = ["Gas", "GasState", "agglomerate", "dbscan", "edge_coordinates", "fit_gas", "gas_components", "hac", "kmeans", "labels_of", "nearest_centroid", "roots", "squared_euclid", "sweep", "within"]
+__all__ = ["Gas", "GasState", "agglomerate", "dbscan", "edge_coordinates", "fit_gas", "gas_components", "hac", "kmeans", "labels_of", "nearest_centroid", "roots", "squared_euclid", "sweep", "tree_shape", "within"]

@@ -47,16 +47,17 @@ def radial_means(power: np.ndarray, width: float = 1.0) -> np.ndarray:
 FEATURES: dict[str, Callable[..., np.ndarray]] = {"power_spectrum": lambda x, width=1.0: radial_means(power_spectrum(x), width)}
 
 
-def patch_features(patch_rows: DataFrame, band_columns: list[str], side: int, feature: str = "power_spectrum", **options) -> DataFrame:
-    """(gx, gy, v): features of all bands in a row; patches that aren't complete have none.  Arrow batches, no shuffle."""
-    build = FEATURES[feature]
+def patch_features(patch_rows: DataFrame, band_columns: list[str], side: int, feature: str = "power_spectrum", area: list[str] | None = None, **options) -> DataFrame:
+    """(area..., gx, gy, v): features of all bands in a row; patches that aren't complete have none.  Arrow batches, no shuffle."""
+    build, area = FEATURES[feature], area or []
+    keys, kinds = [*area, "gx", "gy"], dict(patch_rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [build(batch.column(2 + i).flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side), **options) for i in range(len(band_columns))]
+            parts = [build(batch.column(len(keys) + i).flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side), **options) for i in range(len(band_columns))]
             rows = np.concatenate(parts, 1) if batch.num_rows else np.empty((0, 1))
             made = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["gx", "gy", "v"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], made], [*keys, "v"])
 
-    whole = patch_rows.where(F.col("n") == side * side).select(F.col("gx").cast("int"), F.col("gy").cast("int"), *band_columns)
-    return whole.mapInArrow(run, "gx int, gy int, v array<double>")
+    whole = patch_rows.where(F.col("n") == side * side).select(*area, F.col("gx").cast("int"), F.col("gy").cast("int"), *band_columns)
+    return whole.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in area), "gx int, gy int, v array<double>"]))

@@ -28,22 +28,25 @@ def bands(pixels: DataFrame, wanted: list[str], column: str = "band") -> DataFra
     return pixels.where(F.col(column).isin(sorted(wanted)))
 
 
-def patches(pixels: DataFrame, grid: DataFrame, w: int) -> DataFrame:
-    """(gx, gy, dx, dy, the pixel's other columns): each pixel with every grid point whose square of side 2w holds it.
+def patches(pixels: DataFrame, grid: DataFrame, w: int, area: list[str] | None = None) -> DataFrame:
+    """(area..., gx, gy, dx, dy, the pixel's other columns): each pixel with every grid point whose square of side 2w holds it.
 
     Grid points name their pixels, and an equi-join finds them; there is no comparison of all with all.
+    With ``area``, grid points and pixels carry the image that they belong to.
     """
+    area = area or []
     span = F.sequence(F.lit(-w), F.lit(w - 1))
-    wanted = grid.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select("gx", "gy", "dx", "dy", (F.col("gx") + F.col("dx")).alias("x"), (F.col("gy") + F.col("dy")).alias("y"))
-    return wanted.join(pixels, ["x", "y"])
+    wanted = grid.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select(*area, "gx", "gy", "dx", "dy", (F.col("gx") + F.col("dx")).alias("x"), (F.col("gy") + F.col("dy")).alias("y"))
+    return wanted.join(pixels, [*area, "x", "y"])
 
 
-def patch_vectors(pixels: DataFrame, grid: DataFrame, w: int, band_columns: list[str]) -> DataFrame:
-    """(gx, gy, n, one row-major array for each band): at most (2w)^2 values each."""
-    found = patches(pixels, grid, w)
+def patch_vectors(pixels: DataFrame, grid: DataFrame, w: int, band_columns: list[str], area: list[str] | None = None) -> DataFrame:
+    """(area..., gx, gy, n, one row-major array for each band): at most (2w)^2 values each."""
+    area = area or []
+    found = patches(pixels, grid, w, area)
     cells = F.array_sort(F.collect_list(F.struct("dy", "dx", *band_columns)))
-    rows = found.groupBy("gx", "gy").agg(cells.alias("c"))
-    return rows.select("gx", "gy", F.size("c").alias("n"), *(F.transform("c", _field(b)).alias(b) for b in band_columns))
+    rows = found.groupBy(*area, "gx", "gy").agg(cells.alias("c"))
+    return rows.select(*area, "gx", "gy", F.size("c").alias("n"), *(F.transform("c", _field(b)).alias(b) for b in band_columns))
 
 
 def _field(name: str):
@@ -87,21 +90,52 @@ def sigma_levels(band_columns: list[str], sigmas: list[float], multiples: list[f
     return [(F.col(b) > m * s).cast("int").alias(f"{b}_{m:g}") for m in multiples for b, s in zip(band_columns, sigmas, strict=True)]
 
 
+def order_statistics(rows: DataFrame, column: str, places: list[int], bins: int = 4096, few: int = 10_000) -> list[float]:
+    """The values at places (from 0) of the sorted, non-null column, exactly.
+
+    Each pass counts the values between bounds by equal bins, which combine before
+    the shuffle, and goes on in the bin that holds the place; only the last few
+    values reach the driver, however many there are.
+    """
+    rows = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    return [_at_place(rows, place, low, high, bins, few) for place in places]
+
+
+def _at_place(rows: DataFrame, place: int, low: float, high: float, bins: int, few: int) -> float:
+    while low < high:
+        inside = rows.where((F.col("v") >= low) & (F.col("v") <= high))
+        bin_of = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        below = 0
+        for r in inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
+            if below + r["n"] > place:
+                break
+            below += r["n"]
+        if r["n"] <= few:
+            return sorted(x[0] for x in rows.where((F.col("v") >= r["lo"]) & (F.col("v") <= r["hi"])).collect())[place - below]
+        place, low, high = place - below, r["lo"], r["hi"]
+    return low
+
+
 def sigma_clip(pixels: DataFrame, flux: str, clip: float = 3.0, rounds: int = 50) -> list[tuple[int, float, float, float]]:
     """(n, mean, median, population deviation) of each round; values further than ``clip`` deviations from the median go.
 
     Zeros are masked.  Bounds of a round are literals of the next one's filter,
-    so every round is one aggregate over the scan; it stops when nothing goes.
+    so a round is one aggregate over the scan and the passes of an exact median;
+    it stops when nothing goes.
     """
     out: list[tuple[int, float, float, float]] = []
     kept = pixels.where((F.col(flux) != 0) & F.col(flux).isNotNull()).select(flux)
     low, high = float("-inf"), float("inf")
     for _ in range(rounds):
-        row = kept.where((F.col(flux) >= low) & (F.col(flux) <= high)).agg(F.count(flux), F.avg(flux), F.median(flux), F.stddev_pop(flux)).first()
-        if row[0] == 0 or (out and out[-1][0] == row[0]):
+        rest = kept.where((F.col(flux) >= low) & (F.col(flux) <= high))
+        n, mean, deviation = rest.agg(F.count(flux), F.avg(flux), F.stddev_pop(flux)).first()
+        if n == 0 or (out and out[-1][0] == n):
             break
-        out.append(tuple(row))
-        low, high = max(low, row[2] - clip * row[3]), min(high, row[2] + clip * row[3])
+        places = [(n - 1) // 2, n // 2]
+        median = sum(order_statistics(rest, flux, sorted(set(places)))) / len(set(places))
+        out.append((n, mean, median, deviation))
+        low, high = max(low, median - clip * deviation), min(high, median + clip * deviation)
     return out
 
 

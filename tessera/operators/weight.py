@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import metric
+from ..functions.vectors import dot, metric, row_l2
 
 
 def histogram(rows: DataFrame, key: str, label: str, labels: int) -> DataFrame:
@@ -31,12 +31,22 @@ def tf_idf(hists: DataFrame, key: str) -> DataFrame:
     return raw.select(key, "w", norm.alias("norm")).select(key, F.when(F.col("norm") == 0, F.col("w")).otherwise(F.transform("w", lambda x: x / F.col("norm"))).alias("w"))
 
 
+def _worth(a: Column, b: Column) -> Column:
+    """(b - a) / max(a, b); 0 without one of them."""
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0)))
+
+
 def silhouettes(points: DataFrame, point_id: str, v: str, label: str, distance: str = "euclidean", block: int = 2000) -> DataFrame:
     """(point_id, label, silhouette): (b - a) / max(a, b); 0 for a point alone in its cluster.
 
-    Points are cut into blocks that travel as array rows; each point meets each
-    block once and keeps sums by label only.
+    The mean squared Euclidean or cosine distance to a cluster follows from the
+    cluster's sums, so these take one pass over the points.  Other metrics need
+    every pair: points are cut into blocks that travel as array rows, each point
+    meets each block once and keeps sums by label only, and the work grows with
+    the square of the points.
     """
+    if distance in ("squared_euclid", "cosine"):
+        return _silhouettes_by_sums(points, point_id, v, label, distance)
     d = metric(distance)
     n = max(1, points.count())
     blocks = -(-n // block)
@@ -45,5 +55,24 @@ def silhouettes(points: DataFrame, point_id: str, v: str, label: str, distance:
     each = met.select(point_id, label, F.explode(F.transform(F.filter("others", lambda o: o["id"] != F.col(point_id)), lambda o: F.struct(o["label"].alias("other"), d(F.col(v), o["v"]).alias("d")))).alias("x"))
     means = each.groupBy(point_id, label, F.col("x.other").alias("other")).agg(F.avg("x.d").alias("d"))
     ab = means.groupBy(point_id, label).agg(F.min(F.when(F.col("other") == F.col(label), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col(label), F.col("d"))).alias("b"))
-    worth = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
-    return points.select(point_id, label).join(ab, [point_id, label], "left").select(point_id, label, worth.alias("silhouette"))
+    return points.select(point_id, label).join(ab, [point_id, label], "left").select(point_id, label, _worth(F.col("a"), F.col("b")).alias("silhouette"))
+
+
+def _silhouettes_by_sums(points: DataFrame, point_id: str, v: str, label: str, distance: str, most_values: int = 2_000_000) -> DataFrame:
+    """Mean squared distance to a cluster: |x|^2 - 2 x.mean + mean of |y|^2; cosine is half of it on unit vectors."""
+    w = F.col(v) if distance == "squared_euclid" else row_l2(v)
+    rows = points.select(F.col(point_id), F.col(label), w.alias("_w"))
+    dim = points.agg(F.max(F.size(v))).first()[0] or 0
+    sums = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("l")).agg(
+        F.count("*").alias("n"), F.array(*(F.sum(F.get("_w", F.lit(i))) for i in range(dim))).alias("s"), F.sum(dot(F.col("_w"), F.col("_w"))).alias("q")
+    )
+    if sums.count() * dim > most_values:
+        raise ValueError("the clusters' sums are too many to travel as one row")
+    packed = sums.agg(F.collect_list(F.struct("l", "n", "s", "q")).alias("clusters"))
+    met = rows.crossJoin(F.broadcast(packed))
+    whole = lambda c: c["n"] * dot(F.col("_w"), F.col("_w")) - 2 * dot(F.col("_w"), c["s"]) + c["q"]  # noqa: E731  the sum of squared distances
+    half = 1.0 if distance == "squared_euclid" else 0.5
+    own = F.get(F.filter("clusters", lambda c: c["l"] == F.col(label)), F.lit(0))
+    others = F.array_min(F.transform(F.filter("clusters", lambda c: c["l"] != F.col(label)), lambda c: F.greatest(whole(c), F.lit(0.0)) / c["n"] * half))
+    a = F.when(own["n"] > 1, F.greatest(whole(own), F.lit(0.0)) / (own["n"] - 1) * half)
+    return met.select(point_id, label, a.alias("_a"), others.alias("_b")).select(point_id, label, _worth(F.col("_a"), F.col("_b")).alias("silhouette"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
@@ -22,27 +22,50 @@ from .sources.tables import Config
 
 @dataclass
 class Model:
-    """What ``detect`` needs: normalisation, labelled nodes, and the metric."""
+    """What ``detect`` needs: normalisation, labelled nodes, and the metric; and the gas, for a fit that goes on."""
 
     stats: DataFrame  # one row: mean, std
     nodes: DataFrame  # cid, centre
     mapping: DataFrame  # node, label
     labels: int
     metric: str
+    gas: DataFrame | None = None  # as ``cluster.fit_gas`` returns it
+
+    def save(self, folder: str) -> None:
+        """Tables of a folder, Parquet each."""
+        parts = {"stats": self.stats, "nodes": self.nodes, "mapping": self.mapping, "gas": self.gas}
+        for name, rows in parts.items():
+            if rows is not None:
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        self.stats.sparkSession.createDataFrame([(self.labels, self.metric, self.gas is not None)], "labels long, metric string, gas boolean").write.mode("overwrite").parquet(f"{folder}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Model:
+        read = lambda name: spark.read.parquet(f"{folder}/{name}")
+        meta = read("meta").first()
+        return cls(read("stats"), read("nodes"), read("mapping"), meta["labels"], meta["metric"], read("gas") if meta["gas"] else None)
 
 
 def samples(pixels: DataFrame, config: Config, box: tuple[int, int, int, int], thresholds: dict[str, float]) -> DataFrame:
-    """(idx, x, y, v): features of accepted patches on the scan grid of a box (bottom, top, left, right)."""
+    """(idx, area, x, y, v): features of accepted patches on the scan grid of a box (bottom, top, left, right).
+
+    Pixels may have an ``area`` (int), the image that they belong to; all areas are
+    scanned in the same box, and without it there is one, 0.
+    """
     w, band_columns = config.patch, list(thresholds)
     bottom, top, left, right = box
+    if "area" not in pixels.columns:
+        pixels = pixels.withColumn("area", F.lit(0))
     points = grid.scan_grid(pixels.sparkSession, bottom + w, top - w + 1, left + w, right - w + 1, config.stride)
-    rows = grid.patch_vectors(grid.crop(pixels, *box), points, w, band_columns)
+    points = points.crossJoin(F.broadcast(pixels.select("area").distinct()))  # a row for each image
+    rows = grid.patch_vectors(grid.crop(pixels, *box), points, w, band_columns, ["area"])
     rows = grid.accepted(rows.where(F.col("n") == 4 * w * w), w, thresholds)
-    kept = rows.select("gx", "gy", "n", *(grid.patch_threshold(b, t).alias(b) for b, t in thresholds.items()))
-    found = features.patch_features(kept, band_columns, 2 * w)
+    kept = rows.select("area", "gx", "gy", "n", *(grid.patch_threshold(b, t).alias(b) for b, t in thresholds.items()))
+    found = features.patch_features(kept, band_columns, 2 * w, area=["area"])
     v = V.log_floor_train("v") if config.log else F.col("v")
-    # the place on the grid is the key that later stages join on
-    return found.select((F.col("gy").cast("long") * 1_000_000 + F.col("gx")).alias("idx"), F.col("gx").alias("x"), F.col("gy").alias("y"), v.alias("v"))
+    # area and place on the grid are the key that later stages join on
+    idx = F.col("area").cast("long") * 1_000_000_000_000 + F.col("gy").cast("long") * 1_000_000 + F.col("gx")
+    return found.select(idx.alias("idx"), "area", F.col("gx").alias("x"), F.col("gy").alias("y"), v.alias("v"))
 
 
 def normalised(rows: DataFrame, stats: DataFrame, config: Config) -> DataFrame:
@@ -50,11 +73,15 @@ def normalised(rows: DataFrame, stats: DataFrame, config: Config) -> DataFrame:
     return rows.crossJoin(F.broadcast(stats)).select("idx", "x", "y", v.alias("v"))
 
 
-def train(rows: DataFrame, config: Config, gas: cluster.Gas | None = None) -> Model:
-    """Fits a model to samples."""
-    dim = len(rows.select("v").first()["v"])
-    stats = V.vector_stats(rows, "v", dim).select("mean", "std").checkpoint()
-    fitted = cluster.fit_gas(normalised(rows, stats, config), "v", "idx", gas or cluster.Gas(max_nodes=config.max_nodes), config.n_samples).checkpoint()
+def train(rows: DataFrame, config: Config, gas: cluster.Gas | None = None, start: Model | None = None) -> Model:
+    """Fits a model to samples; from a stored model, with its normalisation, the fit goes on.  Without samples there is nothing to fit, an error."""
+    first = rows.select("v").first()
+    if first is None:
+        raise ValueError("no samples: no patch of these pixels is bright and full enough")
+    dim = len(first["v"])
+    stats = start.stats if start is not None else V.vector_stats(rows, "v", dim).select("mean", "std").checkpoint()
+    settings = gas or cluster.Gas(max_nodes=config.max_nodes)
+    fitted = cluster.fit_gas(normalised(rows, stats, config), "v", "idx", settings, config.n_samples, iterations=config.iterations or None, start=start.gas if start is not None else None).checkpoint()
     nodes = fitted.where("kind = 'node'").select(F.col("a").cast("long").alias("cid"), F.col("pos").alias("centre"))
     merges = cluster.hac(nodes.withColumnRenamed("cid", "node"), "centre", distance=config.metric, bands=len(config.bands)).checkpoint()
     spark = rows.sparkSession
@@ -64,20 +91,24 @@ def train(rows: DataFrame, config: Config, gas: cluster.Gas | None = None) -> Mo
     counts = cut.groupBy("threshold").agg(F.count_distinct("root").alias("n"))
     best = catalog.nearest_target(counts, "n", "threshold", config.target_clusters).first()
     mapping = cut.where(F.col("threshold") == best["threshold"]).select("node", "label").checkpoint()
-    return Model(stats, nodes, mapping, best["n"], config.metric)
+    return Model(stats, nodes, mapping, best["n"], config.metric, fitted)
 
 
 def detect(rows: DataFrame, brightness: DataFrame, model: Model, config: Config) -> tuple[DataFrame, DataFrame]:
-    """Objects of samples: (idx, x, y, label, object, level), and their catalogue.  brightness: (x, y, sigma), the flux over its deviation."""
+    """Objects of samples: (idx, area, x, y, label, object, level), and their catalogue.
+
+    brightness: (x, y, sigma), the flux over its deviation, and area if the samples have several.
+    """
     metric = V.metric("pspearson", bands=len(config.bands)) if model.metric == "pspearson" else model.metric
     near = assign.neighbours(normalised(rows, model.stats, config), model.nodes, metric, point_id="idx").drop("rank")
-    labelled = assign.mapped(near, model.mapping).select("idx", "label").join(rows.select("idx", "x", "y"), "idx").join(brightness, ["x", "y"]).checkpoint()
+    labelled = assign.mapped(near, model.mapping).select("idx", "label").join(rows.select("idx", "area", "x", "y"), "idx").join(brightness, [c for c in ("area", "x", "y") if c in brightness.columns]).checkpoint()
     levels = []
     for sigma in config.sigmas:
         bright = labelled.where(F.col("sigma") > sigma)
-        levels.append(bright.join(objects.objects(bright, config.stride), "idx").checkpoint())
-    kept = objects.merge_levels(levels).join(labelled.select("idx", "x", "y", "label"), "idx").checkpoint()
-    return kept, objects.catalogue(kept, config.patch, config.least_patches)
+        levels.append(bright.join(objects.objects(bright, config.stride, same="area"), "idx").checkpoint())
+    kept = objects.merge_levels(levels).join(labelled.select("idx", "area", "x", "y", "label"), "idx").checkpoint()
+    found = objects.catalogue(kept, config.patch, config.least_patches, keep=["area"])
+    return kept, found
 
 
 def classify(kept: DataFrame, model: Model, config: Config, rounds: int = 10) -> DataFrame:

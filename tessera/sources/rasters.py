@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Sample types of the image format by bits for each pixel.
 FITS_TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -81,7 +82,7 @@ def text_header_matrix(raw: bytes) -> np.ndarray:
 DECODERS = {"fits": fits_image, "npy": npy_matrix, "matrix": text_header_matrix}
 
 
-def read_pixels(spark: SparkSession, path: str, kind: str = "fits", rows: int = 256) -> DataFrame:
+def read_pixels(spark: SparkSession, path: str | list[str], kind: str = "fits", rows: int = 256) -> DataFrame:
     """(path, y, x, value) of image files; crop with a filter on y and x."""
     decode = DECODERS[kind]
 
@@ -97,6 +98,16 @@ def read_pixels(spark: SparkSession, path: str, kind: str = "fits", rows: int =
     return _files(spark, path).mapInArrow(run, "path string, y int, x int, value double")
 
 
+def read_cube(spark: SparkSession, files: DataFrame, kind: str = "fits", rows: int = 256) -> DataFrame:
+    """(area, x, y, a column for each band) of a manifest (area, band, path): bands of one area are joined by pixel; a band without the pixel is null."""
+    listed = [(r["area"], r["band"], r["path"]) for r in files.select("area", "band", "path").collect()]  # a row for each file
+    names = spark.createDataFrame([(a, b, p.rsplit("/", 1)[-1], p) for a, b, p in listed], "area int, band string, name string, wanted string")
+    pixels = read_pixels(spark, [p for _, _, p in listed], kind, rows).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    tagged = pixels.join(F.broadcast(names), "name").where(F.col("path").endswith(F.regexp_replace("wanted", "^file:/*", "/")))
+    bands = sorted({b for _, b, _ in listed})
+    return tagged.groupBy("area", "x", "y").agg(*(F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands))
+
+
 def read_vectors(spark: SparkSession, path: str, kind: str = "npy", rows: int = 4096) -> DataFrame:
     """(path, idx, v) of matrix files, a row each; idx counts within the file."""
     decode = DECODERS[kind]
@@ -113,7 +124,7 @@ def read_vectors(spark: SparkSession, path: str, kind: str = "npy", rows: int =
     return _files(spark, path).mapInArrow(run, "path string, idx long, v array<double>")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 

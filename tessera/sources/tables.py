@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +13,23 @@ SKY_AREAS = "id int, field string, field_rect string, sigma_rect string"
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ",", kind: str = "double") -> DataFrame:
-    """(path, v): a vector from each line; empty lines are skipped, quotes around numbers are dropped."""
-    line = F.regexp_replace(F.trim("value"), '"', "")
-    return spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("path"), F.transform(F.split(line, sep), lambda x: F.trim(x).cast(kind)).alias("v"))
+    """(path, v): a vector from each line; empty lines are skipped, quotes around values are dropped, and separators inside them belong to the value."""
+    parts = _parts(F.trim("value"), sep)
+    return spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("path"), F.transform(parts, lambda x: F.trim(x).cast(kind)).alias("v"))
+
+
+def _parts(line: Column, sep: str) -> Column:
+    """Values of a line; only lines with quotes are cut by the rule that counts them."""
+    plain = re.escape(sep)
+    quoted = F.transform(F.split(line, plain + '(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"|"$', ""), '""', '"'))
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, plain))
+
+
+def read_pairs(spark: SparkSession, path: str, sep: str = ",", kinds: tuple[str, str] = ("int", "int")) -> DataFrame:
+    """(key, value): the first two values of each line, the last line of a key wins within a file."""
+    parts = _parts(F.trim("value"), sep)
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.get(parts, F.lit(0)).cast(kinds[0]).alias("key"), F.get(parts, F.lit(1)).cast(kinds[1]).alias("value"), F.monotonically_increasing_id().alias("n"))
+    return rows.groupBy("key").agg(F.max_by("value", "n").alias("value"))
 
 
 def write_matrix(rows: DataFrame, v: str, path: str, sep: str = "\t", order: str | None = None) -> None:
@@ -96,6 +111,16 @@ class Config:
     k: int = 30
     log: bool = True
     zscore: bool = True
+    iterations: int = 0
+
+    def text(self) -> str:
+        """The settings as ``read`` takes them."""
+        show = lambda v: ",".join(map(str, v)) if isinstance(v, tuple) else str(v).lower() if isinstance(v, bool) else str(v)
+        return "".join(f"{f.name}={show(getattr(self, f.name))}\n" for f in fields(self))
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        """A text file folder with the settings."""
+        spark.createDataFrame([(line,) for line in self.text().splitlines()], "line string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def read(cls, text: str, options: dict[str, str] | None = None) -> Config:
