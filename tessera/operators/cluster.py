@@ -299,19 +299,30 @@ def roots(merges: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def tree_shape(merges: DataFrame) -> DataFrame:
-    """(id, height, depth) of each merge: the number of its leaves, and the largest sum of distances from it down to a leaf."""
+    """(id, height, depth) of each merge: the number of its leaves, and the largest sum of distances from it down to a leaf.
+
+    Distances are added from the merge downwards, so equal paths have equal sums whatever hangs beside them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 height: dict[int, int] = {}
                 depth: dict[int, float] = {}
+                way: dict[int, list[float]] = {}  # distances from the lowest merge of a deepest path up, shared by the merges on it
+                place: dict[int, int] = {}
                 order = _downward(batch.column(0)[i].as_py() or [])
                 for node, left, right, distance in reversed(order):
                     height[node] = height.get(left, 1) + height.get(right, 1)
-                    depth[node] = max(depth.get(left, 0.0), depth.get(right, 0.0)) + distance
+                    deeper = left if depth.get(left, 0.0) >= depth.get(right, 0.0) else right
+                    depth[node] = depth.get(deeper, 0.0) + distance
+                    way[node] = way.get(deeper, [])
+                    way[node].append(distance)
+                    place[node] = len(way[node])
+                down = {id(w): np.array(w[::-1]) for w in way.values()}
                 ids = [m[0] for m in order]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([height[k] for k in ids], pa.int64()), pa.array([depth[k] for k in ids], pa.float64())], ["id", "height", "depth"])
+                sums = [float(np.add.accumulate(down[id(way[k])][-place[k] :])[-1]) for k in ids]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([height[k] for k in ids], pa.int64()), pa.array(sums, pa.float64())], ["id", "height", "depth"])
 
     return _packed(merges).mapInArrow(run, "id long, height long, depth double")
 
