@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fim, jaccard, langid, licences, lm, packing, pulearn, rpforest, rules, tokenfile
+from . import bpe, common, dualtree, fim, jaccard, langid, licences, lm, packing, pulearn, rpforest, rules, tokenfile
 
 #: Vocabulary files; they stay where they are installed, on every machine.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +71,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulearn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dualtree.centroid_clusters(table(spark, sf_dir, "embeddings"), 40, 5)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.transform(table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -89,10 +93,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_centroid_clusters": op11_centroid_clusters,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds as common table expressions; a centroid is moved where vectors are nearest to it, else it stays."""
+    steps = [f"""k AS MATERIALIZED (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS cluster, v FROM k WHERE vec_id IS NOT NULL QUALIFY cluster < {k}
+)"""]
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))"
+    near = lambda i: f"(SELECT k.vec_id, k.v, min({{'d': CAST({apart} AS BIGINT), 'c': c.cluster}}) AS m FROM (SELECT row_number() OVER () AS r, * FROM k) k, c{i} c GROUP BY k.r, k.vec_id, k.v)"
+    for i in range(rounds):
+        steps.append(f"""s{i} AS (
+  SELECT m.c AS cluster, unnest(range(1, 65)) AS i, unnest(v) AS x FROM {near(i)}
+), m{i} AS (
+  SELECT cluster, i, sum(x) AS s, count(*) AS n FROM s{i} GROUP BY ALL
+), c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(w.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM m{i} GROUP BY cluster) w USING (cluster)
+)""")
+    return f"""WITH {", ".join(steps)}, a AS (SELECT vec_id, m.c AS cluster, m.d AS distance FROM {near(rounds)})
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a JOIN c{rounds} c USING (cluster)"""
+
+
 SQL: dict[str, str] = {
+    "op11_centroid_clusters": _lloyd_sql(),
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
