@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, dualtree, fim, jaccard, langid, licences, lm, packing, pulearn, rpforest, rules, tokenfile
+from . import bpe, common, dualtree, fim, jaccard, langid, licences, lm, packing, pulearn, rpforest, rules, tokenfile, toxicity
 
 #: Vocabulary files; they stay where they are installed, on every machine.
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +75,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dualtree.centroid_clusters(table(spark, sf_dir, "embeddings"), 40, 5)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.7)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.transform(table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
