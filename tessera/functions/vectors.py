@@ -26,6 +26,11 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def finite(v: Column | str) -> Column:
+    """Whether a vector is there, and all its components are: none null, NaN or infinite."""
+    return F.coalesce(F.forall(_col(v), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def _over(x: Column, y: Column) -> Column:
     """x / y, null where y is zero."""
     return F.when(y != 0, x / y)

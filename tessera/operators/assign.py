@@ -5,7 +5,9 @@ point finds its neighbours in an expression over that array: no shuffle, whateve
 the number of points.  More centres are cut into blocks of that size; each point
 meets each block once, and the blocks' answers are merged by an aggregate that
 combines before its shuffle.  ``matrix`` computes Euclidean and cosine distances
-in numpy; ``nearest`` takes it where it can.
+in numpy; ``nearest`` takes it where it can, and for more than ``MANY`` centres the
+trees of ``index``, which compare a point with few of them.  In both, vectors with a component that
+is null, NaN or infinite have no distance to anything, and no row.
 """
 
 from __future__ import annotations
@@ -18,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Metric, dot, metric, vector_stats
+from ..functions.kernels import nearest_rows
+from ..functions.vectors import Metric, dot, finite, metric, vector_stats
+from .index import METRICS, indexed_neighbours
 
 MOST_VALUES = 2_000_000
+#: Centres from which trees take over.
+MANY = 2_000
 
 
 def centroids(points: DataFrame, label: str, v: str, dim: int) -> DataFrame:
@@ -55,14 +61,15 @@ MATRIX = ("squared_euclid", "euclidean", "cosine")
 def matrix_neighbours(points: DataFrame, centres: DataFrame, distance: str = "squared_euclid", k: int = 1, within: float | None = None, point_id: str = "vec_id", v: str = "v", most_values: int = MOST_VALUES) -> DataFrame:
     """The same by matrix products in Arrow batches, for Euclidean and cosine distances and centres within ``most_values`` numbers.
 
-    Vectors and centres that are null, hold a null, or differ in length from the
-    most frequent centre have no distance, and no row if all theirs are like that.
+    Vectors and centres that are null, hold a null, NaN or infinity, or differ in
+    length from the most frequent centre have no distance, and no row if all theirs
+    are like that.
     """
     if distance not in MATRIX:
         raise ValueError(f"no matrix form of {distance}")
     if centres.agg(F.coalesce(F.sum(F.size("centre")), F.lit(0))).first()[0] > most_values:
         return neighbours(points, centres, distance, k, within, point_id, v, most_values)
-    usable = centres.where(F.col("cid").isNotNull() & F.col("centre").isNotNull() & F.forall("centre", lambda x: x.isNotNull()))
+    usable = centres.where(F.col("cid").isNotNull() & finite("centre"))
     rows = sorted(((r["cid"], r["centre"]) for r in usable.select("cid", "centre").collect()), key=lambda r: r[0])
     kinds = dict(points.dtypes)[point_id], dict(centres.dtypes)["cid"]
     lengths = [len(r[1]) for r in rows]
@@ -80,26 +87,29 @@ def matrix_neighbours(points: DataFrame, centres: DataFrame, distance: str = "sq
                 if distance == "cosine":
                     with np.errstate(invalid="ignore", divide="ignore"):
                         d = 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (at / np.linalg.norm(at, axis=1, keepdims=True)).T
+                    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    d = np.take_along_axis(d, order, 1)
                 else:
-                    d = np.stack([((x - c) ** 2).sum(1) for c in at], 1)
+                    order, d = nearest_rows(x, at, k)
                     d = np.sqrt(d) if distance == "euclidean" else d
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
                 n = order.shape[1]
                 keys = part.column(0).take(pa.array(np.repeat(np.arange(len(x)), n)))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(x))), ids.take(pa.array(order.reshape(-1))), pa.array(np.take_along_axis(d, order, 1).reshape(-1))], [point_id, "rank", "cid", "dist"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(x))), ids.take(pa.array(order.reshape(-1))), pa.array(d.reshape(-1))], [point_id, "rank", "cid", "dist"])
 
-    whole = points.select(point_id, v).where((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull()))
+    whole = points.select(point_id, v).where((F.size(v) == dim) & finite(v))
     found = whole.mapInArrow(run, f"`{point_id}` {kinds[0]}, rank int, cid {kinds[1]}, dist double").where("not isnan(dist)")
     return found.where(F.col("dist") < within) if within is not None else found
 
 
 def _chosen(points: DataFrame, centres: DataFrame, distance: Metric | str, k: int, point_id: str, v: str) -> DataFrame:
-    """The matrix form where a metric has one, else the expression."""
+    """The matrix form where a metric has one, or the index for many centres; else the expression."""
+    if isinstance(distance, str) and distance in METRICS and centres.limit(MANY + 1).count() > MANY:
+        return indexed_neighbours(points, centres, distance, k, point_id=point_id, v=v)
     form = matrix_neighbours if isinstance(distance, str) and distance in MATRIX else neighbours
     return form(points, centres, distance, k, point_id=point_id, v=v)
 
 
-STRATEGIES = {"best": _chosen, "expression": neighbours, "matrix": matrix_neighbours}
+STRATEGIES = {"best": _chosen, "expression": neighbours, "matrix": matrix_neighbours, "index": indexed_neighbours}
 
 
 def nearest(points: DataFrame, centres: DataFrame, distance: Metric | str = "squared_euclid", point_id: str = "vec_id", v: str = "v", strategy: str = "best") -> DataFrame:
@@ -108,7 +118,10 @@ def nearest(points: DataFrame, centres: DataFrame, distance: Metric | str = "squ
 
 
 def moved_centres(points: DataFrame, centres: DataFrame, v: str, dim: int) -> DataFrame:
-    """(cid, n, centre): the mean of the points nearest to each centre; tasks send sums, so no vector is shuffled."""
+    """(cid, n, centre): the mean of the points nearest to each centre; tasks send sums, so no vector is shuffled.
+
+    Vectors of another length, or with a null, NaN or infinite component, belong to no centre.
+    """
     rows = sorted((r["cid"], r["centre"]) for r in centres.select("cid", "centre").collect())
     at = np.array([r[1] for r in rows], float).reshape(-1, dim)
     share = max(1, (1 << 21) // max(1, len(at)))
@@ -119,13 +132,13 @@ def moved_centres(points: DataFrame, centres: DataFrame, v: str, dim: int) -> Da
             for begin in range(0, batch.num_rows, share):
                 part = batch.slice(begin, share)
                 x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                best = np.stack([((x - c) ** 2).sum(1) for c in at], 1).argmin(1)
+                best = nearest_rows(x, at)[0][:, 0]
                 n += np.bincount(best, minlength=len(at))
                 np.add.at(sums, best, x)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some.tolist()], pa.int64()), pa.array(n[some]), pa.array(sums[some].tolist(), pa.list_(pa.float64()))], ["cid", "n", "sums"])
 
-    whole = points.select(v).where((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull()))
+    whole = points.select(v).where((F.size(v) == dim) & finite(v))
     parts = whole.mapInArrow(run, "cid long, n long, sums array<double>")
     return parts.groupBy("cid").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("sums", F.lit(i))) / F.sum("n") for i in range(dim))).alias("centre"))
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import metric, squared_euclid
+from ..functions.kernels import to_rows
+from ..functions.vectors import finite, metric, squared_euclid
 from .assign import centroids, moved_centres, nearest
 from .graph import components
 
@@ -173,16 +174,8 @@ def edge_coordinates(model: DataFrame) -> DataFrame:
 
 
 def _distances(name: str, x: np.ndarray, y: np.ndarray, bands: int) -> np.ndarray:
-    """Distances of one vector to rows."""
-    if name in ("euclidean", "squared_euclid"):
-        d = ((y - x) ** 2).sum(1)
-        return np.sqrt(d) if name == "euclidean" else d
-    a, b = (x - x.mean(), y - y.mean(1, keepdims=True)) if name in ("pearson", "pspearson") else (x, y)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        d = 1 - (b @ a) / (np.sqrt((b * b).sum(1)) * np.sqrt((a * a).sum()))
-    if name == "pspearson":
-        first = np.arange(bands) * len(x) // bands
-        d = d + 0.2 * (np.abs(y[:, first] - x[first]) > 0.2).sum(1)
+    """Distances of one vector to rows; none is infinite distance."""
+    d = to_rows(name, x, y, bands)
     return np.where(np.isnan(d), np.inf, d)
 
 
@@ -358,7 +351,9 @@ def kmeans(points: DataFrame, k: int, rounds: int, point_id: str, v: str, dim: i
     """(point_id, cid, dist) after Lloyd rounds from the k points with the smallest ids; an empty centre stays where it is.
 
     A round is one scan in which tasks add up the points nearest to each centre.
+    Vectors of another length, or with a null, NaN or infinite component, take no part and have no row.
     """
+    points = points.where((F.size(v) == dim) & finite(v))
     at = points.orderBy(point_id).limit(k).select(point_id, v).collect()
     centres = {i: list(r[1]) for i, r in enumerate(at)}
     spark = points.sparkSession

@@ -90,27 +90,41 @@ def sigma_levels(band_columns: list[str], sigmas: list[float], multiples: list[f
     return [(F.col(b) > m * s).cast("int").alias(f"{b}_{m:g}") for m in multiples for b, s in zip(band_columns, sigmas, strict=True)]
 
 
+def _finite(column: str) -> Column:
+    """Whether a number is there, and neither NaN nor infinite."""
+    value = F.col(column).cast("double")
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+
+
 def order_statistics(rows: DataFrame, column: str, places: list[int], bins: int = 4096, few: int = 10_000) -> list[float]:
-    """The values at places (from 0) of the sorted, non-null column, exactly.
+    """The values at places (from 0) of the sorted column, exactly; nulls, NaN and infinities have no place.
 
     Each pass counts the values between bounds by equal bins, which combine before
     the shuffle, and goes on in the bin that holds the place; only the last few
     values reach the driver, however many there are.
     """
-    rows = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    rows = rows.where(_finite(column)).select(F.col(column).cast("double").alias("v"))
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if places and not 0 <= min(places) <= max(places) < n:
+        raise ValueError(f"{n} values have no place {min(places) if min(places) < 0 else max(places)}")
     return [_at_place(rows, place, low, high, bins, few) for place in places]
 
 
 def _at_place(rows: DataFrame, place: int, low: float, high: float, bins: int, few: int) -> float:
     while low < high:
         inside = rows.where((F.col("v") >= low) & (F.col("v") <= high))
-        bin_of = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        width = high / 2 - low / 2  # halves, as the difference may overflow
+        if width == 0:  # neighbours among the smallest numbers: two values at most
+            bin_of = F.when(F.col("v") == low, 0).otherwise(1)
+        else:
+            bin_of = F.least(F.floor((F.col("v") / 2 - low / 2) / width * bins), F.lit(bins - 1))
         below = 0
         for r in inside.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
             if below + r["n"] > place:
                 break
             below += r["n"]
+        if r["lo"] == r["hi"]:
+            return r["lo"]
         if r["n"] <= few:
             return sorted(x[0] for x in rows.where((F.col("v") >= r["lo"]) & (F.col("v") <= r["hi"])).collect())[place - below]
         place, low, high = place - below, r["lo"], r["hi"]
@@ -120,12 +134,12 @@ def _at_place(rows: DataFrame, place: int, low: float, high: float, bins: int, f
 def sigma_clip(pixels: DataFrame, flux: str, clip: float = 3.0, rounds: int = 50) -> list[tuple[int, float, float, float]]:
     """(n, mean, median, population deviation) of each round; values further than ``clip`` deviations from the median go.
 
-    Zeros are masked.  Bounds of a round are literals of the next one's filter,
+    Zeros are masked, as are nulls, NaN and infinities.  Bounds of a round are literals of the next one's filter,
     so a round is one aggregate over the scan and the passes of an exact median;
     it stops when nothing goes.
     """
     out: list[tuple[int, float, float, float]] = []
-    kept = pixels.where((F.col(flux) != 0) & F.col(flux).isNotNull()).select(flux)
+    kept = pixels.where((F.col(flux) != 0) & _finite(flux)).select(flux)
     low, high = float("-inf"), float("inf")
     for _ in range(rounds):
         rest = kept.where((F.col(flux) >= low) & (F.col(flux) <= high))

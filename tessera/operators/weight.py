@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, metric, row_l2
+from ..functions.kernels import NUMPY, to_rows
+from ..functions.vectors import finite, row_l2, squared_euclid, total
+
+
+def _dense(entries: Column, labels: Column) -> Column:
+    """Entries (i, n) as an array of n by i, from 0 to ``labels`` - 1, zero where there is none; in time of a sort."""
+    every = F.when(labels > 0, F.sequence(F.lit(0), labels - 1)).otherwise(F.array().cast("array<int>"))
+    zeros = F.transform(F.array_except(every, F.transform(entries, lambda e: e["i"])), lambda i: F.struct(i.alias("i"), F.lit(0).cast("long").alias("n")))
+    return F.transform(F.array_sort(F.concat(entries, zeros)), lambda e: e["n"])
 
 
 def histogram(rows: DataFrame, key: str, label: str, labels: int) -> DataFrame:
-    """(key, counts): how often each label 0..labels-1 occurs, as one array; one aggregate."""
-    return rows.groupBy(key).agg(F.array(*(F.sum(F.when(F.col(label) == i, 1).otherwise(0)).cast("long") for i in range(labels))).alias("counts"))
+    """(key, counts): how often each label 0..labels-1 occurs, as one array; other labels count for nothing.
+
+    Counts by key and label combine before the shuffle; then a key has ``labels`` rows at most.
+    """
+    counted = rows.groupBy(F.col(key).alias("_k"), F.when(F.col(label).between(0, labels - 1), F.col(label)).cast("int").alias("_l")).agg(F.count("*").alias("_n"))
+    held = F.collect_list(F.when(F.col("_l").isNotNull(), F.struct(F.col("_l").alias("i"), F.col("_n").alias("n"))))
+    return counted.groupBy("_k").agg(held.alias("_e")).select(F.col("_k").alias(key), _dense(F.col("_e"), F.lit(labels)).alias("counts"))
 
 
 def enough_mass(hists: DataFrame, least: int, skip: int = 0, whole: bool = True) -> DataFrame:
@@ -21,12 +36,16 @@ def enough_mass(hists: DataFrame, least: int, skip: int = 0, whole: bool = True)
 
 
 def tf_idf(hists: DataFrame, key: str) -> DataFrame:
-    """(key, w): counts times ln((1 + n) / (1 + df)) + 1, each row of unit length.  Frequencies are one aggregate over all rows."""
-    labels = F.size("counts")
-    df = hists.agg(F.count("*").alias("n"), F.max(labels).alias("labels")).first()
-    at = lambda i: F.sum(F.when(F.get("counts", F.lit(i)) > 0, 1).otherwise(0))
-    idf = hists.agg(F.array(*(F.ln((1 + F.count("*")) / (1 + at(i))) + 1 for i in range(df["labels"] or 0))).alias("idf"))
-    raw = hists.crossJoin(F.broadcast(idf)).select(key, F.zip_with("counts", "idf", lambda c, w: c * w).alias("w"))
+    """(key, w): counts times ln((1 + n) / (1 + df)) + 1, each row of unit length.
+
+    n and all df come of one aggregate, in which a row counts once for itself (at -1) and once for each label that it has.
+    """
+    places = F.filter(F.transform("counts", lambda c, i: F.when(c > 0, i)), lambda i: i.isNotNull())
+    counted = hists.select(F.explode(F.concat(F.array(F.lit(-1)), F.coalesce(places, F.array().cast("array<int>")))).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+    size = hists.agg(F.coalesce(F.max(F.size("counts")), F.lit(0)).alias("labels"))
+    held = counted.agg(F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "n"))).alias("e"), F.coalesce(F.max(F.when(F.col("i") < 0, F.col("n"))), F.lit(0)).alias("rows"))  # a row for each label
+    one = held.crossJoin(size).select(F.transform(_dense(F.col("e"), F.col("labels")), lambda df: F.ln((1 + F.col("rows")) / (1 + df)) + 1).alias("idf"))
+    raw = hists.crossJoin(F.broadcast(one)).select(key, F.zip_with("counts", F.slice("idf", 1, F.greatest(F.size("counts"), F.lit(0))), lambda c, w: c * w).alias("w"))
     norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
     return raw.select(key, "w", norm.alias("norm")).select(key, F.when(F.col("norm") == 0, F.col("w")).otherwise(F.transform("w", lambda x: x / F.col("norm"))).alias("w"))
 
@@ -40,39 +59,81 @@ def silhouettes(points: DataFrame, point_id: str, v: str, label: str, distance:
     """(point_id, label, silhouette): (b - a) / max(a, b); 0 for a point alone in its cluster.
 
     The mean squared Euclidean or cosine distance to a cluster follows from the
-    cluster's sums, so these take one pass over the points.  Other metrics need
-    every pair: points are cut into blocks that travel as array rows, each point
-    meets each block once and keeps sums by label only, and the work grows with
-    the square of the points.
+    cluster's mean and variance, so these take one pass over the points.  Other
+    metrics need every pair: points are dealt to blocks, a task takes a block against
+    another and returns sums of distances by point and label, and the
+    work grows with the square of the points.  Pairs without a distance, as of
+    vectors without a direction, are left out; so are rows without a label.
+    Vectors that hold a null, NaN or infinity have no distances.  Rows are told apart
+    by id, vector and label: a repeated row is another point.
     """
     if distance in ("squared_euclid", "cosine"):
         return _silhouettes_by_sums(points, point_id, v, label, distance)
-    d = metric(distance)
-    n = max(1, points.count())
-    blocks = -(-n // block)
-    packed = points.groupBy(F.pmod(F.xxhash64(point_id), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(F.col(point_id).alias("id"), F.col(v).alias("v"), F.col(label).alias("label"))).alias("others"))
-    met = points.select(point_id, v, label).crossJoin(packed)
-    each = met.select(point_id, label, F.explode(F.transform(F.filter("others", lambda o: o["id"] != F.col(point_id)), lambda o: F.struct(o["label"].alias("other"), d(F.col(v), o["v"]).alias("d")))).alias("x"))
-    means = each.groupBy(point_id, label, F.col("x.other").alias("other")).agg(F.avg("x.d").alias("d"))
-    ab = means.groupBy(point_id, label).agg(F.min(F.when(F.col("other") == F.col(label), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col(label), F.col("d"))).alias("b"))
-    return points.select(point_id, label).join(ab, [point_id, label], "left").select(point_id, label, _worth(F.col("a"), F.col("b")).alias("silhouette"))
+    if distance not in NUMPY:
+        raise ValueError(f"no numpy form of {distance!r}")
+    rows = points.select(F.col(point_id).alias("_id"), F.col(v).alias("_v"), F.col(label).alias("_l"))
+    rows = rows.groupBy("_id", "_v", "_l").agg(F.count("*").alias("_copies"))
+    kinds = dict(points.dtypes)
+    usable = rows.where(finite("_v") & F.col("_l").isNotNull()).withColumn("_key", F.xxhash64("_id", "_v", "_l"))
+    blocks = max(1, -(-usable.count() // block))
+    own = F.pmod("_key", F.lit(blocks)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("_own", o).alias("i"), F.greatest("_own", o).alias("j")))
+    dealt = usable.withColumn("_own", own).withColumn("_p", F.explode(pairs)).select(F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), "_own", "_key", "_v", "_l", "_copies")
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
+        key, own, copies = (group.column(c).to_numpy() for c in ("_key", "_own", "_copies"))
+        labels = group.column("_l").combine_chunks().dictionary_encode()
+        of, names = labels.indices.to_numpy(), labels.dictionary
+        x = np.array(group.column("_v").to_pylist(), float)
+        found = []
+        for a, b in ((i, j), (j, i)) if i != j else ((i, j),):
+            mine, others = np.flatnonzero(own == a), np.flatnonzero(own == b)
+            member = np.zeros((len(others), len(names)))
+            member[np.arange(len(others)), of[others]] = copies[others]
+            for begin in range(0, len(mine), 128):
+                at = mine[begin : begin + 128]
+                d = np.stack([to_rows(distance, x[k], x[others]) for k in at.tolist()])
+                known = ~np.isnan(d)
+                n, sums = known @ member, np.where(known, d, 0.0) @ member
+                if a == b:  # the point itself is no other
+                    n[np.arange(len(at)), of[at]] -= known[np.arange(len(at)), begin + np.arange(len(at))]
+                row, other = np.nonzero(n > 0)
+                found.append((key[at[row]], other, n[row, other], sums[row, other]))
+        key_, other, n, sums = (np.concatenate([f[c] for f in found]) for c in range(4))
+        return pa.table([pa.array(key_.astype(np.int64)), names.take(pa.array(other.astype(np.int64))), pa.array(n.astype(np.int64)), pa.array(sums.astype(float))], ["_key", "other", "n", "s"])
+
+    sums = dealt.groupBy("_i", "_j").applyInArrow(run, f"_key long, other {kinds[label]}, n long, s double")
+    means = sums.groupBy("_key", "other").agg((F.sum("s") / F.sum("n")).alias("d"))
+    met = usable.select("_key", "_id", "_v", "_l").join(means, "_key")
+    ab = met.groupBy("_id", "_v", "_l").agg(F.min(F.when(F.col("other") == F.col("_l"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("_l"), F.col("d"))).alias("b"))
+    same = F.col("p._id").eqNullSafe(F.col("q._id")) & F.col("p._v").eqNullSafe(F.col("q._v")) & F.col("p._l").eqNullSafe(F.col("q._l"))
+    every = points.select(F.col(point_id).alias("_id"), F.col(v).alias("_v"), F.col(label).alias("_l")).alias("p").join(ab.alias("q"), same, "left")
+    return every.select(F.col("p._id").alias(point_id), F.col("p._l").alias(label), _worth(F.col("a"), F.col("b")).alias("silhouette"))
 
 
 def _silhouettes_by_sums(points: DataFrame, point_id: str, v: str, label: str, distance: str, most_values: int = 2_000_000) -> DataFrame:
-    """Mean squared distance to a cluster: |x|^2 - 2 x.mean + mean of |y|^2; cosine is half of it on unit vectors."""
+    """Mean squared distance to a cluster: |x - mean|^2 and the cluster's variance, which don't cancel; cosine is half of it on unit vectors.
+
+    Clusters travel in blocks of a bounded size, and the blocks' answers are merged.
+    """
     w = F.col(v) if distance == "squared_euclid" else row_l2(v)
     rows = points.select(F.col(point_id), F.col(label), w.alias("_w"))
     dim = points.agg(F.max(F.size(v))).first()[0] or 0
-    sums = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("l")).agg(
-        F.count("*").alias("n"), F.array(*(F.sum(F.get("_w", F.lit(i))) for i in range(dim))).alias("s"), F.sum(dot(F.col("_w"), F.col("_w"))).alias("q")
-    )
-    if sums.count() * dim > most_values:
-        raise ValueError("the clusters' sums are too many to travel as one row")
-    packed = sums.agg(F.collect_list(F.struct("l", "n", "s", "q")).alias("clusters"))
-    met = rows.crossJoin(F.broadcast(packed))
-    whole = lambda c: c["n"] * dot(F.col("_w"), F.col("_w")) - 2 * dot(F.col("_w"), c["s"]) + c["q"]  # noqa: E731  the sum of squared distances
+    usable = rows.where(F.col(label).isNotNull() & finite("_w") & (F.size("_w") == dim))
+    at = lambda f: F.array(*(f(F.get("_w", F.lit(i))) for i in range(dim)))
+    stats = usable.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n"), at(F.avg).alias("m"), total(at(F.var_pop)).alias("q"))
+    blocks = max(1, -(-stats.count() * max(1, dim) // most_values))
+    packed = stats.groupBy(F.pmod(F.xxhash64("l"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct("l", "n", "m", "q")).alias("clusters")).drop("_b")
+    met = rows.crossJoin(F.broadcast(packed) if blocks == 1 else packed)
+    mean = lambda c: squared_euclid(F.col("_w"), c["m"]) + c["q"]  # noqa: E731  of squared distances to a cluster's points
     half = 1.0 if distance == "squared_euclid" else 0.5
     own = F.get(F.filter("clusters", lambda c: c["l"] == F.col(label)), F.lit(0))
-    others = F.array_min(F.transform(F.filter("clusters", lambda c: c["l"] != F.col(label)), lambda c: F.greatest(whole(c), F.lit(0.0)) / c["n"] * half))
-    a = F.when(own["n"] > 1, F.greatest(whole(own), F.lit(0.0)) / (own["n"] - 1) * half)
-    return met.select(point_id, label, a.alias("_a"), others.alias("_b")).select(point_id, label, _worth(F.col("_a"), F.col("_b")).alias("silhouette"))
+    others = F.array_min(F.transform(F.filter("clusters", lambda c: c["l"] != F.col(label)), lambda c: mean(c) * half))
+    a = F.when(own["n"] > 1, mean(own) * own["n"] / (own["n"] - 1) * half)  # the point itself is no other
+    usable_here = finite("_w") & (F.size("_w") == dim)
+    found = met.select(point_id, label, "_w", F.when(usable_here, a).alias("_a"), F.when(usable_here, others).alias("_b"))
+    if blocks > 1:
+        found = found.groupBy(point_id, label, "_w").agg(F.max("_a").alias("_a"), F.min("_b").alias("_b"))
+        found = rows.alias("p").join(found.alias("q"), F.col(f"p.{point_id}").eqNullSafe(F.col(f"q.{point_id}")) & F.col(f"p.{label}").eqNullSafe(F.col(f"q.{label}")) & F.col("p._w").eqNullSafe(F.col("q._w"))).select(F.col(f"p.{point_id}"), F.col(f"p.{label}"), "_a", "_b")
+    return found.select(point_id, label, _worth(F.col("_a"), F.col("_b")).alias("silhouette"))

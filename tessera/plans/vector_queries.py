@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import assign, catalog, cluster, weight
+from ..operators import assign, catalog, cluster, index, weight
 from .registry import query, table
 
 DIM = 64
@@ -29,7 +29,7 @@ RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(
 @query(f"WITH {LONG}, {CENTRES}, {DISTANCES}, {RANKED} SELECT vec_id, cid, round(dist, 6) AS dist FROM r WHERE rank = 1")
 def nn_assign(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return assign.nearest(points, _centres(points)).withColumn("dist", F.round("dist", 6))
+    return assign.nearest(points, _centres(points), strategy="expression").withColumn("dist", F.round("dist", 6))
 
 
 @query(f"WITH {LONG}, {CENTRES}, {DISTANCES}, {RANKED} SELECT vec_id, cid, round(dist, 6) AS dist FROM r WHERE rank = 1")
@@ -38,6 +38,41 @@ def nn_matrix(spark, sf_dir):
     return assign.nearest(points, _centres(points), strategy="matrix").withColumn("dist", F.round("dist", 6))
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS cid, list_distance(a.v, b.v) AS dist FROM v a CROSS JOIN v b),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), cid) AS rank FROM d)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, cid, round(dist, 6) AS dist FROM r WHERE rank <= 4""")
+def nn_index(spark, sf_dir):
+    """Every vector's four nearest ones, itself first, by the index over all vectors."""
+    points = _points(spark, sf_dir)
+    found = index.indexed_neighbours(points, points.select(F.col("vec_id").alias("cid"), F.col("v").alias("centre")), "euclidean", 4)
+    return found.withColumn("dist", F.round("dist", 6))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id, b.vec_id AS cid, round(list_cosine_distance(a.v, b.v), 6) AS dist FROM v a CROSS JOIN v b WHERE list_cosine_distance(a.v, b.v) < 0.75 AND a.vec_id <> b.vec_id""")
+def radius_index(spark, sf_dir):
+    """All pairs of vectors with a cosine distance below three quarters, by the index."""
+    points = _points(spark, sf_dir)
+    found = index.indexed_neighbours(points, points.select(F.col("vec_id").alias("cid"), F.col("v").alias("centre")), "cosine", None, 0.75)
+    return found.where("vec_id <> cid").select("vec_id", "cid", F.round("dist", 6).alias("dist"))
+
+
+ORDER_PLACE = "o_orderkey AS id, [o_totalprice / 1000, CAST(o_custkey % 100 AS DOUBLE)] AS v FROM orders"
+PART_PLACE = "p_partkey AS cid, [p_retailprice / 10, CAST(p_size AS DOUBLE) * 2] AS c FROM part"
+
+
+@query(f"""WITH o AS (SELECT {ORDER_PLACE}), p AS (SELECT {PART_PLACE}),
+d AS (SELECT id, cid, (v[1] - c[1]) * (v[1] - c[1]) + (v[2] - c[2]) * (v[2] - c[2]) AS dist FROM o CROSS JOIN p)
+SELECT id, unnest(s).cid AS cid, round(unnest(s).dist, 6) AS dist FROM (SELECT id, min({{'d': round(dist, 9), 'cid': cid, 'dist': dist}}, 2) AS s FROM d GROUP BY id)""")
+def nn_grouped_index(spark, sf_dir):
+    """The two nearest parts of every order in a plane, with the parts dealt to groups as if they were too many for a task."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array((F.col("o_totalprice") / 1000).cast("double"), (F.col("o_custkey") % 100).cast("double")).alias("v"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cid"), F.array((F.col("p_retailprice") / 10).cast("double"), (F.col("p_size") * 2).cast("double")).alias("centre"))
+    found = index.indexed_neighbours(orders, parts, "squared_euclid", 2, point_id="id", most_values=max(1000, parts.count() // 4), leaf=32)
+    return found.select("id", "cid", F.round("dist", 6).alias("dist"))
+
+
 @query(f"WITH {LONG}, {CENTRES}, {DISTANCES}, {RANKED} SELECT vec_id, CAST(rank AS INTEGER) AS rank, cid, round(dist, 6) AS dist FROM r WHERE rank <= 2")
 def nn_two(spark, sf_dir):
     points = _points(spark, sf_dir)
