@@ -179,31 +179,40 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, halves: tuple[
     return float(share_u[best] / share_p[best])
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = 6000) -> Model:
-    """Learns from rows that ``training`` selects; about ``sample`` positives and unlabelled rows, whatever the input's size."""
+_DRAWS = 1_000_003  # steps of a hash by which rows are drawn
+
+
+def drawn(docs: DataFrame, labels: DataFrame, training: Column, sample: int) -> DataFrame:
+    """(doc_id, mark, positive, unlabelled, x): measures of about ``sample`` positive and ``sample`` unlabelled rows; a row can be both.
+
+    The positives' ids are drawn first, from ids alone, and travel to the texts,
+    which are read where they lie, however rare positives are.
+    """
     usable = docs.where(training & F.col("doc_id").isNotNull())
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = usable.select("doc_id").join(known, "doc_id", "left")
-    count = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("quality") > 0, 1)), F.lit(0)).alias("positive")).first()
-    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
-    # One draw serves both sets: it is as large as the rarer of them needs.
-    share = min(1.0, sample / max(1, min(count["n"], count["positive"])))
+    quality = F.col("quality").cast("double")
+    known = labels.where(F.col("doc_id").isNotNull() & quality.isNotNull() & ~F.isnan(quality)).groupBy("doc_id").agg(F.min(quality).alias("quality")).where("quality > 0").select("doc_id")
+    positives = usable.select("doc_id").distinct().join(known, "doc_id")
+    n, of_them = usable.count(), positives.count()
+    share = lambda rows: min(1.0, sample / max(1, rows)) * _DRAWS
+    chosen = positives.where(F.pmod(F.xxhash64("doc_id"), F.lit(_DRAWS)) < share(of_them)).withColumn("positive", F.lit(True))
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_DRAWS))
+    rows = usable.select("doc_id", mark.alias("mark"), "text").join(F.broadcast(chosen), "doc_id", "left")  # about ``sample`` ids
+    rows = rows.select("doc_id", "mark", F.coalesce("positive", F.lit(False)).alias("positive"), (F.col("mark") < share(n)).alias("unlabelled"), "text").where("positive or unlabelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
-            rows = [measure(t).tolist() for t in common.raw_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "mark", "x"])
-
-    of_unlabelled = min(1.0, sample / max(1, count["n"]))
-    drawn = usable.select("doc_id", mark.alias("mark"), "text").where(F.col("mark") < share * 1_000_003)
-    chosen = drawn.select("doc_id").join(known, "doc_id", "left").select("doc_id", "quality").distinct()
-    wanted = drawn.join(chosen.where((F.col("quality") > 0)).select("doc_id", F.lit(True).alias("positive")), "doc_id", "left")
-    wanted = wanted.where(F.col("positive") | (F.col("mark") < of_unlabelled * 1_000_003)).dropDuplicates(["doc_id", "mark"])
-    found = wanted.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, x array<double>")
-    rows = found.join(chosen, "doc_id", "left").select("doc_id", "mark", F.coalesce(F.col("quality") > 0, F.lit(False)).alias("positive"), "x").orderBy("doc_id", "mark").collect()
+            x = [measure(t).tolist() for t in common.raw_texts(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "mark", "positive", "unlabelled", "x"])
+
+    found = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, positive boolean, unlabelled boolean, x array<double>")
+    return found.dropDuplicates(["doc_id", "mark"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = 6000) -> Model:
+    """Learns from rows that ``training`` selects; about ``sample`` positives and unlabelled rows, whatever the input's size."""
+    rows = sorted(drawn(docs, labels, training, sample).collect(), key=lambda r: (r["doc_id"], r["mark"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, MEASURES)
-    positive = np.array([r["positive"] for r in rows], bool)
-    unlabelled = np.array([r["mark"] < of_unlabelled * 1_000_003 for r in rows], bool)
+    positive, unlabelled = (np.array([r[c] for r in rows], bool) for c in ("positive", "unlabelled"))
     if not positive.any() or not unlabelled.any():
         return Model(0.5, np.zeros(MEASURES), np.ones(MEASURES), [])
     half = np.array([r["mark"] % 2 == 0 for r in rows], bool)
