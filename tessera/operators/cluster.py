@@ -1,7 +1,7 @@
 """Quantisers and clusterings: growing neural gas, agglomerative trees, k-means, density and centroid classifiers.
 
-The sequential kernels (gas, agglomeration) run as one task over a bounded input:
-a sample or a node table, whose size is checked.  All else is distributed.
+The sequential kernels (gas, agglomeration by centroids) run as one task over a bounded
+input: a sample or a node table, whose size is checked.  All else is distributed.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions.kernels import to_rows
 from ..functions.vectors import finite, metric, squared_euclid
+from . import trees
 from .assign import centroids, moved_centres, nearest
 from .graph import components
 
@@ -238,57 +239,9 @@ def hac(nodes: DataFrame, v: str, node: str = "node", distance: str = "euclidean
     return nodes.select(F.col(node).cast("long").alias("node"), F.col(v).alias("v"), F.lit(0).alias("g")).groupBy("g").applyInArrow(run, "id long, left long, right long, distance double, size int, centroid array<double>")
 
 
-MOST_MERGES = 200_000
-
-
-def _packed(merges: DataFrame) -> DataFrame:
-    """A tree as one row; ``hac`` bounds its leaves, and more than MOST_MERGES merges are an error."""
-    n = merges.count()
-    if n > MOST_MERGES:
-        raise ValueError(f"{n} merges; a tree is cut in one task and may have {MOST_MERGES}")
-    return merges.agg(F.collect_list(F.struct(*(F.col(c).cast(k).alias(c) for c, k in (("id", "long"), ("left", "long"), ("right", "long"), ("distance", "double"))))).alias("tree"))
-
-
-def _downward(tree: list[dict]) -> list[tuple[int, int, int, float]]:
-    """Merges from the top down: each after the one that holds it."""
-    by_id = {m["id"]: m for m in tree}
-    todo = sorted(by_id.keys() - {k for m in tree for k in (m["left"], m["right"])})
-    out = []
-    while todo:
-        m = by_id[todo.pop()]
-        out.append((m["id"], m["left"], m["right"], m["distance"]))
-        todo += [k for k in (m["left"], m["right"]) if k in by_id]
-    return out
-
-
 def roots(merges: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(threshold, node, root) for each leaf: the topmost cluster above it whose own distance is under the threshold, else itself.
-
-    The tree, whose size is checked, travels as one row; each threshold is one
-    pass over it from the top down, and thresholds are dealt to tasks.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                threshold, order = batch.column(0)[i].as_py(), _downward(batch.column(1)[i].as_py())
-                held: dict[int, int] = {}
-                inner, leaves, of = {m[0] for m in order}, [], []
-                for node, left, right, distance in order:
-                    root = held.get(node)
-                    if root is None and distance < threshold:
-                        root = node
-                    for child in (left, right):
-                        if child in inner:
-                            if root is not None:
-                                held[child] = root
-                        else:
-                            leaves.append(child)
-                            of.append(child if root is None else root)
-                yield pa.RecordBatch.from_arrays([pa.array([threshold] * len(leaves), pa.float64()), pa.array(leaves, pa.int64()), pa.array(of, pa.int64())], ["threshold", "node", "root"])
-
-    met = thresholds.select(F.col("threshold").cast("double")).crossJoin(F.broadcast(_packed(merges)))
-    return met.mapInArrow(run, "threshold double, node long, root long")
+    """(threshold, node, root) for each leaf: the topmost cluster above it whose own distance is under the threshold, else itself."""
+    return trees.cut(merges, thresholds)
 
 
 def tree_shape(merges: DataFrame) -> DataFrame:
@@ -296,36 +249,14 @@ def tree_shape(merges: DataFrame) -> DataFrame:
 
     Distances are added from the merge downwards, so equal paths have equal sums whatever hangs beside them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                height: dict[int, int] = {}
-                depth: dict[int, float] = {}
-                way: dict[int, list[float]] = {}  # distances from the lowest merge of a deepest path up, shared by the merges on it
-                place: dict[int, int] = {}
-                order = _downward(batch.column(0)[i].as_py() or [])
-                for node, left, right, distance in reversed(order):
-                    height[node] = height.get(left, 1) + height.get(right, 1)
-                    deeper = left if depth.get(left, 0.0) >= depth.get(right, 0.0) else right
-                    depth[node] = depth.get(deeper, 0.0) + distance
-                    way[node] = way.get(deeper, [])
-                    way[node].append(distance)
-                    place[node] = len(way[node])
-                down = {id(w): np.array(w[::-1]) for w in way.values()}
-                ids = [m[0] for m in order]
-                sums = [float(np.add.accumulate(down[id(way[k])][-place[k] :])[-1]) for k in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([height[k] for k in ids], pa.int64()), pa.array(sums, pa.float64())], ["id", "height", "depth"])
-
-    return _packed(merges).mapInArrow(run, "id long, height long, depth double")
+    return trees.shape(merges)
 
 
 def sweep(merges: DataFrame, spark: SparkSession, start: float = 1.0, step: float = 0.005, end: float = 0.01) -> DataFrame:
     """(threshold, n_clusters, largest, mean_size) for thresholds from start down to end."""
     count = int(round((start - end) / step)) + 1
     thresholds = spark.range(count).select((F.lit(start) - F.col("id") * step).alias("threshold")).where(F.col("threshold") > end)
-    cut = roots(merges, thresholds)
-    return cut.groupBy("threshold", "root").count().groupBy("threshold").agg(F.count("*").alias("n_clusters"), F.max("count").alias("largest"), F.avg("count").alias("mean_size"))
+    return trees.swept(merges, thresholds)
 
 
 #: How the clusters of a cut are numbered: by their smallest leaf, by their root (the latest merge first), or by the smallest component of their leaves.

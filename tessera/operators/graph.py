@@ -12,8 +12,10 @@ and a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(path)
 
 
+class Tables:
+    """Parquet tables of one run in the shared folder, for loops whose plans would grow.
+
+    ``checkpoint`` cuts the lineage too, but keeps what the optimizer has inferred of the rows,
+    which grows from round to round where joins rename keys.  A table is dropped when
+    ``put`` gets its name again, and the rest when the driver's Python ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.count, self.paths = spark, 0, {}
+        self.root = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._remove, self.root, True)
+
+    def put(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """Writes df, and returns the table that has been written."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        if name:
+            old, self.paths[name] = self.paths.get(name), path
+            if old:
+                self._remove(old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _remove(self, path: str, at_exit: bool = False) -> None:
+        try:
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may have ended; leftovers lie in the checkpoint folder only
+            if not at_exit:
+                raise
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (u, v) with u > v; the result has the same form, without repeats."""
     if large:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import assign, catalog, cluster, index, weight
+from ..operators import assign, catalog, cluster, index, linkage, trees, weight
 from .registry import query, table
 
 DIM = 64
@@ -371,6 +371,24 @@ def hac_sweep(spark, sf_dir):
     return swept.select(F.round("threshold", 4).alias("threshold"), "n_clusters", "largest", F.round("mean_size", 6).alias("mean_size"))
 
 
+WALK = f"""{TREE_SQL}, w AS (
+ SELECT CAST(-1 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS parent, CAST([] AS INTEGER[]) AS path FROM m WHERE id = -1
+ UNION ALL
+ SELECT c.node, w.node, list_append(w.path, c.side) FROM w JOIN m ON m.id = w.node CROSS JOIN LATERAL (SELECT unnest([m.l, m.r]) AS node, unnest([0, 1]) AS side) c),
+x AS (SELECT node AS leaf, node FROM w WHERE node >= 0 UNION ALL SELECT x.leaf, w.parent FROM x JOIN w ON w.node = x.node WHERE w.parent IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {WALK}, s AS (SELECT node, count(*) AS leaves FROM x GROUP BY node)
+SELECT CAST(-1 AS BIGINT) AS tree, row_number() OVER (ORDER BY path) - 1 AS place, w.node, parent, CAST(len(path) AS BIGINT) AS level, round(m.d, 9) AS distance, leaves FROM w JOIN s ON s.node = w.node LEFT JOIN m ON m.id = w.node""")
+def tree_preorder(spark, sf_dir):
+    return trees.preorder(_tree(spark, sf_dir)).withColumn("distance", F.round("distance", 9))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT node, leaf FROM x WHERE node < 0")
+def tree_leaves(spark, sf_dir):
+    return trees.leaves_of(_tree(spark, sf_dir))
+
+
 @query("SELECT l_linenumber AS option, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY abs(count(*) - 5000), 1 LIMIT 1")
 def threshold_pick(spark, sf_dir):
     counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("option")).agg(F.count("*").alias("n"))
@@ -383,6 +401,28 @@ def hac_merges(spark, sf_dir):
     return cluster.hac(nodes, "v", distance="pspearson").select("id", "left", "right", F.round("distance", 6).alias("distance"), "size")
 
 
+@query()
+def linkage_merges(spark, sf_dir):
+    """Average linkage of all vectors by cosine, in rounds of reciprocal neighbours."""
+    nodes = _points(spark, sf_dir).select(F.col("vec_id").alias("node"), "v")
+    return linkage.agglomerated(nodes, "v", distance="cosine", linkage="average").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT s_suppkey AS id, [s_acctbal / 1000, CAST(s_nationkey AS DOUBLE)] AS v FROM supplier),
+e AS (SELECT a.id AS s, b.id AS t, round(list_distance(a.v, b.v), 9) AS d FROM v a JOIN v b ON a.id <> b.id),
+k AS (SELECT unnest({[0.3, 0.8, 1.5]}) AS threshold),
+r AS (SELECT threshold, id, id AS root FROM v, k UNION SELECT r.threshold, e.t, r.root FROM r JOIN e ON e.s = r.id AND e.d < r.threshold),
+c AS (SELECT threshold, id, min(root) AS root FROM r GROUP BY ALL)
+SELECT CAST(threshold AS DOUBLE) AS threshold, id AS node, root AS first FROM c""")
+def single_linkage_cut(spark, sf_dir):
+    """Suppliers by their smallest connected one, as cuts of the tree of single linkage."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.array((F.col("s_acctbal") / 1000).cast("double"), F.col("s_nationkey").cast("double")).alias("v"))
+    merges = linkage.agglomerated(suppliers, "v", linkage="single").checkpoint()
+    cut = cluster.roots(merges, spark.createDataFrame([(t,) for t in (0.3, 0.8, 1.5)], "threshold double"))
+    first = cut.groupBy("threshold", "root").agg(F.min("node").alias("first"))
+    return cut.join(first, ["threshold", "root"]).select("threshold", "node", "first")
+
+
 @query()
 def gng_fit(spark, sf_dir):
     model = cluster.fit_gas(_points(spark, sf_dir), "v", "vec_id", cluster.Gas(max_nodes=50, every=20))

@@ -36,4 +36,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql_or_a_reason():
     without = set(registry.QUERIES) - set(registry.SQL)
-    assert without == {"power_spectrum", "pca_variance", "hac_merges", "gng_fit", "gng_components", "image_pipeline"}
+    assert without == {"power_spectrum", "pca_variance", "hac_merges", "linkage_merges", "gng_fit", "gng_components", "image_pipeline"}
