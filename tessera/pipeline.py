@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import assign, catalog, cluster, features, grid, objects, weight
+from .operators import areas, assign, catalog, cluster, features, grid, objects, weight
 from .sources.tables import Config
 
 
@@ -46,21 +46,32 @@ class Model:
         return cls(read("stats"), read("nodes"), read("mapping"), meta["labels"], meta["metric"], read("gas") if meta["gas"] else None)
 
 
-def samples(pixels: DataFrame, config: Config, box: tuple[int, int, int, int], thresholds: dict[str, float]) -> DataFrame:
+def samples(pixels: DataFrame, config: Config, box: tuple[int, int, int, int] | DataFrame, thresholds: dict[str, float] | DataFrame) -> DataFrame:
     """(idx, area, x, y, v): features of accepted patches on the scan grid of a box (bottom, top, left, right).
 
-    Pixels may have an ``area`` (int), the image that they belong to; all areas are
-    scanned in the same box, and without it there is one, 0.
+    Pixels may have an ``area`` (int), the image that they belong to; without it
+    there is one, 0.  A box for all is scanned in each area; a table (area, bottom, top, left, right)
+    has one for each, and areas that it lacks aren't scanned.  Thresholds are a number for
+    each band, or a table (area, bands...) as of ``areas.thresholds``; where one is null, nothing exceeds it.
     """
-    w, band_columns = config.patch, list(thresholds)
-    bottom, top, left, right = box
+    w = config.patch
+    band_columns = [c for c in thresholds.columns if c != "area"] if isinstance(thresholds, DataFrame) else list(thresholds)
     if "area" not in pixels.columns:
         pixels = pixels.withColumn("area", F.lit(0))
-    points = grid.scan_grid(pixels.sparkSession, bottom + w, top - w + 1, left + w, right - w + 1, config.stride)
-    points = points.crossJoin(F.broadcast(pixels.select("area").distinct()))  # a row for each image
-    rows = grid.patch_vectors(grid.crop(pixels, *box), points, w, band_columns, ["area"])
-    rows = grid.accepted(rows.where(F.col("n") == 4 * w * w), w, thresholds)
-    kept = rows.select("area", "gx", "gy", "n", *(grid.patch_threshold(b, t).alias(b) for b, t in thresholds.items()))
+    if isinstance(box, DataFrame):
+        points, inside = areas.scan_boxes(box, w, config.stride), areas.crop_to(pixels, box)
+    else:
+        bottom, top, left, right = box
+        points = grid.scan_grid(pixels.sparkSession, bottom + w, top - w + 1, left + w, right - w + 1, config.stride)
+        points, inside = points.crossJoin(F.broadcast(pixels.select("area").distinct())), grid.crop(pixels, *box)  # a row for each image
+    rows = grid.patch_vectors(inside, points, w, band_columns, ["area"]).where(F.col("n") == 4 * w * w)
+    if isinstance(thresholds, DataFrame):
+        rows = rows.join(thresholds.select("area", *(F.coalesce(F.col(b).cast("double"), F.lit(float("inf"))).alias(f"_{b}") for b in band_columns)), "area")
+        levels = {b: F.col(f"_{b}") for b in band_columns}
+    else:
+        levels = thresholds
+    rows = grid.accepted(rows, w, levels)
+    kept = rows.select("area", "gx", "gy", "n", *(grid.patch_threshold(b, t).alias(b) for b, t in levels.items()))
     found = features.patch_features(kept, band_columns, 2 * w, area=["area"])
     v = V.log_floor_train("v") if config.log else F.col("v")
     # area and place on the grid are the key that later stages join on

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import catalog, features, grid, objects
+from ..operators import areas, catalog, features, grid, objects
 from ..operators.graph import components
 from ..streaming import incremental
 from .registry import query, table
@@ -30,6 +30,43 @@ def height(pixels: DataFrame) -> int:
     return 0 if top is None else top + 1
 
 
+#: The raster's pixels as five images, one for each order priority.
+AREA = "CAST(substr(o_orderpriority, 1, 1) AS INTEGER)"
+AREA_BOX = f"SELECT {AREA} AS area, 2 * {AREA} AS b, 60 + {AREA} AS t, {AREA} AS l, 40 + 3 * {AREA} AS r FROM orders GROUP BY ALL"
+
+
+def _areas(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pixels with their image, and a rectangle for each image."""
+    pixels = _pixels(spark, sf_dir).withColumn("area", F.substring("label", 1, 1).cast("int"))
+    a = F.col("area")
+    return pixels, pixels.select("area").distinct().select("area", (2 * a).alias("bottom"), (60 + a).alias("top"), a.alias("left"), (40 + 3 * a).alias("right"))
+
+
+def _area_clip_sql(rounds: int, clip: float) -> str:
+    parts = [f"b AS ({AREA_BOX})", f"k0 AS (SELECT area, o_totalprice AS f FROM orders JOIN b ON area = {AREA} WHERE o_totalprice <> 0 AND o_orderkey % {WIDTH} >= l AND o_orderkey % {WIDTH} < r AND o_orderkey // {WIDTH} >= b.b AND o_orderkey // {WIDTH} < t)"]
+    out = []
+    for r in range(rounds):
+        parts.append(f"s{r} AS (SELECT area, count(*) AS n, avg(f) AS mean, median(f) AS median, stddev_pop(f) AS std FROM k{r} GROUP BY area)")
+        parts.append(f"k{r + 1} AS (SELECT area, f FROM k{r} JOIN s{r} USING (area) WHERE f BETWEEN median - {clip} * std AND median + {clip} * std)")
+        kept = f"WHERE n <> (SELECT n FROM s{r - 1} p WHERE p.area = s{r}.area)" if r else ""
+        out.append(f"SELECT area, {r} AS round, n, round(mean, 3) AS mean, round(median, 3) AS median, round(std, 3) AS std FROM s{r} {kept}")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(out)}"
+
+
+@query(_area_clip_sql(4, 1.5))
+def area_clip(spark, sf_dir):
+    """Clipping rounds of five images, each in a rectangle of its own, by the same passes."""
+    pixels, boxes = _areas(spark, sf_dir)
+    found = areas.clipped(areas.crop_to(pixels, boxes), ["area"], "flux", 1.5, 4)
+    return found.select("area", "round", "n", *(F.round(c, 3).alias(c) for c in ("mean", "median", "std")))
+
+
+@query(f"WITH b AS ({AREA_BOX}) SELECT area, CAST(unnest(range(l + 3, r - 2, 4)) AS INTEGER) AS gx, gy FROM (SELECT *, CAST(unnest(range(b.b + 3, t - 2, 4)) AS INTEGER) AS gy FROM b)")
+def area_scan(spark, sf_dir):
+    """Grid points of five images, each in a rectangle of its own."""
+    return areas.scan_boxes(_areas(spark, sf_dir)[1], 3, 4)
+
+
 # --- manifests -----------------------------------------------------------------------
 
 FIRST = "f AS (SELECT * FROM (SELECT c_nationkey AS area_id, c_mktsegment AS band, c_custkey AS file_id, c_name AS file_name, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE r = 1)"
