@@ -201,6 +201,8 @@ def project(points: DataFrame, v: str, axes: np.ndarray, n: int, point_id: str =
 
 
 def similarity_search(points: DataFrame, target, distance: str = "euclidean", point_id: str = "vec_id", v: str = "v") -> DataFrame:
-    """(point_id, dist) of every point from the target point, which is one row."""
-    one = points.where(F.col(point_id) == target).limit(1).select(F.col(v).alias("_target"))
+    """(point_id, dist) of every point from the target point; a target that doesn't exist, or has several vectors, is an error."""
+    one = points.where(F.col(point_id) == target).select(F.col(v).alias("_target")).distinct()
+    if (n := one.limit(2).count()) != 1:
+        raise ValueError(f"{target!r} has {'no vector' if n == 0 else 'several vectors'}")
     return points.crossJoin(F.broadcast(one)).select(point_id, metric(distance)(F.col(v), F.col("_target")).alias("dist"))

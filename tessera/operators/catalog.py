@@ -261,8 +261,8 @@ def signed_value(name: Column) -> Column:
 def manifest(names: DataFrame, name: str = "name", pattern: str = r"^([A-Za-z]+)-([0-9]+)", per_file: int = 10) -> DataFrame:
     """(band, region, area_id, file_no) parsed from names; areas are numbered by region and dealt to files of ten."""
     parsed = names.select(name, F.regexp_extract(name, pattern, 1).alias("band"), F.regexp_extract(name, pattern, 2).alias("region")).where("region <> ''")
-    # distinct regions are numbered, then joined back, so the window holds regions and not files
-    numbers = parsed.select("region").distinct().withColumn("area_id", F.row_number().over(Window.orderBy("region")) - 1)
+    # distinct regions are numbered in ranges, then joined back
+    numbers = ranked(parsed.select("region").distinct(), ["region"], "area_id").withColumn("area_id", F.col("area_id").cast("int"))
     return parsed.join(numbers, "region").select(name, "band", "region", "area_id", F.floor(F.col("area_id") / per_file).cast("int").alias("file_no"))
 
 

@@ -335,9 +335,10 @@ def cluster_sizes(spark, sf_dir):
     return objects.sizes(_pixels(spark, sf_dir), "label")
 
 
-@query("SELECT idx, greatest(0, least(x - 5, 150)) AS \"left\", greatest(0, least(x + 5, 150)) AS \"right\", greatest(0, least(100 - y - 5, 100)) AS top, greatest(0, least(100 - y + 5, 100)) AS bottom FROM (SELECT o_orderkey AS idx, CAST(o_orderkey % 150 AS INTEGER) AS x, CAST(o_orderkey // 150 AS INTEGER) AS y FROM orders)")
+@query("SELECT idx, greatest(0, least(x - 5, 150)) AS \"left\", greatest(0, least(x + 5, 150)) AS \"right\", greatest(0, least(h - y - 5, h)) AS top, greatest(0, least(h - y + 5, h)) AS bottom FROM (SELECT o_orderkey AS idx, CAST(o_orderkey % 150 AS INTEGER) AS x, CAST(o_orderkey // 150 AS INTEGER) AS y, CAST(1 + max(o_orderkey // 150) OVER () AS INTEGER) AS h FROM orders)")
 def cutout_boxes(spark, sf_dir):
-    return _pixels(spark, sf_dir).select("idx", *objects.cutout(F.col("x"), F.col("y"), 10, WIDTH, 100, True))
+    pixels = _pixels(spark, sf_dir)
+    return pixels.select("idx", *objects.cutout(F.col("x"), F.col("y"), 10, WIDTH, height(pixels), True))
 
 
 @query("SELECT c_custkey FROM customer WHERE (c_custkey >= 0 AND c_nationkey >= 0 AND c_acctbal >= 0) AND (c_nationkey - c_custkey >= 5 OR c_acctbal - c_nationkey >= 5 OR c_custkey >= 2)")

@@ -208,10 +208,9 @@ def nearest_centroid(spark, sf_dir):
     return cluster.nearest_centroid(points, points, "label", "v", DIM, "vec_id").withColumn("dist", F.round("dist", 6))
 
 
-@query(f"WITH e AS (SELECT vec_id, unnest(range(8)) AS i, unnest(CAST(embedding AS DOUBLE[])[1:8]) AS x FROM embeddings) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.x * b.x), 5) AS g FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
+@query(f"WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.x * b.x), 5) AS g FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
 def gram_matrix(spark, sf_dir):
-    points = _points(spark, sf_dir).select("vec_id", F.slice("v", 1, 8).alias("v"))
-    return assign.gram(points, "v", 8).withColumn("g", F.round("g", 5))
+    return assign.gram(_points(spark, sf_dir), "v", DIM).withColumn("g", F.round("g", 5))
 
 
 @query()

@@ -98,12 +98,20 @@ def read_pixels(spark: SparkSession, path: str | list[str], kind: str = "fits",
     return _files(spark, path).mapInArrow(run, "path string, y int, x int, value double")
 
 
+def _full_path(spark: SparkSession, path: str) -> str:
+    """The path as a scan names it: with its file system, and without what is relative."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(made).toUri().toString()
+
+
 def read_cube(spark: SparkSession, files: DataFrame, kind: str = "fits", rows: int = 256) -> DataFrame:
     """(area, x, y, a column for each band) of a manifest (area, band, path): bands of one area are joined by pixel; a band without the pixel is null."""
     listed = [(r["area"], r["band"], r["path"]) for r in files.select("area", "band", "path").collect()]  # a row for each file
-    names = spark.createDataFrame([(a, b, p.rsplit("/", 1)[-1], p) for a, b, p in listed], "area int, band string, name string, wanted string")
-    pixels = read_pixels(spark, [p for _, _, p in listed], kind, rows).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    tagged = pixels.join(F.broadcast(names), "name").where(F.col("path").endswith(F.regexp_replace("wanted", "^file:/*", "/")))
+    full = {p: _full_path(spark, p) for _, _, p in listed}
+    names = spark.createDataFrame([(a, b, full[p]) for a, b, p in listed], "area int, band string, path string")
+    same = lambda rows: rows.withColumn("path", F.regexp_replace("path", "^file:/*", "file:/"))  # noqa: E731  local paths are written with one slash or three
+    tagged = same(read_pixels(spark, sorted(full.values()), kind, rows)).join(F.broadcast(same(names)), "path")
     bands = sorted({b for _, b, _ in listed})
     return tagged.groupBy("area", "x", "y").agg(*(F.max(F.when(F.col("band") == b, F.col("value"))).alias(b) for b in bands))
 

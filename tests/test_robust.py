@@ -9,6 +9,7 @@ import pytest
 
 from tessera.functions import kernels
 from tessera.operators import assign, cluster, grid, weight
+from tessera.sources import rasters
 
 NAN, INF = float("nan"), float("inf")
 VECTORS = "id long, v array<double>, label long"
@@ -127,3 +128,23 @@ def test_many_labels_are_counted_in_little_time(spark):
     norm = np.linalg.norm(w, axis=1, keepdims=True)
     w = np.where(norm > 0, w / np.where(norm > 0, norm, 1), w)
     assert np.allclose(w, [weights[k] for k in sorted(want, key=str)])
+
+
+def test_similarity_search_wants_one_target(spark):
+    points = spark.createDataFrame([(1, [0.0, 1.0], 0), (2, [3.0, 5.0], 0), (3, [1.0, 1.0], 0), (3, [2.0, 1.0], 0), (1, [0.0, 1.0], 0)], VECTORS)
+    assert sorted((r["id"], r["dist"]) for r in assign.similarity_search(points, 2, "euclidean", "id", "v").collect() if r["id"] < 3) == [(1, 5.0), (1, 5.0), (2, 0.0)]
+    assert assign.similarity_search(points, 1, "euclidean", "id", "v").count() == 5
+    for target in (3, 9):
+        with pytest.raises(ValueError):
+            assign.similarity_search(points, target, "euclidean", "id", "v")
+
+
+def test_files_of_equal_names_in_nested_folders(spark, tmp_path):
+    listed = []
+    for area, folder in ((1, "a"), (2, "b/a")):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        path = tmp_path / folder / "x.fits"
+        path.write_bytes(rasters.fits_bytes(np.full((3, 4), float(area))))
+        listed.append((area, "g", str(path)))
+    found = rasters.read_cube(spark, spark.createDataFrame(listed, "area int, band string, path string")).collect()
+    assert len(found) == 24 and all(r["g"] == r["area"] for r in found)
