@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import cluster, weight
+from .operators import cluster, linkage, weight
 from .sources.tables import Config
 
 
@@ -25,7 +25,7 @@ def clustered(hists: DataFrame, k: int, least: int, algorithm: str, rounds: int
         found = cluster.kmeans(weighted, k, rounds, "object", "w", dim).select("object", F.col("cid").alias("cluster"))
         metric = "squared_euclid"
     else:
-        merges = cluster.hac(weighted, "w", "object", "cosine", linkage="average").checkpoint()
+        merges = linkage.agglomerated(weighted, "w", "object", "cosine", linkage="average").checkpoint()
         # the cut below the merge that would leave fewer than k clusters
         top = [r["distance"] for r in merges.orderBy(F.desc("distance")).limit(max(1, k - 1)).collect()]
         cut = cluster.labels_of(cluster.roots(merges, merges.sparkSession.createDataFrame([(float(top[-1]) if k > 1 else float(top[0]) + 1.0,)], "threshold double")))

@@ -111,7 +111,7 @@ def detect(rows: DataFrame, brightness: DataFrame, model: Model, config: Config)
     brightness: (x, y, sigma), the flux over its deviation, and area if the samples have several.
     """
     metric = V.metric("pspearson", bands=len(config.bands)) if model.metric == "pspearson" else model.metric
-    near = assign.neighbours(normalised(rows, model.stats, config), model.nodes, metric, point_id="idx").drop("rank")
+    near = assign.nearest(normalised(rows, model.stats, config), model.nodes, metric, "idx")
     labelled = assign.mapped(near, model.mapping).select("idx", "label").join(rows.select("idx", "area", "x", "y"), "idx").join(brightness, [c for c in ("area", "x", "y") if c in brightness.columns]).checkpoint()
     levels = []
     for sigma in config.sigmas:
