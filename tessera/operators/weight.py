@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import NUMPY, to_rows
+from ..functions.kernels import NUMPY, between
 from ..functions.vectors import finite, row_l2, squared_euclid, total
 
 
@@ -60,56 +60,60 @@ def silhouettes(points: DataFrame, point_id: str, v: str, label: str, distance:
 
     The mean squared Euclidean or cosine distance to a cluster follows from the
     cluster's mean and variance, so these take one pass over the points.  Other
-    metrics need every pair: points are dealt to blocks, a task takes a block against
-    another and returns sums of distances by point and label, and the
-    work grows with the square of the points.  Pairs without a distance, as of
+    metrics need every pair of places: points with equal vectors are one place with
+    counts by label.  Places are dealt to blocks, a task takes a block against
+    another and returns sums of distances by place and label, and the
+    work grows with the square of the places, not of the points.  Pairs without a distance, as of
     vectors without a direction, are left out; so are rows without a label.
-    Vectors that hold a null, NaN or infinity have no distances.  Rows are told apart
-    by id, vector and label: a repeated row is another point.
+    Vectors that hold a null, NaN or infinity have no distances.  A repeated
+    row is another point.
     """
     if distance in ("squared_euclid", "cosine"):
         return _silhouettes_by_sums(points, point_id, v, label, distance)
     if distance not in NUMPY:
         raise ValueError(f"no numpy form of {distance!r}")
-    rows = points.select(F.col(point_id).alias("_id"), F.col(v).alias("_v"), F.col(label).alias("_l"))
-    rows = rows.groupBy("_id", "_v", "_l").agg(F.count("*").alias("_copies"))
+    every = points.select(F.col(point_id).alias("_id"), F.transform(F.col(v).cast("array<double>"), lambda x: x + 0.0).alias("_v"), F.col(label).alias("_l")).withColumn("_key", F.xxhash64("_v"))
     kinds = dict(points.dtypes)
-    usable = rows.where(finite("_v") & F.col("_l").isNotNull()).withColumn("_key", F.xxhash64("_id", "_v", "_l"))
-    blocks = max(1, -(-usable.count() // block))
+    usable = every.where(finite("_v") & F.col("_l").isNotNull())
+    held = usable.groupBy("_key", "_v", "_l").agg(F.count("*").alias("n")).groupBy("_key", "_v").agg(F.collect_list(F.struct(F.col("_l").alias("l"), "n")).alias("_held"))
+    places = held.count()
+    blocks = max(1, -(-places // min(max(block, places // 24), 10 * block)))
     own = F.pmod("_key", F.lit(blocks)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("_own", o).alias("i"), F.greatest("_own", o).alias("j")))
-    dealt = usable.withColumn("_own", own).withColumn("_p", F.explode(pairs)).select(F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), "_own", "_key", "_v", "_l", "_copies")
+    dealt = held.withColumn("_own", own).withColumn("_p", F.explode(pairs)).select(F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), "_own", "_key", "_v", "_held")
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
-        key, own, copies = (group.column(c).to_numpy() for c in ("_key", "_own", "_copies"))
-        labels = group.column("_l").combine_chunks().dictionary_encode()
-        of, names = labels.indices.to_numpy(), labels.dictionary
-        x = np.array(group.column("_v").to_pylist(), float)
-        found = []
-        for a, b in ((i, j), (j, i)) if i != j else ((i, j),):
-            mine, others = np.flatnonzero(own == a), np.flatnonzero(own == b)
-            member = np.zeros((len(others), len(names)))
-            member[np.arange(len(others)), of[others]] = copies[others]
-            for begin in range(0, len(mine), 128):
-                at = mine[begin : begin + 128]
-                d = np.stack([to_rows(distance, x[k], x[others]) for k in at.tolist()])
-                known = ~np.isnan(d)
-                n, sums = known @ member, np.where(known, d, 0.0) @ member
-                if a == b:  # the point itself is no other
-                    n[np.arange(len(at)), of[at]] -= known[np.arange(len(at)), begin + np.arange(len(at))]
-                row, other = np.nonzero(n > 0)
-                found.append((key[at[row]], other, n[row, other], sums[row, other]))
-        key_, other, n, sums = (np.concatenate([f[c] for f in found]) for c in range(4))
-        return pa.table([pa.array(key_.astype(np.int64)), names.take(pa.array(other.astype(np.int64))), pa.array(n.astype(np.int64)), pa.array(sums.astype(float))], ["_key", "other", "n", "s"])
-
-    sums = dealt.groupBy("_i", "_j").applyInArrow(run, f"_key long, other {kinds[label]}, n long, s double")
-    means = sums.groupBy("_key", "other").agg((F.sum("s") / F.sum("n")).alias("d"))
-    met = usable.select("_key", "_id", "_v", "_l").join(means, "_key")
-    ab = met.groupBy("_id", "_v", "_l").agg(F.min(F.when(F.col("other") == F.col("_l"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("_l"), F.col("d"))).alias("b"))
-    same = F.col("p._id").eqNullSafe(F.col("q._id")) & F.col("p._v").eqNullSafe(F.col("q._v")) & F.col("p._l").eqNullSafe(F.col("q._l"))
-    every = points.select(F.col(point_id).alias("_id"), F.col(v).alias("_v"), F.col(label).alias("_l")).alias("p").join(ab.alias("q"), same, "left")
-    return every.select(F.col("p._id").alias(point_id), F.col("p._l").alias(label), _worth(F.col("a"), F.col("b")).alias("silhouette"))
+        key, own = (group.column(c).to_numpy() for c in ("_key", "_own"))
+        x = group.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1)
+        held = group.column("_held").combine_chunks()
+        labels = held.flatten().field("l").dictionary_encode()
+        names = labels.dictionary
+        member = np.zeros((len(key), len(names)))  # copies of each place with each label
+        member[np.repeat(np.arange(len(key)), held.value_lengths().to_numpy()), labels.indices.to_numpy()] = held.flatten().field("n").to_numpy()
+        mine, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        n, sums = np.zeros(member.shape), np.zeros(member.shape)
+        share = max(1, (1 << 17) // max(1, len(others)))
+        for begin in range(0, len(mine), share):
+            at = mine[begin : begin + share]
+            d = between(distance, x[at], x[others])
+            if i == j:  # copies have no distance, rounding apart
+                same = d[np.arange(len(at)), begin + np.arange(len(at))]
+                d[np.arange(len(at)), begin + np.arange(len(at))] = np.where(np.isnan(same), np.nan, 0.0)
+            known = ~np.isnan(d)
+            d = d if known.all() else np.where(known, d, 0.0)
+            for one, two, weights, ns in ((at, d, member[others], known), (others, d.T, member[at], known.T))[: 1 if i == j else 2]:
+                sums[one] += two @ weights
+                n[one] += weights.sum(0) if known.all() else ns @ weights
+        row, other = np.nonzero(n > 0)
+        return pa.table([pa.array(key[row]), names.take(pa.array(other)), pa.array(n[row, other].astype(np.int64)), pa.array(sums[row, other])], ["_key", "other", "n", "s"])
+
+    sums = dealt.groupBy("_i", "_j").applyInArrow(run, f"_key long, other {kinds[label]}, n long, s double").groupBy("_key", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    # the point itself is no other; its place has a distance to its label where it has one to itself
+    met = usable.select("_key", "_l").distinct().join(sums, "_key")
+    ab = met.groupBy("_key", "_l").agg(F.min(F.when((F.col("other") == F.col("_l")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(F.col("other") != F.col("_l"), F.col("s") / F.col("n"))).alias("b"))
+    found = every.join(ab, ["_key", "_l"], "left")
+    return found.select(F.col("_id").alias(point_id), F.col("_l").alias(label), _worth(F.col("a"), F.col("b")).alias("silhouette"))
 
 
 def _silhouettes_by_sums(points: DataFrame, point_id: str, v: str, label: str, distance: str, most_values: int = 2_000_000) -> DataFrame:

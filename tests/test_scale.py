@@ -1,11 +1,14 @@
 """Work that must not grow faster than it has to: blocks of pairs, copies, cells and sums."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 from tessera.functions import vectors as V
-from tessera.operators import assign
+from tessera.operators import assign, weight
 
 ODD = [(50, None), (51, [1.0, 2.0]), (52, [float("nan")] + [1.0] * 7), (53, [0.3] * 8), (54, [1.0, None] + [2.0] * 6), (55, [0.0] * 8)]
 
@@ -27,3 +30,17 @@ def test_distances_by_blocks_equal_the_expression(spark, name, most):
     assert "InArrow" in plan(got) and found.keys() == want.keys()
     for pair, d in want.items():
         assert found[pair] == d or (found[pair] is not None and d is not None and (found[pair] == pytest.approx(d, abs=1e-12) or (d != d and found[pair] != found[pair]))), (pair, d, found[pair])
+
+
+def test_silhouettes_of_many_copies(spark):
+    # 120,000 points at 40 places: all pairs of points would take many minutes
+    x = np.random.default_rng(5).normal(size=(40, 2))
+    at = spark.range(40).select(F.col("id").alias("p"), F.array(*(F.element_at(F.array(*map(F.lit, x[:, k].tolist())), (F.col("id") + 1).cast("int")) for k in range(2))).alias("v"))
+    points = spark.range(120_000).withColumn("p", F.col("id") % 40).withColumn("label", (F.col("id") / 40).cast("long") % 3).join(at, "p")
+    began = time.time()
+    found = {(r["p"], r["label"]): r["s"] for r in weight.silhouettes(points, "id", "v", "label").select((F.col("id") % 40).alias("p"), "label", "silhouette").groupBy("p", "label").agg(F.min("silhouette").alias("s"), F.max("silhouette").alias("t"), F.count("*").alias("n")).where("s = t and n = 1000").collect()}
+    assert len(found) == 120 and time.time() - began < 90
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2)).sum(1)
+    for (p, _), s in found.items():
+        a, b = d[p] * 1000 / 39_999, d[p] / 40
+        assert s == pytest.approx((b - a) / a)
