@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 from tessera.functions import vectors as V
-from tessera.operators import assign, weight
+from tessera.operators import assign, cluster, linkage, weight
 
 ODD = [(50, None), (51, [1.0, 2.0]), (52, [float("nan")] + [1.0] * 7), (53, [0.3] * 8), (54, [1.0, None] + [2.0] * 6), (55, [0.0] * 8)]
 
@@ -44,3 +44,17 @@ def test_silhouettes_of_many_copies(spark):
     for (p, _), s in found.items():
         a, b = d[p] * 1000 / 39_999, d[p] / 40
         assert s == pytest.approx((b - a) / a)
+
+
+def test_linkage_of_copies_and_rounds_keeps_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "all_pairs", None)  # a table of all pairs is made no more
+    x = np.random.default_rng(2).normal(size=(14, 3)).repeat([3] + [1] * 13, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows + [(20, [0.0] * 3), (21, [0.0] * 3)], "node long, v array<double>")
+    sizes = lambda found: [(round(m["distance"], 8), m["size"]) for m in sorted(found, key=lambda m: -m["id"])]
+    found = linkage.agglomerated(frame, "v", distance="cosine", linkage="average", block=6).collect()
+    want = [(round(abs(m[3]), 8), m[4]) for m in cluster.agglomerate(x, "cosine", linkage="average")]
+    assert sizes(found) == want + [(float("inf"), 17), (float("inf"), 18)]
+    assert {r["id"] for r in found} == set(range(-17, 0))
+    single = linkage.agglomerated(frame.where("node < 16"), "v", linkage="single", block=5).collect()
+    assert single[0]["distance"] == 0 and max(r["size"] for r in single) == 16 and len(single) == 15
