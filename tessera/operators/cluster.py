@@ -316,14 +316,19 @@ def within(points: DataFrame, point_id: str, v: str, eps: float, distance: str =
 
 def dbscan(points: DataFrame, point_id: str, v: str, eps: float, least: int, distance: str = "euclidean") -> DataFrame:
     """(point_id, cluster, core): clusters are named by their smallest core; a border point joins its smallest one, noise is -1.  A point counts itself."""
-    pairs = within(points, point_id, v, eps, distance).checkpoint()
-    degree = pairs.groupBy("src").agg((F.count("*") + 1).alias("n"))
-    cores = points.select(F.col(point_id).alias("node")).join(degree, F.col("node") == F.col("src"), "left").where(F.coalesce("n", F.lit(1)) >= least).select("node")
+    every = points.select(F.col(point_id).alias("_id"), F.when(finite(v), F.transform(F.col(v).cast("array<double>"), lambda x: x + 0.0)).alias("_v"))
+    # points with equal vectors are one place, named by the smallest; what has no usable vector is near nothing
+    places = every.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("node"), F.count("*").alias("n")).checkpoint()
+    pairs = within(places, "node", "_v", eps, distance).checkpoint()
+    near = pairs.join(places.select(F.col("node").alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("others"))
+    cores = places.join(near, F.col("node") == F.col("src"), "left").where(F.col("n") + F.coalesce("others", F.lit(0)) >= least).select("node")
     among = pairs.join(cores.select(F.col("node").alias("src")), "src", "left_semi").join(cores.select(F.col("node").alias("dst")), "dst", "left_semi")
     named = components(cores, among)
     border = pairs.join(named.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-    rows = points.select(point_id).join(named.withColumnRenamed("node", point_id), point_id, "left").join(border.withColumnRenamed("src", point_id), point_id, "left")
-    return rows.select(point_id, F.coalesce("component", "near", F.lit(-1)).alias("cluster"), F.col("component").isNotNull().alias("core"))
+    found = places.join(named, "node", "left").join(border.withColumnRenamed("src", "node"), "node", "left").select("_v", "component", "near")
+    alone = F.when(F.col("_v").isNull() & F.lit(least <= 1), F.col("_id"))
+    rows = every.join(found, "_v", "left").withColumn("component", F.coalesce("component", alone))
+    return rows.select(F.col("_id").alias(point_id), F.coalesce("component", "near", F.lit(-1)).alias("cluster"), F.col("component").isNotNull().alias("core"))
 
 
 def nearest_centroid(train: DataFrame, points: DataFrame, label: str, v: str, dim: int, point_id: str, distance: str = "cosine") -> DataFrame:

@@ -58,3 +58,12 @@ def test_linkage_of_copies_and_rounds_keeps_no_pairs(spark, monkeypatch):
     assert {r["id"] for r in found} == set(range(-17, 0))
     single = linkage.agglomerated(frame.where("node < 16"), "v", linkage="single", block=5).collect()
     assert single[0]["distance"] == 0 and max(r["size"] for r in single) == 16 and len(single) == 15
+
+
+def test_density_clusters_of_many_copies(spark):
+    # 12,000 points at two places near each other: 144,000,000 pairs of points, two of places
+    points = spark.range(12_000).select("id", F.array(F.col("id") % 2 * 0.3, F.lit(0.0)).alias("v"))
+    points = points.unionByName(spark.createDataFrame([(-5, [9.0, 9.0]), (-6, None), (-7, [float("nan"), 0.0])], "id long, v array<double>"))
+    began = time.time()
+    found = {(r["cluster"], r["core"]): r["count"] for r in cluster.dbscan(points, "id", "v", 0.45, 5).groupBy("cluster", "core").count().collect()}
+    assert found == {(0, True): 12_000, (-1, False): 3} and time.time() - began < 60
