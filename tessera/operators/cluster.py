@@ -6,7 +6,7 @@ input: a sample or a node table, whose size is checked.  All else is distributed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kernels import to_rows
+from ..functions.kernels import _directions, between, to_rows
 from ..functions.vectors import finite, metric, squared_euclid
 from . import trees
 from .assign import centroids, moved_centres, nearest
@@ -180,6 +180,10 @@ def _distances(name: str, x: np.ndarray, y: np.ndarray, bands: int) -> np.ndarra
     return np.where(np.isnan(d), np.inf, d)
 
 
+#: Nodes up to which agglomeration by centroids keeps all distances.
+DENSE = 4_000
+
+
 def agglomerate(x: np.ndarray, distance: str = "euclidean", bands: int = 4, linkage: str = "centroid") -> list[tuple[int, int, int, float, int, np.ndarray]]:
     """Merges (id < 0, left, right, distance, size, centroid) of the closest pair, again and again; ties by place.
 
@@ -221,22 +225,142 @@ def agglomerate(x: np.ndarray, distance: str = "euclidean", bands: int = 4, link
     return merges
 
 
-def hac(nodes: DataFrame, v: str, node: str = "node", distance: str = "euclidean", bands: int = 4, linkage: str = "centroid", most: int = 20_000) -> DataFrame:
-    """(id, left, right, distance, size, centroid) of a node table with at most ``most`` rows; more are an error, since the kernel keeps all distances."""
+def _nearest_others(x: np.ndarray, y: np.ndarray, same: Callable[[slice, slice], np.ndarray], distance: str, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of each row's nearest row of y, the first of equal ones, without those that are the same; by tiles that stay in a cache."""
+    best, gap = np.zeros(len(x), int), np.full(len(x), np.inf)
+    for begin in range(0, len(x), 64):
+        mine = slice(begin, begin + 64)
+        for at in range(0, len(y), 2048):
+            other = slice(at, at + 2048)
+            d = between(distance, x[mine], y[other], bands)
+            d[np.isnan(d) | same(mine, other)] = np.inf
+            found = d.argmin(1)
+            near = d[np.arange(len(d)), found]
+            closer = near < gap[mine]
+            best[mine][closer], gap[mine][closer] = at + found[closer], near[closer]
+    return best, gap
+
+
+def _closest(nodes: DataFrame, n: int, distance: str, bands: int, block: int = 8_192) -> DataFrame:
+    """(node, v, g, other, gap): each node's nearest other one, by blocks of nodes against blocks."""
+    blocks = -(-n // block)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    numbered = nodes.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("k"))
+    left = numbered.select("node", "v", F.col("k").alias("a"), each.alias("b")).repartition(blocks * blocks, "a", "b")
+    right = numbered.select("node", "v", each.alias("a"), F.col("k").alias("b")).repartition(blocks * blocks, "a", "b")
+
+    def run(mine: pa.Table, others: pa.Table) -> pa.Table:
+        if not (mine.num_rows and others.num_rows):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["node", "other", "gap"])
+        others = others.sort_by("node")
+        ids, theirs = mine.column("node").to_numpy(), others.column("node").to_numpy()
+        place, gap = _nearest_others(_rows_of(mine, "v"), _rows_of(others, "v"), lambda i, j: ids[i, None] == theirs[j], distance, bands)
+        return pa.table([ids, theirs[place], gap], ["node", "other", "gap"])
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "node long, other long, gap double").where(F.col("gap") < float("inf"))
+    best = met.groupBy("node").agg(F.min(F.struct("gap", "other")).alias("m"))
+    return nodes.join(best, "node", "left").select("node", "v", "g", F.coalesce("m.other", "node").alias("other"), F.coalesce("m.gap", F.lit(float("inf"))).alias("gap"))
+
+
+def _rows_of(table: pa.Table, name: str) -> np.ndarray:
+    v = table.column(name).combine_chunks()
+    if v.null_count or len(np.unique(v.value_lengths())) > 1:
+        raise ValueError("nodes without a vector, or vectors of several lengths")
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+
+
+def agglomerate_centroids(x: np.ndarray, distance: str = "euclidean", bands: int = 4, nearest: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, distance, size, centroid) of the merges -1, -2, ... of ``agglomerate`` by centroids, without a matrix of distances.
+
+    Each cluster keeps its nearest one.  When that is merged, its distance stays as a lower bound, and the
+    nearest is only looked for again when the bound is the least of all.  So memory grows with the
+    vectors, and time with their number times the rows that a merge compares.  ``nearest`` gives the first nearest places and distances.
+    """
+    n, directed = len(x), distance in ("cosine", "pearson", "pspearson")
+    names, size, centre = np.arange(n), np.ones(n), np.array(x, float)
+    unit = _directions(centre, distance != "cosine") if directed else None
+    exact, live = np.ones(n, bool), np.ones(n, bool)
+    first = np.arange(bands) * centre.shape[1] // bands if distance == "pspearson" else np.empty(0, int)
+    places = np.arange(n)
+    best, gap = nearest or _nearest_others(centre, centre, lambda i, j: places[i, None] == places[j], distance, bands)
+
+    def to_all(i: int) -> np.ndarray:
+        if unit is None:
+            d = to_rows(distance, centre[i], centre, bands)
+        else:
+            d = 1 - unit @ unit[i]
+            for f in first:
+                d += 0.2 * (np.abs(centre[:, f] - centre[i, f]) > 0.2)
+        d[np.isnan(d) | ~live] = np.inf
+        d[i] = np.inf
+        return d
+
+    left, right, at, sizes, centroids = (np.empty(max(0, n - 1), kind) for kind in (np.int64, np.int64, float, np.int64, (float, centre.shape[1:])))
+    for step in range(n - 1):
+        while True:
+            i = int(gap.argmin())
+            if exact[i] or gap[i] == np.inf:
+                break
+            d = to_all(i)
+            best[i] = d.argmin()
+            gap[i], exact[i] = d[best[i]], True
+        least = gap[i]
+        i, j = sorted((i, int(best[i]))) if least < np.inf else np.flatnonzero(live)[:2].tolist()  # without any distance: by place
+        si, sj = size[i], size[j]
+        centre[i] = (si * centre[i] + sj * centre[j]) / (si + sj)
+        size[i] = si + sj
+        if unit is not None:
+            unit[i] = _directions(centre[i : i + 1], distance != "cosine")[0]
+        live[j], gap[j] = False, np.inf
+        left[step], right[step], at[step], sizes[step], centroids[step] = names[i], names[j], least, size[i], centre[i]
+        names[i] = -(step + 1)
+        exact[(best == i) | (best == j)] = False
+        d = to_all(i)
+        best[i] = d.argmin()
+        gap[i], exact[i] = d[best[i]], True
+        closer = d < gap
+        best[closer], gap[closer], exact[closer] = i, d[closer], True
+        if 2 * (n - step - 1) < len(live):  # half of the rows are gone
+            kept, place = np.flatnonzero(live), np.cumsum(live) - 1
+            names, size, centre, gap, exact, best = names[kept], size[kept], centre[kept], gap[kept], exact[kept], place[best[kept]]
+            unit, live = None if unit is None else unit[kept], live[kept]
+    return left, right, at, sizes, centroids
+
+
+def hac(nodes: DataFrame, v: str, node: str = "node", distance: str = "euclidean", bands: int = 4, linkage: str = "centroid", most: int | None = None) -> DataFrame:
+    """(id, left, right, distance, size, centroid) of a node table.
+
+    More than ``most`` nodes are an error; by default that is 20,000 for average and complete linkage, whose
+    kernel keeps all distances, and any number for centroids: beyond ``DENSE`` nodes they take memory as the vectors do.
+    """
     n = nodes.count()
-    if n > most:
-        raise ValueError(f"{n} nodes; agglomeration keeps their distances in one task and takes {most}: quantise first")
     if linkage not in ("centroid", "average", "complete"):
         raise ValueError(f"unknown linkage {linkage!r}")
+    if most is None and linkage != "centroid":
+        most = 20_000
+    if most is not None and n > most:
+        raise ValueError(f"{n} nodes; agglomeration takes {most} in one task: quantise first")
+    lean = linkage == "centroid" and n > DENSE
 
     def run(group: pa.Table) -> pa.Table:
         at = np.argsort(group.column("node").to_numpy(), kind="stable")
-        ids = group.column("node").to_numpy()[at].tolist()
-        merges = agglomerate(np.array(group.column("v").to_pylist(), float)[at], distance, bands, linkage)
-        name = lambda k: ids[k] if k >= 0 else k
-        return pa.table([pa.array([m[0] for m in merges], pa.int64()), pa.array([name(m[1]) for m in merges], pa.int64()), pa.array([name(m[2]) for m in merges], pa.int64()), pa.array([m[3] for m in merges], pa.float64()), pa.array([m[4] for m in merges], pa.int32()), pa.array([m[5].tolist() for m in merges], pa.list_(pa.float64()))], ["id", "left", "right", "distance", "size", "centroid"])
-
-    return nodes.select(F.col(node).cast("long").alias("node"), F.col(v).alias("v"), F.lit(0).alias("g")).groupBy("g").applyInArrow(run, "id long, left long, right long, distance double, size int, centroid array<double>")
+        ids = group.column("node").to_numpy()[at]
+        x = _rows_of(group, "v")[at]
+        if lean:
+            known = np.searchsorted(ids, group.column("other").to_numpy()[at]), group.column("gap").to_numpy()[at].copy()
+            left, right, gaps, sizes, centroids = agglomerate_centroids(x, distance, bands, known if len(np.unique(ids)) == len(ids) else None)
+        else:
+            merges = agglomerate(x, distance, bands, linkage)
+            left, right, gaps, sizes = (np.array([m[k] for m in merges], kind) for k, kind in ((1, np.int64), (2, np.int64), (3, float), (4, np.int64)))
+            centroids = np.array([m[5] for m in merges], float)
+        name = lambda k: pa.array(np.where(k >= 0, ids[np.maximum(k, 0)], k), pa.int64())
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(left) + 1) * x.shape[1], pa.int32()), pa.array(centroids.reshape(-1), pa.float64()))
+        return pa.table([pa.array(-1 - np.arange(len(left)), pa.int64()), name(left), name(right), pa.array(gaps, pa.float64()), pa.array(sizes, pa.int32()), vectors], ["id", "left", "right", "distance", "size", "centroid"])
+
+    rows = nodes.select(F.col(node).cast("long").alias("node"), F.col(v).alias("v"), F.lit(0).alias("g"))
+    if lean:
+        rows = _closest(rows, n, distance, bands)
+    return rows.groupBy("g").applyInArrow(run, "id long, left long, right long, distance double, size int, centroid array<double>")
 
 
 def roots(merges: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -67,3 +67,27 @@ def test_density_clusters_of_many_copies(spark):
     began = time.time()
     found = {(r["cluster"], r["core"]): r["count"] for r in cluster.dbscan(points, "id", "v", 0.45, 5).groupBy("cluster", "core").count().collect()}
     assert found == {(0, True): 12_000, (-1, False): 3} and time.time() - began < 60
+
+
+@pytest.mark.parametrize("distance", ["pspearson", "cosine", "euclidean", "gradpearson"])
+def test_agglomeration_by_centroids_without_a_matrix(spark, monkeypatch, distance):
+    x = np.random.default_rng(9).normal(size=(150, 8))
+    frame = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)] + [(999, [1.0] * 8), (1000, [2.0] * 8)] * (distance == "cosine"), "node long, v array<double>")
+    rows = lambda: [(r["id"], r["left"], r["right"], round(r["distance"], 9), r["size"], np.round(r["centroid"], 9).tolist()) for r in cluster.hac(frame, "v", distance=distance).collect()]
+    want = rows()
+    monkeypatch.setattr(cluster, "DENSE", 10)
+    monkeypatch.setattr(cluster, "agglomerate", None)
+    assert rows() == want
+
+
+def test_agglomeration_of_more_nodes_than_a_matrix_holds(spark):
+    # 21,000 were an error
+    at = np.random.default_rng(4).normal(size=(21_000, 1)).cumsum(0)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(at)], "node long, v array<double>")
+    found = cluster.hac(frame, "v").select("size").collect()
+    assert len(found) == 20_999 and max(r["size"] for r in found) == 21_000
+
+
+def test_agglomeration_without_directions():
+    left, right, d, size, _ = cluster.agglomerate_centroids(np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 0.0], [1.0, 0.1]]), "cosine")
+    assert (left.tolist(), right.tolist(), size.tolist()) == ([1, 0, -2], [3, -1, 2], [2, 3, 4]) and d[1:].tolist() == [np.inf] * 2
