@@ -31,13 +31,18 @@ def bands(pixels: DataFrame, wanted: list[str], column: str = "band") -> DataFra
 def patches(pixels: DataFrame, grid: DataFrame, w: int, area: list[str] | None = None) -> DataFrame:
     """(area..., gx, gy, dx, dy, the pixel's other columns): each pixel with every grid point whose square of side 2w holds it.
 
-    Grid points name their pixels, and an equi-join finds them; there is no comparison of all with all.
+    Grid points name the cells of side 2w that their square touches, four at most, and an equi-join
+    finds the cells' pixels; there is no comparison of all with all, and no row for each pixel that a grid point asks for.
     With ``area``, grid points and pixels carry the image that they belong to.
     """
     area = area or []
-    span = F.sequence(F.lit(-w), F.lit(w - 1))
-    wanted = grid.withColumn("dx", F.explode(span)).withColumn("dy", F.explode(span)).select(*area, "gx", "gy", "dx", "dy", (F.col("gx") + F.col("dx")).alias("x"), (F.col("gy") + F.col("dy")).alias("y"))
-    return wanted.join(pixels, [*area, "x", "y"])
+    cell = lambda at: F.floor(at / (2 * w))
+    touched = lambda at: F.explode(F.array_distinct(F.array(cell(at - w), cell(at + w - 1))))
+    wanted = grid.select(*area, "gx", "gy").withColumn("_cx", touched(F.col("gx"))).withColumn("_cy", touched(F.col("gy")))
+    away = lambda at, middle: (F.col(at) - F.col(middle)).cast("int")
+    held = wanted.join(pixels.withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y"))), [*area, "_cx", "_cy"])
+    held = held.withColumn("dx", away("x", "gx")).withColumn("dy", away("y", "gy")).where(F.col("dx").between(-w, w - 1) & F.col("dy").between(-w, w - 1))
+    return held.select(*area, "x", "y", "gx", "gy", "dx", "dy", *(c for c in pixels.columns if c not in (*area, "x", "y")))
 
 
 def patch_vectors(pixels: DataFrame, grid: DataFrame, w: int, band_columns: list[str], area: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 from tessera.functions import vectors as V
-from tessera.operators import assign, catalog, cluster, linkage, weight
+from tessera.operators import assign, catalog, cluster, grid, linkage, weight
 
 ODD = [(50, None), (51, [1.0, 2.0]), (52, [float("nan")] + [1.0] * 7), (53, [0.3] * 8), (54, [1.0, None] + [2.0] * 6), (55, [0.0] * 8)]
 
@@ -101,3 +101,15 @@ def test_sky_matches_of_many_copies(spark):
     found = catalog.sky_match(left, right, 0.45, right_id="r").groupBy((F.col("id") % 2).alias("side"), "r").count().collect()
     # the first place lies between two at equal distance up to rounding: the smaller id wins
     assert {(r["side"], r["r"], r["count"]) for r in found} == {(0, 10_001, 10_000), (1, 10_001, 10_000)} and time.time() - began < 30
+
+
+@pytest.mark.parametrize("w", [1, 3])
+def test_patches_need_few_rows_of_a_grid_point(spark, w):
+    at = [(x, y) for x in range(-5, 9) for y in range(-3, 7)] + [(0, 0)]  # one pixel twice
+    pixels = spark.createDataFrame([(x, y, float(100 * x + y)) for x, y in at], "x int, y int, flux double")
+    points = [(-4, 0), (-1, -1), (0, 0), (1, 2), (5, 5), (40, 0)]
+    found = grid.patches(pixels, spark.createDataFrame(points, "gx int, gy int"), w)
+    want = [(gx, gy, x - gx, y - gy, float(100 * x + y)) for gx, gy in points for x, y in at if -w <= x - gx < w and -w <= y - gy < w]
+    assert sorted(tuple(r) for r in found.select("gx", "gy", "dx", "dy", "flux").collect()) == sorted(want)
+    assert found.columns == ["x", "y", "gx", "gy", "dx", "dy", "flux"] and dict(found.dtypes)["dx"] == "int"
+    assert "sequence(" not in plan(found)  # there was a row for each of a grid point's (2w)^2 pixels
