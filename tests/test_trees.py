@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import cluster, linkage, trees
+from tessera.operators.graph import Tables
 
 SCHEMA = "id long, left long, right long, distance double"
 
@@ -137,3 +138,50 @@ def test_linkage_with_ties_few_nodes_and_no_direction(spark):
     assert [(r["id"], r["left"], r["right"]) for r in sorted(lost, reverse=True)] == [(-1, 1, 2), (-2, -1, 3)] and min(lost)["distance"] == float("inf")
     with pytest.raises(ValueError):
         linkage.agglomerated(frame([]), "v", linkage="centroid")
+
+
+def chain_of(spark, n):
+    return spark.range(n).selectExpr("-(id + 1) AS id", "CASE WHEN id = 0 THEN 0 ELSE -id END AS left", "id + 1 AS right", "CAST(id + 1 AS double) AS distance")
+
+
+def test_steps_of_a_contraction_give_the_walk(spark):
+    # random trees, and a chain whose leaves lie on both sides
+    rows = grown(90, 7, 3) + [(-1000, 2000, 2001, 0.0)]
+    for k in range(1, 61):
+        rows.append((-1000 - k, *((1000 + k, 1 - 1000 - k) if k % 3 else (1 - 1000 - k, 1000 + k)), (k % 5) / 32))
+    merges = trees.Walks(spark.createDataFrame(rows, SCHEMA), few=2)
+    want, depth = walk(rows)
+    assert {r["node"]: (r["tree"], r["place"], r["parent"], r["level"], r["distance"], r["leaves"]) for r in trees.preorder(merges).collect()} == {k: (*w[:5], len(w[5])) for k, w in want.items()}
+    assert sorted(map(tuple, trees.leaves_of(merges).collect())) == sorted((k, leaf) for k, w in want.items() if k < 0 for leaf in w[5])
+    assert {r["id"]: (r["height"], r["depth"]) for r in trees.shape(merges).collect()} == {k: (len(want[k][5]), depth[k]) for k in depth}
+    cut = trees.cut(merges, spark.createDataFrame([(0.1,)], "threshold double")).collect()
+    assert {r["node"]: r["root"] for r in cut} == cut_at(rows, 0.1)
+    with pytest.raises(ValueError):
+        trees.walked(spark.createDataFrame([(-1, -2, 0, 1.0), (-2, -3, 1, 1.0), (-3, -1, 2, 1.0)], SCHEMA), few=0)
+
+
+@pytest.mark.parametrize("kind", ["chain", "heap"])
+def test_what_a_walk_writes_grows_as_the_merges(spark, monkeypatch, kind):
+    n = 4000
+    heap = spark.range(1, n).selectExpr("-id AS id", f"CASE WHEN 2 * id < {n} THEN -2 * id ELSE 2 * id - {n} END AS left", f"CASE WHEN 2 * id + 1 < {n} THEN -2 * id - 1 ELSE 2 * id + 1 - {n} END AS right", "1 / id AS distance")
+    written, put = [], Tables.put
+
+    def counted(self, df, name=None):
+        out = put(self, df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Tables, "put", counted)
+    merges = chain_of(spark, n) if kind == "chain" else heap
+    monkeypatch.setattr(trees, "FEW", 100)
+    assert trees.tour(merges).count() == 2 * merges.count() + 1
+    assert sum(written) < 8 * n  # 3 n entries in each of 14 rounds before
+
+
+def test_ranges_over_several_levels_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(trees, "BLOCK", 4)
+    rows = grown(150, 3)
+    merges = trees.Walks(spark.createDataFrame(rows, SCHEMA))
+    want, depth = walk(rows)
+    assert {r["id"]: (r["height"], r["depth"]) for r in trees.shape(merges).collect()} == {k: (len(want[k][5]), depth[k]) for k in depth}
+    assert sorted(map(tuple, trees.leaves_of(merges).collect())) == sorted((k, leaf) for k, w in want.items() if k < 0 for leaf in w[5])
