@@ -12,7 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -429,27 +429,142 @@ def within(points: DataFrame, point_id: str, v: str, eps: float, distance: str =
     d = metric(distance)
     axis = lambda i: F.coalesce(F.floor(F.get(v, F.lit(i)) / F.lit(eps if distance == "euclidean" else eps**0.5)), F.lit(0)).cast("long")
     base = points.select(F.col(point_id).alias("k"), F.col(v).alias("w"), *(axis(i).alias(f"c{i}") for i in range(axes)))
-    halves = [s for s in product((-1, 0, 1), repeat=axes) if s >= (0,) * axes]  # its own cell, and one of each two opposite ones
-    steps = F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"s{i}") for i, x in enumerate(s)), F.lit(not any(s)).alias("own")) for s in halves)))
-    left = base.select(F.col("k").alias("a"), F.col("w").alias("u"), *(f"c{i}" for i in range(axes)), steps.alias("s"))
+    left = base.select(F.col("k").alias("a"), F.col("w").alias("u"), *(f"c{i}" for i in range(axes)), _halves(axes).alias("s"))
     left = left.select("a", "u", F.col("s.own").alias("own"), *((F.col(f"c{i}") + F.col(f"s.s{i}")).alias(f"c{i}") for i in range(axes)))
     met = left.join(base, [f"c{i}" for i in range(axes)]).where((~F.col("own") | (F.col("a") < F.col("k"))) & (d(F.col("u"), F.col("w")) <= eps))
     once = met.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("k").alias("dst")), F.struct(F.col("k").alias("src"), F.col("a").alias("dst")))).alias("p"))
     return once.select("p.src", "p.dst")
 
 
-def dbscan(points: DataFrame, point_id: str, v: str, eps: float, least: int, distance: str = "euclidean") -> DataFrame:
-    """(point_id, cluster, core): clusters are named by their smallest core; a border point joins its smallest one, noise is -1.  A point counts itself."""
+def _halves(axes: int) -> Column:
+    """Steps (s0, s1, ..., own) from a cell to itself and to one of each two opposite cells around it."""
+    halves = [s for s in product((-1, 0, 1), repeat=axes) if s >= (0,) * axes]
+    return F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"s{i}") for i, x in enumerate(s)), F.lit(not any(s)).alias("own")) for s in halves)))
+
+
+#: Components, and cells from the origin, up to which rounding can't part a cell's points by more than the radius; points beyond are cells of their own.
+_CELL_DIM, _CELL_PLACE = 500, 1 << 30
+
+
+def _box(column: str, axes: int) -> list[Column]:
+    """Aggregates l0, h0, l1, ...: what the first axes span; an axis that a vector doesn't have is at 0."""
+    at = [F.coalesce(F.get(column, F.lit(i)), F.lit(0.0)) for i in range(axes)]
+    return [f(x).alias(f"{name}{i}") for i, x in enumerate(at) for name, f in (("l", F.min), ("h", F.max))]
+
+
+def _boxes_near(a: str, b: str, axes: int, width: float) -> Column:
+    """Whether the boxes of a and b lie within the width of each other, or nearly."""
+    apart = lambda i: F.greatest(F.col(f"{a}.l{i}") - F.col(f"{b}.h{i}"), F.col(f"{b}.l{i}") - F.col(f"{a}.h{i}"), F.lit(0.0))
+    return sum((apart(i) * apart(i) for i in range(axes)), F.lit(0.0)) <= width * width * (1 + 1e-9)
+
+
+def _meet(x: np.ndarray, y: np.ndarray, eps: float, root: bool) -> bool:
+    """Whether some row of x and some row of y are at a distance up to eps; boxes that are halved rule out the rest."""
+    todo = [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        away = np.maximum(0, np.maximum(x.min(0) - y.max(0), y.min(0) - x.max(0)))
+        gap = (away * away).sum()
+        if (np.sqrt(gap) if root else gap) > eps * (1 + 1e-9):
+            continue
+        if len(x) * len(y) <= 1 << 16:
+            d = np.zeros((len(x), len(y)))
+            for u, w in zip(x.T, y.T):  # one after the other, as the expression adds
+                d += (u[:, None] - w) ** 2
+            if ((np.sqrt(d) if root else d) <= eps).any():
+                return True
+            continue
+        one, other = (x, y) if len(x) >= len(y) else (y, x)
+        axis = (one.max(0) - one.min(0)).argmax()
+        order = np.argpartition(one[:, axis], len(one) // 2)
+        parts = [one[order[: len(one) // 2]], one[order[len(one) // 2 :]]]
+        parts.sort(key=lambda p: -abs(p[:, axis].mean() - other[:, axis].mean()))  # the nearer half is looked at first
+        todo += [(p, other) for p in parts]
+    return False
+
+
+def _linked_cells(cores: DataFrame, touching: DataFrame, eps: float, width: float, distance: str, axes: int) -> DataFrame:
+    """(cell, component) of cells with cores (node, v, cell): cells are linked where a core of one is near a core of the other; named by the smallest core.
+
+    The outermost cores of two cells settle most pairs of cells.  Of the others only those are looked into whose
+    cells aren't connected anyway, with the cores that are near the other cell's box.
+    """
+    d = metric(distance)
+    at = [F.get("v", F.lit(i)) for i in range(axes)]
+    ends = F.array_distinct(F.array_compact(F.array(*(f("v", x) for x in at for f in (F.min_by, F.max_by)))))
+    cells = cores.groupBy("cell").agg(F.min("node").alias("name"), F.count("*").alias("k"), ends.alias("ends"), *_box("v", axes)).checkpoint()
+    met = touching.join(cells.alias("p"), F.col("a") == F.col("p.cell")).join(cells.alias("q"), F.col("b") == F.col("q.cell")).where(_boxes_near("p", "q", axes, width))
+    near = F.exists("p.ends", lambda u: F.exists("q.ends", lambda w: F.coalesce(d(u, w) <= eps, F.lit(False))))
+    settled = (F.size("p.ends") == F.col("p.k")) & (F.size("q.ends") == F.col("q.k"))
+    met = met.select(F.col("p.name").alias("src"), F.col("q.name").alias("dst"), "a", "b", near.alias("near"), settled.alias("settled")).checkpoint()
+    names = cells.select(F.col("name").alias("node"))
+    found = components(names, met.where("near"))
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    unsure = met.where("not near and not settled").join(of("src"), "src").join(of("dst"), "dst").where("src_in <> dst_in").select("src", "dst", "a", "b").checkpoint()
+    if unsure.limit(1).count():
+
+        def sent(mine: str, other: str) -> DataFrame:
+            """Cores of one side of each unsure pair that are near the other side's box."""
+            box = [f"{name}{i}" for i in range(axes) for name in "lh"]
+            rows = unsure.join(cells.select(F.col("cell").alias(other), *box), other).join(cores.select(F.col("cell").alias(mine), "v"), mine)
+            apart = [F.greatest(F.col(f"l{i}") - x, x - F.col(f"h{i}"), F.lit(0.0)) for i, x in enumerate(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) for i in range(axes))]
+            return rows.where(sum((x * x for x in apart), F.lit(0.0)) <= width * width * (1 + 1e-9)).select("src", "dst", "v")
+
+        def run(one: pa.Table, other: pa.Table) -> pa.Table:
+            if not (one.num_rows and other.num_rows):
+                return pa.table([pa.array([], one.column("src").type)] * 2, ["src", "dst"])
+            x, y = (g.column("v").combine_chunks() for g in (one, other))
+            x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) for v in (x, y))
+            some = x.shape[1] == y.shape[1] and _meet(x, y, eps, distance == "euclidean")
+            return one.select(["src", "dst"]).slice(0, int(some))
+
+        kind = dict(met.dtypes)["src"]
+        more = sent("a", "b").groupBy("src", "dst").cogroup(sent("b", "a").groupBy("src", "dst")).applyInArrow(run, f"src {kind}, dst {kind}")
+        found = components(names, met.where("near").select("src", "dst").unionByName(more))
+    return cells.join(found, F.col("name") == F.col("node")).select("cell", "component")
+
+
+def dbscan(points: DataFrame, point_id: str, v: str, eps: float, least: int, distance: str = "euclidean", axes: int = 3) -> DataFrame:
+    """(point_id, cluster, core): clusters are named by their smallest core; a border point joins its smallest one, noise is -1.  A point counts itself.
+
+    Space is cut into cells whose points are all within eps of one another.  A cell with ``least`` points holds cores only,
+    so only points of the other cells are held against the points around them: fewer than ``least`` for each cell, and no table
+    grows with the square of the density.  Cells with cores are linked as ``_linked_cells`` has it.  In many dimensions nearly each point is
+    a cell, and the pairs within the radius are made.
+    """
+    if distance not in ("euclidean", "squared_euclid"):
+        raise ValueError("cells need a Euclidean distance")
     every = points.select(F.col(point_id).alias("_id"), F.when(finite(v), F.transform(F.col(v).cast("array<double>"), lambda x: x + 0.0)).alias("_v"))
     # points with equal vectors are one place, named by the smallest; what has no usable vector is near nothing
-    places = every.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("node"), F.count("*").alias("n")).checkpoint()
-    pairs = within(places, "node", "_v", eps, distance).checkpoint()
-    near = pairs.join(places.select(F.col("node").alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("others"))
-    cores = places.join(near, F.col("node") == F.col("src"), "left").where(F.col("n") + F.coalesce("others", F.lit(0)) >= least).select("node")
-    among = pairs.join(cores.select(F.col("node").alias("src")), "src", "left_semi").join(cores.select(F.col("node").alias("dst")), "dst", "left_semi")
-    named = components(cores, among)
-    border = pairs.join(named.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("near"))
-    found = places.join(named, "node", "left").join(border.withColumnRenamed("src", "node"), "node", "left").select("_v", "component", "near")
+    places = every.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("node"), F.count("*").alias("n")).where("node is not null").checkpoint()
+    axes = min(axes, places.agg(F.max(F.size("_v"))).first()[0] or 1) or 1
+    d, width = metric(distance), eps if distance == "euclidean" else max(eps, 0.0) ** 0.5
+    parts = F.floor(F.sqrt(F.size("_v"))) + 1  # of the radius on an axis; a cell's diagonal is shorter than the radius
+    side = F.lit((width if width > 0 else 1.0) * (1 + 1e-6)) / parts
+    cut = places.select("*", F.transform("_v", lambda x: F.floor(x / side)).alias("_at"))
+    shared = (F.lit(width > 0)) & (F.size("_v") <= _CELL_DIM) & F.forall("_at", lambda p: F.abs(p) < _CELL_PLACE)
+    cut = cut.withColumn("_own", F.when(~shared, F.col("node")))
+    named = cut.groupBy(F.col("_at").alias("_in"), F.col("_own").alias("_alone")).agg(F.min("node").alias("cell"), F.sum("n").alias("held"))
+    coarse = [F.coalesce(F.floor(F.get("_at", F.lit(i)) / parts), F.lit(0)).alias(f"c{i}") for i in range(axes)]
+    placed = cut.join(named, (F.col("_at") == F.col("_in")) & F.col("_own").eqNullSafe(F.col("_alone"))).select("node", F.col("_v").alias("v"), "n", "cell", "held", *coarse).checkpoint()
+
+    grid = [f"c{i}" for i in range(axes)]
+    cells = placed.groupBy("cell", *grid).agg(*_box("v", axes)).checkpoint()
+    left = cells.withColumn("s", _halves(axes)).select(F.col("cell").alias("a"), F.col("s.own").alias("own"), *(f"{x}{i}" for i in range(axes) for x in "lh"), *((F.col(c) + F.col(f"s.s{i}")).alias(c) for i, c in enumerate(grid)))
+    met = left.alias("p").join(cells.alias("q"), [F.col(f"p.{c}") == F.col(f"q.{c}") for c in grid])
+    touching = met.where((~F.col("own") | (F.col("a") < F.col("cell"))) & _boxes_near("p", "q", axes, width)).select("a", F.col("cell").alias("b")).checkpoint()
+
+    both = touching.unionByName(touching.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    thin = placed.where(F.col("held") < least).select("node", F.col("v").alias("u"), F.col("cell").alias("a"))
+    around = placed.select(F.col("node").alias("other"), F.col("v").alias("w"), "n", F.col("cell").alias("b"))
+    near = thin.join(both, "a").join(around, "b").where(d(F.col("u"), F.col("w")) <= eps).select("node", "other", "n").checkpoint()
+    others = near.groupBy("node").agg(F.sum("n").alias("others"))
+    judged = placed.join(others, "node", "left").select("node", "v", "cell", (F.col("held") + F.coalesce("others", F.lit(0)) >= least).alias("core")).checkpoint()
+
+    linked = _linked_cells(judged.where("core").select("node", "v", "cell"), touching, eps, width, distance, axes)
+    held = judged.join(linked, "cell", "left")
+    border = near.join(held.where("core").select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
+    found = held.join(border, "node", "left").select(F.col("v").alias("_v"), F.when(F.col("core"), F.col("component")).alias("component"), F.least("component", "near").alias("near"))
     alone = F.when(F.col("_v").isNull() & F.lit(least <= 1), F.col("_id"))
     rows = every.join(found, "_v", "left").withColumn("component", F.coalesce("component", alone))
     return rows.select(F.col("_id").alias(point_id), F.coalesce("component", "near", F.lit(-1)).alias("cluster"), F.col("component").isNotNull().alias("core"))

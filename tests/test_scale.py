@@ -113,3 +113,48 @@ def test_patches_need_few_rows_of_a_grid_point(spark, w):
     assert sorted(tuple(r) for r in found.select("gx", "gy", "dx", "dy", "flux").collect()) == sorted(want)
     assert found.columns == ["x", "y", "gx", "gy", "dx", "dy", "flux"] and dict(found.dtypes)["dx"] == "int"
     assert "sequence(" not in plan(found)  # there was a row for each of a grid point's (2w)^2 pixels
+
+
+def _density(x, eps, least, root=True):
+    """(cluster, core) by all pairs, in the order of the expression's sums."""
+    d = np.zeros((len(x), len(x)))
+    for u in x.T:
+        d += (u[:, None] - u) ** 2
+    near = (np.sqrt(d) if root else d) <= eps
+    core = near.sum(1) >= least
+    name = np.arange(len(x))
+    while True:
+        now = np.array([min(name[near[i] & core], default=i) if core[i] else i for i in range(len(x))])
+        if (now == name).all():
+            break
+        name = now
+    return [(int(name[i]) if core[i] else int(min(name[near[i] & core], default=-1)), bool(core[i])) for i in range(len(x))]
+
+
+@pytest.mark.parametrize(("dim", "eps", "least", "distance"), [(1, 0.02, 4, "euclidean"), (2, 0.25, 6, "euclidean"), (2, 0.04, 5, "squared_euclid"), (3, 0.6, 5, "euclidean"), (5, 1.5, 6, "euclidean")])
+def test_density_clusters_equal_those_of_all_pairs(spark, dim, eps, least, distance):
+    rng = np.random.default_rng(dim)
+    x = np.concatenate([rng.normal(size=(150, dim)), rng.normal(scale=0.05, size=(80, dim)) + 1.5, np.repeat(rng.normal(size=(5, dim)), 4, 0)])
+    x = np.round(x, 2)  # distances that equal the radius
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    found = {r["id"]: (r["cluster"], r["core"]) for r in cluster.dbscan(frame, "id", "v", eps, least, distance).collect()}
+    assert [found[i] for i in range(len(x))] == _density(x, eps, least, distance == "euclidean")
+
+
+def test_density_makes_no_pairs_of_a_dense_place(spark, monkeypatch):
+    # 20,000 different places in a square of one radius have 200 million pairs; two such squares touch in one pair of cores
+    x = np.random.default_rng(8).uniform(size=(20_000, 2))
+    y = x + [2.5, 0]
+    x[0], y[0] = [1.25, 0.5], [2.25, 0.5]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))] + [(50_000, [1e300, 0.0]), (50_001, [1e15, 0.0]), (50_002, [1e15 + 0.5, 0.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    monkeypatch.setattr(cluster, "within", None)
+    found = {(r["cluster"], r["core"]): r["count"] for r in cluster.dbscan(frame, "id", "v", 1.0, 5).groupBy("cluster", "core").count().collect()}
+    assert found == {(0, True): 40_000, (-1, False): 3}
+    found = {(r["cluster"], r["core"]): r["count"] for r in cluster.dbscan(frame, "id", "v", 0.999, 2).groupBy("cluster", "core").count().collect()}
+    assert found == {(0, True): 20_000, (20_000, True): 20_000, (50_001, True): 2, (-1, False): 1}
+
+
+def test_cells_meet_where_their_ends_do_not():
+    x = np.array([[float(i), 0.0] for i in range(600)])
+    assert cluster._meet(x, x + [0.0, 1.0], 1.0, True) and not cluster._meet(x, x + [0.5, 1.0], 1.0, True)
