@@ -200,7 +200,7 @@ def agglomerate(x: np.ndarray, distance: str = "euclidean", bands: int = 4, link
         rows = np.flatnonzero(live)
         i = int(rows[np.argmin(d[rows, best[rows]])])
         j = int(best[i])
-        i, j = min(i, j), max(i, j)
+        i, j = (min(i, j), max(i, j)) if d[i, j] < np.inf else rows[:2].tolist()  # without any distance: by place
         gap, si, sj = float(d[i, j]), size[i], size[j]
         centre[i] = (si * centre[i] + sj * centre[j]) / (si + sj)
         live[j] = False
@@ -225,6 +225,68 @@ def agglomerate(x: np.ndarray, distance: str = "euclidean", bands: int = 4, link
     return merges
 
 
+class _Directions:
+    """Rows under a metric of directions.  Products in single precision name what may be nearest; its distances are then taken in double precision."""
+
+    def __init__(self, x: np.ndarray, distance: str, bands: int):
+        self.centred = distance != "cosine"
+        self.first = np.arange(bands) * x.shape[1] // bands if distance == "pspearson" else np.empty(0, int)
+        self.unit, self.heads = _directions(x, self.centred), x[:, self.first]
+        self.mute = np.isnan(self.unit).any(1)
+        self.single = np.where(self.mute[:, None], 0, self.unit).astype(np.float32)
+        self.slack = 4 * (8 + x.shape[1]) * 2.0**-24  # twice what a product may be off
+
+    def move(self, i: int, v: np.ndarray) -> None:
+        self.unit[i], self.heads[i] = _directions(v[None], self.centred)[0], v[self.first]
+        self.mute[i] = np.isnan(self.unit[i]).any()
+        self.single[i] = 0 if self.mute[i] else self.unit[i]
+
+    def drop(self, i: int) -> None:
+        self.mute[i] = True
+
+    def keep(self, kept: np.ndarray) -> None:
+        self.unit, self.single, self.heads, self.mute = self.unit[kept], self.single[kept], self.heads[kept], self.mute[kept]
+
+    def products(self, rows: np.ndarray) -> np.ndarray:
+        """Cosines of rows in single precision with all; -inf where there is none."""
+        g = rows @ self.single.T
+        g[:, self.mute] = -np.inf
+        return g
+
+    def _far(self, heads: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.abs(self.heads[at] - heads) > 0.2
+
+    def rough(self, g: np.ndarray, heads: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return 1 - g[at] + 0.2 * self._far(heads, at).sum(1) if len(heads) else 1 - g[at].astype(float)
+
+    def exact(self, unit: np.ndarray, heads: np.ndarray, at: np.ndarray) -> np.ndarray:
+        d = 1 - self.unit[at] @ unit
+        if len(heads):
+            for far in self._far(heads, at).T:  # one after the other, as ``between`` adds
+                d += 0.2 * far
+        return d
+
+    def nearest(self, g: np.ndarray, unit: np.ndarray, heads: np.ndarray) -> tuple[int, float]:
+        """(place, distance) of the nearest row, the first of equal ones, by its products."""
+        top = g.argmax(keepdims=True)
+        if g[top[0]] == -np.inf:
+            return 0, np.inf
+        least = self.rough(g, heads, top)[0]
+        if least > 1 - g[top[0]] + 0.1:  # others may be nearer
+            some = np.flatnonzero(g > g[top[0]] - 0.05)
+            least = min(least, self.rough(g, heads, some).min())
+        at = np.flatnonzero(g >= 1 - least - self.slack)
+        if len(at) > 32:
+            d = self.rough(g, heads, at)
+            at = at[d <= d.min() + self.slack]
+        d = self.exact(unit, heads, at)
+        k = d.argmin()
+        return int(at[k]), float(d[k])
+
+
+_DIRECTED = ("cosine", "pearson", "pspearson")
+
+
 def _nearest_others(x: np.ndarray, y: np.ndarray, same: Callable[[slice, slice], np.ndarray], distance: str, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, distance) of each row's nearest row of y, the first of equal ones, without those that are the same; by tiles that stay in a cache."""
     best, gap = np.zeros(len(x), int), np.full(len(x), np.inf)
@@ -241,6 +303,20 @@ def _nearest_others(x: np.ndarray, y: np.ndarray, same: Callable[[slice, slice],
     return best, gap
 
 
+def _nearest_directions(x: np.ndarray, y: np.ndarray, same: np.ndarray, distance: str, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_nearest_others`` for metrics of directions; ``same`` is each row's own place in y, or -1."""
+    mine, others = (_Directions(v, distance, bands) for v in (x, y))
+    best, gap = np.zeros(len(x), int), np.full(len(x), np.inf)
+    for begin in range(0, len(x), 64):
+        g = others.products(mine.single[begin : begin + 64])
+        for row, i in zip(g, range(begin, len(x))):
+            if same[i] >= 0:
+                row[same[i]] = -np.inf
+            if not mine.mute[i]:
+                best[i], gap[i] = others.nearest(row, mine.unit[i], mine.heads[i])
+    return best, gap
+
+
 def _closest(nodes: DataFrame, n: int, distance: str, bands: int, block: int = 8_192) -> DataFrame:
     """(node, v, g, other, gap): each node's nearest other one, by blocks of nodes against blocks."""
     blocks = -(-n // block)
@@ -254,7 +330,11 @@ def _closest(nodes: DataFrame, n: int, distance: str, bands: int, block: int = 8
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["node", "other", "gap"])
         others = others.sort_by("node")
         ids, theirs = mine.column("node").to_numpy(), others.column("node").to_numpy()
-        place, gap = _nearest_others(_rows_of(mine, "v"), _rows_of(others, "v"), lambda i, j: ids[i, None] == theirs[j], distance, bands)
+        x, y = _rows_of(mine, "v"), _rows_of(others, "v")
+        if distance in _DIRECTED:
+            place, gap = _nearest_directions(x, y, np.where(theirs[at := np.minimum(np.searchsorted(theirs, ids), len(theirs) - 1)] == ids, at, -1), distance, bands)
+        else:
+            place, gap = _nearest_others(x, y, lambda i, j: ids[i, None] == theirs[j], distance, bands)
         return pa.table([ids, theirs[place], gap], ["node", "other", "gap"])
 
     met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, "node long, other long, gap double").where(F.col("gap") < float("inf"))
@@ -276,54 +356,81 @@ def agglomerate_centroids(x: np.ndarray, distance: str = "euclidean", bands: int
     nearest is only looked for again when the bound is the least of all.  So memory grows with the
     vectors, and time with their number times the rows that a merge compares.  ``nearest`` gives the first nearest places and distances.
     """
-    n, directed = len(x), distance in ("cosine", "pearson", "pspearson")
+    n = len(x)
     names, size, centre = np.arange(n), np.ones(n), np.array(x, float)
-    unit = _directions(centre, distance != "cosine") if directed else None
+    seen = _Directions(centre, distance, bands) if distance in _DIRECTED else None
     exact, live = np.ones(n, bool), np.ones(n, bool)
-    first = np.arange(bands) * centre.shape[1] // bands if distance == "pspearson" else np.empty(0, int)
     places = np.arange(n)
+    if nearest is None and seen is not None:
+        nearest = _nearest_directions(centre, centre, places, distance, bands)
     best, gap = nearest or _nearest_others(centre, centre, lambda i, j: places[i, None] == places[j], distance, bands)
 
     def to_all(i: int) -> np.ndarray:
-        if unit is None:
-            d = to_rows(distance, centre[i], centre, bands)
-        else:
-            d = 1 - unit @ unit[i]
-            for f in first:
-                d += 0.2 * (np.abs(centre[:, f] - centre[i, f]) > 0.2)
+        d = to_rows(distance, centre[i], centre, bands)
         d[np.isnan(d) | ~live] = np.inf
         d[i] = np.inf
         return d
 
+    def look(i: int) -> np.ndarray:
+        """Finds the nearest of i; returns distances, or else products, with all."""
+        if seen is None:
+            d = to_all(i)
+            best[i] = d.argmin()
+            gap[i], exact[i] = d[best[i]], True
+            return d
+        g = seen.products(seen.single[i : i + 1])[0]
+        g[i] = -np.inf
+        if seen.mute[i]:
+            g[:] = -np.inf
+        best[i], gap[i] = seen.nearest(g, seen.unit[i], seen.heads[i])
+        exact[i] = True
+        return g
+
+    def look_again() -> None:
+        """Finds the nearest of those whose bounds are the least, together: one product costs hardly more than one row's."""
+        some = np.flatnonzero(~exact & live)
+        if len(some) > 8:
+            some = some[np.argpartition(gap[some], 8)[:8]]
+        for i, g in zip(some, seen.products(seen.single[some])):
+            g[i] = -np.inf
+            best[i], gap[i] = seen.nearest(g, seen.unit[i], seen.heads[i]) if not seen.mute[i] else (0, np.inf)
+            exact[i] = True
+
     left, right, at, sizes, centroids = (np.empty(max(0, n - 1), kind) for kind in (np.int64, np.int64, float, np.int64, (float, centre.shape[1:])))
     for step in range(n - 1):
         while True:
             i = int(gap.argmin())
             if exact[i] or gap[i] == np.inf:
                 break
-            d = to_all(i)
-            best[i] = d.argmin()
-            gap[i], exact[i] = d[best[i]], True
+            look(i) if seen is None else look_again()
         least = gap[i]
         i, j = sorted((i, int(best[i]))) if least < np.inf else np.flatnonzero(live)[:2].tolist()  # without any distance: by place
         si, sj = size[i], size[j]
         centre[i] = (si * centre[i] + sj * centre[j]) / (si + sj)
         size[i] = si + sj
-        if unit is not None:
-            unit[i] = _directions(centre[i : i + 1], distance != "cosine")[0]
         live[j], gap[j] = False, np.inf
         left[step], right[step], at[step], sizes[step], centroids[step] = names[i], names[j], least, size[i], centre[i]
         names[i] = -(step + 1)
         exact[(best == i) | (best == j)] = False
-        d = to_all(i)
-        best[i] = d.argmin()
-        gap[i], exact[i] = d[best[i]], True
-        closer = d < gap
-        best[closer], gap[closer], exact[closer] = i, d[closer], True
-        if 2 * (n - step - 1) < len(live):  # half of the rows are gone
+        if seen is None:
+            d = look(i)
+            closer = np.flatnonzero(d < gap)
+            d = d[closer]
+        else:
+            seen.drop(j)
+            seen.move(i, centre[i])
+            g = look(i)
+            closer = np.flatnonzero(g > (1 - seen.slack) - gap)
+            closer = closer[seen.rough(g, seen.heads[i], closer) < gap[closer] + seen.slack]
+            d = seen.exact(seen.unit[i], seen.heads[i], closer)
+            closer, d = closer[d < gap[closer]], d[d < gap[closer]]
+        best[closer], gap[closer], exact[closer] = i, d, True
+        if 8 * (n - step - 1) < 7 * len(live):  # an eighth of the rows are gone
             kept, place = np.flatnonzero(live), np.cumsum(live) - 1
             names, size, centre, gap, exact, best = names[kept], size[kept], centre[kept], gap[kept], exact[kept], place[best[kept]]
-            unit, live = None if unit is None else unit[kept], live[kept]
+            live = live[kept]
+            if seen is not None:
+                seen.keep(kept)
     return left, right, at, sizes, centroids
 
 

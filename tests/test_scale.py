@@ -158,3 +158,26 @@ def test_density_makes_no_pairs_of_a_dense_place(spark, monkeypatch):
 def test_cells_meet_where_their_ends_do_not():
     x = np.array([[float(i), 0.0] for i in range(600)])
     assert cluster._meet(x, x + [0.0, 1.0], 1.0, True) and not cluster._meet(x, x + [0.5, 1.0], 1.0, True)
+
+
+@pytest.mark.parametrize("distance", ["cosine", "pearson", "pspearson"])
+def test_centroid_merges_look_at_rows_in_single_precision(monkeypatch, distance):
+    x = np.random.default_rng(6).normal(scale=0.2, size=(500, 16))
+    x[7], x[9] = 0.5, 0.0  # without a direction under Pearson's, or any
+    products, rows = cluster._Directions.products, []
+    monkeypatch.setattr(cluster._Directions, "products", lambda self, r: rows.append(len(r)) or products(self, r))
+    got = cluster.agglomerate_centroids(x, distance)
+    want = cluster.agglomerate(x, distance)
+    assert [tuple(m[1:3]) for m in want] == list(zip(got[0].tolist(), got[1].tolist()))
+    assert np.allclose([m[3] for m in want], got[2], atol=1e-12) and np.allclose([m[5] for m in want], got[4])
+    assert len(rows) < 1.3 * len(x)  # a product for each merge, and few for those whose nearest has gone
+
+
+def test_nearest_directions_equal_those_in_double_precision():
+    x = np.random.default_rng(4).normal(size=(300, 16))
+    x[200:] = x[:100] + 1e-9 * np.random.default_rng(5).normal(size=(100, 16))  # closer than single precision tells
+    places = np.arange(300)
+    for distance in ("cosine", "pspearson"):
+        place, gap = cluster._nearest_directions(x, x, places, distance, 4)
+        other, far = cluster._nearest_others(x, x, lambda i, j: places[i, None] == places[j], distance, 4)
+        assert np.allclose(gap, far, atol=1e-14) and (place[:100] == other[:100]).all() and (place[100:200] == other[100:200]).all()
