@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import NUMPY, between
 from ..functions.vectors import finite, row_l2, squared_euclid, total
+from .farfield import distance_sums
+from .graph import ensure_checkpoint_dir
 
 
 def _dense(entries: Column, labels: Column) -> Column:
@@ -61,7 +63,8 @@ def silhouettes(points: DataFrame, point_id: str, v: str, label: str, distance:
     The mean squared Euclidean or cosine distance to a cluster follows from the
     cluster's mean and variance, so these take one pass over the points.  Other
     metrics need every pair of places: points with equal vectors are one place with
-    counts by label.  Places are dealt to blocks, a task takes a block against
+    counts by label.  Many places in the line or the plane have their Euclidean distances added up by
+    ``farfield``.  Else places are dealt to blocks, a task takes a block against
     another and returns sums of distances by place and label, and the
     work grows with the square of the places, not of the points.  Pairs without a distance, as of
     vectors without a direction, are left out; so are rows without a label.
@@ -77,6 +80,41 @@ def silhouettes(points: DataFrame, point_id: str, v: str, label: str, distance:
     usable = every.where(finite("_v") & F.col("_l").isNotNull())
     held = usable.groupBy("_key", "_v", "_l").agg(F.count("*").alias("n")).groupBy("_key", "_v").agg(F.collect_list(F.struct(F.col("_l").alias("l"), "n")).alias("_held"))
     places = held.count()
+    sums = _sums_in_the_plane(held, kinds[label]) if distance == "euclidean" and places > PLANE_PLACES else None
+    if sums is None:
+        sums = _sums_by_blocks(held, places, distance, block, kinds[label])
+    # the point itself is no other; its place has a distance to its label where it has one to itself
+    met = usable.select("_key", "_l").distinct().join(sums, "_key")
+    ab = met.groupBy("_key", "_l").agg(F.min(F.when((F.col("other") == F.col("_l")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(F.col("other") != F.col("_l"), F.col("s") / F.col("n"))).alias("b"))
+    found = every.join(ab, ["_key", "_l"], "left")
+    return found.select(F.col("_id").alias(point_id), F.col("_l").alias(label), _worth(F.col("a"), F.col("b")).alias("silhouette"))
+
+
+#: Places above which distances in the line and the plane aren't taken pair by pair, and labels up to which.
+PLANE_PLACES, PLANE_LABELS = 20_000, 32
+
+
+def _sums_in_the_plane(held: DataFrame, kind: str) -> DataFrame | None:
+    """(_key, other, n, s) by ``farfield``, for vectors of one or two components and few labels; else nothing."""
+    ensure_checkpoint_dir(held.sparkSession)
+    at = [F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0)) for i in range(2)]
+    box = held.agg(F.min(F.size("_v")), F.max(F.size("_v")), F.min(at[0]), F.max(at[0]), F.min(at[1]), F.max(at[1])).first()
+    side = max(box[3] - box[2], box[5] - box[4])
+    if box[0] != box[1] or not 1 <= box[0] <= 2 or not 0 < side < 1e150:
+        return None
+    totals = held.select(F.explode("_held").alias("h")).groupBy(F.col("h.l").alias("l")).agg(F.sum("h.n").alias("n")).limit(PLANE_LABELS + 1).collect()
+    if len(totals) > PLANE_LABELS or kind.startswith(("float", "double", "map", "struct", "array")):
+        return None
+    names = F.array(*(F.lit(r["l"]).cast(kind) for r in totals))
+    copies = lambda name: F.aggregate(F.filter("_held", lambda h: h["l"] == name), F.lit(0.0), lambda s, h: s + h["n"])
+    places = held.select("_key", at[0].alias("x"), at[1].alias("y"), F.transform(names, copies).alias("w"))
+    sums = distance_sums(places, len(totals), (box[2], box[4]), side * (1 + 1e-9))
+    each = sums.select("_key", F.posexplode(F.arrays_zip(names.alias("other"), F.array(*(F.lit(r["n"]).cast("long") for r in totals)).alias("n"), F.col("sums").alias("s"))))
+    return each.select("_key", F.col("col.other").alias("other"), F.col("col.n").alias("n"), F.col("col.s").alias("s"))
+
+
+def _sums_by_blocks(held: DataFrame, places: int, distance: str, block: int, kind: str) -> DataFrame:
+    """(_key, other, n, s): for each place and label the number of points with a distance, and the distances' sum."""
     blocks = max(1, -(-places // min(max(block, places // 24), 10 * block)))
     own = F.pmod("_key", F.lit(blocks)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("_own", o).alias("i"), F.greatest("_own", o).alias("j")))
@@ -108,12 +146,7 @@ def silhouettes(points: DataFrame, point_id: str, v: str, label: str, distance:
         row, other = np.nonzero(n > 0)
         return pa.table([pa.array(key[row]), names.take(pa.array(other)), pa.array(n[row, other].astype(np.int64)), pa.array(sums[row, other])], ["_key", "other", "n", "s"])
 
-    sums = dealt.groupBy("_i", "_j").applyInArrow(run, f"_key long, other {kinds[label]}, n long, s double").groupBy("_key", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    # the point itself is no other; its place has a distance to its label where it has one to itself
-    met = usable.select("_key", "_l").distinct().join(sums, "_key")
-    ab = met.groupBy("_key", "_l").agg(F.min(F.when((F.col("other") == F.col("_l")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(F.col("other") != F.col("_l"), F.col("s") / F.col("n"))).alias("b"))
-    found = every.join(ab, ["_key", "_l"], "left")
-    return found.select(F.col("_id").alias(point_id), F.col("_l").alias(label), _worth(F.col("a"), F.col("b")).alias("silhouette"))
+    return dealt.groupBy("_i", "_j").applyInArrow(run, f"_key long, other {kind}, n long, s double").groupBy("_key", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def _silhouettes_by_sums(points: DataFrame, point_id: str, v: str, label: str, distance: str, most_values: int = 2_000_000) -> DataFrame:

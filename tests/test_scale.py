@@ -181,3 +181,18 @@ def test_nearest_directions_equal_those_in_double_precision():
         place, gap = cluster._nearest_directions(x, x, places, distance, 4)
         other, far = cluster._nearest_others(x, x, lambda i, j: places[i, None] == places[j], distance, 4)
         assert np.allclose(gap, far, atol=1e-14) and (place[:100] == other[:100]).all() and (place[100:200] == other[100:200]).all()
+
+
+@pytest.mark.parametrize("dim", [1, 2])
+def test_silhouettes_of_many_places_in_the_plane(spark, monkeypatch, dim):
+    rng = np.random.default_rng(dim)
+    x = np.concatenate([rng.uniform(size=(3000, dim)), 0.01 * rng.normal(size=(2500, dim)) + 0.3, np.full((1, dim), 40.0)])
+    x = np.concatenate([x, x[:50]])  # copies
+    label = rng.integers(0, 3, len(x))
+    frame = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))] + [(9000, None, 1), (9001, [float("nan")] * dim, 1)], "id long, v array<double>, label int")
+    want = {r["id"]: r["silhouette"] for r in weight.silhouettes(frame, "id", "v", "label").collect()}
+    monkeypatch.setattr(weight, "PLANE_PLACES", 100)
+    monkeypatch.setattr(weight, "_sums_by_blocks", None)
+    monkeypatch.setattr(weight.distance_sums, "__defaults__", (100,))
+    found = {r["id"]: r["silhouette"] for r in weight.silhouettes(frame, "id", "v", "label").collect()}
+    assert found.keys() == want.keys() and max(abs(found[i] - want[i]) for i in want) < 1e-12
