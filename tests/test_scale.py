@@ -196,3 +196,26 @@ def test_silhouettes_of_many_places_in_the_plane(spark, monkeypatch, dim):
     monkeypatch.setattr(weight.distance_sums, "__defaults__", (100,))
     found = {r["id"]: r["silhouette"] for r in weight.silhouettes(frame, "id", "v", "label").collect()}
     assert found.keys() == want.keys() and max(abs(found[i] - want[i]) for i in want) < 1e-12
+
+
+def test_average_linkage_looks_again_only_where_something_merged(spark, monkeypatch):
+    x = np.random.default_rng(12).normal(size=(260, 8))
+    x[200:] = np.round(x[200:])  # equal distances
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
+    plain, looked = linkage._searched, []
+
+    def searched(state, n, block=90):  # several blocks
+        looked.append((state.where("fresh").count(), n))
+        return plain(state, n, block)
+
+    monkeypatch.setattr(linkage, "_searched", searched)
+    blocks = sorted((r["distance"], r["size"]) for r in linkage.agglomerated(frame, "v", distance="cosine", block=15).collect())
+    assert len(looked) > 2 and looked[0] == (260, 260) and all(m < n for m, n in looked[1:])
+    whole = sorted((r["distance"], r["size"]) for r in linkage.agglomerated(frame, "v", distance="cosine").collect())  # in one task
+    assert len(looked) > 2 and np.allclose(blocks, whole, atol=1e-9)
+    x = np.random.default_rng(13).normal(size=(200, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
+    want = [(round(m[3], 8), m[4]) for m in cluster.agglomerate(x, "cosine", linkage="average")]
+    for block in (15, 1000):
+        found = sorted(linkage.agglomerated(frame, "v", distance="cosine", block=block).collect(), key=lambda m: -m["id"])
+        assert [(round(m["distance"], 8), m["size"]) for m in found] == want
